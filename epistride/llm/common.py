@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def clean(text) -> F.Column:
 def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``most`` bytes in ``column``, or one row."""
     offsets = batch.column(column)
-    ends = pa.compute.cumulative_sum(pa.compute.cast(pa.compute.binary_length(offsets).fill_null(0), pa.int64())).to_numpy(zero_copy_only=False)
+    ends = pc.cumulative_sum(pc.cast(pc.binary_length(offsets).fill_null(0), pa.int64())).to_numpy(zero_copy_only=False)
     start, base = 0, 0
     while start < batch.num_rows:
         stop = max(start + 1, int(ends.searchsorted(base + most, side="right")))

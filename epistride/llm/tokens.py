@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_column: str
             for part in by_bytes(batch):
                 texts = part.column("text")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.compute.cast(pa.compute.binary_length(texts), pa.int64()), pa.array([enc.count(t) for t in texts.to_pylist()], pa.int64())],
+                    [part.column("id"), pc.cast(pc.binary_length(texts), pa.int64()), pa.array([enc.count(t) for t in texts.to_pylist()], pa.int64())],
                     ["id", "n_bytes", "n_tokens"],
                 )
 
