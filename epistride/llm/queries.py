@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistride.llm import minhash, packing, tokens
+from epistride.llm import minhash, packing, substrings, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +34,8 @@ def op3_best_two_fit(spark, sf_dir):
 @register
 def op6_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Near(words=3, percent=85))
+
+
+@register
+def op9_substrings(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), k=20)
