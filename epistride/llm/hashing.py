@@ -140,3 +140,11 @@ def window_hashes(words: np.ndarray, at: np.ndarray, k: int, seed: int = 0) -> n
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(source * powers(STEP, n), out=total[1:])
     return mix((total[at + k] - total[at]) * powers(STEP_INVERSE, n)[at] + U(k + seed))
+
+
+def runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    if not len(keys):
+        return []
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.llm.common import by_bytes, clean, drop_path, filter_slot, id_filter, in_filter, new_path, prepare, write_table
-from epistride.llm.hashing import split_words, window_hashes, window_starts, word_hashes
+from epistride.llm.hashing import runs, split_words, window_hashes, window_starts, word_hashes
 
 #: Words of an anchor; windows must be longer.
 ANCHOR = 8
@@ -89,9 +89,8 @@ def _send(hashes, checks, docs, places, buckets: int, all_of_repeats: bool):
     bucket = (hashes[sent] % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
     sent, bucket = sent[by], bucket[by]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     rows = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sent)], strict=True):
+    for a, b in runs(bucket):
         own = sent[a:b]
         rows.append((int(bucket[a]), hashes[own].tobytes(), checks[own].tobytes() if checks is not None else b"", _pack(docs[own]), _pack(places[own]), b"", b""))
     if len(sure):
