@@ -63,6 +63,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # text i has the words first[i] to first[i + 1]
+    offsets: np.ndarray  # and the bytes offsets[i] to offsets[i + 1]
 
     @property
     def per_text(self) -> np.ndarray:
@@ -85,12 +86,13 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, inside: np.ndarray = ~_SPACE) -> Words:
+    """Words of each text; ``inside`` tells the bytes that belong to words."""
     data, offsets = text_buffers(texts)
     if lower:
         data = _LOWER[data]
     n = len(data)
-    word = ~_SPACE[data]
+    word = inside[data]
     start, end = word.copy(), word.copy()
     start[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
@@ -98,7 +100,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     start[inner] = word[inner]
     end[inner[1:] - 1] = word[inner[1:] - 1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets).astype(np.int64) if n else np.zeros(len(offsets), np.int64))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets).astype(np.int64) if n else np.zeros(len(offsets), np.int64), offsets)
 
 
 def word_hashes(words: Words) -> np.ndarray:
@@ -107,8 +109,15 @@ def word_hashes(words: Words) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges that begin in ascending order; works through the bytes in bounded pieces."""
+    """Hashes of byte ranges that begin in ascending order."""
     out = np.empty(len(starts), np.uint64)
+    for lo, _, at, total, inverse in span_totals(data, starts, ends):
+        out[at] = totals_hash(total, inverse, starts[at] - lo, ends[at] - lo)
+    return out
+
+
+def span_totals(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Goes through ranges in bounded pieces: first and last byte, the slice of ranges, running totals, inverse powers."""
     i = 0
     while i < len(starts):
         lo = int(starts[i])
@@ -117,10 +126,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         power, inverse = _powers(hi - lo)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_SYMBOL[data[lo:hi]] * power[: hi - lo], out=total[1:])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * STEP)
+        yield lo, hi, slice(i, j), total, inverse
         i = j
-    return out
+
+
+def totals_hash(total: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(inverse) <= (int(a.max()) if len(a) else 0):
+        inverse = powers(BASE_INVERSE, int(a.max()) + 1)
+    return mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * STEP)
 
 
 def window_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

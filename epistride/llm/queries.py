@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistride.llm import bpe, chat, minhash, packing, substrings, tokens
+from epistride.llm import bpe, chat, minhash, packing, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op6_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Near(words=3, percent=85))
 
 
+@register
+def op7_toxicity(spark, sf_dir):
+    scored = toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @register
 def op8_bpe_words(spark, sf_dir):
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"))
