@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epistride.llm import bpe, chat, minhash, packing, substrings, tokens, toxicity
+from epistride.llm import bpe, chat, minhash, packing, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,21 @@ def op3_best_two_fit(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+@register
+def op5_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("problem")
+
+
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN top IS NOT NULL AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS NOT NULL AND page_id <> top THEN top END AS refers_to
+FROM p LEFT JOIN m ON p.d = m.d AND p.n >= 1000
+"""
+
+
 @register
 def op6_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Near(words=3, percent=85))
