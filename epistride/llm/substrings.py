@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.llm.common import by_bytes, clean, drop_path, filter_slot, id_filter, in_filter, new_path, prepare, write_table
-from epistride.llm.hashing import runs, split_words, window_hashes, window_starts, word_hashes
+from epistride.llm.hashing import mix, runs, split_words, window_hashes, window_starts, word_hashes
 
 #: Words of an anchor; windows must be longer.
 ANCHOR = 8
@@ -32,7 +32,7 @@ ANCHOR = 8
 BLOCK_BYTES = 8 << 20
 SENT = "bucket int, hashes binary, checks binary, docs binary, places binary, sure_docs binary, sure_places binary"
 RUN = "bucket int, hashes binary, docs binary, places binary"
-MARKS = "id long, places array<int>"
+MARKS = "part int, docs binary, places binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -148,51 +148,72 @@ def _gather(table: pa.Table, checks: bool):
     return hashes[order], check[order] if checks else None, docs[order], places[order], sure
 
 
-def _marks(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+def _marks(found: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.Table:
+    """Places by hashed parts of the documents: few rows, whatever the number of documents."""
     docs = np.concatenate([np.zeros(0, np.int64), *(d for d, _ in found)])
     places = np.concatenate([np.zeros(0, np.int32), *(p for _, p in found)])
-    order = np.argsort(docs, kind="stable")
+    part = (mix(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((places, docs, part))
+    docs, places, part = docs[order], places[order], part[order]
+    rows = [(int(part[a]), _pack(docs[a:b]), _pack(places[a:b])) for a, b in runs(part)]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("part", pa.int32()), ("docs", pa.binary()), ("places", pa.binary())))})
+
+
+def _per_document(table: pa.Table) -> pa.Table:
+    """The distinct places of each document of a part."""
+    rows = table.to_pylist()
+    docs, places = np.concatenate([_unpack(r["docs"], np.int64) for r in rows]), np.concatenate([_unpack(r["places"], np.int32) for r in rows])
+    order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
-    cuts = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1 if len(docs) else 0)) if len(docs) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(docs)).astype(np.int32)), pa.array(places))
-    return pa.table({"id": pa.array(docs[cuts]), "places": lists})
-
-
-def _match(key, new: pa.Table, old: pa.Table) -> pa.Table:
-    """Merge-joins a bucket of the new batch with the runs of the past; also gives the sorted new run of the bucket."""
-    hashes, _, docs, places, found = _gather(new, False)
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = hashes[1:] != hashes[:-1]
-    shared = ~fresh
-    shared[:-1] |= ~fresh[1:]
-    added = fresh.copy()
-    for r in old.to_pylist():
-        past = np.frombuffer(r["hashes"], np.uint64)
-        at = np.searchsorted(past, hashes)
-        at[at == len(past)] = 0
-        hit = past[at] == hashes if len(past) else np.zeros(len(hashes), bool)
-        shared |= hit
-        added &= ~hit
-        seen = np.unique(at[hit])
-        found.append((np.frombuffer(r["docs"], np.int64)[seen], np.frombuffer(r["places"], np.int32)[seen]))
-    found.append((docs[shared], places[shared]))
-    marks = _marks(found)
-    n = marks.num_rows
-    run = [pa.array([None] * n + [x], kind) for x, kind in ((hashes[added].tobytes(), pa.binary()), (docs[added].tobytes(), pa.binary()), (places[added].tobytes(), pa.binary()))]
-    bucket = key[0].as_py()
-    marked = pa.concat_tables([marks, pa.table({"id": pa.array([None], pa.int64()), "places": pa.array([None], marks.schema.field("places").type)})])
-    return pa.table({"bucket": pa.array([bucket] * (n + 1), pa.int32()), "id": marked.column("id"), "places": marked.column("places"), "hashes": run[0], "docs": run[1], "run_places": run[2]})
-
-
-def _later(table: pa.Table) -> pa.Table:
-    """Places of all windows of a bucket but the first of each kind."""
-    hashes, check, docs, places, found = _gather(table, True)
-    # A repeated row gives the same place twice: neither is later than the other.
-    start = np.ones(len(hashes), bool)
-    start[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
-    lead = np.maximum.accumulate(np.where(start, np.arange(len(hashes)), 0))
-    later = (docs != docs[lead]) | (places != places[lead])
-    return _marks([*found, (docs[later], places[later])])
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (places[1:] != places[:-1])
+    docs, places = docs[new], places[new]
+    cuts = runs(docs)
+    lists = pa.ListArray.from_arrays(pa.array([0, *(b for _, b in cuts)], pa.int32()), pa.array(places))
+    return pa.table({"id": pa.array(docs[[a for a, _ in cuts]]), "places": lists})
+
+
+def _match(parts: int):
+    """Cogroup function of a bucket: merge-joins the new batch with the runs of the past; gives marks and the sorted new run."""
+
+    def run(key, new: pa.Table, old: pa.Table) -> pa.Table:
+        hashes, _, docs, places, found = _gather(new, False)
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        shared = ~fresh
+        shared[:-1] |= ~fresh[1:]
+        added = fresh.copy()
+        for r in old.to_pylist():
+            past = np.frombuffer(r["hashes"], np.uint64)
+            at = np.searchsorted(past, hashes)
+            at[at == len(past)] = 0
+            hit = past[at] == hashes if len(past) else np.zeros(len(hashes), bool)
+            shared |= hit
+            added &= ~hit
+            seen = np.unique(at[hit])
+            found.append((np.frombuffer(r["docs"], np.int64)[seen], np.frombuffer(r["places"], np.int32)[seen]))
+        marks = _marks([*found, (docs[shared], places[shared])], parts)
+        mine = pa.table({"part": pa.array([None], pa.int32()), "docs": pa.array([docs[added].tobytes()], pa.binary()), "places": pa.array([places[added].tobytes()], pa.binary())})
+        both = pa.concat_tables([marks, mine])
+        n = marks.num_rows
+        return both.append_column("bucket", pa.array([key[0].as_py()] * (n + 1), pa.int32())).append_column("hashes", pa.array([None] * n + [hashes[added].tobytes()], pa.binary()))
+
+    return run
+
+
+def _later(parts: int):
+    """Group function of a bucket: places of all its windows but the first of each kind."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, check, docs, places, found = _gather(table, True)
+        # A repeated row gives the same place twice: neither is later than the other.
+        start = np.ones(len(hashes), bool)
+        start[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
+        lead = np.maximum.accumulate(np.where(start, np.arange(len(hashes)), 0))
+        later = (docs != docs[lead]) | (places != places[lead])
+        return _marks([*found, (docs[later], places[later])], parts)
+
+    return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -220,20 +241,20 @@ class FingerprintIndex:
         return self.spark.read.schema(RUN).parquet(*self.runs)
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch (id, text); returns the marked places (id, places), also those of earlier batches."""
+        """Adds a batch (id, text); returns the marked places, also those of earlier batches (see ``per_document``)."""
         sent = docs.select("id", "text").mapInArrow(_anchor_rows(self.k, self.buckets), SENT)
-        kind = "bucket int, id long, places array<int>, hashes binary, docs binary, run_places binary"
-        both = sent.groupBy("bucket").cogroup(self._past().groupBy("bucket")).applyInArrow(_match, kind)
+        kind = MARKS + ", bucket int, hashes binary"
+        both = sent.groupBy("bucket").cogroup(self._past().groupBy("bucket")).applyInArrow(_match(self.buckets), kind)
         path = new_path(self.spark, "match")
-        both.withColumn("is_run", F.col("id").isNull()).write.option("compression", "zstd").partitionBy("is_run").parquet(path)
+        both.withColumn("is_run", F.col("part").isNull()).write.option("compression", "zstd").partitionBy("is_run").parquet(path)
         matched = self.spark.read.schema(kind + ", is_run boolean").parquet(path)
         run = new_path(self.spark, "run")
-        matched.where("is_run AND length(hashes) > 0").select("bucket", "hashes", "docs", F.col("run_places").alias("places")).write.option("compression", "zstd").parquet(run)
+        matched.where("is_run AND length(hashes) > 0").select("bucket", "hashes", "docs", "places").write.option("compression", "zstd").parquet(run)
         self.runs.append(run)
         drop_path(self.spark, f"{path}/is_run=true")
         if len(self.runs) > self.most_runs:
             self.compact()
-        return matched.where("NOT is_run").select("id", "places")
+        return matched.where("NOT is_run").select("part", "docs", "places")
 
     def compact(self) -> None:
         """Merges all runs into one and deletes them."""
@@ -249,6 +270,11 @@ class FingerprintIndex:
         self.runs = []
 
 
+def per_document(marks: DataFrame) -> DataFrame:
+    """id and the distinct places of each document in ``marks``."""
+    return marks.groupBy("part").applyInArrow(_per_document, "id long, places array<int>")
+
+
 def _kept(k: int, with_text: bool):
     """Words, removed words and what is left of each document; ``places`` are the starts of removed windows."""
 
@@ -298,12 +324,11 @@ def remove_repeats(docs: DataFrame, k: int = 20, batches: int = 3, with_text: bo
         found = index.append(batch if high is None else batch.where(F.col("id") <= high))
         marks = found if marks is None else marks.union(found)
     index.drop()
-    marks = write_table(marks.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "marks")
+    marks = write_table(per_document(marks), "marks")
 
     near, _ = _split(known, marks)
     sent = near.join(marks, "id").select("id", "text", "places").mapInArrow(_window_rows(k, index.buckets), SENT)
-    gone = sent.groupBy("bucket").applyInArrow(_later, MARKS)
-    gone = write_table(gone.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places")), "gone")
+    gone = write_table(per_document(sent.groupBy("bucket").applyInArrow(_later(index.buckets), MARKS)), "gone")
 
     touched, rest = _split(rows, gone)
     none = F.lit(None).cast("array<int>").alias("places")
