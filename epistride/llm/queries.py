@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from epistride.llm import bpe, chat, minhash, packing, substrings, tokens, toxicity, warc
+from epistride.llm import bpe, chat, minhash, mtree, multiindex, packing, substrings, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +27,32 @@ def op1_token_counts(spark, sf_dir):
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@register
+def op2_mtree(spark, sf_dir):
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+ORACLES["op2_mtree"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) WHERE rank <= 10
+"""
+
+
 @register
 def op3_best_two_fit(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
 
+@register
+def op4_multi_index(spark, sf_dir):
+    return multiindex.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @register
 def op5_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages")).drop("problem")
