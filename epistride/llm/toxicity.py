@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from epistride.llm.common import by_bytes, clean, prepare, write_table
 from epistride.llm.hashing import U, mix, split_words, span_totals, totals_hash
 
-#: Bounds of what is fitted, all documented: labelled rows for evidence and for the chain (of each class), bytes of a
+#: Bounds of what is fitted, all documented: labelled rows for evidence (toxic, clean) and for the chain (of each class), bytes of a
 #: text in the latter, kept features. Scoring covers every document whole.
 EVIDENCE_ROWS = 10_000
+CLEAN_ROWS = 30_000
 CHAIN_ROWS = 300
 CHAIN_BYTES = 1 << 16
 FEATURES = 1 << 16
@@ -30,6 +31,8 @@ SEGMENT = 128
 #: Besides the whole word: its first 4, 5 and 6 bytes.
 PREFIXES = (4, 5, 6)
 LEAST_DOCUMENTS = 5
+#: Likelihood ratio of a feature's counts from which it tells something, with so many features looked at.
+LEAST_RATIO = 22.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -256,15 +259,15 @@ def _counted(batches):
 def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     """Fits the model on labelled rows for which the column ``train`` (of ``id``) holds.
 
-    Evidence comes from at most EVIDENCE_ROWS labelled documents of each class, those with the smallest hash of their id;
+    Evidence comes from at most EVIDENCE_ROWS toxic and CLEAN_ROWS clean labelled documents, those with the smallest hash of their id;
     texts that occur several times count once. ``docs`` has id and text, ``labels`` id and toxic.
     """
     known = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     if train is not None:
         known = known.where(train)
     order = F.xxhash64("id", F.lit(17))
-    ids = known.where("toxic = 1").orderBy(order).limit(EVIDENCE_ROWS).union(known.where("toxic = 0").orderBy(order).limit(EVIDENCE_ROWS))
-    sample = docs.join(F.broadcast(ids), "id").withColumn("key", F.xxhash64("text"))  # ids: at most 2 * EVIDENCE_ROWS rows
+    ids = known.where("toxic = 1").orderBy(order).limit(EVIDENCE_ROWS).union(known.where("toxic = 0").orderBy(order).limit(CLEAN_ROWS))
+    sample = docs.join(F.broadcast(ids), "id").withColumn("key", F.xxhash64("text"))  # ids: at most EVIDENCE_ROWS + CLEAN_ROWS rows
     first = sample.groupBy("key").agg(F.min("id").alias("id"))
     sample = write_table(sample.join(F.broadcast(first), ["key", "id"]).dropDuplicates(["key"]).select("id", "text", "toxic"), "labelled")
     sizes = dict(sample.groupBy("toxic").count().collect())
@@ -273,7 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
         return Model(None, None, bad / max(1, bad + good))
     counted = sample.select("text", "toxic").mapInArrow(_counted, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    telling = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", odds).where("odds >= 1.5")
+    part = lambda n, share: F.when(n > 0, n * F.log(n / ((F.col("toxic") + F.col("clean")) * share))).otherwise(0.0)
+    ratio = 2 * (part(F.col("toxic"), bad / (bad + good)) + part(F.col("clean"), good / (bad + good)))
+    telling = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", odds).where("odds >= 1.5").where(ratio >= LEAST_RATIO)
     rows = telling.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "h").limit(FEATURES).select("h", "odds").collect()  # bounded by FEATURES
     evidence = Evidence(np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.odds for r in rows]))
     short = sample.where(F.octet_length("text") <= CHAIN_BYTES)
@@ -285,8 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     toxic = np.array([r.toxic for r in rows], float)
     chain = fit_chain(evidence(features), words.first, toxic)
     # The sample holds the classes about evenly; the constant goes back to the labelled share.
-    chain.document[0] += np.log(bad / good) - np.log(toxic.sum() / (1 - toxic).sum()) if bad < EVIDENCE_ROWS and good < EVIDENCE_ROWS else 0.0
-    return Model(evidence, chain, bad / (bad + good))
+    share = known.agg(F.avg("toxic")).first()[0]
+    chain.document[0] += np.log(share / (1 - share)) - np.log(toxic.mean() / (1 - toxic.mean()))
+    return Model(evidence, chain, share)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train=None, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
