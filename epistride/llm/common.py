@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,11 @@ def by_bytes(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTE
         start, base = stop, int(ends[stop - 1])
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = 23) -> bytes:
+#: A filter has 2**23 bits, which is 1 MB.
+FILTER_BITS = 23
+
+
+def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
     """A bitmap of ``2**bits`` bits (1 MB at 23) of hashed ids: rows that miss it are surely not in ``ids``.
 
     Its size is fixed, whatever the table: with very many ids it fills up and no longer spares work, and the
@@ -90,7 +95,7 @@ def id_filter(ids: DataFrame, column: str, bits: int = 23) -> bytes:
     return bytes(out)
 
 
-def filter_slot(column: str, bits: int = 23) -> F.Column:
+def filter_slot(column: str, bits: int = FILTER_BITS) -> F.Column:
     """1 to 2**bits: bitmap buckets count from 1."""
     return F.xxhash64(F.col(column)).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(1)
 
@@ -101,3 +106,15 @@ def in_filter(bitmap: bytes, slots):
 
     at = np.asarray(slots, dtype=np.int64) - 1
     return (np.frombuffer(bitmap, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def maybe_in(rows: DataFrame, column: str, some: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Rows whose long ``column`` may be in ``some[key]``, and rows where it surely isn't: only the former need a join."""
+    bitmap = id_filter(some, key)
+
+    @F.pandas_udf("boolean")
+    def maybe(slot: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(bitmap, slot.to_numpy()))
+
+    hit = maybe(F.xxhash64(F.col(column).cast("long")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + F.lit(1))
+    return rows.where(hit), rows.where(~hit)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epistride.llm.common import by_bytes, clean, filter_slot, id_filter, in_filter, prepare, write_table
+from epistride.llm.common import by_bytes, clean, filter_slot, id_filter, in_filter, maybe_in, prepare, write_table
 from epistride.llm.components import Forest, components
 from epistride.llm.hashing import U, mix, split_words, window_hashes, window_starts, word_hashes
 
@@ -234,3 +234,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_column: str = "doc_
     out = profiles.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each group of near-duplicates: that with the smallest id.
+
+    Rows that repeat an id leave one row; rows with a null id, and rows without words, stay. Columns are unchanged.
+    """
+    found = write_table(near_duplicates(docs, near, id_column, text_column).select(F.col(id_column).alias("gone id"), "n_shingles", "kept"), "near")
+    copies = found.where("NOT kept").select("gone id").distinct()
+    twice = found.where("`gone id` IS NOT NULL").groupBy("gone id").count().where("count > 1").select("gone id")
+    touched, rest = maybe_in(docs, id_column, copies.union(twice), "gone id")
+    left = touched.join(copies, F.col(id_column).cast("long") == F.col("gone id"), "left_anti")
+    named, unnamed = left.where(F.col(id_column).isNotNull()), left.where(F.col(id_column).isNull())
+    return rest.union(named.dropDuplicates([id_column])).union(unnamed)

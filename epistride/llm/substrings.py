@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.llm.common import by_bytes, clean, drop_path, filter_slot, id_filter, in_filter, new_path, prepare, write_table
+from epistride.llm.common import by_bytes, clean, drop_path, maybe_in, new_path, prepare, write_table
 from epistride.llm.hashing import mix, runs, split_words, window_hashes, window_starts, word_hashes
 
 #: Words of an anchor; windows must be longer.
@@ -275,77 +276,107 @@ def per_document(marks: DataFrame) -> DataFrame:
     return marks.groupBy("part").applyInArrow(_per_document, "id long, places array<int>")
 
 
-def _kept(k: int, with_text: bool):
-    """Words, removed words and what is left of each document; ``places`` are the starts of removed windows."""
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def gone_words(n: int, places, k: int) -> np.ndarray:
+    """Which of ``n`` words a removed window covers; ``places`` are the starts of removed windows."""
+    edge = np.zeros(n + 1, np.int64)
+    starts = np.unique(np.asarray(places, np.int64))
+    starts = starts[starts + k <= n]
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + k, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def strip(text: str, places, k: int) -> str:
+    """The text without removed words: what stays is unchanged, and gaps become a line break if they held one, else a space."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    gone = gone_words(len(spans), places, k)
+    if not gone.any():
+        return text
+    parts, at = [], None
+    for a, b in runs(gone):
+        if not gone[a]:
+            if at is not None:
+                parts.append("\n" if "\n" in text[at : spans[a][0]] else " ")
+            begin, end = spans[a][0], spans[b - 1][1]
+            parts.append(text[begin:end])
+            at = end
+    return "".join(parts)
+
+
+def _digests(k: int):
+    """Words, removed words and the digest of what is left of each document."""
 
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch):
                 out = []
                 for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist(), strict=True):
-                    data = text.encode()
-                    words = data.split()  # bytes split at exactly the six characters that end words
-                    gone = np.zeros(len(words), bool)
-                    if places:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        starts = np.unique(np.array(places, np.int64))
-                        starts = starts[starts + k <= len(words)]
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, starts + k, -1)
-                        gone = np.cumsum(edge)[:-1] > 0
+                    words = text.encode().split()  # bytes split at exactly the six characters that end words
+                    gone = gone_words(len(words), places, k) if places else np.zeros(0, bool)
                     removed = int(gone.sum())
-                    left = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if removed else b" ".join(words)
-                    row = (len(words), removed, hashlib.sha256(left).hexdigest())
-                    out.append((*row, (left if removed else data).decode()) if with_text else row)
-                kinds = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())][: 3 + with_text]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds))], ["id", *(n for n, _ in kinds)])
+                    left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words
+                    out.append((len(words), removed, hashlib.sha256(b" ".join(left)).hexdigest()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, k: int = 20, batches: int = 3, with_text: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_words, n_removed, kept_sha256 of every row, and kept_text if asked for.
-
-    A word goes if a window of ``k`` words over it occurs earlier (smaller id, or same id and smaller start); windows
-    are judged on the input. kept_sha256 is over the words that stay, joined by one space; kept_text is the text itself
-    where nothing goes. Null texts have no words; rows with a null id come back whole and are not indexed; repeated rows
-    each give a row and don't count as earlier than each other; rows that share an id are taken for repeats. Other
-    columns are left out, ids are longs, an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
+def repeated_windows(rows: DataFrame, k: int = 20, batches: int = 3) -> DataFrame:
+    """id and the starts (words) of windows that occur earlier: smaller id, or same id and smaller start. ``rows``: id (long), text."""
     known = rows.where("id IS NOT NULL")
     cuts = known.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("q")).first().q if batches > 1 else None
     edges = [None, *sorted(set(cuts or [])), None]
-    index, marks = FingerprintIndex(spark, k), None
+    index, marks = FingerprintIndex(rows.sparkSession, k), None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         batch = known if low is None else known.where(F.col("id") > low)
         found = index.append(batch if high is None else batch.where(F.col("id") <= high))
         marks = found if marks is None else marks.union(found)
     index.drop()
     marks = write_table(per_document(marks), "marks")
-
-    near, _ = _split(known, marks)
+    near, _ = maybe_in(known, "id", marks)
     sent = near.join(marks, "id").select("id", "text", "places").mapInArrow(_window_rows(k, index.buckets), SENT)
-    gone = write_table(per_document(sent.groupBy("bucket").applyInArrow(_later(index.buckets), MARKS)), "gone")
+    return write_table(per_document(sent.groupBy("bucket").applyInArrow(_later(index.buckets), MARKS)), "gone")
 
-    touched, rest = _split(rows, gone)
-    none = F.lit(None).cast("array<int>").alias("places")
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    work = _kept(k, with_text)
-    out = touched.join(gone, "id", "left").select("id", "text", "places").mapInArrow(work, schema)
-    out = out.union(rest.select("id", "text", none).mapInArrow(work, schema))
-    return out.withColumnRenamed("id", id_column)
 
+def remove_repeats(docs: DataFrame, k: int = 20, batches: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, n_words, n_removed and kept_sha256 (words that stay, joined by one space) of every row; see ``without_repeats`` for texts.
+
+    A word goes if a window of ``k`` words over it occurs earlier (smaller id, or same id and smaller start); windows
+    are judged on the input. Null texts have no words; rows with a null id come back whole and are not indexed; repeated
+    rows each give a row and don't count as earlier than each other; rows that share an id are taken for repeats. Other
+    columns are left out, ids are longs, an empty table gives an empty result.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
+    gone = repeated_windows(rows, k, batches)
+    touched, rest = maybe_in(rows, "id", gone)
+    schema = "id long, n_words long, n_removed long, kept_sha256 string"
+    out = touched.join(gone, "id", "left").select("id", "text", "places").mapInArrow(_digests(k), schema)
+    none = F.lit(None).cast("array<int>").alias("places")
+    return out.union(rest.select("id", "text", none).mapInArrow(_digests(k), schema)).withColumnRenamed("id", id_column)
 
-def _split(rows: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose id may be in ``some``, and rows whose id surely isn't: only the former need a join."""
-    bitmap = id_filter(some, "id")
 
-    @F.pandas_udf("boolean")
-    def maybe(slot: pd.Series) -> pd.Series:
-        return pd.Series(in_filter(bitmap, slot.to_numpy()))
+def without_repeats(docs: DataFrame, k: int = 20, batches: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` with repeated words taken out of the text; see ``remove_repeats``.
 
-    hit = maybe(filter_slot("id"))
-    return rows.where(hit), rows.where(~hit)
+    What stays keeps its white space; rows of which nothing stays are left out; untouched rows come back as they are,
+    null texts included. A column n_chars is counted anew where words went.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
+    gone = repeated_windows(rows, k, batches).select(F.col("id").alias("gone id"), F.col("places").alias("gone places"))
+    touched, rest = maybe_in(docs, id_column, gone, "gone id")
+
+    @F.pandas_udf("string")
+    def stripped(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([t if p is None else strip(t, p, k) for t, p in zip(texts, places, strict=True)], dtype=object)
+
+    joined = touched.join(gone, F.col(id_column).cast("long") == F.col("gone id"), "left")
+    hit = joined.where(F.col("gone id").isNotNull()).withColumn(text_column, stripped(F.col(text_column), F.col("gone places"))).where(F.col(text_column) != "")
+    if "n_chars" in docs.columns:
+        hit = hit.withColumn("n_chars", F.char_length(text_column).cast(docs.schema["n_chars"].dataType))
+    missed = joined.where(F.col("gone id").isNull())
+    return rest.select(docs.columns).union(hit.select(docs.columns)).union(missed.select(docs.columns))

@@ -59,7 +59,17 @@ def test_repeated_passages(name, batches, request):
 def test_kept_texts(spark):
     run = " ".join(f"p{i}" for i in range(25))
     docs = spark.createDataFrame([(1, f"x  {run}"), (2, f"y\n{run} z"), (3, "a\n b")], "doc_id long, text string")
-    assert {r.doc_id: r.kept_text for r in substrings.remove_repeats(docs, 20, with_text=True).collect()} == {1: f"x  {run}", 2: "y z", 3: "a\n b"}
+    docs = docs.union(spark.createDataFrame([(4, run), (5, None), (6, f"w {run}  v  v")], "doc_id long, text string")).withColumn("places", F.lit(1)).withColumn("n_chars", F.lit(7))
+    got = {r.doc_id: (r.text, r.places, r.n_chars) for r in substrings.without_repeats(docs, 20).collect()}
+    assert got == {1: (f"x  {run}", 1, 7), 2: ("y\nz", 1, 3), 3: ("a\n b", 1, 7), 5: (None, 1, 7), 6: ("w v  v", 1, 6)}
+
+
+def test_one_of_each(spark):
+    text = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, text), (7, text), (7, text), (9, text + " q"), (8, None), (8, None), (10, "other")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept string")
+    left = minhash.one_of_each(docs).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in left) == [(0, "k"), (7, "k"), (8, "k"), (10, "k")]
 
 
 def test_empty_null_and_repeated(spark):
