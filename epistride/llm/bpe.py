@@ -41,32 +41,41 @@ def words_of(text: Column) -> Column:
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
-    """Whole numbers below 2**32, compressed by bytes of equal weight."""
+    """Whole numbers below 2**32 by groups of seven bits: each group that numbers still need is compressed by itself."""
     parts = []
     for a in arrays:
-        a = np.ascontiguousarray(a, "<u4")
-        planes = a.view(np.uint8).reshape(-1, 4)
-        used = next((k for k in (4, 3, 2, 1) if len(a) and planes[:, k - 1].any()), 1)
-        packed = zstandard.compress(b"".join(np.ascontiguousarray(planes[:, k]).tobytes() for k in range(used)), 3)
-        parts += [np.array([len(a), used, len(packed)], "<u4").tobytes(), packed]
+        rest = np.asarray(a, np.uint32)
+        parts.append(b"")
+        planes = 0
+        while planes == 0 or len(rest):
+            more = rest >= 128
+            packed = zstandard.compress(((rest & 127) | (more * np.uint32(128))).astype(np.uint8).tobytes(), 3)
+            parts += [np.array([len(rest), len(packed)], "<u4").tobytes(), packed]
+            rest, planes = rest[more] >> 7, planes + 1
+        parts[-2 * planes - 1] = np.array([planes], "<u4").tobytes()
     return b"".join(parts)
 
 
 def _unsqueeze(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
-        n, used, size = np.frombuffer(data, "<u4", 3, at).tolist()
-        at += 12
-        planes = np.frombuffer(zstandard.decompress(data[at : at + size]), np.uint8).reshape(used, n)
-        at += size
-        a = np.zeros((n, 4), np.uint8)
-        a[:, :used] = planes.T
-        out.append(a.view("<u4").reshape(-1))
+        (planes,) = np.frombuffer(data, "<u4", 1, at).tolist()
+        at += 4
+        for k in range(planes):
+            n, size = np.frombuffer(data, "<u4", 2, at).tolist()
+            at += 8
+            part = np.frombuffer(zstandard.decompress(data[at : at + size]), np.uint8) if n else np.zeros(0, np.uint8)
+            at += size
+            if k == 0:
+                a, where = np.zeros(n, np.uint32), np.arange(n)
+            a[where] |= (part & 127).astype(np.uint32) << np.uint32(7 * k)
+            where = where[part >= 128]
+        out.append(a)
     return out
 
 
 class _Block:
-    """Codes of some documents and their distinct words in order of first use."""
+    """Codes of some documents and their distinct words."""
 
     def __init__(self):
         self.code: dict[str, int] = {}
@@ -85,9 +94,12 @@ class _Block:
         self.words += len(flat)
 
     def rows(self, block: int, buckets: int):
-        first = _squeeze(np.concatenate(self.codes))
-        yield block, -1, self.ids, np.concatenate(self.counts), first, None
-        words = pa.array(list(self.code), pa.string())
+        codes = np.concatenate(self.codes)
+        order = np.argsort(-np.bincount(codes, minlength=len(self.code)), kind="stable")  # common words get small codes
+        small = np.empty(len(order), np.uint32)
+        small[order] = np.arange(len(order))
+        yield block, -1, self.ids, np.concatenate(self.counts), _squeeze(small[codes]), None
+        words = pa.array(list(self.code), pa.string()).take(pa.array(order))
         data, offsets = text_buffers(words)
         bucket = (span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
