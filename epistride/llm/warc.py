@@ -13,10 +13,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.llm.common import by_bytes, new_path, prepare, write_table
+from epistride.llm.common import by_bytes, maybe_in, new_path, prepare, write_table
 
 #: Payloads from so many bytes are stored once; blocks beyond SEGMENT bytes are split; CHUNK is a transfer chunk.
 LEAST_BYTES = 1000
@@ -69,19 +69,19 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> str:
     return f"WARC/1.1\r\n{head}\r\n{block.decode()}"
 
 
-def record_id(page, digest: str, nth: int) -> str:
-    return f"<urn:x-page:{'' if page is None else page}:{digest}:{nth}>"
+def record_id(page, digest: str, uid: int) -> str:
+    return f"<urn:x-page:{'' if page is None else page}:{digest}:{uid}>"
 
 
-def records_of(page, url: str | None, digest: str, nth: int, target, payload: bytes) -> Iterator[str]:
+def records_of(page, url: str | None, digest: str, uid: int, top: dict | None, payload: bytes) -> Iterator[str]:
     """The records of a page: a revisit, or a response and its continuations. Without their terminators."""
-    name = record_id(page, digest, nth)
+    name = record_id(page, digest, uid)
     stated = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     uri = "".join((url or "").split()) or "urn:x-none"
     common = [("WARC-Target-URI", uri), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", stated), ("Content-Type", "application/http; msgtype=response")]
-    if target is not None:
+    if top is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        own = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Refers-To", record_id(target, digest, 1)), ("WARC-Profile", profile)]
+        own = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Refers-To", record_id(top["page_id"], digest, top["uid"])), ("WARC-Profile", profile)]
         yield _record([*own, *common], f"{HTTP}Content-Length: {len(payload)}\r\n\r\n".encode())
         return
     block = f"{HTTP}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
@@ -108,20 +108,23 @@ def write_archives(pages: DataFrame, path: str) -> None:
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    slim = rows.where(F.octet_length("html") >= LEAST_BYTES).groupBy("digest", "page_id").agg(F.lit(1).alias("one"))
-    largest = slim.groupBy("digest").agg(F.max("page_id").alias("target"))
-    revisits = slim.join(largest, "digest").where("NOT page_id <=> target").select(F.col("page_id").alias("page"), F.col("digest").alias("sha"), "target")
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    slim = rows.where(F.octet_length("html") >= LEAST_BYTES).groupBy("digest", "page_id").agg(F.min("uid").alias("uid"))
+    largest = slim.groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("top"))
+    revisits = slim.join(largest, "digest").where("NOT page_id <=> top.page_id")
+    revisits = write_table(revisits.select(F.col("page_id").alias("page"), F.col("digest").alias("sha"), "top"), "revisits")
+    touched, rest = maybe_in(rows, "page_id", revisits, "page")  # payloads of other pages stay where they are
     same = F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("sha"))
-    dealt = rows.join(revisits, same, "left").select("page_id", "url", "html", "digest", "target")
-    dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    dealt = touched.join(revisits, same, "left").select("page_id", "url", "html", "digest", "uid", "top")
+    dealt = dealt.union(rest.select("page_id", "url", "html", "digest", "uid", F.lit(None).cast("struct<page_id: bigint, uid: bigint>")))
 
     def records(batches):
         for batch in batches:
             for part in by_bytes(batch, "html"):
-                made = [x for r in part.to_pylist() for x in records_of(r["page_id"], r["url"], r["digest"], r["nth"], r["target"], r["html"].encode())]
+                made = [x for r in part.to_pylist() for x in records_of(r["page_id"], r["url"], r["digest"], r["uid"], r["top"], r["html"].encode())]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
 
-    out = dealt.select("page_id", "url", "html", "digest", "nth", "target").mapInArrow(records, "value string")
+    out = dealt.mapInArrow(records, "value string")
     out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
