@@ -21,13 +21,13 @@ from epistride.llm.vectors import matrix, usable, width_of
 
 #: Pivots at most (a bounded sample of the vectors), vectors of a page on average, entries of a leaf and children of a node.
 PIVOTS = 64
-PAGE = 2048
-LEAF = 96
-FAN = 12
+PAGE = 8192
+LEAF = 512
+FAN = 32
 #: Queries that one task answers in one page.
 QUERIES = 512
-#: Integers stay below this, so that sums of products are exact.
-LIMIT = 1 << 26
+#: Integers stay below this, so that sums of products are exact, in doubles too.
+LIMIT = 1 << 23
 #: Slack of distances against rounding, relative to the largest.
 SLACK = 1e-9
 
@@ -36,15 +36,23 @@ class Tree:
     """An M-tree over integer vectors with their lifted component."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float):
-        self.ids, self.vectors, self.top = ids, vectors, top
-        self.lift = np.sqrt(np.maximum(top - (vectors.astype(np.float64) ** 2).sum(axis=1), 0))
-        self.points = np.column_stack([vectors.astype(np.float64), self.lift])
+        self.ids, self.vectors, self.top = ids, vectors.astype(np.float64), top
+        self.points = lifted(self.vectors, top)
         #: Per node: entries (rows of a leaf, or children), their distance to the node's pivot, radii of children, whether a leaf.
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
         self.pivots: list[np.ndarray] = []
         self.root, self.radius = -1, 0.0
         if len(ids):
             self.root, _, self.radius = self._build(np.arange(len(ids)), self.points.mean(axis=0))
+            # The rows of a leaf lie next to each other, by their distance to its pivot.
+            leaves = [k for k, (_, _, radii) in enumerate(self.nodes) if radii is None]
+            order = np.concatenate([self.nodes[k][0] for k in leaves])
+            begin = 0
+            for k in leaves:
+                rows, at, _ = self.nodes[k]
+                self.nodes[k] = (np.arange(begin, begin + len(rows)), at, None)
+                begin += len(rows)
+            self.ids, self.vectors, self.points = self.ids[order], self.vectors[order], self.points[order]
 
     def _distances(self, rows: np.ndarray, pivot: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[rows] - pivot) ** 2).sum(axis=1))
@@ -55,11 +63,13 @@ class Tree:
             order = np.argsort(d)
             self.nodes.append((rows[order], d[order], None))
         else:
-            chosen = self.points[rows[np.linspace(0, len(rows) - 1, FAN).astype(int)]]
-            near = ((self.points[rows][:, None, :] - chosen[None]) ** 2).sum(axis=2).argmin(axis=1)
-            if np.bincount(near, minlength=FAN).max() > 0.9 * len(rows):  # copies: any split will do
-                near = np.arange(len(rows)) % FAN
-            parts = [rows[near == k] for k in range(FAN)]
+            fan = max(2, min(FAN, -(-3 * len(rows) // (2 * LEAF))))
+            chosen = self.points[rows[np.linspace(0, len(rows) - 1, fan).astype(int)]]
+            own = self.points[rows]
+            near = ((own**2).sum(axis=1)[:, None] + (chosen**2).sum(axis=1)[None] - 2 * own @ chosen.T).argmin(axis=1)
+            if np.bincount(near, minlength=fan).max() > 0.9 * len(rows):  # copies: any split will do
+                near = np.arange(len(rows)) % fan
+            parts = [rows[near == k] for k in range(fan)]
             made = [self._build(p, self.points[p].mean(axis=0)) for p in parts if len(p)]
             at = np.array([np.sqrt(((c - pivot) ** 2).sum()) for _, c, _ in made])
             self.nodes.append((np.array([n for n, _, _ in made]), at, np.array([r for _, _, r in made])))
@@ -71,7 +81,8 @@ class Tree:
         if self.root < 0:
             return best
         heapq.heapify(best)
-        q = np.append(query.astype(np.float64), 0.0)
+        whole = query.astype(np.float64)
+        q = np.append(whole, 0.0)
         base = float((q**2).sum()) + self.top
         slack = SLACK * (1 + base**0.5)
 
@@ -88,8 +99,8 @@ class Tree:
             entries, at, radii = self.nodes[node]
             if radii is None:
                 lo, hi = np.searchsorted(at, (d - limit, d + limit)) if limit < np.inf else (0, len(at))
-                rows = entries[lo : min(hi + 1, len(at))]
-                scores = self.vectors[rows] @ query
+                rows = slice(int(entries[0]) + int(lo), int(entries[0]) + min(int(hi) + 1, len(at)))
+                scores = self.vectors[rows] @ whole
                 ids = self.ids[rows]
                 if len(best) >= k:
                     some = np.flatnonzero((scores >= best[0][0]) & (ids != own))
@@ -122,7 +133,7 @@ class Tree:
         sizes = np.array([len(e) for e, _, _ in self.nodes])
         radii = [r if r is not None else np.full(len(e), -1.0) for e, _, r in self.nodes]
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-        np.savez_compressed(out, ids=self.ids, vectors=self.vectors, lift=self.lift, sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top]))
+        np.savez_compressed(out, ids=self.ids, vectors=self.vectors.astype(np.int32), sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top]))
         return out.getvalue()
 
     @classmethod
@@ -131,7 +142,7 @@ class Tree:
 
         f = np.load(io.BytesIO(data))
         self = cls.__new__(cls)
-        self.ids, self.vectors, self.lift = f["ids"], f["vectors"].astype(np.int64), f["lift"]
+        self.ids, self.vectors = f["ids"], f["vectors"].astype(np.float64)
         self.root, self.radius, self.top = int(f["head"][0]), float(f["head"][1]), float(f["head"][2])
         ends = np.cumsum(f["sizes"])
         entries, at, radii, self.pivots = f["entries"], f["at"], f["radii"], list(f["pivots"])
@@ -186,8 +197,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
     per_pivot = F.element_at(F.create_map(*[F.lit(x) for kv in pages.items() for x in kv]), F.col("pivot"))
 
     def build(table: pa.Table) -> pa.Table:
-        v = matrix(table.column("v"), width).astype(np.int32)
-        tree = Tree(table.column("id").to_numpy(), v, top)
+        tree = Tree(table.column("id").to_numpy(), matrix(table.column("v"), width), top)
         pivot = table.column("pivot")[0].as_py()
         reach = float(np.sqrt(((tree.points - near[pivot]) ** 2).sum(axis=1)).max())
         return pa.table({"pivot": pa.array([pivot], pa.int32()), "part": table.column("part").combine_chunks()[:1].cast(pa.int64()), "reach": [reach], "tree": pa.array([tree.dump()], pa.binary())})
@@ -202,7 +212,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
         out = []
         if trees.num_rows and asks.num_rows:
             tree = Tree.load(trees.column("tree")[0].as_py())
-            qs = matrix(asks.column("v"), width).astype(np.int64)
+            qs = matrix(asks.column("v"), width)
             for q, own, worst in zip(qs, asks.column("id").to_pylist(), asks.column("worst").to_pylist(), strict=True):
                 best = [(worst - 1, 0)] * k if worst is not None else []
                 out += [(own, -i, s) for s, i in tree.search(q, own, k, best) if worst is None or s >= worst]

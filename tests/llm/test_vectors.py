@@ -52,9 +52,10 @@ def test_few_candidates_and_empty(spark):
     assert multiindex.link_vectors(data.limit(0)).count() == 0
 
 
-def test_bounds_spare_distances():
+def test_bounds_spare_distances(monkeypatch):
     rng = np.random.default_rng(0)
     centres = rng.integers(-900, 900, (20, 8))
+    monkeypatch.setattr(mtree, "LEAF", 96)
     x = np.concatenate([c + rng.integers(-15, 15, (200, 8)) for c in centres]).astype(np.int64)
     tree = mtree.Tree(np.arange(len(x)), x, float((x**2).sum(axis=1).max()))
     seen = []
@@ -62,10 +63,10 @@ def test_bounds_spare_distances():
     class Counted(np.ndarray):
         def __getitem__(self, rows):
             out = super().__getitem__(rows)
-            seen.append(np.size(rows))
+            seen.append(len(out))
             return out.view(np.ndarray)
 
-    tree.vectors = x.view(Counted)
+    tree.vectors = tree.vectors.view(Counted)
     found = sorted(tree.search(x[7], 7, 5, []), reverse=True)
     scores = x @ x[7]
     scores[7] = -(10**9)
