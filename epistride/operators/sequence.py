@@ -9,38 +9,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EPISODE = Window.partitionBy("episode_key")
-ORDERED = EPISODE.orderBy("step_id")
-SO_FAR = ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-WHOLE = EPISODE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def by_episode():
+    return Window.partitionBy("episode_key")
+
+
+def in_order():
+    return by_episode().orderBy("step_id")
+
+
+def so_far():
+    return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def whole():
+    return by_episode().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def previous(x: str | Column, n: int = 1) -> Column:
     """The value n rows before; missing values stay missing and are not carried on."""
-    return F.lag(x, n).over(ORDERED)
+    return F.lag(x, n).over(in_order())
 
 
 def difference(x: Column) -> Column:
-    return x - F.lag(x).over(ORDERED)
+    return x - F.lag(x).over(in_order())
 
 
 def gap_aware_drift(x: Column) -> Column:
     """Absolute change from the previous row, only where the step follows the previous one directly."""
-    return F.when(F.col("step_id") - F.lag("step_id").over(ORDERED) == 1, F.abs(difference(x)))
+    return F.when(F.col("step_id") - F.lag("step_id").over(in_order()) == 1, F.abs(difference(x)))
 
 
 def rolling_mean(x: Column, rows: int = 3, least: int = 1) -> Column:
     """Mean over the last rows, nulls left out; null with fewer than ``least`` values."""
-    frame = ORDERED.rowsBetween(1 - rows, 0)
+    frame = in_order().rowsBetween(1 - rows, 0)
     return F.when(F.count(x).over(frame) >= least, F.avg(x).over(frame))
 
 
 def twice_in_a_row(flag: Column) -> Column:
-    return F.coalesce(flag & F.lag(flag).over(ORDERED), F.lit(False))
+    return F.coalesce(flag & F.lag(flag).over(in_order()), F.lit(False))
 
 
 def best_so_far(x: Column) -> Column:
-    return F.max(x).over(SO_FAR)
+    return F.max(x).over(so_far())
 
 
 def plateau_onset(steps: DataFrame, progress: str = "p", window: int = 10, eps: float = 0.02, min_start: int = 20) -> DataFrame:
@@ -51,12 +62,12 @@ def plateau_onset(steps: DataFrame, progress: str = "p", window: int = 10, eps:
     """
     frame = steps.select(
         "episode_key", progress,
-        (F.row_number().over(ORDERED) - 1).cast("long").alias("pos"),
+        (F.row_number().over(in_order()) - 1).cast("long").alias("pos"),
         best_so_far(F.col(progress)).alias("best"),
-        F.max(progress).over(ORDERED.rowsBetween(window, Window.unboundedFollowing)).alias("later"),
+        F.max(progress).over(in_order().rowsBetween(window, Window.unboundedFollowing)).alias("later"),
         F.col("step_id"),
     )
-    frame = frame.withColumn("ahead", F.lead("best", window).over(ORDERED))
+    frame = frame.withColumn("ahead", F.lead("best", window).over(in_order()))
     still = (F.col("pos") >= min_start) & (F.col("ahead") - F.col("best") < eps) & (F.col("later") - F.col("best") < 2 * eps)
     return frame.groupBy("episode_key").agg(F.count(F.lit(1)).alias("num_steps"), F.max(progress).alias("max_progress"), F.min(F.when(still, F.col("pos"))).alias("onset"))
 
@@ -64,7 +75,7 @@ def plateau_onset(steps: DataFrame, progress: str = "p", window: int = 10, eps:
 def running_streak(steps: DataFrame, flag: Column, name: str = "streak") -> DataFrame:
     """Adds the number of consecutive rows up to this one on which ``flag`` holds."""
     held = steps.withColumn("_held", F.coalesce(flag, F.lit(False)))
-    held = held.withColumn("_island", F.sum((~F.col("_held")).cast("int")).over(SO_FAR))
+    held = held.withColumn("_island", F.sum((~F.col("_held")).cast("int")).over(so_far()))
     island = Window.partitionBy("episode_key", "_island").orderBy("step_id")
     streak = F.sum(F.col("_held").cast("long")).over(island.rowsBetween(Window.unboundedPreceding, 0))
     return held.withColumn(name, F.when(F.col("_held"), streak).otherwise(F.lit(0)).cast("long")).drop("_held", "_island")
@@ -76,29 +87,29 @@ def longest_run(steps: DataFrame, flag: Column) -> DataFrame:
 
 def first_run(steps: DataFrame, flag: Column, k: int) -> DataFrame:
     """The first step of the first run of at least k rows; null if there is none."""
-    runs = running_streak(steps.withColumn("_pos", F.row_number().over(ORDERED) - 1), flag)
+    runs = running_streak(steps.withColumn("_pos", F.row_number().over(in_order()) - 1), flag)
     return runs.groupBy("episode_key").agg(F.min(F.when(F.col("streak") >= k, F.col("_pos") - k + 1)).cast("long").alias("first_run"))
 
 
 def changes(x: Column) -> Column:
     """1 where the value differs from the previous row's, 0 on the first row."""
-    return F.coalesce((x != F.lag(x).over(ORDERED)).cast("int"), F.lit(0))
+    return F.coalesce((x != F.lag(x).over(in_order())).cast("int"), F.lit(0))
 
 
 def cumulative_fraction(flag: Column) -> Column:
-    return F.sum(flag.cast("int")).over(SO_FAR) / F.row_number().over(ORDERED)
+    return F.sum(flag.cast("int")).over(so_far()) / F.row_number().over(in_order())
 
 
 def since_first(flag: Column) -> Column:
     """Steps since the first on which ``flag`` holds; null before it."""
-    first = F.min(F.when(flag, F.col("step_id"))).over(WHOLE)
+    first = F.min(F.when(flag, F.col("step_id"))).over(whole())
     return F.when(F.col("step_id") >= first, F.col("step_id") - first)
 
 
 def turning_rate(steps: DataFrame, x: str) -> DataFrame:
     """Share of sign changes between successive differences that aren't zero; 0 with fewer than two of them."""
     moves = steps.withColumn("_d", difference(F.col(x))).where("_d <> 0")
-    turned = moves.withColumn("_t", (F.signum("_d") != F.lag(F.signum("_d")).over(ORDERED)).cast("int"))
+    turned = moves.withColumn("_t", (F.signum("_d") != F.lag(F.signum("_d")).over(in_order())).cast("int"))
     rates = turned.groupBy("episode_key").agg(F.coalesce(F.avg("_t"), F.lit(0.0)).alias("turning_rate"))
     return steps.select("episode_key").distinct().join(rates, "episode_key", "left").select("episode_key", F.coalesce("turning_rate", F.lit(0.0)).alias("turning_rate"))
 
@@ -111,7 +122,7 @@ def total_variation(steps: DataFrame, x: str) -> DataFrame:
 
 def amplitude_turning(steps: DataFrame, x: str, eps: float) -> DataFrame:
     """Turns at rows where both neighbouring changes exceed eps: their rate among such rows (null if none) and among inner rows."""
-    before, after = F.col(x) - F.lag(x).over(ORDERED), F.lead(x).over(ORDERED) - F.col(x)
+    before, after = F.col(x) - F.lag(x).over(in_order()), F.lead(x).over(in_order()) - F.col(x)
     rows = steps.withColumn("_a", before).withColumn("_b", after)
     fit = (F.abs("_a") > eps) & (F.abs("_b") > eps)
     turn = fit & (F.signum("_a") != F.signum("_b"))

@@ -114,7 +114,7 @@ def time_since_first(spark, sf):
 
 @register("partition_totals", STEPS + "SELECT episode_key, step_id, count(*) FILTER (WHERE event_type = 'click') OVER e AS clicks, count(*) OVER e AS n, round(max(value) OVER e, 6) AS top FROM steps WINDOW e AS (PARTITION BY episode_key)")
 def partition_totals(spark, sf):
-    return steps(spark, sf).select("episode_key", "step_id", F.count_if(F.col("event_type") == "click").over(S.EPISODE).alias("clicks"), F.count(F.lit(1)).over(S.EPISODE).alias("n"), r6(F.max("value").over(S.EPISODE)).alias("top"))
+    return steps(spark, sf).select("episode_key", "step_id", F.count_if(F.col("event_type") == "click").over(S.by_episode()).alias("clicks"), F.count(F.lit(1)).over(S.by_episode()).alias("n"), r6(F.max("value").over(S.by_episode())).alias("top"))
 
 
 @register("turning_rate", STEPS + f", d AS (SELECT *, k - lag(k) OVER w AS d FROM steps {WINDOW_SQL}), t AS (SELECT *, CASE WHEN sign(d) <> lag(sign(d)) OVER w THEN 1.0 WHEN lag(sign(d)) OVER w IS NOT NULL THEN 0.0 END AS t FROM d WHERE d <> 0 {WINDOW_SQL}) SELECT s.episode_key, round(coalesce(avg(t), 0), 6) AS turning_rate FROM (SELECT DISTINCT episode_key FROM steps) s LEFT JOIN t USING (episode_key) GROUP BY s.episode_key")
@@ -195,7 +195,7 @@ def near_minus_pre(spark, sf):
 
 @register("time_bins", STEPS + ", f AS (SELECT *, least(floor(step_id / greatest(count(*) OVER (PARTITION BY episode_key) - 1, 1) * 20), 19) AS bin FROM steps), e AS (SELECT episode_key, task, bin, avg(value) AS m FROM f GROUP BY 1, 2, 3) SELECT task, CAST(bin AS BIGINT) AS bin, count(*) AS n_episodes, round(avg(m), 6) AS mean_value FROM e GROUP BY task, bin")
 def time_bins(spark, sf):
-    n = F.count(F.lit(1)).over(S.EPISODE)
+    n = F.count(F.lit(1)).over(S.by_episode())
     rows = steps(spark, sf).withColumn("bin", F.least(F.floor(F.col("step_id") / F.greatest(n - 1, F.lit(1)) * 20), F.lit(19)).cast("long"))
     each = rows.groupBy("episode_key", "task", "bin").agg(F.avg("value").alias("m"))
     return each.groupBy("task", "bin").agg(F.count(F.lit(1)).alias("n_episodes"), r6(F.avg("m")).alias("mean_value"))
@@ -225,5 +225,5 @@ def first_divergence(spark, sf):
     other = rows.select((F.col("episode_key") - 1).alias("episode_key"), "step_id", F.col("event_type").alias("other_type"), F.col("k").alias("other_k"))
     pairs = rows.where("episode_key % 2 = 0").join(other, ["episode_key", "step_id"])
     differs = ~F.col("event_type").eqNullSafe(F.col("other_type"))
-    pairs = pairs.withColumn("first_type", F.min(F.when(differs, F.col("step_id"))).over(S.EPISODE))
+    pairs = pairs.withColumn("first_type", F.min(F.when(differs, F.col("step_id"))).over(S.by_episode()))
     return pairs.groupBy("episode_key").agg(F.min("first_type").alias("first_type"), F.min(F.when(~F.col("k").eqNullSafe(F.col("other_k")), F.col("step_id"))).alias("first_k"), F.count_if(F.col("step_id") <= F.col("first_type")).alias("compared"))

@@ -10,7 +10,11 @@ from epistride.plans.catalog import register
 from epistride.plans.views import POINTS, read, vectors
 
 r6 = lambda c: F.round(c, 6)
-BY_LABEL = Window.partitionBy("label").orderBy("vec_id")
+
+def by_label():
+    return Window.partitionBy("label").orderBy("vec_id")
+
+
 TOKENS = "WITH tok AS (SELECT vec_id, label, i, CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 32) AS INTEGER) AS t FROM embeddings, range(64) r(i))"
 
 
@@ -26,7 +30,7 @@ def grid_boundary(spark, sf):
 
 @register("hamming_prev", TOKENS + ", q AS (SELECT vec_id, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings), h AS (SELECT a.vec_id, count(*) FILTER (WHERE a.t <> b.t) AS n FROM q JOIN tok a ON a.vec_id = q.vec_id JOIN tok b ON b.vec_id = q.prev AND a.i = b.i GROUP BY 1) SELECT q.vec_id, CAST(n AS INTEGER) AS hamming, round(n / 64.0, 6) AS change_ratio FROM q LEFT JOIN h USING (vec_id)")
 def hamming_prev(spark, sf):
-    d = A.hamming(F.col("tokens"), F.lag("tokens").over(BY_LABEL))
+    d = A.hamming(F.col("tokens"), F.lag("tokens").over(by_label()))
     return vectors(spark, sf).withColumn("hamming", d).select("vec_id", "hamming", r6(F.col("hamming") / F.size("tokens")).alias("change_ratio"))
 
 
@@ -56,7 +60,7 @@ def turn_angle(spark, sf):
 @register("direction_wrap", SEGMENTS + ", dr AS (SELECT l.vec_id, label, atan2(y1 - y0, x1 - x0) AS a FROM lc l JOIN embeddings e ON l.vec_id = e.vec_id), df AS (SELECT vec_id, a, a - lag(a) OVER (PARTITION BY label ORDER BY vec_id) + pi() AS d FROM dr) SELECT vec_id, round(a, 6) AS direction, round(d - 2 * pi() * floor(d / (2 * pi())) - pi(), 6) AS change FROM df")
 def direction_wrap(spark, sf):
     rows = vectors(spark, sf).withColumn("a", A.direction(F.col("trace")))
-    return rows.select("vec_id", r6("a").alias("direction"), r6(A.wrapped(F.col("a") - F.lag("a").over(BY_LABEL))).alias("change"))
+    return rows.select("vec_id", r6("a").alias("direction"), r6(A.wrapped(F.col("a") - F.lag("a").over(by_label()))).alias("change"))
 
 
 RESAMPLED = SEGMENTS + """, al AS (SELECT vec_id, i, x, y, dx, dy, coalesce(sum(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far, sqrt(dx * dx + dy * dy) AS d FROM seg),
@@ -78,7 +82,7 @@ SELECT pv.vec_id, round(sqrt(power(a.x1 - b.x1, 2) + power(a.y1 - b.y1, 2)), 6)
 FROM pv JOIN lc a ON a.vec_id = pv.vec_id LEFT JOIN lc b ON b.vec_id = pv.prev LEFT JOIN sd ON sd.vec_id = pv.vec_id""")
 def shape_drift(spark, sf):
     rows = vectors(spark, sf).withColumn("r", A.resample(F.col("trace"), 20))
-    rows = rows.withColumn("pt", F.lag("trace").over(BY_LABEL)).withColumn("pr", F.lag("r").over(BY_LABEL))
+    rows = rows.withColumn("pt", F.lag("trace").over(by_label())).withColumn("pr", F.lag("r").over(by_label()))
     t, p = F.col("trace"), F.col("pt")
     return rows.select("vec_id", r6(A.gap(A.last(t), A.last(p))).alias("endpoint"), r6(A.gap(A.first(t), A.first(p))).alias("startpoint"), r6(A.centroid_drift(t, p)).alias("centroid"), F.round(A.shape_drift(F.col("r"), F.col("pr")), 5).alias("shape"))
 
@@ -87,7 +91,7 @@ def shape_drift(spark, sf):
 def relplan(spark, sf):
     t = F.col("trace")
     rows = vectors(spark, sf).withColumn("plan", F.array(A.last(t)["x"] - A.first(t)["x"], A.last(t)["y"] - A.first(t)["y"]))
-    rows = rows.withColumn("before", F.lag("plan").over(BY_LABEL))
+    rows = rows.withColumn("before", F.lag("plan").over(by_label()))
     p, q = F.col("plan"), F.col("before")
     return rows.select("vec_id", r6(A.distance(p, q)).alias("drift"), F.round(F.when(A.norm(q) >= A.EPS, A.distance(p, q) / A.norm(q)), 5).alias("drift_norm"), r6(A.cosine(p, q)).alias("cos"))
 
@@ -100,7 +104,7 @@ ag AS (SELECT vec_id, sqrt(sum(v * v) FILTER (WHERE i < 3)) AS tn, sqrt(sum(v *
 
 @register("action_jumps", ACTIONS + "SELECT vec_id, round(tn, 6) AS translation_norm, round(rn, 6) AS rotation_norm, round(full_jump, 6) AS action_jump, round(tj, 6) AS translation_jump, round(rj, 6) AS rotation_jump, round(sqrt(tj * tj + rj * rj), 6) AS motion_jump, round(c, 6) AS cosine, CAST(c < 0 AS INTEGER) AS direction_flip, round(g, 6) AS gripper_change FROM ag")
 def action_jumps(spark, sf):
-    rows = vectors(spark, sf).withColumn("a", F.slice("v", 1, 7)).withColumn("b", F.lag("a").over(BY_LABEL))
+    rows = vectors(spark, sf).withColumn("a", F.slice("v", 1, 7)).withColumn("b", F.lag("a").over(by_label()))
     a, b = F.col("a"), F.col("b")
     jump = lambda part: A.distance(part(a), part(b))
     c = A.cosine(a, b)

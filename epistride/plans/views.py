@@ -24,10 +24,6 @@ WITH pts AS (
   FROM embeddings, range(32) t(i))
 """
 
-EPISODE = Window.partitionBy("episode_key")
-ORDERED = EPISODE.orderBy("step_id")
-SO_FAR = ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
