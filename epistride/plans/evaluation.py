@@ -20,7 +20,7 @@ def n_of():
     return F.count(F.lit(1))
 
 
-LABELS = STEPS + ONSETS + """, lab AS (SELECT s.*, o.onset, horizon, CAST(onset IS NULL OR step_id < onset AS INTEGER) AS valid, k / 100.0 AS score
+LABELS = STEPS + ONSETS + """, lab AS (SELECT s.*, o.onset, horizon, CAST(onset IS NULL OR step_id < onset AS INTEGER) AS valid, round(value / 1000, 6) AS score
   FROM steps s JOIN onsets o USING (episode_key), (VALUES (5), (10), (20)) h(horizon)),
 ol AS (SELECT *, CAST(valid = 1 AND onset IS NOT NULL AND step_id + horizon >= onset AS INTEGER) AS label FROM lab)
 """
@@ -28,7 +28,7 @@ ol AS (SELECT *, CAST(valid = 1 AND onset IS NOT NULL AND step_id + horizon >= o
 
 def labelled(spark, sf):
     """Steps with their labels by horizon, and a score that stands for a model's."""
-    return L.online_labels(with_onset(spark, sf)).withColumn("score", F.col("k") / 100.0).withColumn("success", F.col("onset").isNull())
+    return L.online_labels(with_onset(spark, sf)).withColumn("score", F.round(F.col("value") / 1000, 6)).withColumn("success", F.col("onset").isNull())
 
 
 @register("online_labels", LABELS + "SELECT CAST(horizon AS INTEGER) AS horizon, valid, label, count(*) AS n FROM ol GROUP BY horizon, valid, label")
@@ -36,9 +36,9 @@ def online_labels(spark, sf):
     return labelled(spark, sf).groupBy("horizon", "valid", "label").agg(n_of().alias("n"))
 
 
-@register("onset_validation", STEPS + ONSETS + "SELECT episode_key, onset, CASE WHEN episode_key % 2 = 0 THEN onset ELSE onset + 1 END AS manual, onset IS NOT DISTINCT FROM (CASE WHEN episode_key % 2 = 0 THEN onset ELSE onset + 1 END) AS onset_match FROM onsets WHERE episode_key % 3 = 0")
+@register("onset_validation", STEPS + ONSETS + "SELECT episode_key, onset, CASE WHEN episode_key % 2 = 0 THEN onset ELSE onset + 1 END AS manual, onset IS NOT DISTINCT FROM (CASE WHEN episode_key % 2 = 0 THEN onset ELSE onset + 1 END) AS onset_match FROM onsets")
 def onset_validation(spark, sf):
-    found = S.plateau_onset(steps(spark, sf)).where("episode_key % 3 = 0")
+    found = S.plateau_onset(steps(spark, sf))
     manual = F.when(F.col("episode_key") % 2 == 0, F.col("onset")).otherwise(F.col("onset") + 1)
     return found.select("episode_key", "onset", manual.alias("manual"), F.col("onset").eqNullSafe(manual).alias("onset_match"))
 

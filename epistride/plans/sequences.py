@@ -21,17 +21,17 @@ def lag_diff(spark, sf):
     return steps(spark, sf).select("episode_key", "step_id", r6(S.previous("value")).alias("prev_value"), r6(S.difference(F.col("value"))).alias("diff"))
 
 
-@register("gap_aware_drift", STEPS + f", g AS (SELECT * FROM steps WHERE k % 4 <> 0) SELECT episode_key, step_id, round(CASE WHEN step_id - lag(step_id) OVER w = 1 THEN abs(value - lag(value) OVER w) END, 6) AS drift FROM g {WINDOW_SQL}")
+@register("gap_aware_drift", STEPS + f", g AS (SELECT * FROM steps WHERE event_type <> 'view') SELECT episode_key, step_id, round(CASE WHEN step_id - lag(step_id) OVER w = 1 THEN abs(value - lag(value) OVER w) END, 6) AS drift FROM g {WINDOW_SQL}")
 def gap_aware_drift(spark, sf):
-    return steps(spark, sf).where("k % 4 <> 0").select("episode_key", "step_id", r6(S.gap_aware_drift(F.col("value"))).alias("drift"))
+    return steps(spark, sf).where("event_type <> 'view'").select("episode_key", "step_id", r6(S.gap_aware_drift(F.col("value"))).alias("drift"))
 
 
-_HOLED = ", h AS (SELECT *, CASE WHEN k % 3 <> 0 THEN value END AS v FROM steps)"
+_HOLED = ", h AS (SELECT *, CASE WHEN event_type <> 'click' THEN value END AS v FROM steps)"
 _THREE = "ROWS BETWEEN 2 PRECEDING AND CURRENT ROW"
 
 
 def _holed(spark, sf):
-    return steps(spark, sf).withColumn("v", F.when(F.col("k") % 3 != 0, F.col("value")))
+    return steps(spark, sf).withColumn("v", F.when(F.col("event_type") != "click", F.col("value")))
 
 
 @register("roll3_min1", STEPS + _HOLED + f" SELECT episode_key, step_id, round(avg(v) OVER (PARTITION BY episode_key ORDER BY step_id {_THREE}), 6) AS rollmean FROM h")
@@ -215,7 +215,7 @@ def first_crossing(spark, sf):
     return rows.groupBy("episode_key").agg(first(F.col("rel") < -10).alias("early"), first(F.col("rel").between(-10, -1)).alias("in_window"))
 
 
-_PAIRS = ", pr AS (SELECT a.episode_key, a.step_id, a.event_type AS ta, b.event_type AS tb, a.k AS ka, b.k AS kb FROM steps a JOIN steps b ON b.episode_key = a.episode_key + 1 AND b.step_id = a.step_id WHERE a.episode_key % 2 = 0) "
+_PAIRS = ", pr AS (SELECT a.episode_key, a.step_id, a.event_type AS ta, b.event_type AS tb, a.k AS ka, b.k AS kb FROM steps a JOIN steps b ON b.episode_key = a.episode_key + 1 AND b.step_id = a.step_id) "
 
 
 @register("first_divergence", STEPS + _PAIRS + ", fd AS (SELECT *, min(step_id) FILTER (WHERE ta IS DISTINCT FROM tb) OVER (PARTITION BY episode_key) AS first_type FROM pr) SELECT episode_key, min(first_type) AS first_type, min(step_id) FILTER (WHERE ka IS DISTINCT FROM kb) AS first_k, count(*) FILTER (WHERE step_id <= first_type) AS compared FROM fd GROUP BY episode_key")
@@ -223,7 +223,7 @@ def first_divergence(spark, sf):
     """Two runs step by step, up to the first step on which their types differ."""
     rows = steps(spark, sf).select("episode_key", "step_id", "event_type", "k")
     other = rows.select((F.col("episode_key") - 1).alias("episode_key"), "step_id", F.col("event_type").alias("other_type"), F.col("k").alias("other_k"))
-    pairs = rows.where("episode_key % 2 = 0").join(other, ["episode_key", "step_id"])
+    pairs = rows.join(other, ["episode_key", "step_id"])
     differs = ~F.col("event_type").eqNullSafe(F.col("other_type"))
     pairs = pairs.withColumn("first_type", F.min(F.when(differs, F.col("step_id"))).over(S.by_episode()))
     return pairs.groupBy("episode_key").agg(F.min("first_type").alias("first_type"), F.min(F.when(~F.col("k").eqNullSafe(F.col("other_k")), F.col("step_id"))).alias("first_k"), F.count_if(F.col("step_id") <= F.col("first_type")).alias("compared"))
