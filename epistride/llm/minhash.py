@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_column: str = "doc_
     rows = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
     profiles = write_table(rows.mapInArrow(_profile(near), "id long, n_shingles long, s1 long, s2 long, bands array<long>"), "profiles")
     full = profiles.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
+    # Written, so that later joins deal rows out by their own keys and a class of many copies can be split.
+    classes = write_table(full.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = full.select("id", "s1", "s2", "n_shingles", "bands").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id"])
     banded = write_table(reps.select("id", "n_shingles", F.explode("bands").alias("band")), "bands")
 
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_column: str = "doc_
         labels = components(links.union(more))
 
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = profiles.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    out = profiles.select("id", "n_shingles", "s1", "s2").join(write_table(named, "named"), ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
 

@@ -163,8 +163,9 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     v = F.col(vector_column)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), fits.alias("fits"), F.xxhash64(v).alias("h1"), F.xxhash64(v, F.lit(1)).alias("h2"))
     live = rows.where("fits")
-    classes = live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = write_table(live.join(classes, [live.h1 == classes.h1, live.h2 == classes.h2, live.id == classes.rep]).select("id", "n", "v").dropDuplicates(["id"]), "classes")
+    # Written, so that later joins deal rows out by their own keys and a class of many copies can be split.
+    classes = write_table(live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    reps = write_table(live.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"]).select("id", "n", "v").dropDuplicates(["id"]), "vectors")
     width, count = width_of(reps, "v"), reps.count()
     if count:
         sample = reps.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).select("v").toArrow()  # at most SAMPLE rows
@@ -178,7 +179,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     else:
         named = classes.withColumn("links", F.lit(0)).withColumn("component", F.col("rep"))
     named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("id", "fits", "h1", "h2").join(named, ["h1", "h2"], "left")
+    out = rows.select("id", "fits", "h1", "h2").join(write_table(named, "named"), ["h1", "h2"], "left")
     links = F.when(F.col("fits"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
     out = out.select(F.col("id").alias(id_column), links, F.when(F.col("fits"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
