@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,13 +26,14 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+@functools.cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='epistride-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='epistride-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
