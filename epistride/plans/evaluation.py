@@ -104,8 +104,8 @@ u AS (SELECT lang, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y)
 h AS (SELECT lang, s, count(*) FILTER (WHERE y) AS pos, count(*) AS n FROM x GROUP BY 1, 2),
 c AS (SELECT *, sum(pos) OVER (PARTITION BY lang ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY lang ORDER BY s DESC) AS k FROM h),
 a AS (SELECT lang, sum(pos * tp / k) / sum(pos) AS ap, sum(CAST(n AS DOUBLE) * (n * n - 1)) AS ties FROM c GROUP BY 1)
-SELECT lang, p AS n_pos, q AS n_neg, round((rs - p * (p + 1) / 2.0) / (p * q), 6) AS auroc, round(ap, 6) AS average_precision, CAST(rs - p * (p + 1) / 2.0 AS DOUBLE) AS u,
-  round(greatest(abs(rs - p * (p + 1) / 2.0 - p * q / 2.0) - 0.5, 0) / sqrt(p * q / 12.0 * ((p + q + 1) - ties / ((p + q) * (p + q - 1.0)))), 5) AS z FROM u JOIN a USING (lang)""")
+SELECT lang, p AS n_pos, q AS n_neg, CASE WHEN p * q > 0 THEN round((rs - p * (p + 1) / 2.0) / (p * q), 6) END AS auroc, round(ap, 6) AS average_precision, CASE WHEN p * q > 0 THEN CAST(rs - p * (p + 1) / 2.0 AS DOUBLE) END AS u,
+  CASE WHEN p * q > 0 THEN round(greatest(abs(rs - p * (p + 1) / 2.0 - p * q / 2.0) - 0.5, 0) / sqrt(p * q / 12.0 * ((p + q + 1) - ties / ((p + q) * (p + q - 1.0)))), 5) END AS z FROM u JOIN a USING (lang)""")
 def rank_metrics(spark, sf):
     rows = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id").select("lang", "n_chars", (F.col("quality") == 1).alias("y"))
     out = T.rank_metrics(rows, "n_chars", F.col("y"), ["lang"])
