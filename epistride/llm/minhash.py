@@ -171,12 +171,14 @@ def _verify(percent: int):
         for i, x in enumerate(label.tolist()):
             forest.join(i, by_label.setdefault(x, i))
         made = []
-        shared = intersections([sets[i] for i in one], [sets[i] for i in two]).astype(np.int64)
-        union = sizes[one][:, None] + sizes[two][None, :] - shared
-        for i, j in zip(*np.nonzero(100 * shared >= percent * union), strict=True):
-            x, y = int(one[i]), int(two[j])
-            if x != y and forest.join(x, y):
-                made.append((ids[x], ids[y]))
+        shared = intersections([sets[i] for i in one], [sets[i] for i in two])
+        for begin in range(0, len(one), 256):  # a few rows at a time, so that a block of copies stays small in memory
+            some = one[begin : begin + 256]
+            linked = (100 + percent) * shared[begin : begin + 256].astype(np.int64) >= percent * (sizes[some][:, None] + sizes[two][None, :])
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                x, y = int(some[i]), int(two[j])
+                if x != y and forest.join(x, y):
+                    made.append((ids[x], ids[y]))
         pairs = np.array(made, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
