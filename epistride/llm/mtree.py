@@ -26,14 +26,24 @@ LEAF = 512
 FAN = 32
 #: Queries that one task answers in one page.
 QUERIES = 512
-#: Integers stay below this, so that sums of products are exact, in doubles too.
-LIMIT = 1 << 23
-#: Slack of distances against rounding, relative to the largest.
-SLACK = 1e-9
+#: Sums of products whose terms add up to less than this in size are exact in doubles.
+EXACT = 1 << 52
+#: Integers from here on don't fit a long.
+BEYOND = float(1 << 63)
+
+
+def rounding(width: int) -> float:
+    """Error of a double product of ``width`` components, relative to the product of both lengths."""
+    return 2 * width * float(np.finfo(np.float64).eps)
+
+
+def slack_of(width: int, square: float) -> float:
+    """Slack of distances against rounding: squared ones are off by a share of the largest squared length."""
+    return (16 * rounding(width + 1)) ** 0.5 * (1 + square**0.5)
 
 
 class Tree:
-    """An M-tree over integer vectors with their lifted component."""
+    """An M-tree over integer vectors with their lifted component. Integers are held as doubles, which each is exactly."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float):
         self.ids, self.vectors, self.top = ids, vectors.astype(np.float64), top
@@ -53,6 +63,7 @@ class Tree:
                 self.nodes[k] = (np.arange(begin, begin + len(rows)), at, None)
                 begin += len(rows)
             self.ids, self.vectors, self.points = self.ids[order], self.vectors[order], self.points[order]
+        self.lengths = np.sqrt((self.vectors**2).sum(axis=1))
 
     def _distances(self, rows: np.ndarray, pivot: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[rows] - pivot) ** 2).sum(axis=1))
@@ -83,8 +94,9 @@ class Tree:
         heapq.heapify(best)
         whole = query.astype(np.float64)
         q = np.append(whole, 0.0)
-        base = float((q**2).sum()) + self.top
-        slack = SLACK * (1 + base**0.5)
+        length = float(np.sqrt((whole**2).sum()))
+        base = length**2 + self.top
+        slack = slack_of(len(whole), base)
 
         def reach() -> float:
             return np.sqrt(max(base - 2 * best[0][0], 0)) + slack if len(best) >= k else np.inf
@@ -102,14 +114,20 @@ class Tree:
                 rows = slice(int(entries[0]) + int(lo), int(entries[0]) + min(int(hi) + 1, len(at)))
                 scores = self.vectors[rows] @ whole
                 ids = self.ids[rows]
+                sizes = self.lengths[rows] * length
+                error = np.where(sizes < EXACT, 0.0, sizes * rounding(len(whole)))
                 if len(best) >= k:
-                    some = np.flatnonzero((scores >= best[0][0]) & (ids != own))
+                    some = np.flatnonzero((scores + error >= float(best[0][0])) & (ids != own))
                 else:
                     some = np.flatnonzero(ids != own)
-                if len(some) > k:
-                    some = some[np.lexsort((ids[some], -scores[some]))[:k]]
-                for j in some.tolist():
-                    found = (int(scores[j]), -int(ids[j]))
+                if error[some].any():
+                    exact = exact_scores(self.vectors[int(rows.start) + some], whole, sizes[some])
+                    offers = heapq.nlargest(k, zip(exact, (-ids[some]).tolist(), strict=True))
+                else:
+                    if len(some) > k:
+                        some = some[np.lexsort((ids[some], -scores[some]))[:k]]
+                    offers = [(int(scores[j]), -int(ids[j])) for j in some.tolist()]
+                for found in offers:
                     if len(best) < k:
                         heapq.heappush(best, found)
                     elif found > best[0]:
@@ -133,7 +151,7 @@ class Tree:
         sizes = np.array([len(e) for e, _, _ in self.nodes])
         radii = [r if r is not None else np.full(len(e), -1.0) for e, _, r in self.nodes]
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-        np.savez_compressed(out, ids=self.ids, vectors=self.vectors.astype(np.int32), sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top]))
+        np.savez_compressed(out, ids=self.ids, vectors=self.vectors.astype(np.int32 if fits_int(self.top) else np.int64), sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top]))
         return out.getvalue()
 
     @classmethod
@@ -143,6 +161,7 @@ class Tree:
         f = np.load(io.BytesIO(data))
         self = cls.__new__(cls)
         self.ids, self.vectors = f["ids"], f["vectors"].astype(np.float64)
+        self.lengths = np.sqrt((self.vectors**2).sum(axis=1))
         self.root, self.radius, self.top = int(f["head"][0]), float(f["head"][1]), float(f["head"][2])
         ends = np.cumsum(f["sizes"])
         entries, at, radii, self.pivots = f["entries"], f["at"], f["radii"], list(f["pivots"])
@@ -153,26 +172,43 @@ class Tree:
         return self
 
 
+def exact_scores(vectors: np.ndarray, query: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """Inner products of integers held as doubles; ``sizes`` bounds the sums of their terms' sizes, by which longs do or Python integers."""
+    out = np.empty(len(vectors), object)
+    small = sizes < (1 << 62)
+    out[small] = (vectors[small].astype(np.int64) @ query.astype(np.int64)).tolist()
+    whole = [int(x) for x in query.tolist()]
+    out[~small] = [sum(int(x) * y for x, y in zip(v, whole, strict=True)) for v in vectors[~small].tolist()]
+    return out.tolist()
+
+
+def fits_int(top: float) -> bool:
+    """Whether all components fit 32 bits, by the largest squared length."""
+    return top < 1 << 62
+
+
 def integers(vector: str, scale: int = 1024):
     """floor(scale * x) of each component."""
-    return F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    return F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
-def _within(vector: str, scale: int):
-    return ~F.exists(F.col(vector), lambda x: F.abs(x.cast("double")) * scale >= LIMIT)
+def _has_integers(vector: str, scale: int):
+    """No component beyond a long, where floor(scale * x) has no value."""
+    return ~F.exists(F.col(vector), lambda x: F.abs(x.cast("double") * scale) >= BEYOND)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k largest integer inner products of each query row with all other rows.
 
-    Ties go to the smaller id. Vectors that are null or empty, or hold null or non-finite components or such beyond
-    LIMIT / scale, take no part; shorter vectors count as filled up with zeros; a query's own id is no candidate; rows that
+    Ties go to the smaller id. Vectors that are null or empty, or hold null or non-finite components, or such whose
+    integer doesn't fit a long, take no part; all others do, with exact scores. A score among the largest that doesn't fit
+    a long is an error, as it is in SQL. Shorter vectors count as filled up with zeros; a query's own id is no candidate; rows that
     repeat a query's id and vector ask once, and as candidates count each; null ids take no part; an empty table gives an
     empty result.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.where(usable(vector_column)).where(_within(vector_column, scale)).where(F.col(id_column).isNotNull())
+    rows = vectors.where(usable(vector_column)).where(_has_integers(vector_column, scale)).where(F.col(id_column).isNotNull())
     rows = rows.select(F.col(id_column).cast("long").alias("id"), integers(vector_column, scale).alias("v"), is_query.alias("asks"))
     rows = write_table(rows, "integers")
     width = width_of(rows, "v")
@@ -181,6 +217,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top, n, asked = rows.agg(F.max(square), F.count(F.lit(1)), F.count_if("asks")).first()
+    kind = "array<int>" if fits_int(top) else "array<long>"
+    rows = rows.withColumn("v", F.col("v").cast(kind))
     sample = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(PIVOTS).toArrow()  # at most PIVOTS rows
     near = lifted(matrix(sample.column("v"), width), top)
     near = near[np.unique(near, axis=0, return_index=True)[1]][: max(1, min(PIVOTS, n // PAGE + 1))]
@@ -192,7 +230,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
             p = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "asks")), pa.array(p.astype(np.int32))], ["id", "v", "asks", "pivot"])
 
-    dealt = rows.mapInArrow(nearest, "id long, v array<int>, asks boolean, pivot int")
+    dealt = rows.mapInArrow(nearest, f"id long, v {kind}, asks boolean, pivot int")
     pages = {r.pivot: -(-r.n // PAGE) for r in dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most PIVOTS rows
     per_pivot = F.element_at(F.create_map(*[F.lit(x) for kv in pages.items() for x in kv]), F.col("pivot"))
 
@@ -216,6 +254,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
             for q, own, worst in zip(qs, asks.column("id").to_pylist(), asks.column("worst").to_pylist(), strict=True):
                 best = [(worst - 1, 0)] * k if worst is not None else []
                 out += [(own, -i, s) for s, i in tree.search(q, own, k, best) if worst is None or s >= worst]
+        if any(abs(s) >= 1 << 63 for _, _, s in out):
+            raise OverflowError("a score among the largest doesn't fit a long")
         table = np.array(out, np.int64).reshape(-1, 3)
         return pa.table({"query_id": table[:, 0], "vec_id": table[:, 1], "score": table[:, 2]})
 
@@ -242,7 +282,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
             homes = list(zip(batch.column("pivot").to_pylist(), batch.column("part").to_pylist(), strict=True))
             at, pivots, parts = [], [], []
             for i, w in enumerate(worst):
-                far = np.inf if w is None else np.sqrt(max(base[i] + top - 2 * w, 0)) + SLACK * (1 + (base[i] + top) ** 0.5)
+                far = np.inf if w is None else np.sqrt(max(base[i] + top - 2 * w, 0)) + slack_of(width, base[i] + top)
                 for p, reach in reaches.items():
                     if d[i, p] - reach <= far:
                         for part in range(pages[p]):
@@ -254,7 +294,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
             yield pa.RecordBatch.from_arrays([*(chosen.column(c) for c in names[:4]), pa.array(pivots, pa.int32()), pa.array(parts, pa.int64())], names)
 
     known = home.drop("worst").join(kth, "id", "left").select("id", "v", "block", "worst", "pivot", "part")
-    rest = ask(known.mapInArrow(routes, "id long, v array<int>, block long, worst long, pivot int, part long"))
+    rest = ask(known.mapInArrow(routes, f"id long, v {kind}, block long, worst long, pivot int, part long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = first.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -45,6 +45,51 @@ def test_top_k(vectors, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(best(rows, 10))
 
 
+def every(rows, k):
+    """As ``best``, with all finite vectors."""
+    full = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    out = []
+    for q, v in full:
+        if q % 100 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in full if i != q)[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[8192.0, 9000.5], [65536.0, 3e5], [8192.0, 1e6, 3e5, 2e9], [1e4, 2e9, 2e12]])
+def test_large_components_take_part(spark, monkeypatch, sizes):
+    rng = np.random.default_rng(6)
+    rows = rows_of(rng, 500, 20)
+    for n, size in enumerate(sizes):
+        for m in range(3):
+            v = [float(np.float32(x)) for x in rng.normal(size=24)]
+            v[m] = size * (-1) ** m
+            if size > 1e9:
+                # Far apart from the others' large components, so that scores fit a long.
+                v = [0.0] * 24
+                v[5 + n] = size if m == 0 else 0.25
+            rows.append((2000 + 100 * (3 * n + m), v))
+            rows.append((7000 + 10 * (3 * n + m) + 1, v[:6] + [x / 3 for x in v[6:]] if size < 1e9 else [0.5] * 24))
+    for name, value in (("PAGE", 150), ("LEAF", 16), ("QUERIES", 3)):
+        monkeypatch.setattr(mtree, name, value)
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = mtree.top_k(data, F.col("vec_id") % 100 == 0, 10).collect()
+    assert sorted(map(tuple, got)) == sorted(every(rows, 10))
+
+
+@pytest.mark.parametrize("size", [2**20, 2**26, 2**29, 2**40])
+def test_scores_are_exact_beyond_doubles(monkeypatch, size):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(mtree, "LEAF", 16)
+    base = rng.integers(-size, size, (6, 16))
+    x = np.concatenate([base[i % 6 : i % 6 + 1] + rng.integers(-1, 2, (1, 16)) for i in range(300)])
+    x = np.concatenate([x, rng.integers(-500, 500, (100, 16))])
+    tree = mtree.Tree.load(mtree.Tree(np.arange(400), x, float((x.astype(float) ** 2).sum(axis=1).max())).dump())
+    for q in (0, 7, 350):
+        want = sorted(((sum(int(a) * int(b) for a, b in zip(x[q], w, strict=True)), -i) for i, w in enumerate(x) if i != q), reverse=True)[:10]
+        assert sorted(tree.search(x[q], q, 10, []), reverse=True) == want
+
+
 def test_few_candidates_and_empty(spark):
     data = spark.createDataFrame([(0, [0.5]), (1, [0.25]), (2, [0.25])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, mtree.top_k(data, F.col("vec_id") % 100 == 0).collect())) == [(0, 1, 1, 512 * 256), (0, 2, 2, 512 * 256)]
