@@ -73,7 +73,8 @@ def _blocks(batch: pa.RecordBatch):
 def _send(hashes, checks, docs, places, buckets: int, all_of_repeats: bool):
     """Rows for the buckets: each hash once, and beside it the places that this block alone already settles.
 
-    Places come ordered. ``all_of_repeats``: every place of a repeated hash is settled, else all but the first.
+    Places come ordered. ``all_of_repeats``: every place of a repeated hash is settled, else all that differ from the
+    first; a repeated row gives the first place again.
     """
     order = np.argsort(hashes, kind="stable")
     h, c = hashes[order], checks[order] if checks is not None else None
@@ -85,6 +86,11 @@ def _send(hashes, checks, docs, places, buckets: int, all_of_repeats: bool):
     settled = again.copy()
     if all_of_repeats:
         settled[:-1] |= again[1:]
+    elif again.any():
+        later = np.flatnonzero(again)
+        lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))[later]]
+        own = order[later]
+        settled[later] = (docs[own] != docs[lead]) | (places[own] != places[lead])
     sure = np.sort(order[settled])
     sent = np.sort(order[~again])
     bucket = (hashes[sent] % np.uint64(buckets)).astype(np.int64)

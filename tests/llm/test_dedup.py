@@ -56,6 +56,16 @@ def test_repeated_passages(name, batches, request):
     assert got == brute.substring_dedup(texts_of(docs), 20)
 
 
+def test_repeated_rows_of_one_block_keep_their_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    rows = [(3, one), (3, one), (4, f"{two} x {two}"), (4, f"{two} x {two}"), (5, f"y {one}"), (5, f"y {one}"), (6, "short"), (6, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs, 20).collect())
+    assert got == [(3, 30, 0)] * 2 + [(4, 61, 30)] * 2 + [(5, 31, 30)] * 2 + [(6, 1, 0)] * 2
+    left = sorted((r.doc_id, r.text) for r in substrings.without_repeats(docs, 20).collect())
+    assert left == [(3, one)] * 2 + [(4, f"{two} x")] * 2 + [(5, "y")] * 2 + [(6, "short")] * 2
+
+
 def test_kept_texts(spark):
     run = " ".join(f"p{i}" for i in range(25))
     docs = spark.createDataFrame([(1, f"x  {run}"), (2, f"y\n{run} z"), (3, "a\n b")], "doc_id long, text string")
