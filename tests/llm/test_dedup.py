@@ -38,6 +38,16 @@ def test_chains_and_unlinked_members_of_buckets(spark):
     assert got == brute.near_duplicates(dict(rows), 3, 85)
 
 
+def test_blocks_without_members(spark, monkeypatch):
+    """Groups of one or two sets are dealt over more parts than they fill."""
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", 20)
+    rng = np.random.default_rng(5)
+    rows = [(i, t) for i, t in enumerate(x for _ in range(25) for x in family(rng, 3, 14))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, Near(3, 85)).collect()}
+    assert got == brute.near_duplicates(dict(rows), 3, 85)
+
+
 def test_a_sketch_fills_every_coordinate_and_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
