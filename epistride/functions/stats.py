@@ -95,6 +95,28 @@ def bootstrap_difference(rows: DataFrame, x: str, group: str, draws: int, seed:
     return got.groupBy("draw").agg((mean(F.col(group)) - mean(~F.col(group))).alias("diff"))
 
 
+def cluster_bootstrap(rows: DataFrame, units: DataFrame, key: str, score: str, label: str, draws: int, seed: int = 7) -> DataFrame:
+    """draw, auroc and ap over resampled units (one row per ``key``), for each draw that holds both classes.
+
+    Draws give each unit a multiplicity, and histograms of scores are weighted by it. Tied scores count half in auroc and
+    are one threshold in ap; null scores are left out.
+    """
+    n = units.count()
+    placed = units.withColumn("i", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    picked = placed.select("i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("draw", draw(F.lit(n), seed, F.col("draw"), F.col("i")).alias("i"))
+    times = picked.groupBy("draw", "i").agg(F.count(F.lit(1)).alias("c")).join(placed, "i").select("draw", key, "c")
+    each = histogram(rows, score, F.col(label) == 1, [key])
+    h = each.join(times, key).groupBy("draw", "s").agg(F.sum(F.col("pos") * F.col("c")).alias("pos"), F.sum(F.col("neg") * F.col("c")).alias("neg"))
+    part = Window.partitionBy("draw")
+    below = part.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    to_here = part.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumns({"under": F.coalesce(F.sum("neg").over(below), F.lit(0)), "less": F.sum("pos").over(to_here), "all": F.sum(F.col("pos") + F.col("neg")).over(to_here), "p": F.sum("pos").over(part), "t": F.sum(F.col("pos") + F.col("neg")).over(part)})
+    pos, neg = F.col("pos"), F.col("neg")
+    tp, k = F.col("p") - F.col("less") + pos, F.col("t") - F.col("all") + pos + neg
+    out = h.where(pos + neg > 0).groupBy("draw").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(pos * (F.col("under") + neg / 2)).alias("u"), F.sum(pos * tp / k).alias("a"))
+    return out.where("p > 0 AND n > 0").select("draw", (F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"), (F.col("a") / F.col("p")).alias("ap"))
+
+
 def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
     """The adjusted Rand index of two labellings, from their contingency counts."""
     pairs = lambda n: n * (n - 1) / 2

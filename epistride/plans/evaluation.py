@@ -141,7 +141,9 @@ def threshold_margins(spark, sf):
     return episodes(spark, sf).groupBy("task").agg(r6(ok).alias("top_ok"), r6(bad).alias("low_fail"), r6(bad - ok).alias("margin"))
 
 
-DRAWS = 40
+#: Draws of the reference: of units, and of episodes.
+DRAWS = 2000
+CLUSTER_DRAWS = 1000
 BOOT = EPISODES + f""", ix AS (SELECT y, m_value, row_number() OVER (PARTITION BY y ORDER BY episode_key) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM ep),
 dr AS (SELECT y, b, CAST(('0x' || substr(md5(concat_ws('-', 42, b, i)), 1, 8)) AS BIGINT) % n AS j FROM ix, range(1, {DRAWS + 1}) r(b)),
 df AS (SELECT b, avg(m_value) FILTER (WHERE ix.y) - avg(m_value) FILTER (WHERE NOT ix.y) AS diff FROM dr JOIN ix ON ix.y = dr.y AND ix.i = dr.j GROUP BY b)
@@ -156,24 +158,21 @@ def bootstrap_ci(spark, sf):
     return d.agg(F.round(F.percentile("diff", 0.025), 5).alias("lo"), F.round(F.percentile("diff", 0.975), 5).alias("hi"), F.round(F.avg("diff"), 5).alias("mean"))
 
 
-@register("cluster_bootstrap", LABELS + """, un AS (SELECT episode_key, row_number() OVER (ORDER BY episode_key) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT episode_key FROM ol)),
-pk AS (SELECT b, CAST(('0x' || substr(md5(concat_ws('-', 7, b, i)), 1, 8)) AS BIGINT) % n AS j FROM un, range(1, 9) r(b)),
+@register("cluster_bootstrap", LABELS + f""", un AS (SELECT episode_key, row_number() OVER (ORDER BY episode_key) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT episode_key FROM ol)),
+pk AS (SELECT b, CAST(('0x' || substr(md5(concat_ws('-', 7, b, i)), 1, 8)) AS BIGINT) % n AS j FROM un, range(1, {CLUSTER_DRAWS + 1}) r(b)),
 ml AS (SELECT b, episode_key, count(*) AS c FROM pk JOIN un ON un.i = pk.j GROUP BY 1, 2),
-hs AS (SELECT b, score, sum(c) FILTER (WHERE label = 1) AS pos, sum(c) FILTER (WHERE label = 0) AS neg FROM ol JOIN ml USING (episode_key) WHERE horizon = 10 AND valid = 1 GROUP BY 1, 2),
-cu AS (SELECT b, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, coalesce(sum(coalesce(neg, 0)) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM hs)
-SELECT CAST(b AS INTEGER) AS draw, round(sum(pos * (under + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auroc FROM cu GROUP BY b""")
+hs AS (SELECT b, score, sum(c) FILTER (WHERE label = 1) AS pos, sum(c) FILTER (WHERE label = 0) AS neg FROM ol JOIN ml USING (episode_key) WHERE horizon = 10 AND valid = 1 AND score IS NOT NULL GROUP BY 1, 2),
+cu AS (SELECT b, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, coalesce(sum(coalesce(neg, 0)) OVER (PARTITION BY b ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under,
+  sum(coalesce(pos, 0)) OVER (PARTITION BY b ORDER BY score DESC) AS tp, sum(coalesce(pos, 0) + coalesce(neg, 0)) OVER (PARTITION BY b ORDER BY score DESC) AS k FROM hs),
+me AS (SELECT b, sum(pos * (under + neg / 2.0)) / (sum(pos) * sum(neg)) AS auroc, sum(pos * tp / k) / sum(pos) AS ap FROM cu GROUP BY b HAVING sum(pos) > 0 AND sum(neg) > 0)
+SELECT count(*) AS draws, round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS auroc_hi, round(quantile_cont(ap, 0.025), 6) AS ap_lo, round(quantile_cont(ap, 0.975), 6) AS ap_hi FROM me""")
 def cluster_bootstrap(spark, sf):
-    """AUROC over resampled episodes: draws give each episode a multiplicity, and histograms are weighted by it."""
-    rows = labelled(spark, sf)
-    keys = rows.select("episode_key").distinct()
-    n = keys.count()
-    units = keys.withColumn("i", (F.row_number().over(Window.orderBy("episode_key")) - 1).cast("long"))
-    picked = units.select("i", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("draw")).select("draw", T.draw(F.lit(n), 7, F.col("draw"), F.col("i")).alias("i"))
-    times = picked.groupBy("draw", "i").agg(n_of().alias("c")).join(units, "i").select("draw", "episode_key", "c")
-    h = rows.where("horizon = 10 AND valid = 1 AND score IS NOT NULL").join(times, "episode_key").groupBy("draw", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("c")).otherwise(0)).alias("neg"))
-    below = Window.partitionBy("draw").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    return h.groupBy("draw").agg(r6(F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    """95 % intervals of AUROC and average precision over resampled episodes, from the draws that hold both classes."""
+    rows = labelled(spark, sf).where("horizon = 10 AND valid = 1")
+    units = labelled(spark, sf).select("episode_key").distinct()
+    d = T.cluster_bootstrap(rows, units, "episode_key", "score", "label", CLUSTER_DRAWS)
+    ends = [r6(F.percentile(m, q)).alias(f"{m}_{n}") for m in ("auroc", "ap") for n, q in (("lo", 0.025), ("hi", 0.975))]
+    return d.agg(n_of().alias("draws"), *ends)
 
 
 @register("feature_scan", "WITH d AS (SELECT doc_id, label, vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x, label % 3 AS task, vec_id % 2 = 0 AS y FROM (SELECT vec_id AS doc_id, * FROM embeddings), range(64) r(i)), g AS (SELECT task, i, count(*) FILTER (WHERE y) AS n, count(*) FILTER (WHERE NOT y) AS m, avg(x) FILTER (WHERE y) - avg(x) FILTER (WHERE NOT y) AS e, var_samp(x) FILTER (WHERE y) AS va, var_samp(x) FILTER (WHERE NOT y) AS vb FROM d GROUP BY 1, 2), c AS (SELECT task, i, e / sqrt(((n - 1) * va + (m - 1) * vb) / (n + m - 2)) AS d FROM g) SELECT CAST(i AS INTEGER) AS feature, round(avg(abs(d)), 6) AS mean_abs_d, min(d) > 0 OR max(d) < 0 AS same_sign FROM c GROUP BY i HAVING count(d) = 3 ORDER BY avg(abs(d)) DESC, i LIMIT 25")
