@@ -206,10 +206,10 @@ def group_kfold(spark, sf):
 def oof_logistic(spark, sf):
     """Out-of-fold scores of every valid step at horizon 10."""
     rows = labelled(spark, sf).where("valid = 1 AND horizon = 10").select("episode_key", "step_id", "label", F.col("value").alias("feat_value"), F.col("k").cast("double").alias("feat_k"))
-    return M.grouped_oof(rows, ["feat_value", "feat_k"], "label", folds=3).select("episode_key", "step_id", "fold", "label", r6("score").alias("score"))
+    return M.grouped_oof(rows, ["feat_value", "feat_k"], "label", folds=5).select("episode_key", "step_id", "fold", "label", r6("score").alias("score"))
 
 
 @register("cluster_modes")
 def cluster_modes(spark, sf):
     """Two clusters of episodes, cluster 0 with the larger mean value."""
-    return M.clusters(episodes(spark, sf).select("episode_key", "m_value", "m_k"), ["m_value", "m_k"], 2, tries=3).select("episode_key", "cluster")
+    return M.clusters(episodes(spark, sf).select("episode_key", "m_value", "m_k"), ["m_value", "m_k"], 2, tries=100).select("episode_key", "cluster")

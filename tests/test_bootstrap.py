@@ -25,6 +25,13 @@ def test_registered_draws(spark):
     assert wide.draws == 1000 and wide.auroc_lo < wide.auroc_hi and wide.ap_lo < wide.ap_hi
 
 
+def test_registered_folds_and_starts(spark, monkeypatch):
+    tries, fit = [], evaluation.M.clusters
+    monkeypatch.setattr(evaluation.M, "clusters", lambda *a, tries=10, seen=tries: seen.append(tries) or fit(*a, tries=1))
+    assert evaluation.cluster_modes(spark, SF).count() > 0 and tries == [100]
+    assert {r.fold for r in evaluation.oof_logistic(spark, SF).select("fold").distinct().collect()} == set(range(5))
+
+
 def test_cluster_draws_skip_a_single_class(spark):
     episodes = {"a": [(0.5, 1), (0.2, 0)], "b": [(0.5, 0), (0.9, 0), (None, 1)], "c": [(0.1, 0)], "d": [(0.9, 0), (0.2, 0)]}
     rows = spark.createDataFrame([(k, s, y) for k, v in episodes.items() for s, y in v], "key string, score double, label int")
