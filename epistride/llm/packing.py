@@ -11,7 +11,6 @@ is gathered in a task.
 from __future__ import annotations
 
 import bisect
-import os
 import zlib
 
 import numpy as np
@@ -124,12 +123,14 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str | None
     path = vocabulary or default_vocabulary()
 
     def pieces(batches):
-        enc, block, seen = encoder(path), int.from_bytes(os.urandom(8), "little") >> 1, np.zeros(capacity + 1, np.int64)
+        from pyspark import TaskContext
+
+        enc, block, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in by_bytes(batch):
                 rows, ids_of, names = [], [], part.column("id")
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    ids = np.append(enc.ids(text), np.uint32(end_id)).astype("<u4")
+                for i, own in enumerate(enc.batch(part.column("text").to_pylist())):
+                    ids = np.append(own, np.uint32(end_id)).astype("<u4")
                     for k, (start, length) in enumerate(piece_bounds(len(ids), capacity)):
                         own = ids[start : start + length].tobytes()
                         rows.append((i, k, start, length, zlib.crc32(own), seen[length]))
@@ -161,7 +162,10 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, vocabulary: str | None
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id, n_tokens and ids (little-endian unsigned 32-bit), from pack_documents(with_ids=True)."""
+    """The packed sequences themselves: sequence_id, n_tokens and ids (little-endian unsigned 32-bit), from pack_documents(with_ids=True).
+
+    An empty table gives none; a sequence holds at most the capacity, so that each is gathered in bounded memory.
+    """
     joined = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     parts = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("parts"))
     return parts.select("sequence_id", "n_tokens", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))

@@ -31,6 +31,24 @@ def test_long_texts_are_split_where_tokens_cannot_reach(library):
     assert tokens.encoder(tokens.default_vocabulary()).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("unit", ["ab12cd3", "don't1we're2", "\u4e2d\u6587\u3002\u5b57", "x<|endoftext|>y9", "a'll'b,c'd;e|f", "a-b_c/d.e(f)g", "\uac00\uac01!\u30ab\uff0c1"])
+def test_unbroken_texts_are_split_too(unit, library):
+    pieces = list(tokens.safe_pieces(unit * 3000, 1000))
+    assert "".join(pieces) == unit * 3000 and len(pieces) > 4
+    ids = [y for x in pieces for y in library.encode(x, add_special_tokens=False).ids]
+    assert ids == library.encode(unit * 3000, add_special_tokens=False).ids
+
+
+def test_a_batch_gives_what_its_texts_give_one_by_one(library, monkeypatch):
+    texts = ["", "<|endoftext|>", "a <|endoftext|><|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "x" * 300, "it", "'s", "1 2", "", "ab1" * 200, ""]
+    enc = tokens.encoder(tokens.default_vocabulary())
+    for size, piece in ((1 << 20, 1 << 16), (10, 50), (1, 7)):
+        monkeypatch.setattr(tokens, "CALL_CHARS", size)
+        monkeypatch.setattr(tokens, "PIECE_CHARS", piece)
+        assert [x.tolist() for x in enc.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.batch([]) == []
+
+
 @pytest.mark.parametrize("name", ["hostile", "small"])
 def test_bpe_and_back(name, request, library):
     docs = request.getfixturevalue(name)
