@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,7 +21,7 @@ CHUNK_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches for tables with long texts."""
+    """Bounds Arrow batches for tables with long texts; results are lazy, so the session keeps the bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -32,8 +33,11 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; one of our own only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder in spark.checkpoint.dir, which all executors see; where it is unset, one of our own, in local mode only."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+    return (where or _own_folder()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -57,6 +61,36 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Written tables of one operator: gone when the block ends, and a name's older table as soon as it is written anew."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, new_path(spark, name), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop_path(self.spark, self.folder)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        """Deletes a table that no later plan reads."""
+        if name in self.paths:
+            drop_path(self.spark, self.paths.pop(name))
+
+
+def text_bytes(rows: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts: what buckets are counted by."""
+    return rows.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0
+
+
 def clean(text) -> F.Column:
     """Null text counts as empty."""
     return F.coalesce(text if not isinstance(text, str) else F.col(text), F.lit(""))

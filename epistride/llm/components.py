@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epistride.llm.common import write_table
+from epistride.llm.common import Scratch, write_table
 
 
 class Forest:
@@ -53,23 +53,23 @@ def components(links: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every id in ``links`` (long columns a and b).
 
     Null ends and loops are ignored; repeated links change nothing; ids without links are not in the result. Every round
-    is written to the shared folder, and only the number of changed labels comes to the driver.
+    is written to the shared folder, and only whether a label changed comes to the driver.
     """
     ends = links.select("a", "b").where("a != b").mapInArrow(contract, "a long, b long")
     both = ends.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
-    both = write_table(both.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "links")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
-    labels = write_table(labels, "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("p").alias("m"))
-        seen = labels.join(near, labels.id == near.a).select("id", "p", F.least("p", "m").alias("m"))
-        hooked = seen.select(F.explode(F.array(F.struct(F.col("id"), F.col("m")), F.struct(F.col("p").alias("id"), F.col("m")))).alias("x")).select("x.*")
-        lower = hooked.groupBy("id").agg(F.min("m").alias("m"))
-        above = lower.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        jumped = lower.join(above, "m", "left").select("id", F.coalesce("mm", "m").alias("p"))
-        new = jumped.join(labels.withColumnRenamed("p", "old"), "id").select("id", "p", (F.col("p") != F.col("old")).alias("changed"))
-        new = write_table(new, "labels")
-        changed = new.where("changed").limit(1).count()
-        labels = new.select("id", "p")
-        if not changed:
-            return labels.withColumnRenamed("p", "component")
+    with Scratch(links.sparkSession, "components") as made:
+        both = made.write(both.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "links")
+        labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p"))
+        labels = made.write(labels, "labels")
+        while True:
+            near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("p").alias("m"))
+            seen = labels.join(near, labels.id == near.a).select("id", "p", F.least("p", "m").alias("m"))
+            hooked = seen.select(F.explode(F.array(F.struct(F.col("id"), F.col("m")), F.struct(F.col("p").alias("id"), F.col("m")))).alias("x")).select("x.*")
+            lower = hooked.groupBy("id").agg(F.min("m").alias("m"))
+            above = lower.select(F.col("id").alias("m"), F.col("m").alias("mm"))
+            jumped = lower.join(above, "m", "left").select("id", F.coalesce("mm", "m").alias("p"))
+            new = jumped.join(labels.withColumnRenamed("p", "old"), "id").select("id", "p", (F.col("p") != F.col("old")).alias("changed"))
+            new = made.write(new, "labels")
+            labels = new.select("id", "p")
+            if not new.where("changed").limit(1).count():
+                return write_table(labels.withColumnRenamed("p", "component"), "component")

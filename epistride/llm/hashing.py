@@ -1,11 +1,14 @@
 """Vectorised hashing of words, shingles and windows over Arrow string buffers.
 
 Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r, which in UTF-8 are exactly the matches of
-``[^\\x20\\x09-\\x0D]+``. Hashes don't depend on the machine, the process or the batch.
+``[^\\x20\\x09-\\x0D]+``. Hashes don't depend on the machine, the process or the batch. What decides that words, shingles or
+windows are equal is made of the words' own bytes, or of cryptographic digests of long ones; sums over powers, which are
+quicker but can be made to collide, only find candidates, deal out work or serve as features.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,13 +106,59 @@ def split_words(texts: pa.Array, lower: bool = False, inside: np.ndarray = ~_SPA
     return Words(data, starts, ends, np.searchsorted(starts, offsets).astype(np.int64) if n else np.zeros(len(offsets), np.int64), offsets)
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return span_hashes(words.data, words.starts, words.ends)
+def word_digests(words: Words) -> np.ndarray:
+    """Two numbers that tell words apart: the bytes and length of words up to 15 bytes, of longer ones the BLAKE2b digest of 127 bits.
+
+    The top bit of the second number says which of both it is.
+    """
+    sizes = words.ends - words.starts
+    padded = np.concatenate([words.data, np.zeros(16, np.uint8)])
+    eights = np.ndarray(len(words.data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each position
+    left = np.minimum(sizes, 15).astype(np.uint64) * U(8)
+    out = np.empty((len(sizes), 2), np.uint64)
+    out[:, 0] = eights[words.starts] & _low_bits(np.minimum(left, U(64)))
+    out[:, 1] = (eights[words.starts + 8] & _low_bits(np.maximum(left, U(64)) - U(64))) | left << U(53)
+    for i in np.flatnonzero(sizes > 15).tolist():
+        made = hashlib.blake2b(words.data[words.starts[i] : words.ends[i]], digest_size=16).digest()
+        out[i] = np.frombuffer(made, "<u8")
+        out[i, 1] |= U(1 << 63)
+    return out
+
+
+def _low_bits(n: np.ndarray) -> np.ndarray:
+    """The lowest ``n`` bits set, for n from 0 to 64."""
+    return np.where(n >= 64, U(0xFFFFFFFFFFFFFFFF), (U(1) << (n & U(63))) - U(1))
+
+
+def word_hashes(digests: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, for candidates only."""
+    return mix(digests[:, 0] ^ mix(digests[:, 1]))
+
+
+def shingle_hashes(digests: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the ``k`` words from each position on (the last k - 1 have none): both halves of each digest enter."""
+    n = max(0, len(digests) - k + 1)
+    one, two = np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])
+    h = np.full(n, U(k))
+    for j in range(k):
+        h ^= one[j : j + n]
+        h = mix(h)
+        h += two[j : j + n]
+    return mix(h)
+
+
+def window_digests(digests: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The 128-bit BLAKE2b digest of the ``k`` word digests from each position in ``at``, as two numbers."""
+    data = memoryview(np.ascontiguousarray(digests).reshape(-1).view(np.uint8))
+    size = 16 * k
+    parts = []
+    for some in np.array_split(16 * at, len(at) // 65536 + 1):
+        parts.append(b"".join([hashlib.blake2b(data[i : i + size], digest_size=16).digest() for i in some.tolist()]))
+    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges that begin in ascending order."""
+    """Hashes of byte ranges that begin in ascending order, to deal them out."""
     out = np.empty(len(starts), np.uint64)
     for lo, _, at, total, inverse in span_totals(data, starts, ends):
         out[at] = totals_hash(total, inverse, starts[at] - lo, ends[at] - lo)
@@ -144,15 +193,14 @@ def window_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(total) + np.repeat(first[:-1] - begin, counts), counts
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hashes of the ``k`` words from each position in ``at``."""
+def window_hashes(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k`` words from each position in ``at``, for candidates only."""
     if not len(at):
         return np.zeros(0, np.uint64)
-    source = mix(words ^ U(seed)) if seed else words
-    n = len(source)
+    n = len(words)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(source * powers(STEP, n), out=total[1:])
-    return mix((total[at + k] - total[at]) * powers(STEP_INVERSE, n)[at] + U(k + seed))
+    np.cumsum(words * powers(STEP, n), out=total[1:])
+    return mix((total[at + k] - total[at]) * powers(STEP_INVERSE, n)[at] + U(k))
 
 
 def runs(keys: np.ndarray) -> list[tuple[int, int]]:

@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epistride.llm.common import by_bytes, clean, filter_slot, id_filter, in_filter, maybe_in, prepare, write_table
+from epistride.llm.common import Scratch, by_bytes, clean, filter_slot, id_filter, in_filter, maybe_in, prepare, write_table
 from epistride.llm.components import Forest, components
-from epistride.llm.hashing import U, mix, split_words, window_hashes, window_starts, word_hashes
+from epistride.llm.hashing import U, mix, shingle_hashes, split_words, window_starts, word_digests
 
-#: Shingles of the sets that one verification task holds at most, if no single set is larger.
+#: Shingles and sets of one part of a bucket, about, if no single set is larger: a task compares two parts.
 GROUP_SHINGLES = 400_000
+GROUP_ROWS = 1024
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -44,9 +45,9 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     Words are compared with A-Z in lower case; a text with fewer than ``k`` words is one shingle, one without words none.
     """
     words = split_words(texts, lower=True)
-    hashes, n = word_hashes(words), words.per_text
+    digests, n = word_digests(words), words.per_text
     at, counts = window_starts(words.first, k)
-    long = window_hashes(hashes, at, k)
+    long = shingle_hashes(digests, k)[at]
     short = np.flatnonzero((n > 0) & (n < k))
     counts = counts.copy()
     counts[short] = 1
@@ -56,7 +57,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         mask = np.zeros(first[-1], bool)
         mask[first[short]] = True
         every[~mask] = long
-        every[mask] = [window_hashes(hashes[words.first[i] : words.first[i + 1]], np.zeros(1, np.int64), int(n[i]))[0] for i in short]
+        every[mask] = [shingle_hashes(digests[words.first[i] : words.first[i + 1]], int(n[i]))[0] for i in short]
     else:
         every = long
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -198,47 +199,56 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_column: str = "doc_
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
-    profiles = write_table(rows.mapInArrow(_profile(near), "id long, n_shingles long, s1 long, s2 long, bands array<long>"), "profiles")
-    full = profiles.where("n_shingles > 0 AND id IS NOT NULL")
-    # Written, so that later joins deal rows out by their own keys and a class of many copies can be split.
-    classes = write_table(full.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = full.select("id", "s1", "s2", "n_shingles", "bands").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id"])
-    banded = write_table(reps.select("id", "n_shingles", F.explode("bands").alias("band")), "bands")
-
+    with Scratch(spark, "minhash") as made:
+        profiles = made.write(rows.mapInArrow(_profile(near), "id long, n_shingles long, s1 long, s2 long, bands array<long>"), "profiles")
+        full = profiles.where("n_shingles > 0 AND id IS NOT NULL")
+        # Written, so that later joins deal rows out by their own keys and a class of many copies can be split.
+        classes = made.write(full.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
+        reps = full.select("id", "s1", "s2", "n_shingles", "bands").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id"])
+        labels = _linked(made, rows, reps, near)
+        named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+        out = profiles.select("id", "n_shingles", "s1", "s2").join(made.write(named, "named"), ["s1", "s2"], "left")
+        component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+        out = write_table(out.select(F.col("id"), "n_shingles", component.alias("component_id")), "near")
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_column)
+
+
+def _parts(load: str) -> str:
+    return f"greatest(1L, ceil({load} / {GROUP_SHINGLES}), ceil(n / {GROUP_ROWS}))"
+
+
+def _linked(made: Scratch, rows: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
+    """id and component of the classes ``reps`` that are linked with others."""
+    banded = made.write(reps.select("id", "n_shingles", F.explode("bands").alias("band")), "bands")
     # Buckets with more than one class: every class is compared with the bucket's smallest id first.
     buckets = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub != other").select("band", "hub")
-    members = write_table(banded.join(buckets, "band"), "members")
+    members = made.write(banded.join(buckets, "band"), "members")
+    made.drop("bands")
     stars = members.where("id != hub").groupBy("id", "hub").agg(F.first("n_shingles").alias("n_shingles"))
     ids = members.select("id").distinct()
-    sets = write_table(_sets_of(rows, ids, near.words), "sets")
-    loads = stars.groupBy("hub").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).alias("parts"))
+    sets = made.write(_sets_of(rows, ids, near.words), "sets")
+    loads = stars.groupBy("hub").agg(F.sum("n_shingles").alias("load"), F.count(F.lit(1)).alias("n")).select("hub", F.expr(_parts("load")).alias("parts"))
     dealt = stars.join(loads, "hub").select("id", "hub", F.expr("pmod(xxhash64(id), parts)").alias("part"))
     keys = dealt.select("hub", "part").distinct()
     sides = dealt.select("hub", "part", "id", F.lit(0).alias("side")).union(keys.select("hub", "part", F.col("hub").alias("id"), F.lit(1).alias("side")))
     compared = sides.join(sets, "id").select("hub", "part", "id", "side", F.col("id").alias("label"), "shingles")
-    links = write_table(compared.groupBy("hub", "part").applyInArrow(_verify(near.percent), "a long, b long"), "links")
+    links = made.write(compared.groupBy("hub", "part").applyInArrow(_verify(near.percent), "a long, b long"), "links")
     labels = components(links)
 
     # Buckets that still hold several components: all their classes are compared, block against block.
     known = members.select("band", "id", "n_shingles").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
     open_ = known.groupBy("band").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("load"),
-        F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("too"),
+        F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("too"),
     ).where("low != high")
     once = open_.groupBy("who", "too", "n").agg(F.min("band").alias("band"), F.max("load").alias("load"))
-    once = once.select("band", F.ceil(F.col("load") * 2 / GROUP_SHINGLES).alias("parts"))
+    once = once.select("band", F.expr(_parts("load * 2")).alias("parts"))
     blocks = known.join(once, "band").select("band", "id", "label", "parts", F.expr("pmod(xxhash64(id), parts)").alias("part"))
     paired = blocks.select("band", "id", "label", "part", F.explode(F.expr("sequence(0L, parts - 1)")).alias("with"))
     paired = paired.select("band", "id", "label", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), (F.col("part") > F.col("with")).cast("int").alias("side"))
     more = paired.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_verify(near.percent), "a long, b long")
-    more = write_table(more, "links")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-
-    named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = profiles.select("id", "n_shingles", "s1", "s2").join(write_table(named, "named"), ["s1", "s2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
+    more = made.write(more, "more")
+    return components(links.union(more)) if more.limit(1).count() else labels
 
 
 def one_of_each(docs: DataFrame, near: Near = Near(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -4,8 +4,8 @@ A passage of ``k`` words that occurs twice holds an anchor at the same place in
 it, the one with the smallest hash. The index keeps anchors only. A batch (documents in ascending order of id) writes
 one immutable run, sorted by hash, with the first place of each; before that it is merge-joined with the runs of the
 past, and all places of an anchor seen twice are marked. Runs are compacted when there are several. Marked places are
-then verified: the full ``k``-word windows about them are compared as 128-bit fingerprints made anew from the texts,
-and every window but the first of its kind is removed.
+then verified: the full ``k``-word windows about them are compared as cryptographic digests of all their words, made anew
+from the texts, and every window but the first of its kind is removed.
 
 Hashes travel in rows per bucket and block of texts, as sorted or position-ordered arrays; a hash that is common inside
 a block is sent once, so that no bucket grows with the number of copies.
@@ -14,8 +14,8 @@ a block is sent once, so that no bucket grows with the number of copies.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -24,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.llm.common import by_bytes, clean, drop_path, maybe_in, new_path, prepare, write_table
-from epistride.llm.hashing import mix, runs, split_words, window_hashes, window_starts, word_hashes
+from epistride.llm.common import Scratch, by_bytes, clean, drop_path, maybe_in, new_path, prepare, write_table
+from epistride.llm.hashing import mix, runs, split_words, window_digests, window_hashes, window_starts, word_digests, word_hashes
 
 #: Words of an anchor; windows must be longer.
 ANCHOR = 8
-#: Bytes of text that one block of hashes covers.
+#: Bytes of text that one block of hashes covers, and that a bucket stands for (about 10 million words, 1.5 million anchors).
 BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 64 << 20
 SENT = "bucket int, hashes binary, checks binary, docs binary, places binary, sure_docs binary, sure_places binary"
 RUN = "bucket int, hashes binary, docs binary, places binary"
 MARKS = "part int, docs binary, places binary"
+MANIFEST = "version long, k int, buckets int, last long, runs array<string>, marks array<string>"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -101,7 +103,8 @@ def _send(hashes, checks, docs, places, buckets: int, all_of_repeats: bool):
         own = sent[a:b]
         rows.append((int(bucket[a]), hashes[own].tobytes(), checks[own].tobytes() if checks is not None else b"", _pack(docs[own]), _pack(places[own]), b"", b""))
     if len(sure):
-        rows.append((int.from_bytes(os.urandom(4), "little") % buckets, b"", b"", b"", b"", _pack(docs[sure]), _pack(places[sure])))
+        to = int(mix(docs[:1].view(np.uint64))[0] % np.uint64(buckets))  # by the block's first document, so that a task made again sends the same
+        rows.append((to, b"", b"", b"", b"", _pack(docs[sure]), _pack(places[sure])))
     names = [x.split()[0] for x in SENT.split(", ")]
     kinds = [pa.int32(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
@@ -112,8 +115,7 @@ def _anchor_rows(k: int, buckets: int):
         for batch in batches:
             for part in _blocks(batch):
                 words = split_words(part.column("text"))
-                hashes = word_hashes(words)
-                _, best, short = anchors(hashes, words.first, k)
+                _, best, short = anchors(word_hashes(word_digests(words)), words.first, k)
                 at = best[np.diff(best, prepend=-1) != 0]
                 owner = np.searchsorted(words.first, at, side="right") - 1
                 ids = part.column("id").to_numpy()
@@ -127,17 +129,17 @@ def _window_rows(k: int, buckets: int):
         for batch in batches:
             for part in _blocks(batch):
                 words = split_words(part.column("text"))
-                hashes = word_hashes(words)
-                at, best, _ = anchors(hashes, words.first, k)
-                marked = np.zeros(len(hashes) + 1, bool)
+                digests = word_digests(words)
+                at, best, _ = anchors(word_hashes(digests), words.first, k)
+                marked = np.zeros(len(digests) + 1, bool)
                 places = part.column("places")
                 first = np.repeat(words.first[:-1], np.diff(places.offsets.to_numpy()))
                 at_marks = first + places.flatten().to_numpy()
-                marked[at_marks[at_marks < len(hashes)]] = True
+                marked[at_marks[at_marks < len(digests)]] = True
                 at = at[marked[best]]
                 owner = np.searchsorted(words.first, at, side="right") - 1
                 ids = part.column("id").to_numpy()
-                one, two = window_hashes(hashes, at, k, seed=11), window_hashes(hashes, at, k, seed=0x5DEECE66D)
+                one, two = window_digests(digests, at, k).T
                 yield _send(one, two, ids[owner], (at - words.first[owner]).astype(np.int32), buckets, False)
 
     return run
@@ -233,48 +235,79 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of anchor hashes in the shared folder, by bucket; no hash is in two runs."""
+    """A log-structured index in a folder: sorted immutable runs of anchor hashes by bucket, and the places marked so far.
 
-    def __init__(self, spark: SparkSession, k: int = 20, buckets: int | None = None, most_runs: int = 2):
+    No hash is in two runs. A manifest lists what is valid; it is written after new tables and before old ones go, so
+    that an index can be opened again, also after a failure half-way.
+    """
+
+    def __init__(self, spark: SparkSession, k: int = 20, buckets: int | None = None, most_runs: int = 2, folder: str | None = None):
         if k <= ANCHOR:
             raise ValueError(f"windows must be longer than {ANCHOR} words")
         self.spark, self.k, self.most_runs = spark, k, most_runs
         self.buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = folder or new_path(spark, "index")
         self.runs: list[str] = []
+        self.marks: list[str] = []
+        #: Largest document id indexed; ids of the next batch must be larger.
+        self.last: int | None = None
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, most_runs: int = 2) -> FingerprintIndex:
+        """The index that ``save`` left in a folder."""
+        row = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
+        self = cls(spark, row.k, row.buckets, most_runs, folder)
+        self.runs, self.marks, self.last, self.version = list(row.runs), list(row.marks), row.last, row.version
+        return self
+
+    def save(self) -> None:
+        self.version += 1
+        row = (self.version, self.k, self.buckets, self.last, self.runs, self.marks)
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+
+    def _new(self, name: str) -> str:
+        return f"{self.folder}/{name}-{uuid.uuid4().hex}"
 
     def _past(self) -> DataFrame:
         if not self.runs:
             return self.spark.createDataFrame([], RUN)
         return self.spark.read.schema(RUN).parquet(*self.runs)
 
-    def append(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch (id, text); returns the marked places, also those of earlier batches (see ``per_document``)."""
+    def append(self, docs: DataFrame) -> None:
+        """Adds a batch (id, text) whose ids are larger than all before, and the places that it marks, also in earlier batches."""
+        low, high = docs.agg(F.min("id"), F.max("id")).first()
+        if low is None:
+            return
+        if self.last is not None and low <= self.last:
+            raise ValueError(f"ids of a batch must be larger than {self.last}")
         sent = docs.select("id", "text").mapInArrow(_anchor_rows(self.k, self.buckets), SENT)
         kind = MARKS + ", bucket int, hashes binary"
         both = sent.groupBy("bucket").cogroup(self._past().groupBy("bucket")).applyInArrow(_match(self.buckets), kind)
-        path = new_path(self.spark, "match")
+        path, run = self._new("match"), self._new("run")
         both.withColumn("is_run", F.col("part").isNull()).write.option("compression", "zstd").partitionBy("is_run").parquet(path)
         matched = self.spark.read.schema(kind + ", is_run boolean").parquet(path)
-        run = new_path(self.spark, "run")
         matched.where("is_run AND length(hashes) > 0").select("bucket", "hashes", "docs", "places").write.option("compression", "zstd").parquet(run)
         self.runs.append(run)
+        self.marks.append(path)
+        self.last = high
         drop_path(self.spark, f"{path}/is_run=true")
         if len(self.runs) > self.most_runs:
             self.compact()
-        return matched.where("NOT is_run").select("part", "docs", "places")
 
     def compact(self) -> None:
-        """Merges all runs into one and deletes them."""
-        path = new_path(self.spark, "run")
+        """Merges all runs into one. Old ones stay for those who have opened an older manifest."""
+        path = self._new("run")
         self._past().groupBy("bucket").applyInArrow(_merge, RUN).write.option("compression", "zstd").parquet(path)
-        for old in self.runs:
-            drop_path(self.spark, old)
         self.runs = [path]
 
-    def drop(self) -> None:
-        for old in self.runs:
-            drop_path(self.spark, old)
-        self.runs = []
+    def marked(self) -> DataFrame:
+        """id and the distinct places of each document marked so far."""
+        kind = MARKS + ", bucket int, hashes binary, is_run boolean"
+        marks = self.spark.createDataFrame([], MARKS)
+        for path in self.marks:
+            marks = marks.union(self.spark.read.schema(kind).parquet(path).where("NOT is_run").select("part", "docs", "places"))
+        return per_document(marks)
 
 
 def per_document(marks: DataFrame) -> DataFrame:
@@ -332,19 +365,43 @@ def _digests(k: int):
 
 def repeated_windows(rows: DataFrame, k: int = 20, batches: int = 3) -> DataFrame:
     """id and the starts (words) of windows that occur earlier: smaller id, or same id and smaller start. ``rows``: id (long), text."""
-    known = rows.where("id IS NOT NULL")
-    cuts = known.agg(F.percentile_approx("id", [i / batches for i in range(1, batches)], 1000).alias("q")).first().q if batches > 1 else None
-    edges = [None, *sorted(set(cuts or [])), None]
-    index, marks = FingerprintIndex(rows.sparkSession, k), None
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        batch = known if low is None else known.where(F.col("id") > low)
-        found = index.append(batch if high is None else batch.where(F.col("id") <= high))
-        marks = found if marks is None else marks.union(found)
-    index.drop()
-    marks = write_table(per_document(marks), "marks")
+    spark, known = rows.sparkSession, rows.where("id IS NOT NULL")
+    cuts, size = known.agg(F.percentile_approx("id", [i / batches for i in range(1, max(2, batches))], 1000), F.sum(F.octet_length("text"))).first()
+    edges = [None, *sorted(set(cuts or [])), None] if batches > 1 else [None, None]
+    with Scratch(spark, "substrings") as made:
+        index = FingerprintIndex(spark, k, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // BUCKET_BYTES), folder=f"{made.folder}/index")
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            batch = known if low is None else known.where(F.col("id") > low)
+            index.append(batch if high is None else batch.where(F.col("id") <= high))
+        return write_table(_verified(made, known, index), "gone")
+
+
+def _verified(made: Scratch, known: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """id and starts of windows that occur earlier, by all words of the windows about marked places."""
+    marks = made.write(index.marked(), "marks")
     near, _ = maybe_in(known, "id", marks)
-    sent = near.join(marks, "id").select("id", "text", "places").mapInArrow(_window_rows(k, index.buckets), SENT)
-    return write_table(per_document(sent.groupBy("bucket").applyInArrow(_later(index.buckets), MARKS)), "gone")
+    sent = near.join(marks, "id").select("id", "text", "places").mapInArrow(_window_rows(index.k, index.buckets), SENT)
+    return per_document(sent.groupBy("bucket").applyInArrow(_later(index.buckets), MARKS))
+
+
+def repeats_of_batch(index: FingerprintIndex, batch: DataFrame, past: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The result of ``remove_repeats`` for the rows of a new batch alone, which enters the index; the index is saved.
+
+    Ids of the batch must be larger than all indexed (else ValueError); rows with a null id come back whole. ``past`` holds
+    the documents of earlier batches: only those with marked places are read again, to verify. What the index was built
+    with holds for the window; an empty batch gives an empty result.
+    """
+    prepare(batch.sparkSession)
+    rows, old = (d.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text")) for d in (batch, past))
+    known = rows.where("id IS NOT NULL")
+    first = index.last
+    index.append(known)
+    index.save()
+    with Scratch(batch.sparkSession, "batch") as made:
+        every = old.where(F.lit(first).isNotNull() & (F.col("id") <= F.lit(first))).union(known)
+        gone = _verified(made, every, index)
+        gone = write_table(gone.where(F.col("id") > first) if first is not None else gone, "gone")
+    return _told(rows, gone, index.k, id_column)
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, batches: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -357,7 +414,10 @@ def remove_repeats(docs: DataFrame, k: int = 20, batches: int = 3, id_column: st
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
-    gone = repeated_windows(rows, k, batches)
+    return _told(rows, repeated_windows(rows, k, batches), k, id_column)
+
+
+def _told(rows: DataFrame, gone: DataFrame, k: int, id_column: str) -> DataFrame:
     touched, rest = maybe_in(rows, "id", gone)
     schema = "id long, n_words long, n_removed long, kept_sha256 string"
     out = touched.join(gone, "id", "left").select("id", "text", "places").mapInArrow(_digests(k), schema)

@@ -1,9 +1,10 @@
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from epistride.llm import minhash, substrings
+from epistride.llm import common, hashing, minhash, substrings
 from epistride.llm.components import components
 from epistride.llm.minhash import Near
 
@@ -76,6 +77,49 @@ def test_repeated_rows_of_one_block_keep_their_text(spark):
     assert left == [(3, one)] * 2 + [(4, f"{two} x")] * 2 + [(5, "y")] * 2 + [(6, "short")] * 2
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_under_sums_of_powers_differ(spark):
+    one, two = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()) == [(1, 1, True), (2, 2, True)]
+    tail = " ".join(f"p{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs, 20).collect()) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_digests_tell_words_apart():
+    words = ["a", "aa", "\0", "\0\0", "a\0", "abcdefg", "abcdefgh", "abcdefgh\0", "x" * 14, "x" * 15, "x" * 16, "x" * 17, "\u00e9" * 7, "\u00e9" * 8, thue_morse(1024)]
+    split = hashing.split_words(pa.array([" ".join(words), None, " ".join(reversed(words))]))
+    digests = hashing.word_digests(split).tolist()
+    assert len({tuple(d) for d in digests}) == len(words) and digests == digests[::-1]
+
+
+def test_a_block_sent_again_is_the_same():
+    rng = np.random.default_rng(0)
+    docs, places = np.repeat(np.arange(40), 10), np.tile(np.arange(10, dtype=np.int32), 40)
+    hashes = rng.integers(0, 60, 400).astype(np.uint64)
+    assert substrings._send(hashes, None, docs, places, 7, True) == substrings._send(hashes, None, docs, places, 7, True)
+
+
+def test_batches_alone_against_a_reopened_index(spark, small):
+    texts = {i: t for i, t in texts_of(small).items()}
+    ids = sorted(texts)
+    folder = common.new_path(spark, "kept-index")
+    substrings.FingerprintIndex(spark, 20, folder=folder).save()
+    got, cuts = {}, [0, len(ids) // 4, len(ids) // 2, len(ids)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        index = substrings.FingerprintIndex.open(spark, folder, most_runs=1)
+        inside = F.col("doc_id").between(ids[a], ids[b - 1])
+        out = substrings.repeats_of_batch(index, small.where(inside), small.where(F.col("doc_id") < ids[a]))
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()}
+    assert got == brute.substring_dedup(texts, 20)
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex.open(spark, folder).append(small.select(F.col("doc_id").alias("id"), "text"))
+
+
 def test_kept_texts(spark):
     run = " ".join(f"p{i}" for i in range(25))
     docs = spark.createDataFrame([(1, f"x  {run}"), (2, f"y\n{run} z"), (3, "a\n b")], "doc_id long, text string")
