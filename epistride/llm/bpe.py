@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epistride.llm.common import clean, prepare, write_table
-from epistride.llm.hashing import runs, span_hashes, text_buffers
+from epistride.llm.hashing import ranges, runs, span_hashes, text_buffers
 from epistride.llm.tokens import default_vocabulary, encoder
 
 # Unicode's white space, and the pattern of the byte-level vocabulary in Java's syntax.
@@ -165,12 +165,6 @@ def _encode(path: str):
     return run
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The positions starts[i] to starts[i] + counts[i] - 1, for each i in turn."""
-    begin = np.cumsum(counts) - counts
-    return np.arange(int(counts.sum())) + np.repeat(starts - begin, counts)
-
-
 def _place(path: str, with_ids: bool):
     """Cogroup function of a block: puts the ids of words in place of their codes, document by document, and decodes them."""
 

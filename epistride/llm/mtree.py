@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epistride.llm.common import prepare, write_table
+from epistride.llm.common import Scratch, prepare, write_table
+from epistride.llm.hashing import ranges
 from epistride.llm.vectors import matrix, usable, width_of
 
-#: Pivots at most (a bounded sample of the vectors), vectors of a page on average, entries of a leaf and children of a node.
-PIVOTS = 64
+#: Pivots at most (a bounded sample of the vectors; a pivot has several pages beyond), vectors of a page on average, entries
+#: of a leaf and children of a node.
+PIVOTS = 1024
 PAGE = 8192
 LEAF = 512
 FAN = 32
@@ -28,8 +30,8 @@ FAN = 32
 QUERIES = 512
 #: Sums of products whose terms add up to less than this in size are exact in doubles.
 EXACT = 1 << 52
-#: Integers from here on don't fit a long.
-BEYOND = float(1 << 63)
+#: The largest and smallest long: scores beyond are given as these.
+MOST, LEAST = (1 << 63) - 1, -(1 << 63)
 
 
 def rounding(width: int) -> float:
@@ -52,6 +54,8 @@ class Tree:
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
         self.pivots: list[np.ndarray] = []
         self.root, self.radius = -1, 0.0
+        #: Vectors and nodes whose distance a search has computed, to measure what bounds spare.
+        self.computed = 0
         if len(ids):
             self.root, _, self.radius = self._build(np.arange(len(ids)), self.points.mean(axis=0))
             # The rows of a leaf lie next to each other, by their distance to its pivot.
@@ -113,6 +117,7 @@ class Tree:
                 lo, hi = np.searchsorted(at, (d - limit, d + limit)) if limit < np.inf else (0, len(at))
                 rows = slice(int(entries[0]) + int(lo), int(entries[0]) + min(int(hi) + 1, len(at)))
                 scores = self.vectors[rows] @ whole
+                self.computed += len(scores)
                 ids = self.ids[rows]
                 sizes = self.lengths[rows] * length
                 error = np.where(sizes < EXACT, 0.0, sizes * rounding(len(whole)))
@@ -135,6 +140,7 @@ class Tree:
                 limit = reach()
             else:
                 keep = np.flatnonzero(np.abs(d - at) - radii <= limit)
+                self.computed += len(keep)
                 for j in keep.tolist():
                     child = int(entries[j])
                     dc = float(np.sqrt(((self.pivots[child] - q) ** 2).sum()))
@@ -151,7 +157,7 @@ class Tree:
         sizes = np.array([len(e) for e, _, _ in self.nodes])
         radii = [r if r is not None else np.full(len(e), -1.0) for e, _, r in self.nodes]
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-        np.savez_compressed(out, ids=self.ids, vectors=self.vectors.astype(np.int32 if fits_int(self.top) else np.int64), sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top]))
+        np.savez_compressed(out, ids=self.ids, vectors=self.vectors.astype(np.int32) if fits_int(self.top) else self.vectors, sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top]))
         return out.getvalue()
 
     @classmethod
@@ -160,6 +166,7 @@ class Tree:
 
         f = np.load(io.BytesIO(data))
         self = cls.__new__(cls)
+        self.computed = 0
         self.ids, self.vectors = f["ids"], f["vectors"].astype(np.float64)
         self.lengths = np.sqrt((self.vectors**2).sum(axis=1))
         self.root, self.radius, self.top = int(f["head"][0]), float(f["head"][1]), float(f["head"][2])
@@ -188,40 +195,45 @@ def fits_int(top: float) -> bool:
 
 
 def integers(vector: str, scale: int = 1024):
-    """floor(scale * x) of each component."""
-    return F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """floor(scale * x) of each component, as a double, which holds it exactly."""
+    return F.transform(F.col(vector), lambda x: _floor(x.cast("double") * scale))
 
 
-def _has_integers(vector: str, scale: int):
-    """No component beyond a long, where floor(scale * x) has no value."""
-    return ~F.exists(F.col(vector), lambda x: F.abs(x.cast("double") * scale) >= BEYOND)
+def _floor(y):
+    return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k largest integer inner products of each query row with all other rows.
 
-    Ties go to the smaller id. Vectors that are null or empty, or hold null or non-finite components, or such whose
-    integer doesn't fit a long, take no part; all others do, with exact scores. A score among the largest that doesn't fit
-    a long is an error, as it is in SQL. Shorter vectors count as filled up with zeros; a query's own id is no candidate; rows that
-    repeat a query's id and vector ask once, and as candidates count each; null ids take no part; an empty table gives an
-    empty result.
+    Ties go to the smaller id. Vectors that are null or empty, or hold null or non-finite components, take no part; all
+    others do, with exact scores. A score beyond a long is given as the nearest long, and such scores are ranked by their
+    value as doubles. Shorter vectors count as filled up with zeros; a query's own id is no candidate; rows that repeat a
+    query's id and vector ask once, and as candidates count each; null ids take no part; an empty table gives an empty
+    result. Squared lengths must fit a double (components up to 1e150, which all floats do), else ValueError.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.where(usable(vector_column)).where(_has_integers(vector_column, scale)).where(F.col(id_column).isNotNull())
+    rows = vectors.where(usable(vector_column)).where(F.col(id_column).isNotNull())
     rows = rows.select(F.col(id_column).cast("long").alias("id"), integers(vector_column, scale).alias("v"), is_query.alias("asks"))
-    rows = write_table(rows, "integers")
+    with Scratch(spark, "mtree") as made:
+        return write_table(_top_k(made, made.write(rows, "integers"), k), "top")
+
+
+def _top_k(made: Scratch, rows: DataFrame, k: int) -> DataFrame:
     width = width_of(rows, "v")
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_id long, vec_id long, score long, beyond double"
     if not width:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        return made.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     top, n, asked = rows.agg(F.max(square), F.count(F.lit(1)), F.count_if("asks")).first()
-    kind = "array<int>" if fits_int(top) else "array<long>"
+    if not np.isfinite(top):
+        raise ValueError("a vector's squared length doesn't fit a double")
+    kind = "array<int>" if fits_int(top) else "array<double>"
     rows = rows.withColumn("v", F.col("v").cast(kind))
-    sample = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(PIVOTS).toArrow()  # at most PIVOTS rows
-    near = lifted(matrix(sample.column("v"), width), top)
-    near = near[np.unique(near, axis=0, return_index=True)[1]][: max(1, min(PIVOTS, n // PAGE + 1))]
+    most = int(max(1, min(PIVOTS, n // PAGE + 1)))
+    sample = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(most).toArrow()  # at most PIVOTS rows
+    near = np.unique(lifted(matrix(sample.column("v"), width), top), axis=0)
 
     def nearest(batches):
         for batch in batches:
@@ -231,8 +243,12 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "asks")), pa.array(p.astype(np.int32))], ["id", "v", "asks", "pivot"])
 
     dealt = rows.mapInArrow(nearest, f"id long, v {kind}, asks boolean, pivot int")
-    pages = {r.pivot: -(-r.n // PAGE) for r in dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most PIVOTS rows
-    per_pivot = F.element_at(F.create_map(*[F.lit(x) for kv in pages.items() for x in kv]), F.col("pivot"))
+    counts = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PAGE).alias("pages"))
+    pages = np.zeros(len(near), np.int64)
+    for r in counts.collect():  # at most PIVOTS rows
+        pages[r.pivot] = r.pages
+    counts = made.spark.createDataFrame([(i, int(x)) for i, x in enumerate(pages)], "pivot int, pages long")
+    dealt = made.write(dealt.join(F.broadcast(counts), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("pages"))).drop("pages"), "dealt")
 
     def build(table: pa.Table) -> pa.Table:
         tree = Tree(table.column("id").to_numpy(), matrix(table.column("v"), width), top)
@@ -240,9 +256,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
         reach = float(np.sqrt(((tree.points - near[pivot]) ** 2).sum(axis=1)).max())
         return pa.table({"pivot": pa.array([pivot], pa.int32()), "part": table.column("part").combine_chunks()[:1].cast(pa.int64()), "reach": [reach], "tree": pa.array([tree.dump()], pa.binary())})
 
-    paged = dealt.select("id", "v", "pivot", F.pmod(F.xxhash64("id"), per_pivot).alias("part"))
-    index = write_table(paged.groupBy("pivot", "part").applyInArrow(build, "pivot int, part long, reach double, tree binary"), "mtree")
-    reaches = {r.pivot: r.reach for r in index.groupBy("pivot").agg(F.max("reach").alias("reach")).collect()}  # at most PIVOTS rows
+    paged = dealt.select("id", "v", "pivot", "part")
+    index = made.write(paged.groupBy("pivot", "part").applyInArrow(build, "pivot int, part long, reach double, tree binary"), "trees")
+    reaches = np.full(len(near), -np.inf)
+    for r in index.groupBy("pivot").agg(F.max("reach").alias("reach")).collect():  # at most PIVOTS rows
+        reaches[r.pivot] = r.reach
     blocks = max(1, -(-asked // QUERIES))
     some = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).alias("block")
 
@@ -254,10 +272,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
             for q, own, worst in zip(qs, asks.column("id").to_pylist(), asks.column("worst").to_pylist(), strict=True):
                 best = [(worst - 1, 0)] * k if worst is not None else []
                 out += [(own, -i, s) for s, i in tree.search(q, own, k, best) if worst is None or s >= worst]
-        if any(abs(s) >= 1 << 63 for _, _, s in out):
-            raise OverflowError("a score among the largest doesn't fit a long")
-        table = np.array(out, np.int64).reshape(-1, 3)
-        return pa.table({"query_id": table[:, 0], "vec_id": table[:, 1], "score": table[:, 2]})
+        beyond = [0.0 if LEAST < s < MOST else float(s) for _, _, s in out]
+        table = np.array([(q, i, min(max(s, LEAST), MOST)) for q, i, s in out], np.int64).reshape(-1, 3)
+        return pa.table({"query_id": table[:, 0], "vec_id": table[:, 1], "score": table[:, 2], "beyond": pa.array(beyond, pa.float64())})
 
     def ask(requests: DataFrame) -> DataFrame:
         keys = requests.select(*(F.col(c).alias(c) for c in ("pivot", "part", "block"))).distinct()
@@ -266,9 +283,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
         return trees.groupBy(*by).cogroup(requests.groupBy(*by)).applyInArrow(answer, schema)
 
     queries = dealt.where("asks").dropDuplicates(["id"])
-    home = queries.select("id", "v", "pivot", F.pmod(F.xxhash64("id"), per_pivot).alias("part"), some, F.lit(None).cast("long").alias("worst"))
-    first = write_table(ask(home), "nearest")
-    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("low")).alias("worst"))
+    home = queries.select("id", "v", "pivot", "part", some, F.lit(None).cast("long").alias("worst"))
+    first = made.write(ask(home), "nearest")
+    enough = (F.col("n") >= k) & (F.col("low") > LEAST)
+    kth = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select(F.col("query_id").alias("id"), F.when(enough, F.col("low")).alias("worst"))
 
     def routes(batches):
         """Pages whose pivot isn't too far for a query, but for its own page."""
@@ -278,24 +296,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
             q = np.column_stack([v, np.zeros(len(v))])
             base = (q**2).sum(axis=1)
             d = np.sqrt(np.maximum(base[:, None] + (near**2).sum(axis=1)[None] - 2 * q @ near.T, 0))
-            worst = batch.column("worst").to_pylist()
-            homes = list(zip(batch.column("pivot").to_pylist(), batch.column("part").to_pylist(), strict=True))
-            at, pivots, parts = [], [], []
-            for i, w in enumerate(worst):
-                far = np.inf if w is None else np.sqrt(max(base[i] + top - 2 * w, 0)) + slack_of(width, base[i] + top)
-                for p, reach in reaches.items():
-                    if d[i, p] - reach <= far:
-                        for part in range(pages[p]):
-                            if (p, part) != homes[i]:
-                                at.append(i)
-                                pivots.append(p)
-                                parts.append(part)
-            chosen = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(chosen.column(c) for c in names[:4]), pa.array(pivots, pa.int32()), pa.array(parts, pa.int64())], names)
+            worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(np.float64)  # null: not a number
+            far = np.sqrt(np.maximum(base + top - 2 * worst, 0)) + slack_of(width, float((base + top).max()))
+            i, p = np.nonzero(d - reaches[None] <= np.where(np.isnan(far), np.inf, far)[:, None])
+            i, p, part = np.repeat(i, pages[p]), np.repeat(p, pages[p]), ranges(np.zeros(len(p), np.int64), pages[p])
+            away = (p != batch.column("pivot").to_numpy()[i]) | (part != batch.column("part").to_numpy()[i])
+            chosen = batch.take(pa.array(i[away]))
+            yield pa.RecordBatch.from_arrays([*(chosen.column(c) for c in names[:4]), pa.array(p[away].astype(np.int32)), pa.array(part[away])], names)
 
     known = home.drop("worst").join(kth, "id", "left").select("id", "v", "block", "worst", "pivot", "part")
     rest = ask(known.mapInArrow(routes, f"id long, v {kind}, block long, worst long, pivot int, part long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     ranked = first.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
