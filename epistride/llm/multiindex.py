@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epistride.llm.common import prepare, write_table
+from epistride.llm.common import Scratch, prepare, write_table
 from epistride.llm.components import components
-from epistride.llm.vectors import matrix, usable, width_of
+from epistride.llm.vectors import matrix, unit, usable, width_of
 
-#: Vectors that the codebooks and the visits are fitted on, codewords of a half at most, vectors that live in a cell.
-SAMPLE = 4096
-CODEWORDS = 128
+#: Vectors that the codebooks and the visits are fitted on (at least, and for each codeword), codewords of a half at most (a
+#: million cells, which 800 million vectors fill), vectors that live in a cell on average.
+SAMPLE, PER_WORD = 4096, 16
+CODEWORDS = 1024
 CELL = 800
 #: Vectors of a block in a task: those who live in a cell, and its visitors.
 LIVING, VISITING = 1024, 4096
@@ -81,9 +82,10 @@ class Grid:
         return squares(x[:, : self.half], self.one), squares(x[:, self.half :], self.two)
 
     def _rank(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to each vector than ``cell``."""
         a, b = self._parts(x)
-        d = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
-        return (d < d[np.arange(len(x)), cell][:, None]).sum(axis=1)
+        own = a[np.arange(len(x)), cell // len(self.two)] + b[np.arange(len(x)), cell % len(self.two)]
+        return np.array([np.searchsorted(np.sort(b[i]), own[i] - a[i], side="left").sum() for i in range(len(x))])
 
     def cell(self, x: np.ndarray) -> np.ndarray:
         a, b = self._parts(x)
@@ -124,12 +126,12 @@ def _compare(threshold: float, cells: int, width: int):
         per = np.diff(visits.offsets.to_numpy())
         # Where those who live here go: sorted keys of (row, cell).
         keys = np.sort(np.repeat(np.arange(len(ids)), per) * cells + visits.flatten().to_numpy())
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(x)
         every, at = np.unique(ids, return_inverse=True)
         links, left, right = np.zeros(len(every), np.int64), [], []
         for i in range(0, len(visiting), 512):
             some = visiting[i : i + 512]
-            p, q = np.nonzero(unit[some] @ unit[living].T >= threshold)
+            p, q = np.nonzero(x[some] @ x[living].T >= threshold)
             p, q = some[p], living[q]
             key = q * cells + home[p]
             back = np.searchsorted(keys, key)
@@ -161,42 +163,44 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     some = F.exists(F.col(vector_column), lambda x: x != 0)
     fits = usable(vector_column) & F.coalesce(some, F.lit(False)) & F.col(id_column).isNotNull()
     v = F.col(vector_column)
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), fits.alias("fits"), F.xxhash64(v).alias("h1"), F.xxhash64(v, F.lit(1)).alias("h2"))
-    live = rows.where("fits")
-    # Written, so that later joins deal rows out by their own keys and a class of many copies can be split.
-    classes = write_table(live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = write_table(live.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"]).select("id", "n", "v").dropDuplicates(["id"]), "vectors")
-    width, count = width_of(reps, "v"), reps.count()
-    if count:
-        sample = reps.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).select("v").toArrow()  # at most SAMPLE rows
-        x = matrix(sample.column("v"), width)
-        k = int(min(CODEWORDS, max(1, round((count / CELL) ** 0.5))))
-        grid = Grid(x / np.linalg.norm(x, axis=1, keepdims=True), k, threshold, recall)
-        found = write_table(_found(reps, grid, threshold, width), "found")
-        links = found.groupBy("id").agg(F.sum("links").alias("links"))
-        parts = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-        named = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    else:
-        named = classes.withColumn("links", F.lit(0)).withColumn("component", F.col("rep"))
-    named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("id", "fits", "h1", "h2").join(write_table(named, "named"), ["h1", "h2"], "left")
-    links = F.when(F.col("fits"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
-    out = out.select(F.col("id").alias(id_column), links, F.when(F.col("fits"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
-
-
-def _found(reps: DataFrame, grid: Grid, threshold: float, width: int) -> DataFrame:
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), fits.alias("fits"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
+    with Scratch(spark, "multiindex") as made:
+        # Classes are of equal vectors, not of equal hashes; hashes only name them. Written, so that a class of many copies can be split.
+        classes = made.write(rows.where("fits").groupBy("h1", "h2", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+        # Repeated ids with different vectors: one vector stands for the id.
+        reps = made.write(classes.select("id", "n", "v").dropDuplicates(["id"]), "vectors")
+        width, count = width_of(reps, "v"), reps.count()
+        named = classes.select("h1", "h2", "n", F.col("id").alias("rep"))
+        if count:
+            k = int(min(CODEWORDS, max(1, round((count / CELL) ** 0.5))))
+            sample = reps.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(max(SAMPLE, PER_WORD * k)).select("v").toArrow()  # at most PER_WORD * CODEWORDS rows
+            grid = Grid(unit(matrix(sample.column("v"), width)), k, threshold, recall)
+            found = made.write(_found(made, reps, grid, threshold, width), "found")
+            links = found.groupBy("id").agg(F.sum("links").alias("links"))
+            parts = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+            named = named.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+        else:
+            named = named.withColumn("links", F.lit(0)).withColumn("component", F.col("rep"))
+        named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        out = rows.select("id", "fits", "h1", "h2").join(made.write(named, "named"), ["h1", "h2"], "left")
+        links = F.when(F.col("fits"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
+        out = out.select("id", links, F.when(F.col("fits"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        out = write_table(out, "linked")
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_column)
+
+
+def _found(made: Scratch, reps: DataFrame, grid: Grid, threshold: float, width: int) -> DataFrame:
     kind = dict(reps.dtypes)["v"]
 
     def place(batches):
         for batch in batches:
             x = matrix(batch.column("v"), width)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(x)
             visits = grid.visited(x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * grid.visits), pa.array(visits.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "v")), pa.array(grid.cell(x).astype(np.int32)), lists], ["id", "n", "v", "home", "visits"])
 
-    placed = write_table(reps.mapInArrow(place, f"id long, n long, v {kind}, home int, visits array<int>"), "placed")
+    placed = made.write(reps.mapInArrow(place, f"id long, n long, v {kind}, home int, visits array<int>"), "placed")
     living = placed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / LIVING).alias("lives")).withColumnRenamed("home", "cell")
     visiting = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITING).alias("comes"))
     sizes = F.broadcast(living.join(visiting, "cell"))  # at most CODEWORDS ** 2 rows; a cell where none lives takes no visitors

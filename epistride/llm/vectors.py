@@ -30,3 +30,9 @@ def matrix(lists: pa.Array, width: int) -> np.ndarray:
         return flat.reshape(len(lists), width)
     out[np.arange(width) < sizes[:, None]] = flat
     return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; they are scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x**2).sum(axis=1, keepdims=True))

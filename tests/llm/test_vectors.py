@@ -14,7 +14,7 @@ def rows_of(rng, n=900, copies=60):
     return [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
 
 
-ODD = [(5000, None), (5100, []), (5200, [0.0] * 24), (5300, [float("nan")] * 24), (5400, [float("inf")] + [0.0] * 23), (5500, [None] + [0.5] * 23), (5600, [0.5, -0.25]), (None, [1.0] * 24), (0, [0.25] * 24), (5700, [1e30] * 24)]
+ODD = [(5000, None), (5100, []), (5200, [0.0] * 24), (5300, [float("nan")] * 24), (5400, [float("inf")] + [0.0] * 23), (5500, [None] + [0.5] * 23), (5600, [0.5, -0.25]), (None, [1.0] * 24), (0, [0.25] * 24), (5700, [1e30] * 24), (5701, [-2e30] * 24), (5702, [2e30] * 23 + [-1e38])]
 
 
 @pytest.fixture(scope="module")
@@ -23,14 +23,19 @@ def vectors(spark):
     return rows, spark.createDataFrame([(*r, 1, "x", 0) for r in rows], "vec_id long, embedding array<float>, n int, v string, id int").repartition(3)
 
 
+def ranked(scores, k):
+    """The k largest of (score, id): scores beyond a long are given as the nearest long and ranked as doubles."""
+    told = [(max(min(s, 2**63 - 1), -(2**63)), i, 0.0 if -(2**63) < s < 2**63 - 1 else float(s)) for s, i in scores]
+    return [(n, i, s) for n, (s, i, _) in enumerate(sorted(told, key=lambda x: (-x[0], -x[2], x[1]))[:k], 1)]
+
+
 def best(rows, k):
-    full = [(i, np.array([int(np.floor(1024 * float(np.float32(x)))) for x in v] + [0] * (24 - len(v)), object)) for i, v in rows if i is not None and v and all(x is not None and abs(x) < 65536 for x in v)]
+    full = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v] + [0] * (24 - len(v))) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out, asked = [], set()
     for q, v in full:
         if q % 100 == 0 and q not in asked:
             asked.add(q)
-            found = sorted((-int(v @ w), i) for i, w in full if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
+            out += [(q, *x) for x in ranked([(sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in full if i != q], k)]
     return out
 
 
@@ -45,17 +50,6 @@ def test_top_k(vectors, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(best(rows, 10))
 
 
-def every(rows, k):
-    """As ``best``, with all finite vectors."""
-    full = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows]
-    out = []
-    for q, v in full:
-        if q % 100 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in full if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
-    return out
-
-
 @pytest.mark.parametrize("sizes", [[8192.0, 9000.5], [65536.0, 3e5], [8192.0, 1e6, 3e5, 2e9], [1e4, 2e9, 2e12]])
 def test_large_components_take_part(spark, monkeypatch, sizes):
     rng = np.random.default_rng(6)
@@ -74,7 +68,7 @@ def test_large_components_take_part(spark, monkeypatch, sizes):
         monkeypatch.setattr(mtree, name, value)
     data = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     got = mtree.top_k(data, F.col("vec_id") % 100 == 0, 10).collect()
-    assert sorted(map(tuple, got)) == sorted(every(rows, 10))
+    assert sorted(map(tuple, got)) == sorted(best([(i, v + [0.0] * (24 - len(v))) for i, v in rows], 10))
 
 
 @pytest.mark.parametrize("size", [2**20, 2**26, 2**29, 2**40])
@@ -90,6 +84,21 @@ def test_scores_are_exact_beyond_doubles(monkeypatch, size):
         assert sorted(tree.search(x[q], q, 10, []), reverse=True) == want
 
 
+def test_wide_and_large(spark):
+    """Sums over 1024 components that no double holds."""
+    rng = np.random.default_rng(9)
+    rows = [(50 * i, [float(np.float32(x)) for x in rng.normal(size=1024) * 10 ** (i % 6)]) for i in range(40)]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, 10).collect()
+    assert sorted(map(tuple, got)) == sorted(best(rows, 10))
+
+
+def test_equal_hashes_do_not_make_a_class(spark, monkeypatch):
+    monkeypatch.setattr(multiindex.F, "xxhash64", lambda *c: F.hash(*c).cast("long"))
+    data = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1e200, 1e200]), (5, [1e-200, 1e-200])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.link_vectors(data).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)]
+
+
 def test_few_candidates_and_empty(spark):
     data = spark.createDataFrame([(0, [0.5]), (1, [0.25]), (2, [0.25])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, mtree.top_k(data, F.col("vec_id") % 100 == 0).collect())) == [(0, 1, 1, 512 * 256), (0, 2, 2, 512 * 256)]
