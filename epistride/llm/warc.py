@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.llm.common import by_bytes, maybe_in, new_path, prepare, write_table
+from epistride.llm.common import Scratch, by_bytes, drop_path, maybe_in, new_path, prepare, write_table
 
 #: Payloads from so many bytes are stored once; blocks beyond SEGMENT bytes are split; CHUNK is a transfer chunk.
 LEAST_BYTES = 1000
 SEGMENT = 16_384
 CHUNK = 4_096
-#: Records of an archive file: bounds its size, and so the memory of the task that reads it.
+#: Records of an archive file: a record holds SEGMENT bytes and its header at most, however long the page, so that an archive
+#: holds about 33 MB before compression, and so does the task that reads it.
 RECORDS = 2_000
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -69,19 +70,20 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> str:
     return f"WARC/1.1\r\n{head}\r\n{block.decode()}"
 
 
-def record_id(page, digest: str, uid: int) -> str:
-    return f"<urn:x-page:{'' if page is None else page}:{digest}:{uid}>"
+def record_id(page, digest: str, source: int, nth: int = 1) -> str:
+    """Follows from the row alone: its page, payload and hashed address, and its number among equal rows."""
+    return f"<urn:x-page:{'' if page is None else page}:{digest}:{source}:{nth}>"
 
 
-def records_of(page, url: str | None, digest: str, uid: int, top: dict | None, payload: bytes) -> Iterator[str]:
+def records_of(page, url: str | None, digest: str, source: int, nth: int, top: dict | None, payload: bytes) -> Iterator[str]:
     """The records of a page: a revisit, or a response and its continuations. Without their terminators."""
-    name = record_id(page, digest, uid)
+    name = record_id(page, digest, source, nth)
     stated = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     uri = "".join((url or "").split()) or "urn:x-none"
     common = [("WARC-Target-URI", uri), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", stated), ("Content-Type", "application/http; msgtype=response")]
     if top is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        own = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Refers-To", record_id(top["page_id"], digest, top["uid"])), ("WARC-Profile", profile)]
+        own = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), ("WARC-Refers-To", record_id(top["page_id"], digest, top["source"])), ("WARC-Profile", profile)]
         yield _record([*own, *common], f"{HTTP}Content-Length: {len(payload)}\r\n\r\n".encode())
         return
     block = f"{HTTP}Transfer-Encoding: chunked\r\n\r\n".encode() + chunked(payload)
@@ -102,30 +104,39 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Writes the records of ``pages`` (page_id, url, html) to gzipped archives in a folder.
 
     Of equal payloads from LEAST_BYTES on, the one with the largest page_id is a response and the others revisit it.
-    Null html counts as empty; repeated rows are responses each if their page_id is the largest; a null page_id is
-    smaller than any other.
+    Null html counts as empty; repeated rows give a record each, and are responses if their page_id is the largest; a null
+    page_id is smaller than any other. Names of records don't depend on how rows are dealt to tasks.
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
-    slim = rows.where(F.octet_length("html") >= LEAST_BYTES).groupBy("digest", "page_id").agg(F.min("uid").alias("uid"))
-    largest = slim.groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("top"))
-    revisits = slim.join(largest, "digest").where("NOT page_id <=> top.page_id")
-    revisits = write_table(revisits.select(F.col("page_id").alias("page"), F.col("digest").alias("sha"), "top"), "revisits")
-    touched, rest = maybe_in(rows, "page_id", revisits, "page")  # payloads of other pages stay where they are
-    same = F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("sha"))
-    dealt = touched.join(revisits, same, "left").select("page_id", "url", "html", "digest", "uid", "top")
-    dealt = dealt.union(rest.select("page_id", "url", "html", "digest", "uid", F.lit(None).cast("struct<page_id: bigint, uid: bigint>")))
-
-    def records(batches):
-        for batch in batches:
-            for part in by_bytes(batch, "html"):
-                made = [x for r in part.to_pylist() for x in records_of(r["page_id"], r["url"], r["digest"], r["uid"], r["top"], r["html"].encode())]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
-
-    out = dealt.mapInArrow(records, "value string")
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("source", F.xxhash64(F.coalesce("url", F.lit(""))))
+    with Scratch(pages.sparkSession, "pages") as made:
+        long = F.octet_length("html") >= LEAST_BYTES
+        known = made.write(rows.groupBy("digest", "page_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max(long).alias("long")), "known")
+        largest = known.where("long").groupBy("digest").agg(F.max(F.struct("page_id", "source")).alias("top"))
+        revisits = known.where("long").join(largest, "digest").where("NOT page_id <=> top.page_id OR n > 1")
+        odd = revisits.select("digest", "page_id", "source", "n", F.when(F.expr("NOT page_id <=> top.page_id"), F.col("top")).alias("top"))
+        short = known.where("NOT long AND n > 1").select("digest", "page_id", "source", "n", F.lit(None).cast("struct<page_id: bigint, source: bigint>").alias("top"))
+        odd = made.write(odd.union(short).select(*(F.col(c).alias(f"its {c}") for c in ("digest", "page_id", "source")), "n", "top"), "odd")
+        touched, rest = maybe_in(rows, "page_id", odd, "its page_id")  # payloads of other pages stay where they are
+        same = F.col("page_id").eqNullSafe(F.col("its page_id")) & (F.col("digest") == F.col("its digest")) & (F.col("source") == F.col("its source"))
+        names = ("page_id", "url", "html", "digest", "source")
+        dealt = touched.join(odd, same, "left").select(*names, F.coalesce("n", F.lit(1)).alias("n"), "top")
+        once, several = dealt.where("n = 1"), dealt.where("n > 1").dropDuplicates(["digest", "page_id", "source"])
+        rest = rest.select(*names, F.lit(1).cast("long").alias("n"), F.lit(None).cast("struct<page_id: bigint, source: bigint>").alias("top"))
+
+        def records(batches):
+            for batch in batches:
+                for part in by_bytes(batch, "html"):
+                    made = []
+                    for r in part.to_pylist():
+                        payload = r["html"].encode()
+                        for nth in range(1, r["n"] + 1):
+                            made += records_of(r["page_id"], r["url"], r["digest"], r["source"], nth, r["top"], payload)
+                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
+
+        out = once.union(several).union(rest).mapInArrow(records, "value string")
+        out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def _inflate(data: bytes) -> bytes:
@@ -246,4 +257,5 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     write_archives(pages, path)
     page = lambda c: F.nullif(F.split(F.col(c), ":")[2], F.lit("")).cast("long")
     read = read_archives(pages.sparkSession, path, with_payload=False)
+    drop_path(pages.sparkSession, path)  # read whole by now
     return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "problem")

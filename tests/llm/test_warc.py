@@ -40,15 +40,25 @@ def test_payloads_come_back(pages, spark, tmp_path):
     assert sorted(bytes(r.payload).decode() for r in read) == sorted(h or "" for i, _, h in rows if (i, h) not in {(3, "x" * 1000), (None, "x" * 1000), (5, rows[4][2])})
 
 
+def test_names_follow_from_rows_alone(pages, spark, tmp_path):
+    rows, data = pages
+    found = []
+    for n, dealt in enumerate((data, data.repartition(7, "html").sortWithinPartitions("url"))):
+        warc.write_archives(dealt, f"file://{tmp_path}/{n}")
+        found.append(sorted((r.record_id, r.refers_to or "") for r in warc.read_archives(spark, f"file://{tmp_path}/{n}").collect()))
+    names = {r[0] for r in found[0]}
+    assert found[0] == found[1] and len(names) == len(rows) and {r[1] for r in found[0]} - {""} <= names
+
+
 def test_empty(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_broken_archives_are_told(spark, tmp_path):
     body = b"z" * 50_000
-    whole = [x.encode() + b"\r\n\r\n" for x in warc.records_of(1, "u", hashlib.sha1(body).hexdigest(), 1, None, body)]
+    whole = [x.encode() + b"\r\n\r\n" for x in warc.records_of(1, "u", hashlib.sha1(body).hexdigest(), 1, 1, None, body)]
     assert len(whole) > 2
-    wrong = [x.encode() + b"\r\n\r\n" for x in warc.records_of(2, "u", hashlib.sha1(b"other").hexdigest(), 1, None, b"small")]
+    wrong = [x.encode() + b"\r\n\r\n" for x in warc.records_of(2, "u", hashlib.sha1(b"other").hexdigest(), 1, 1, None, b"small")]
     short = [x.replace(b"Total-Length: ", b"Total-Length: 1").replace(b":1:", b":3:") for x in whole]
     (tmp_path / "a.warc").write_bytes(b"".join([*reversed(whole[:1] + whole[2:]), *wrong, *reversed(short)]))
     got = {r.record_id.split(":")[2]: r.problem for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
