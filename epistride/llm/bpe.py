@@ -1,8 +1,10 @@
-"""Operator 8: byte-level BPE by a distinct-word table, and decoding by a table of pieces.
+"""Operator 8: byte-level BPE by a distinct-word table, and decoding by a join with the table of pieces.
 
 Spark splits texts into words by the vocabulary's pattern. Each block of texts keeps its words as codes into its own list
 of distinct words; the lists go to buckets by word, where each distinct word is encoded once; the ids go back to the
 blocks and are put in place of the codes. So only lists of distinct words cross the network twice, and the codes once.
+For decoding, the distinct ids of each block are joined with the table of ids and pieces (one row an id), and the joined
+pieces meet the block's ids: a block knows no piece but those that the join gave it.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.llm.common import clean, prepare, write_table
+from epistride.llm.common import Scratch, clean, drop_path, prepare, text_bytes, write_table
 from epistride.llm.hashing import ranges, runs, span_hashes, text_buffers
 from epistride.llm.tokens import default_vocabulary, encoder
 
@@ -23,21 +26,28 @@ from epistride.llm.tokens import default_vocabulary, encoder
 SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 SPECIAL = "<|endoftext|>"
+#: Pieces of text that begin with their white space: no token reaches across, whatever the other characters are.
+SAFE = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 
-#: Words (with repeats) of a block: its codes and its word list are held by one task.
+#: Words (with repeats) and their bytes from which a block is full: its codes and its word list are held by one task.
 BLOCK_WORDS = 6_000_000
+BLOCK_BYTES = 32 << 20
+#: Bytes of text that a bucket of words stands for.
+BUCKET_BYTES = 64 << 20
+#: Rows of a table of pieces up to which it is broadcast (about 30 MB); a larger one is joined by a shuffle.
+PIECES = 1 << 20
 BLOCK_ROW = "block long, bucket int, docs array<long>, counts array<int>, codes binary, words binary"
 
 
 def words_of(text: Column) -> Column:
     """Words of a text, in order; they join to the text again. A special string is a word by itself.
 
-    A text with characters that this Java doesn't know stays one word, which the library then splits by its own tables.
+    A text with characters that this Java doesn't know is split before white space alone; the library splits its words further.
     """
     split = lambda x: F.regexp_extract_all(x, F.lit(PATTERN), F.lit(0))
     parts = F.split(text, r"<\|endoftext\|>", -1)
     marked = F.flatten(F.transform(parts, lambda x, i: F.when(i > 0, F.concat(F.array(F.lit(SPECIAL)), split(x))).otherwise(split(x))))
-    return F.when(text.rlike(r"\p{Cn}"), F.array(text)).when(F.contains(text, F.lit(SPECIAL)), marked).otherwise(split(text))
+    return F.when(text.rlike(r"\p{Cn}"), F.regexp_extract_all(text, F.lit(SAFE), F.lit(0))).when(F.contains(text, F.lit(SPECIAL)), marked).otherwise(split(text))
 
 
 def _squeeze(*arrays: np.ndarray) -> bytes:
@@ -82,10 +92,12 @@ class _Block:
         self.ids: list = []
         self.counts: list[np.ndarray] = []
         self.codes: list[np.ndarray] = []
-        self.words = 0
+        self.words = self.bytes = 0
 
     def add(self, ids: pa.Array, words: pa.ListArray) -> None:
-        flat = words.flatten().dictionary_encode()
+        flat = words.flatten()
+        self.bytes += pc.sum(pc.binary_length(flat)).as_py() or 0
+        flat = flat.dictionary_encode()
         code = self.code
         new = np.array([code.setdefault(w, len(code)) for w in flat.dictionary.to_pylist()], np.uint32)
         self.codes.append(new[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint32))
@@ -124,10 +136,12 @@ def _blocks(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
         for batch in batches:
-            block.add(batch.column("id"), batch.column("words"))
-            if block.words >= BLOCK_WORDS:
-                yield send(block)
-                number, block = number + 1, _Block()
+            for i in range(0, batch.num_rows, 64):
+                some = batch.slice(i, 64)
+                block.add(some.column("id"), some.column("words"))
+                if block.words >= BLOCK_WORDS or block.bytes >= BLOCK_BYTES:
+                    yield send(block)
+                    number, block = number + 1, _Block()
         if block.ids:
             yield send(block)
 
@@ -135,7 +149,7 @@ def _blocks(buckets: int):
 
 
 def _encode(path: str):
-    """Group function of a bucket: encodes each distinct word once and gives every block the ids of its words."""
+    """Group function of a bucket: encodes each distinct word once and gives every block the ids of its words, and which they are."""
 
     def run(table: pa.Table) -> pa.Table:
         enc = encoder(path).slow
@@ -144,8 +158,8 @@ def _encode(path: str):
         for r in rows:
             codes, sizes = _unsqueeze(r["codes"])
             text = zstandard.decompress(r["words"])
-            ends = np.cumsum(sizes)
-            lists.append((codes, pa.StringArray.from_buffers(len(codes), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(text))))
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))
+            lists.append((codes, pa.LargeStringArray.from_buffers(len(codes), pa.py_buffer(ends), pa.py_buffer(text))))
         every = pa.chunked_array([x for _, x in lists]).combine_chunks().dictionary_encode()
         distinct = every.dictionary.to_pylist()
         ids: list[list[int]] = []
@@ -159,17 +173,19 @@ def _encode(path: str):
         for r, (codes, _) in zip(rows, lists, strict=True):
             own = indices[at : at + len(codes)]
             at += len(codes)
-            out.append((r["block"], _squeeze(codes, n[own], flat[ranges(first[own], n[own])])))
-        return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "ids": pa.array([x for _, x in out], pa.binary())})
+            its = flat[ranges(first[own], n[own])]
+            out.append((r["block"], _squeeze(codes, n[own], its), np.unique(its).astype(np.int32)))
+        return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "ids": pa.array([r[1] for r in out], pa.binary()), "used": pa.array([r[2] for r in out], pa.list_(pa.int32()))})
 
     return run
 
 
-def _place(path: str, with_ids: bool):
-    """Cogroup function of a block: puts the ids of words in place of their codes, document by document, and decodes them."""
+def _place(with_ids: bool):
+    """Cogroup function of a block: puts the ids of words in place of their codes, document by document, and decodes them by the joined pieces."""
 
-    def run(key, coded: pa.Table, encoded: pa.Table) -> pa.Table:
-        enc = encoder(path)
+    def run(key, coded: pa.Table, joined: pa.Table) -> pa.Table:
+        encoded, pieces = joined.filter(pc.field("ids").is_valid()), joined.filter(pc.field("ids").is_null())
+        piece = dict(zip(pieces.column("number").to_pylist(), pieces.column("piece").to_pylist(), strict=True))
         row = coded.to_pylist()[0]
         codes = _unsqueeze(row["codes"])[0] if row["codes"] else np.zeros(0, np.uint32)
         size = int(codes.max()) + 1 if len(codes) else 0
@@ -185,7 +201,7 @@ def _place(path: str, with_ids: bool):
             own = codes[begin : begin + n]
             begin += n
             ids = table[ranges(start[own], count[own])].astype("<u4")
-            data, text = ids.tobytes(), enc.decode(ids)
+            data, text = ids.tobytes(), b"".join(map(piece.__getitem__, ids.tolist()))
             if with_ids:
                 out.append((len(ids), data, text.decode("utf-8", "replace")))
             else:
@@ -197,6 +213,14 @@ def _place(path: str, with_ids: bool):
     return run
 
 
+def pieces_of(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """number and piece (bytes) of every id of a vocabulary."""
+    pieces = encoder(vocabulary).pieces
+    table = pa.table({"number": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())})
+    rows = spark.createDataFrame(table)
+    return F.broadcast(rows) if len(pieces) <= PIECES else rows
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256 and decoded_sha256 of every row; with_ids: ids (little-endian unsigned 32-bit) and decoded text instead.
 
@@ -206,11 +230,21 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, with_ids:
     spark = docs.sparkSession
     prepare(spark)
     path = vocabulary or default_vocabulary()
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), words_of(clean(text_column)).alias("words"))
-    blocks = write_table(rows.mapInArrow(_blocks(buckets), BLOCK_ROW), "blocks")
-    words = blocks.where("bucket >= 0").select("block", "bucket", "codes", "words")
-    encoded = words.groupBy("bucket").applyInArrow(_encode(path), "block long, ids binary")
-    schema = "id long, n_tokens long, " + ("ids binary, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string")
-    coded = blocks.where("bucket < 0").select("block", "docs", "counts", "codes")
-    return coded.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_place(path, with_ids), schema).withColumnRenamed("id", id_column)
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(texts) // BUCKET_BYTES)
+    rows = texts.select("id", words_of(F.col("text")).alias("words"))
+    with Scratch(spark, "bpe") as made:
+        at = f"{made.folder}/blocks"
+        blocks = rows.mapInArrow(_blocks(buckets), BLOCK_ROW).withColumn("listed", F.col("bucket") >= 0)
+        blocks.write.option("compression", "zstd").partitionBy("listed").parquet(at)
+        blocks = spark.read.schema(blocks.schema).parquet(at)
+        words = blocks.where("listed").select("block", "bucket", "codes", "words")
+        encoded = made.write(words.groupBy("bucket").applyInArrow(_encode(path), "block long, ids binary, used array<int>"), "encoded")
+        drop_path(spark, f"{at}/listed=true")
+        used = encoded.select("block", F.explode("used").alias("number")).distinct()
+        pieces = used.join(pieces_of(spark, path), "number").select("block", F.lit(None).cast("binary").alias("ids"), "number", "piece")
+        joined = encoded.select("block", "ids", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("piece")).union(pieces)
+        schema = "id long, n_tokens long, " + ("ids binary, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string")
+        coded = spark.read.schema(blocks.schema).parquet(at).where("NOT listed").select("block", "docs", "counts", "codes")
+        out = write_table(coded.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(_place(with_ids), schema), "encoded")
+    return out.withColumnRenamed("id", id_column)

@@ -106,10 +106,6 @@ class Encoder:
             logging.getLogger(__name__).warning("%d characters go through the slower library", len(text))
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of ids, by the table of pieces."""
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
-
 
 def safe_pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     """Pieces of about ``most`` characters, split only where no token reaches across; none of these places is inside a special string."""

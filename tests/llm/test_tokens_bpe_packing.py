@@ -57,7 +57,11 @@ def test_bpe_and_back(name, request, library):
     assert got == want
 
 
-def test_bpe_gives_ids_and_texts(hostile):
+@pytest.mark.parametrize("most", [1, 9_000, 60_000])
+def test_bpe_gives_ids_and_texts(hostile, most, monkeypatch):
+    """Also with texts of more bytes than a block holds, and of just so many."""
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", most)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 20_000)
     texts = texts_of(hostile)
     assert {r.doc_id: r.decoded for r in bpe.encode_and_decode(hostile, with_ids=True).collect()} == texts
 
