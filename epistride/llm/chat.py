@@ -26,6 +26,10 @@ END = "</s>\n"
 #: Characters of a streamed delta made from a finished message.
 DELTA = 512
 
+#: Characters of a draft that is thrown away again.
+DRAFT = 32
+
+#: An event; ``seq`` may be of any type that has an order, and orders the events of a conversation.
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string"
 
 
@@ -68,9 +72,8 @@ class Fold:
             known.parts = [text or ""]
         elif kind == "regenerate":
             known.parts = []
-            names = list(self.messages)
-            for later in names[names.index(message) + 1 :]:
-                del self.messages[later]
+            while next(reversed(self.messages)) != message:
+                self.messages.popitem()
         elif kind == "begin":
             known.role = role or ""
             known.parts = [text] if text else []
@@ -79,7 +82,11 @@ class Fold:
         return [(m.role, m.text) for m in self.messages.values()]
 
 
-def render(turns: list[tuple[str, str]], trained: frozenset[str] = frozenset({"assistant"})) -> tuple[str, list[tuple[int, int]]]:
+#: Roles whose texts are trained on.
+TRAINED = frozenset({"assistant"})
+
+
+def render(turns: list[tuple[str, str]], trained: frozenset[str] = TRAINED) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation, and the spans (code points) of texts of trained roles."""
     out, at, spans = [], 0, []
     for role, text in turns:
@@ -106,9 +113,11 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """An event log from finished messages (conv_id, turn, role, text): begin, then the text in deltas.
+    """An event log that ends in the given messages (conv_id, turn, role, text), as a chat service would have written it.
 
-    Messages follow by turn (null first); equal turns by role and then by a hash of the text; repeated rows stay.
+    A trained message begins, streams a draft, is followed by a message, is regenerated (which drops that one) and
+    streams its text in deltas; any other begins with a draft and is edited. ``seq`` is the place in the conversation: turn
+    (null first), for equal turns role, a hash of the text and a number of the row, and the event's step. Repeated rows stay.
     """
     pieces = F.expr(f"transform(sequence(0, greatest(0, (char_length(text) - 1) div {DELTA})), i -> substring(text, i * {DELTA} + 1, {DELTA}))")
     rows = rows.select(
@@ -116,13 +125,20 @@ def events_of(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("message"),
     )
-    log = rows.select("conv_id", "turn", "role", "message", F.xxhash64("text").alias("tie"), F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("seq", "text"))
-    kind = F.when(F.col("seq") == 0, "begin").otherwise("delta")
-    return log.select("conv_id", "turn", "role", "tie", "message", "seq", kind.alias("kind"), "text")
+    message, role = F.col("message"), F.col("role")
+    event = lambda kind, of=message, by=role, text=F.lit(""): F.struct(F.lit(kind).alias("kind"), of.alias("message"), by.alias("role"), text.alias("text"))
+    draft = F.reverse(F.substring("text", 1, DRAFT))
+    streamed = F.concat(
+        F.array(event("begin"), event("delta", text=draft), event("begin", -1 - message, F.lit("user"), draft), event("regenerate")),
+        F.transform(pieces, lambda x: event("delta", text=x)),
+    )
+    edited = F.array(event("begin", text=draft), event("edit", text=F.col("text")))
+    log = rows.select("conv_id", "turn", "role", "message", F.xxhash64("text").alias("tie"), F.posexplode(F.when(role.isin(*TRAINED), streamed).otherwise(edited)).alias("step", "event"))
+    return log.select("conv_id", F.struct("turn", "role", "tie", "message", "step").alias("seq"), "event.*")
 
 
-def format_events(events: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """conv_id, formatted text and loss_spans of every conversation in a log (conv_id, kind, message, role, text and ``order``).
+def format_events(events: DataFrame) -> DataFrame:
+    """conv_id, formatted text and loss_spans of every conversation in a log (conv_id, seq, kind, message, role, text) in any order.
 
     Events without a conversation (null) form one; null texts count as empty; unknown kinds only open their message; an
     empty log gives an empty result; other columns are left out.
@@ -155,13 +171,13 @@ def format_events(events: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataF
             finished()
             yield batch_of()
 
-    dealt = events.repartition("conv_id").sortWithinPartitions("conv_id", *order).select("conv_id", "kind", "message", "role", "text")
+    dealt = events.repartition("conv_id").sortWithinPartitions("conv_id", "seq").select("conv_id", "kind", "message", "role", "text")
     return dealt.mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<begin: bigint, end: bigint>>")
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """Formats finished messages through their event log; see ``events_of`` and ``format_events``."""
-    return format_events(events_of(rows), ("turn", "role", "tie", "message", "seq"))
+    return format_events(events_of(rows))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -41,3 +41,20 @@ def test_sequence_orders_a_log(spark):
     log = [(9, 2, "delta", 1, None, "b"), (9, 1, "delta", 1, None, "a"), (9, 0, "begin", 1, "assistant", None), (9, 3, "edit", 1, None, "c"), (9, 4, "delta", 1, None, "d")]
     row = chat.format_events(spark.createDataFrame(log, chat.EVENTS)).first()
     assert chat.parse(row.formatted) == [("assistant", "cd")] and len(row.loss_spans) == 1
+
+
+def test_events_of_conversations_come_mixed(spark):
+    """Drafts, edits and regenerations of two conversations, out of order and dealt over partitions."""
+    log = [(c, n, *e) for c in (1, 2) for n, e in enumerate([
+        ("begin", 10, "user", "drft"), ("edit", 10, None, f"question {c}"), ("begin", 11, "assistant", None), ("delta", 11, None, "wrong"), ("begin", 12, "user", "why?"),
+        ("begin", 13, "assistant", "because"), ("regenerate", 11, None, None), ("delta", 11, None, "ri"), ("delta", 11, None, f"ght {c}"), ("edit", 12, "user", "thanks"),
+    ])]
+    events = spark.createDataFrame(log[::-1][::3] + log[::-1][1::3] + log[::-1][2::3], chat.EVENTS).repartition(7)
+    got = {r.conv_id: chat.parse(r.formatted) for r in chat.format_events(events).collect()}
+    assert got == {c: [("user", f"question {c}"), ("assistant", f"right {c}"), ("user", "thanks")] for c in (1, 2)}
+
+
+def test_the_log_of_messages_holds_edits_and_regenerations(spark):
+    data = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "x" * 1500)], "conv_id long, turn long, role string, text string")
+    kinds = sorted(r.kind for r in chat.events_of(data).collect())
+    assert kinds == ["begin"] * 3 + ["delta"] * 4 + ["edit", "regenerate"]
