@@ -76,7 +76,7 @@ def op6_minhash(spark, sf_dir):
 @register
 def op7_toxicity(spark, sf_dir):
     scored = toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
 @register

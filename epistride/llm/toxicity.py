@@ -2,8 +2,10 @@
 
 Labels are of whole documents. Evidence of words and of their first letters (log odds of occurring in toxic against clean
 labelled documents) labels the tokens of toxic documents; tokens of clean ones are clean. A chain over two states is
-fitted to these token labels by gradient ascent on their conditional likelihood. Forward-backward marginals give spans,
-and their aggregate, through a logistic fit, the score of a document.
+fitted to these token labels by gradient ascent on their conditional likelihood. Forward-backward marginals over the whole
+document give spans, and their aggregate, through a logistic fit, the score of a document. The recursions go through
+segments of a document side by side: products of their transfer matrices give the messages that enter each segment from
+both sides, so that a chain is never cut.
 """
 
 from __future__ import annotations
@@ -13,21 +15,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epistride.llm.common import by_bytes, clean, prepare, write_table
-from epistride.llm.hashing import U, mix, split_words, span_totals, totals_hash
+from epistride.llm.common import Scratch, by_bytes, clean, prepare
+from epistride.llm.hashing import U, mix, runs, span_totals, split_words, text_buffers, totals_hash
 
-#: Bounds of what is fitted, all documented: labelled rows for evidence (toxic, clean) and for the chain (of each class), bytes of a
-#: text in the latter, kept features. Scoring covers every document whole.
+#: Bounds of what is fitted, all documented: labelled rows for evidence (toxic, clean), labelled rows for the chain (of each
+#: class), and segments of these with and without evidence that its weights are fitted on, those with the smallest hashes.
+#: Scoring covers every document whole.
 EVIDENCE_ROWS = 10_000
 CLEAN_ROWS = 30_000
 CHAIN_ROWS = 300
-CHAIN_BYTES = 1 << 16
-FEATURES = 1 << 16
-#: A chain is cut every so many tokens, so that long texts are scored in bounded memory.
+CHAIN_SEGMENTS, PLAIN_SEGMENTS = 2048, 512
+#: Tokens of a segment.
 SEGMENT = 128
+#: Bytes of a long text whose features are made at once.
+PIECE = 4 << 20
 #: Besides the whole word: its first 4, 5 and 6 bytes.
 PREFIXES = (4, 5, 6)
 LEAST_DOCUMENTS = 5
@@ -93,9 +97,62 @@ class Chain:
     move: np.ndarray
     document: np.ndarray
 
-    def marginals(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Toxic marginals of segments [n, t] given features [n, t, k]; beyond its length a segment's are 0."""
-        return forward_backward(x @ self.emit[1:] + self.emit[0], self.move, lengths)[0]
+
+def marginals(scores: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Marginals of state 1 for the tokens of some texts, given their scores for it; text i has the tokens first[i] to first[i + 1]."""
+    begin, length, owner = segments(first)
+    out = np.zeros(len(scores))
+    if not len(begin):
+        return out
+    m = np.exp(move)
+    e = np.exp(np.clip(scores, -30, 30))
+    order = np.argsort(-length, kind="stable")
+    begin, length, owner = begin[order], length[order], owner[order]
+    steps = [int(np.searchsorted(-length, -i, side="left")) for i in range(int(length[0]))]  # segments longer than i
+
+    # What a segment does to a message that enters it from the left: emission, then move and emission for each further token.
+    q = np.zeros((2, 2, len(begin)))
+    q[0, 0], q[1, 1] = 1, e[begin]
+    for i, n in enumerate(steps[1:], 1):
+        now, x = q[:, :, :n], e[begin[:n] + i]
+        new = np.stack([now[:, 0] * m[0, 0] + now[:, 1] * m[1, 0], (now[:, 0] * m[0, 1] + now[:, 1] * m[1, 1]) * x], axis=1)
+        q[:, :, :n] = new / new.sum(axis=(0, 1))
+    q /= q.sum(axis=(0, 1))
+
+    # Messages at the ends of segments, one segment of every text after another.
+    left, right = np.full((2, len(begin)), 0.5), np.full((2, len(begin)), 0.5)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))  # segments in the order of the texts
+    parts = np.bincount(owner, minlength=len(first) - 1)
+    start = np.cumsum(parts) - parts
+    texts = np.argsort(-parts, kind="stable")
+    for s in range(1, int(parts.max())):
+        n = int(np.searchsorted(-parts[texts], -s, side="left"))
+        own = start[texts[:n]] + s
+        a, b = at[own - 1], at[own]
+        new = m.T @ (left[0, a] * q[0][:, a] + left[1, a] * q[1][:, a])
+        left[:, b] = new / new.sum(axis=0)
+        own = start[texts[:n]] + parts[texts[:n]] - s
+        a, b = at[own - 1], at[own]
+        new = m @ (q[:, 0, b] * right[0, b] + q[:, 1, b] * right[1, b])
+        right[:, a] = new / new.sum(axis=0)
+
+    for i, n in enumerate(steps):
+        here = begin[:n] + i
+        one = left[1, :n] * e[here]
+        share = one / (left[0, :n] + one)
+        out[here] = share  # forward: what the tokens so far say
+        new = m.T @ np.stack([1 - share, share])
+        left[:, :n] = new / new.sum(axis=0)
+    for i in range(len(steps) - 1, -1, -1):
+        n = steps[i]
+        here = begin[:n] + i
+        one = out[here] * right[1, :n]
+        zero = (1 - out[here]) * right[0, :n]
+        out[here] = one / (zero + one)
+        new = m @ np.stack([right[0, :n], right[1, :n] * e[here]])
+        right[:, :n] = new / new.sum(axis=0)
+    return out
 
 
 def forward_backward(scores: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,47 +180,26 @@ def forward_backward(scores: np.ndarray, move: np.ndarray, lengths: np.ndarray)
     return np.where(live, post[:, :, 1] / post.sum(axis=2), 0), pairs, np.log(c).sum(axis=1)
 
 
-def segments(odds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, length and document of the segments of each text, and whether a segment has any evidence."""
+def segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, length and text of the segments of each text, in order."""
     n = np.diff(first)
     parts = -(-n // SEGMENT)
     owner = np.repeat(np.arange(len(n)), parts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
     begin = first[owner] + nth * SEGMENT
-    length = np.minimum(SEGMENT, first[owner + 1] - begin)
-    seen = np.concatenate(([0], np.cumsum((odds != 0).any(axis=0))))
-    return begin, length, owner, seen[begin + length] > seen[begin]
-
-
-def padded(odds: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    t = int(length.max()) if len(length) else 0
-    at = begin[:, None] + np.arange(t)
-    live = np.arange(t) < length[:, None]
-    x = odds[:, np.where(live, at, 0)] * live
-    return np.moveaxis(np.concatenate([x, x.max(axis=0, keepdims=True)]), 0, 2).astype(np.float64)
-
-
-def aggregate(chain: Chain, odds: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Per document: -sum log(1 - p) over its tokens, expected toxic tokens and log tokens; and the marginals by segment."""
-    n = len(first) - 1
-    out = np.zeros((n, 3))
-    out[:, 2] = np.log1p(np.diff(first))
-    begin, length, owner, seen = segments(odds, first)
-    found = []
-    if (~seen).any():  # tokens without evidence: marginals depend on the length of the segment alone
-        x = np.zeros((SEGMENT, SEGMENT, len(odds) + 1))
-        p = chain.marginals(x, np.arange(1, SEGMENT + 1))
-        flat = np.stack([-np.log1p(-np.minimum(p, 1 - 1e-9)).sum(axis=1), p.sum(axis=1)], axis=1)
-        for k in range(2):
-            out[:, k] += np.bincount(owner[~seen], flat[length[~seen] - 1, k], n)
-    some = np.flatnonzero(seen)
-    for i in range(0, len(some), 512):
-        own = some[i : i + 512]
-        p = chain.marginals(padded(odds, begin[own], length[own]), length[own])
-        for k, v in enumerate((-np.log1p(-np.minimum(p, 1 - 1e-9)).sum(axis=1), p.sum(axis=1))):
-            out[:, k] += np.bincount(owner[own], v, n)
-        found.append((begin[own], owner[own], p))
-    return out, found
+    return begin, np.minimum(SEGMENT, first[owner + 1] - begin), owner
+
+
+def with_best(odds: np.ndarray) -> np.ndarray:
+    """Inputs of a token: the odds of each kind of feature, and the largest of them."""
+    return np.concatenate([odds, odds.max(axis=0, keepdims=True)]).T.astype(np.float64)
+
+
+def aggregate(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per document: -sum log(1 - p) over its tokens, expected toxic tokens and log tokens."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    sums = [np.bincount(owner, v, len(first) - 1) for v in (-np.log1p(-np.minimum(p, 1 - 1e-9)), p)]
+    return np.stack([*sums, np.log1p(np.diff(first))], axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
@@ -180,14 +216,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return w
 
 
-def fit_chain(odds: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: int = 100, rate: float = 0.1) -> Chain:
-    """Fits the chain to tokens labelled by their evidence, then the document's logistic fit to document labels."""
-    begin, length, owner, seen = segments(odds, first)
-    keep = np.flatnonzero(seen)
-    plain = np.flatnonzero(~seen)
-    keep = np.sort(np.concatenate([keep, plain[: max(200, len(keep))]]))
-    x, lengths = padded(odds, begin[keep], length[keep]), length[keep]
-    y = ((x[:, :, -1] >= 2.5) & (toxic[owner[keep]] == 1)[:, None]).astype(np.float64)
+def fit_chain(x: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, steps: int = 100, rate: float = 0.1) -> Chain:
+    """Fits the chain to segments [n, t, k] of toxic and clean documents, whose tokens are labelled by their evidence."""
+    y = ((x[:, :, -1] >= 2.5) & (toxic == 1)[:, None]).astype(np.float64)
     emit, move = np.zeros(x.shape[2] + 1), np.zeros((2, 2))
     emit[0] = -2
     live = np.arange(x.shape[1]) < lengths[:, None]
@@ -204,9 +235,7 @@ def fit_chain(odds: np.ndarray, first: np.ndarray, toxic: np.ndarray, steps: int
         step = rate * (state[0] / (1 - 0.9**k)) / (np.sqrt(state[1] / (1 - 0.99**k)) + 1e-6)
         emit, move = emit + step[: emit.size], move + step[emit.size :].reshape(2, 2)
         move -= move[0, 0]
-    chain = Chain(emit, move, np.zeros(4))
-    chain.document = _logistic(aggregate(chain, odds, first)[0], toxic)
-    return chain
+    return Chain(emit, move, np.zeros(4))
 
 
 @dataclass
@@ -215,25 +244,53 @@ class Model:
     chain: Chain | None
     share: float
 
+    def tokens(self, texts: pa.Array):
+        """Inputs of all tokens, their begin and end in the texts' bytes, and the tokens of each text; long texts in pieces."""
+        data, offsets = text_buffers(texts)
+        x, starts, ends = [np.zeros((0, len(PREFIXES) + 2))], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(*_pieces(data), strict=True):
+            inner = offsets[(offsets > lo) & (offsets < hi)] - lo
+            cuts = np.concatenate(([0], inner, [hi - lo])).astype(np.int64)
+            piece = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[lo:hi]))])
+            features, words = features_of(piece)
+            x.append(with_best(self.evidence(features)))
+            starts.append(words.starts + lo)
+            ends.append(words.ends + lo)
+        starts = np.concatenate(starts)
+        return np.concatenate(x), starts, np.concatenate(ends), np.searchsorted(starts, offsets), data, offsets
+
     def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         """Scores and toxic spans (code points) of whole texts."""
-        if self.chain is None:
-            return np.full(len(texts), self.share), [[] for _ in range(len(texts))]
-        features, words = features_of(texts)
-        odds = self.evidence(features)
-        x, found = aggregate(self.chain, odds, words.first)
-        score = 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ self.chain.document, -30, 30)))
         spans: list[list[dict]] = [[] for _ in range(len(texts))]
-        bases: dict[int, np.ndarray] = {}
-        for begin, owner, p in found:
-            for row, at in zip(*np.nonzero(p > 0.5), strict=True):
-                doc, word = int(owner[row]), int(begin[row] + at)
-                if doc not in bases:
-                    lo, hi = int(words.offsets[doc]), int(words.offsets[doc + 1])
-                    bases[doc] = np.concatenate(([0], np.cumsum((words.data[lo:hi] & 0xC0) != 0x80)))
-                own, lo = bases[doc], int(words.offsets[doc])
-                spans[doc].append({"begin": int(own[words.starts[word] - lo]), "end": int(own[words.ends[word] - lo]), "marginal": float(p[row, at])})
-        return score, [sorted(s, key=lambda v: v["begin"]) for s in spans]
+        if self.chain is None:
+            return np.full(len(texts), self.share), spans
+        x, starts, ends, first, data, offsets = self.tokens(texts)
+        p = marginals(x @ self.chain.emit[1:] + self.chain.emit[0], first, self.chain.move)
+        inputs = np.column_stack([np.ones(len(texts)), aggregate(p, first)])
+        score = 1 / (1 + np.exp(-np.clip(inputs @ self.chain.document, -30, 30)))
+        found = np.flatnonzero(p > 0.5)
+        owner = np.searchsorted(first, found, side="right") - 1
+        for a, b in runs(owner):
+            doc, own = int(owner[a]), found[a:b]
+            lo, hi = int(offsets[doc]), int(offsets[doc + 1])
+            points = np.concatenate(([0], np.cumsum((data[lo:hi] & 0xC0) != 0x80)))  # code points before each byte
+            for k in own.tolist():
+                spans[doc].append({"begin": int(points[starts[k] - lo]), "end": int(points[ends[k] - lo]), "marginal": float(p[k])})
+        return score, spans
+
+
+def _pieces(data: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of pieces of about PIECE bytes that end where no token goes on."""
+    cuts = [0]
+    while len(data) - cuts[-1] > PIECE:
+        at = cuts[-1] + PIECE
+        while at < len(data) and _LETTER[data[at]]:
+            other = np.flatnonzero(~_LETTER[data[at : at + PIECE]])
+            at += int(other[0]) if len(other) else min(PIECE, len(data) - at)
+        cuts.append(at)
+    if cuts[-1] < len(data):
+        cuts.append(len(data))
+    return cuts[:-1], cuts[1:]
 
 
 def _counted(batches):
@@ -256,43 +313,86 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(bad), pa.array(n - bad)], ["h", "toxic", "clean"])
 
 
+def _segment_rows(model: Model):
+    """Arrow function: inputs of the tokens of each segment of labelled texts, one after another, and whether any has evidence."""
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch):
+                x, _, _, first, _, _ = model.tokens(part.column("text"))
+                begin, length, owner = segments(first)
+                lists = [x[a : a + n].astype(np.float32).reshape(-1) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = [part.column(c).take(pa.array(owner)) for c in ("id", "toxic")]
+                seen = pa.array([bool(v.any()) for v in lists], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(owner))), seen, pa.array(lists, pa.list_(pa.float32()))], ["id", "toxic", "nth", "seen", "x"])
+
+    return run
+
+
+def _document_rows(model: Model):
+    """Arrow function: the label and the aggregate of the marginals of labelled texts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes(batch):
+                x, _, _, first, _, _ = model.tokens(part.column("text"))
+                told = aggregate(marginals(x @ model.chain.emit[1:] + model.chain.emit[0], first, model.chain.move), first)
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(told[:, k].copy()) for k in range(3))], ["toxic", "a", "b", "c"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     """Fits the model on labelled rows for which the column ``train`` (of ``id``) holds.
 
     Evidence comes from at most EVIDENCE_ROWS toxic and CLEAN_ROWS clean labelled documents, those with the smallest hash of their id;
-    texts that occur several times count once. ``docs`` has id and text, ``labels`` id and toxic.
+    texts that occur several times count once. Weights of the chain come from CHAIN_SEGMENTS segments with and
+    PLAIN_SEGMENTS without evidence out of CHAIN_ROWS documents of each class, whatever their length, and the weights of
+    documents from all of these documents. ``docs`` has id and text, ``labels`` id and toxic.
     """
     known = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     if train is not None:
         known = known.where(train)
     order = F.xxhash64("id", F.lit(17))
     ids = known.where("toxic = 1").orderBy(order).limit(EVIDENCE_ROWS).union(known.where("toxic = 0").orderBy(order).limit(CLEAN_ROWS))
-    sample = docs.join(F.broadcast(ids), "id").withColumn("key", F.xxhash64("text"))  # ids: at most EVIDENCE_ROWS + CLEAN_ROWS rows
-    first = sample.groupBy("key").agg(F.min("id").alias("id"))
-    sample = write_table(sample.join(F.broadcast(first), ["key", "id"]).dropDuplicates(["key"]).select("id", "text", "toxic"), "labelled")
-    sizes = dict(sample.groupBy("toxic").count().collect())
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad or not good:
-        return Model(None, None, bad / max(1, bad + good))
+    found = docs.join(F.broadcast(ids), "id").withColumn("key", F.xxhash64("text"))  # ids: at most EVIDENCE_ROWS + CLEAN_ROWS rows
+    first = found.groupBy("key").agg(F.min("id").alias("id"))
+    with Scratch(docs.sparkSession, "toxicity") as made:
+        sample = made.write(found.join(first, ["key", "id"]).dropDuplicates(["key"]).select("id", "text", "toxic"), "labelled")
+        sizes = dict(sample.groupBy("toxic").count().collect())
+        bad, good = sizes.get(1, 0), sizes.get(0, 0)
+        if not bad or not good:
+            return Model(None, None, bad / max(1, bad + good))
+        model = Model(_evidence(sample, bad, good), None, known.agg(F.avg("toxic")).first()[0])
+        part = [sample.where(F.col("toxic") == y).orderBy(order).limit(CHAIN_ROWS) for y in (1, 0)]
+        part = made.write(part[0].union(part[1]).repartition(8), "chain")
+        cut = made.write(part.mapInArrow(_segment_rows(model), f"id {dict(part.dtypes)['id']}, toxic int, nth long, seen boolean, x array<float>"), "segments")
+        order = F.xxhash64("id", "nth"), F.col("id"), F.col("nth")
+        some = cut.where("seen").orderBy(*order).limit(CHAIN_SEGMENTS).union(cut.where("NOT seen").orderBy(*order).limit(PLAIN_SEGMENTS)).toArrow()  # bounded by both
+        width = len(PREFIXES) + 2
+        lengths = np.diff(some.column("x").combine_chunks().offsets.to_numpy()) // width if some.num_rows else np.zeros(0, int)
+        if not len(lengths):
+            return Model(None, None, model.share)
+        x = np.zeros((len(lengths), int(lengths.max()), width))
+        x[np.arange(x.shape[1]) < lengths[:, None]] = some.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        model.chain = fit_chain(x, lengths, some.column("toxic").to_numpy())
+        rows = part.mapInArrow(_document_rows(model), "toxic int, a double, b double, c double").collect()  # at most 2 * CHAIN_ROWS
+    toxic = np.array([r.toxic for r in rows], float)
+    model.chain.document = _logistic(np.array([r[1:] for r in sorted(rows)]), np.sort(toxic))
+    # The sample holds the classes about evenly; the constant goes back to the labelled share.
+    model.chain.document[0] += np.log(model.share / (1 - model.share)) - np.log(toxic.mean() / (1 - toxic.mean()))
+    return model
+
+
+def _evidence(sample: DataFrame, bad: int, good: int) -> Evidence:
+    """The features of a bounded sample whose counts tell toxic from clean documents beyond chance."""
     counted = sample.select("text", "toxic").mapInArrow(_counted, "h long, toxic long, clean long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
     part = lambda n, share: F.when(n > 0, n * F.log(n / ((F.col("toxic") + F.col("clean")) * share))).otherwise(0.0)
     ratio = 2 * (part(F.col("toxic"), bad / (bad + good)) + part(F.col("clean"), good / (bad + good)))
     telling = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", odds).where("odds >= 1.5").where(ratio >= LEAST_RATIO)
-    rows = telling.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "h").limit(FEATURES).select("h", "odds").collect()  # bounded by FEATURES
-    evidence = Evidence(np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.odds for r in rows]))
-    short = sample.where(F.octet_length("text") <= CHAIN_BYTES)
-    part = [short.where(F.col("toxic") == y).orderBy(order).limit(CHAIN_ROWS) for y in (1, 0)]
-    rows = sorted(part[0].union(part[1]).select("id", "text", "toxic").collect(), key=lambda r: r.id)
-    if len({r.toxic for r in rows}) < 2:
-        return Model(None, None, bad / (bad + good))
-    features, words = features_of(pa.array([r.text for r in rows], pa.string()))
-    toxic = np.array([r.toxic for r in rows], float)
-    chain = fit_chain(evidence(features), words.first, toxic)
-    # The sample holds the classes about evenly; the constant goes back to the labelled share.
-    share = known.agg(F.avg("toxic")).first()[0]
-    chain.document[0] += np.log(share / (1 - share)) - np.log(toxic.mean() / (1 - toxic.mean()))
-    return Model(evidence, chain, share)
+    rows = sorted(telling.select("h", "odds").collect())
+    return Evidence(np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.odds for r in rows]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train=None, threshold: float = 0.3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import brute
@@ -70,6 +71,46 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(pairs, total)
 
 
+def plain_score(model, text):
+    """Score and spans by plain recursions over the whole text, token by token."""
+    data = (text or "").encode()
+    odds_of = dict(zip(model.evidence.hashes.tolist()[1:], model.evidence.odds.tolist()[1:], strict=True))
+    m = np.exp(model.chain.move)
+    spans, e = [], []
+    for t in re.finditer(rb"[A-Za-z\x80-\xff]+", data):
+        word = t[0].decode(errors="surrogateescape") if t[0].isascii() else t[0].decode()
+        own = [odds_of.get(int(h), 0.0) if h else 0.0 for h in toxicity.features_of(pa.array([word]))[0][:, 0]]
+        e.append(float(np.exp(np.clip(np.array([*own, max(own)]) @ model.chain.emit[1:] + model.chain.emit[0], -30, 30))))
+        spans.append((len(data[: t.start()].decode()), len(data[: t.end()].decode())))
+    a, b = [], np.array([0.5, 0.5])
+    for i, x in enumerate(e):
+        v = (a[-1] @ m if i else np.array([0.5, 0.5])) * [1, x]
+        a.append(v / v.sum())
+    p = [0.0] * len(e)
+    for i in range(len(e) - 1, -1, -1):
+        v = a[i] * b
+        p[i] = v[1] / v.sum()
+        b = m @ (b * [1, e[i]])
+        b /= b.sum()
+    inputs = np.array([1, sum(-np.log1p(-min(x, 1 - 1e-9)) for x in p), sum(p), np.log1p(len(p))])
+    return 1 / (1 + np.exp(-np.clip(inputs @ model.chain.document, -30, 30))), [(*s, x) for s, x in zip(spans, p, strict=True) if x > 0.5]
+
+
+@pytest.mark.parametrize("piece", [1 << 22, 50])
+def test_scores_and_spans_against_plain_recursions(spark, hostile, piece, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit(docs.select(F.col("doc_id").alias("id"), "text"), labels.select(F.col("doc_id").alias("id"), "toxic"))
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    texts = [r.text for r in hostile.collect()] + [r.text for r in docs.limit(150).collect()]
+    texts += ["\u00e9t\u00e9 you idiot " + "fine words here " * 300 + "moron, idiots! " + "more " * 127, " ".join(["idiot"] * 400), "idiot"]
+    scores, spans = model.score(pa.array(texts, pa.string()))
+    for text, score, found in zip(texts, scores, spans, strict=True):
+        want, told = plain_score(model, text)
+        assert np.isclose(score, want, rtol=1e-6) and [(s["begin"], s["end"]) for s in found] == [t[:2] for t in told]
+        assert np.allclose([s["marginal"] for s in found], [t[2] for t in told])
+    assert sum(map(len, spans)) > 400
+
+
 def test_words_of_other_scripts():
     w = split_words(pa.array(["Été, X-y", None, ""]), lower=True, inside=toxicity._LETTER)
     assert [bytes(w.data[a:b]).decode() for a, b in zip(w.starts, w.ends, strict=True)] == ["Été", "x", "y"] and w.first.tolist() == [0, 3, 3, 3]
