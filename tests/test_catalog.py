@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -40,6 +42,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_the_catalog_stands_without_the_optional_part():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op1_') for n in q)"
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.abspath(entry.__file__))}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=120)
+
+
 def test_nothing_but_the_entry_knows_the_optional_part():
     root = os.path.dirname(os.path.abspath(entry.__file__))
     for folder, _, files in os.walk(f"{root}/epistride"):
