@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from epistride.llm import minhash, packing, substrings, toxicity
-from epistride.llm.common import write_table
+from epistride.llm.common import Scratch, write_table
 
 #: Documents from this toxicity score on go.
 TOXIC = 0.3
@@ -49,6 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark, "pipeline") as made:
+        for _, stage in STAGES[:-1]:
+            docs = made.write(stage(spark, docs, sf_dir), "docs")
+        return write_table(STAGES[-1][1](spark, docs, sf_dir), "packed")
