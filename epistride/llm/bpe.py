@@ -241,7 +241,8 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, with_ids:
         words = blocks.where("listed").select("block", "bucket", "codes", "words")
         encoded = made.write(words.groupBy("bucket").applyInArrow(_encode(path), "block long, ids binary, used array<int>"), "encoded")
         drop_path(spark, f"{at}/listed=true")
-        used = encoded.select("block", F.explode("used").alias("number")).distinct()
+        used = encoded.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))  # no more than the block has words
+        used = used.select("block", F.explode("used").alias("number"))
         pieces = used.join(pieces_of(spark, path), "number").select("block", F.lit(None).cast("binary").alias("ids"), "number", "piece")
         joined = encoded.select("block", "ids", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("piece")).union(pieces)
         schema = "id long, n_tokens long, " + ("ids binary, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string")
