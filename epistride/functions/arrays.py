@@ -245,7 +245,7 @@ def bilinear(values: Column, h: int, w: int, x: Column, y: Column) -> Column:
 def percentile_rank(values: Column, x: Column) -> Column:
     """Share of finite cells that aren't above x."""
     fit = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
-    return F.when(F.size(fit) > 0, F.size(F.filter(fit, lambda v: v <= x)) / F.size(fit))
+    return F.when((F.size(fit) > 0) & x.isNotNull(), F.size(F.filter(fit, lambda v: v <= x)) / F.size(fit))
 
 
 def population_std(values: Column) -> Column:
@@ -268,7 +268,7 @@ def sign_changes(values: Column, dead: Column) -> Column:
 
 def ring(h: int, w: int, share: float = 0.1) -> list[int]:
     """Cells within the border of a map."""
-    b = max(1, round(min(h, w) * share))
+    b = max(1, int(min(h, w) * share))
     return [i * w + j for i in range(h) for j in range(w) if i < b or j < b or i >= h - b or j >= w - b]
 
 

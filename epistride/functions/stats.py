@@ -1,4 +1,4 @@
-"""Rank statistics and intervals from histograms of scores: exact with ties, and one row per distinct score in every window."""
+"""Rank statistics and intervals from histograms of scores: exact with ties; sums over an order go range by range."""
 
 from __future__ import annotations
 
@@ -13,19 +13,52 @@ def histogram(rows: DataFrame, score: str, positive: Column, by: list[str]) -> D
     return rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
 
 
+#: Ranges of an order at most (as many as shuffle partitions below), and rows of the sample that their edges come from.
+RANGES, EDGES = 256, 4096
+
+
+def sums_before(rows: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
+    """Adds for each of ``values`` its sum over the rows of the group with a smaller ``at`` (before_*), and over the group (all_*).
+
+    ``at`` is distinct within a group and may be of any type with an order (null first). Edges from a bounded sample cut
+    the order into ranges; each range is a window of its own and gets the total of the ranges before it, so that no task
+    holds a group, however large.
+    """
+    key = F.xxhash64(at)
+    sample = sorted(r[0] for r in rows.select(at).where(F.col(at).isNotNull()).orderBy(key, at).limit(EDGES).collect())
+    ranges = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set(sample[:: -(-len(sample) // ranges)] if sample else []))
+    part = sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    rows = rows.withColumn("_part", part)
+    totals = rows.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    every = Window.partitionBy(*(by or [F.lit(1)]))  # at most RANGES rows a group
+    before = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"_b_{v}": F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)) for v in values} | {f"all_{v}": F.sum(f"_s_{v}").over(every) for v in values}
+    totals = totals.withColumns(sums).select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_part").alias("_t_part"), *sums)
+    same = F.col("_part") == F.col("_t_part")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    own = Window.partitionBy(*by, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({f"_o_{v}": F.coalesce(F.sum(v).over(own), F.lit(0)) for v in values}).join(totals, same)
+    return out.select(*[c for c in rows.columns if c != "_part"], *[(F.col(f"_o_{v}") + F.col(f"_b_{v}")).alias(f"before_{v}") for v in values], *[f"all_{v}" for v in values])
+
+
+def numbered(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Adds i, the place of each row in its group by the distinct ``key`` (from 0), and n, the rows of the group."""
+    out = sums_before(rows.withColumn("_one", F.lit(1).cast("long")), by, key, ["_one"])
+    return out.select(*rows.columns, F.col("before__one").alias("i"), F.col("all__one").alias("n"))
+
+
 def rank_metrics(rows: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
     """Per group n_pos, n_neg, auroc (ties count half), average_precision (tied scores are one threshold), u and z of Mann-Whitney.
 
     z has the corrections for ties and continuity. Metrics are null where a class is missing.
     """
-    h = histogram(rows, score, positive, by)
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    below = part.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    above = part.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumns({"under": F.coalesce(F.sum("neg").over(below), F.lit(0)), "tp": F.sum("pos").over(above), "k": F.sum(F.col("pos") + F.col("neg")).over(above), "t": F.col("pos") + F.col("neg")})
+    h = sums_before(histogram(rows, score, positive, by), by, "s", ["pos", "neg"])
+    tp, k, t = F.col("all_pos") - F.col("before_pos"), F.col("all_pos") + F.col("all_neg") - F.col("before_pos") - F.col("before_neg"), F.col("pos") + F.col("neg")
     out = h.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2)).alias("u"),
-        F.sum(F.col("pos") * F.col("tp") / F.col("k")).alias("ap"), F.sum(F.col("t").cast("double") * (F.col("t") * F.col("t") - 1)).alias("ties"),
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"),
+        F.sum(F.col("pos") * tp / k).alias("ap"), F.sum(t.cast("double") * (t * t - 1)).alias("ties"),
     )
     p, q, n = F.col("n_pos"), F.col("n_neg"), F.col("n_pos") + F.col("n_neg")
     both = (p > 0) & (q > 0)
@@ -101,9 +134,8 @@ def cluster_bootstrap(rows: DataFrame, units: DataFrame, key: str, score: str, l
     Draws give each unit a multiplicity, and histograms of scores are weighted by it. Tied scores count half in auroc and
     are one threshold in ap; null scores are left out.
     """
-    n = units.count()
-    placed = units.withColumn("i", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
-    picked = placed.select("i", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("draw", draw(F.lit(n), seed, F.col("draw"), F.col("i")).alias("i"))
+    placed = numbered(units, [], key)
+    picked = placed.select("i", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("draw", draw(F.col("n"), seed, F.col("draw"), F.col("i")).alias("i"))
     times = picked.groupBy("draw", "i").agg(F.count(F.lit(1)).alias("c")).join(placed, "i").select("draw", key, "c")
     each = histogram(rows, score, F.col(label) == 1, [key])
     h = each.join(times, key).groupBy("draw", "s").agg(F.sum(F.col("pos") * F.col("c")).alias("pos"), F.sum(F.col("neg") * F.col("c")).alias("neg"))
@@ -118,13 +150,12 @@ def cluster_bootstrap(rows: DataFrame, units: DataFrame, key: str, score: str, l
 
 
 def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The adjusted Rand index of two labellings, from their contingency counts."""
+    """The adjusted Rand index of two labellings, from their contingency counts; no row for an empty table."""
     pairs = lambda n: n * (n - 1) / 2
     cells = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    side = lambda c: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("s"))
-    both = cells.agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("n")).first()
-    left, right = side(a).first().s, side(b).first().s
-    expected = left * right / (both.n * (both.n - 1) / 2)
-    best = (left + right) / 2
-    value = 1.0 if best == expected else (both.s - expected) / (best - expected)
-    return rows.sparkSession.createDataFrame([(float(value),)], "ari double")
+    side = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias(name)).withColumn("one", F.lit(1))
+    both = cells.agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("n")).where("n > 0").withColumn("one", F.lit(1))
+    sums = both.join(side(a, "l"), "one").join(side(b, "r"), "one")  # one row each
+    expected = F.when(F.col("n") > 1, F.col("l") * F.col("r") / pairs(F.col("n"))).otherwise(0.0)
+    best = (F.col("l") + F.col("r")) / 2
+    return sums.select(F.when(best == expected, 1.0).otherwise((F.col("s") - expected) / F.nullif(best - expected, F.lit(0.0))).alias("ari"))

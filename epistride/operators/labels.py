@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from epistride.operators.sequence import in_order
+from epistride.functions.stats import numbered, sums_before
 
 
 def online_labels(steps: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
@@ -24,38 +24,56 @@ def far_threshold(scores: DataFrame, score: str, by: list[str], most: float = 0.
     successful episodes' maxima, so one row per distinct maximum is enough.
     """
     top = scores.where("success").groupBy(*by, "episode_key").agg(F.max(score).alias("m")).groupBy(*by, "m").agg(F.count(F.lit(1)).alias("c"))
-    part = Window.partitionBy(*by)
-    ranked = top.withColumn("reach", F.sum("c").over(part.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(part))
-    limit = ranked.where(F.col("reach") > F.floor(most * F.col("n") + 1e-12)).groupBy(*by).agg(F.max("m").alias("limit"))
+    ranked = sums_before(top.where("m IS NOT NULL"), by, "m", ["c"])
+    reach = F.col("all_c") - F.col("before_c")
+    limit = ranked.where(reach > F.floor(most * F.col("all_c") + 1e-12)).groupBy(*by).agg(F.max("m").alias("limit"))
     return scores.join(limit, by, "left").groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("limit").isNull() | (F.col(score) > F.col("limit")), F.col(score))), F.lit(float("inf"))).alias("threshold"))
 
 
-def detector_alerts(score: Column, threshold: Column) -> dict[str, Column]:
-    """T0: a score reaches the threshold; T1: the mean of three scores does; T2: two scores in a row do."""
-    frame = in_order().rowsBetween(-2, 0)
+def detector_alerts(score: Column, threshold: Column, part: WindowSpec) -> dict[str, Column]:
+    """T0: a score reaches the threshold; T1: the mean of three scores does; T2: two scores in a row do. ``part``: steps in order."""
+    frame = part.rowsBetween(-2, 0)
     hit = score >= threshold
     return {
         "T0": F.coalesce(hit, F.lit(False)),
         "T1": F.coalesce(F.when(F.count(score).over(frame) == 3, F.avg(score).over(frame) >= threshold), F.lit(False)),
-        "T2": F.coalesce(hit & F.lag(hit).over(in_order()), F.lit(False)),
+        "T2": F.coalesce(hit & F.lag(hit).over(part), F.lit(False)),
     }
 
 
-def group_folds(sizes: list[tuple[object, int]], folds: int = 5) -> dict[object, int]:
-    """Folds of whole groups: the largest first (ties by key), each into the fold with the fewest rows so far."""
-    load, out = [0] * folds, {}
-    for key, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        fold = min(range(folds), key=lambda f: (load[f], f))
-        out[key] = fold
-        load[fold] += n
+def fold_runs(sizes: list[tuple[int, int]], folds: int = 5) -> list[tuple[int, int, int, list[int]]]:
+    """Deals groups, the largest first, each into the fold with the fewest rows so far (the lower one on ties).
+
+    ``sizes`` holds how many groups there are of each size. Groups of a size are dealt in runs: (size, first and last + 1 of
+    the run by rank in the size, folds in turn). A run goes through the folds that lie within one group of the emptiest as
+    long as no other comes within its reach, so that runs are few, however many groups there are.
+    """
+    load, out = [0] * folds, []
+    for n, c in sorted(sizes, reverse=True):
+        start = 0
+        while start < c:
+            turn = sorted(range(folds), key=lambda f: (load[f], f))
+            low = load[turn[0]]
+            near = [f for f in turn if load[f] < low + n]
+            rest = [load[f] for f in turn if load[f] >= low + n]
+            rounds = (min(rest) - low) // n if rest else c
+            take = min(c - start, rounds * len(near))
+            out.append((n, start, start + take, near))
+            for k, f in enumerate(near):
+                load[f] += n * (take // len(near) + (k < take % len(near)))
+            start += take
     return out
 
 
-def with_folds(rows: DataFrame, group: str, folds: int = 5, most: int = 1_000_000) -> DataFrame:
-    """Adds the fold of each row's group. The map has an entry per group; beyond ``most`` groups folds come from a hash instead."""
+def with_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """Adds the fold of each row's group: the largest groups first (ties by key), each into the fold with the fewest rows so far.
+
+    Only the histogram of group sizes comes to the driver; a group finds its fold from its rank among those of its size.
+    """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.count() > most:
-        return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
-    found = group_folds([(r[0], r[1]) for r in sizes.collect()], folds)
-    table = rows.sparkSession.createDataFrame(list(found.items()), f"{group} {dict(rows.dtypes)[group]}, fold int")
-    return rows.join(table, group)
+    counts = [(r.n, r.c) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    runs = rows.sparkSession.createDataFrame(fold_runs(counts, folds), "size long, first long, last long, turn array<int>")
+    ranked = numbered(sizes.withColumnRenamed("n", "size"), ["size"], group).select(group, "size", "i")
+    found = ranked.join(runs, "size").where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last")))
+    fold = F.get("turn", ((F.col("i") - F.col("first")) % F.size("turn")).cast("int"))
+    return rows.join(found.select(group, fold.alias("fold")), group)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -56,16 +57,88 @@ def family_scores(rows: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     return rows.withColumns({f"family_{name}": sum((unit(c) for c in cs), F.lit(0.0)) / len(cs) for name, cs in families.items()})
 
 
+def contrast(centre) -> float:
+    """The first feature's mean against that of the others: what clusters are numbered by."""
+    return float(centre[0] - (sum(centre[1:]) / len(centre[1:]) if len(centre) > 1 else 0.0))
+
+
+#: Rows, by the smallest hashes, that starting centres are drawn from; rounds at most.
+STARTS, ROUNDS = 4096, 100
+
+
 def clusters(rows: DataFrame, features: list[str], k: int, tries: int = 10, seed: int = 0) -> DataFrame:
-    """Adds a cluster by the best of several k-means fits; clusters are numbered by their first feature's mean, largest first."""
-    ready = VectorAssembler(inputCols=features, outputCol="z").transform(rows).cache()
-    best = min((KMeans(featuresCol="z", k=k, seed=seed + i).fit(ready) for i in range(tries)), key=lambda m: m.summary.trainingCost)
-    order = sorted(range(k), key=lambda c: -best.clusterCenters()[c][0])
-    name = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
-    return best.transform(ready).withColumn("cluster", name[F.col("prediction")]).drop("z", "prediction")
+    """Adds a cluster by the best of several k-means fits, numbered by ``contrast``, largest first.
+
+    All fits go on side by side: a round is one pass over the rows, whose tasks return sums for every fit. Rows with a
+    null feature get a null cluster; an empty table stays empty; features that hold fewer than k distinct rows give fewer
+    clusters.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    points = rows.select(x.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).persist()
+    sample = np.array([r.x for r in points.orderBy(F.xxhash64("x"), "x").limit(STARTS).collect()]).reshape(-1, len(features))
+    if not len(sample):
+        points.unpersist()
+        return rows.withColumn("cluster", F.lit(None).cast("int"))
+    rng = np.random.default_rng(seed)
+    centres = np.array([_spread(sample, k, rng) for _ in range(tries)])
+    for _ in range(ROUNDS):
+        counts, sums, costs = _round(points, centres)
+        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres)
+        if np.allclose(moved, centres, rtol=0, atol=1e-9 * (1 + np.abs(centres).max())):
+            break
+        centres = moved
+    points.unpersist()
+    best = int(costs.argmin())
+    found = sorted((c for c, n in zip(centres[best].tolist(), counts[best].tolist(), strict=True) if n), key=contrast, reverse=True)
+    away = F.array(*[sum((F.pow(x[i] - v, F.lit(2)) for i, v in enumerate(c)), F.lit(0.0)) for c in found])
+    return rows.withColumn("cluster", F.nullif(F.array_position(away, F.array_min(away)) - 1, F.lit(-1)).cast("int"))
+
+
+def _spread(sample: np.ndarray, k: int, rng) -> np.ndarray:
+    """Starting centres: each further one is drawn by its squared distance from those before."""
+    out = sample[rng.integers(len(sample), size=1)]
+    while len(out) < k:
+        d = ((sample[:, None] - out[None]) ** 2).sum(axis=2).min(axis=1)
+        out = np.concatenate([out, sample[rng.choice(len(sample), size=1, p=d / d.sum() if d.sum() else None)]])
+    return out
+
+
+def _round(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and sums of each cluster of every fit, and the cost of every fit; a task returns one row for each fit."""
+    tries, k, d = centres.shape
+
+    def run(batches):
+        counts, sums, costs = np.zeros((tries, k)), np.zeros((tries, k, d)), np.zeros(tries)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for t in range(tries):
+                away = ((x[:, None] - centres[t][None]) ** 2).sum(axis=2)
+                near = away.argmin(axis=1)
+                counts[t] += np.bincount(near, minlength=k)
+                np.add.at(sums[t], near, x)
+                costs[t] += away.min(axis=1).sum()
+        flat = np.concatenate([counts, sums.reshape(tries, -1), costs[:, None]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tries, dtype=np.int32)), pa.array(list(flat), pa.list_(pa.float64()))], ["t", "v"])
+
+    width = k + k * d + 1
+    total = points.mapInArrow(run, "t int, v array<double>").groupBy("t").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width)]).orderBy("t").collect()
+    v = np.array([r[1:] for r in total])
+    return v[:, :k], v[:, k:-1].reshape(tries, k, d), v[:, -1]
 
 
 def silhouette(rows: DataFrame, features: list[str], cluster: str = "cluster") -> float:
     """Mean silhouette with squared distances, which needs no pairs of rows."""
     ready = VectorAssembler(inputCols=features, outputCol="z").transform(rows.withColumn("c", F.col(cluster).cast("double")))
     return ClusteringEvaluator(featuresCol="z", predictionCol="c").evaluate(ready)
+
+
+def cluster_quality(rows: DataFrame, features: list[str], most: int = 4, tries: int = 100, smallest: int = 2) -> DataFrame:
+    """k, silhouette (squared distances), sizes, smallest size and whether it suffices, for k from 2 to ``most`` (below the number of rows)."""
+    n, out = rows.count(), []
+    for k in range(2, min(most, n - 1) + 1):
+        found = clusters(rows, features, k, tries).persist()
+        sizes = sorted((r["count"] for r in found.groupBy("cluster").count().collect()), reverse=True)  # at most k rows
+        value = silhouette(found, features) if len(sizes) > 1 else None
+        out.append((k, value, ";".join(map(str, sizes)), sizes[-1], sizes[-1] >= smallest and len(sizes) == k))
+        found.unpersist()
+    return rows.sparkSession.createDataFrame(out, "k int, silhouette double, cluster_sizes string, min_cluster_size long, eligible boolean")

@@ -54,22 +54,25 @@ def best_so_far(x: Column) -> Column:
     return F.max(x).over(so_far())
 
 
-def plateau_onset(steps: DataFrame, progress: str = "p", window: int = 10, eps: float = 0.02, min_start: int = 20) -> DataFrame:
-    """episode_key, num_steps, max_progress and onset: the first place from which progress never recovers.
+def with_onset(steps: DataFrame, progress: str = "p", window: int = 10, eps: float = 0.02, min_start: int = 20) -> DataFrame:
+    """Adds onset: the first place of the episode from which progress never recovers; null if there is none.
 
-    At place t the best so far grows by less than eps within the window, and no later value exceeds it by 2 eps. Null if
-    there is none, or the episode has no more than min_start + window steps.
+    At place t the best so far grows by less than eps within the window, and no later value exceeds it by 2 eps. There is
+    none in episodes of no more than min_start + window steps. One exchange, and no join.
     """
-    frame = steps.select(
-        "episode_key", progress,
-        (F.row_number().over(in_order()) - 1).cast("long").alias("pos"),
-        best_so_far(F.col(progress)).alias("best"),
-        F.max(progress).over(in_order().rowsBetween(window, Window.unboundedFollowing)).alias("later"),
-        F.col("step_id"),
-    )
-    frame = frame.withColumn("ahead", F.lead("best", window).over(in_order()))
-    still = (F.col("pos") >= min_start) & (F.col("ahead") - F.col("best") < eps) & (F.col("later") - F.col("best") < 2 * eps)
-    return frame.groupBy("episode_key").agg(F.count(F.lit(1)).alias("num_steps"), F.max(progress).alias("max_progress"), F.min(F.when(still, F.col("pos"))).alias("onset"))
+    frame = steps.withColumns({
+        "_pos": (F.row_number().over(in_order()) - 1).cast("long"), "_best": best_so_far(F.col(progress)),
+        "_later": F.max(progress).over(in_order().rowsBetween(window, Window.unboundedFollowing)),
+    })
+    frame = frame.withColumn("_ahead", F.lead("_best", window).over(in_order()))
+    still = (F.col("_pos") >= min_start) & (F.col("_ahead") - F.col("_best") < eps) & (F.col("_later") - F.col("_best") < 2 * eps)
+    return frame.withColumn("onset", F.min(F.when(still, F.col("_pos"))).over(whole())).drop("_pos", "_best", "_later", "_ahead")
+
+
+def plateau_onset(steps: DataFrame, progress: str = "p", window: int = 10, eps: float = 0.02, min_start: int = 20) -> DataFrame:
+    """episode_key, num_steps, max_progress and onset of each episode; see ``with_onset``."""
+    frame = with_onset(steps.select("episode_key", "step_id", progress), progress, window, eps, min_start)
+    return frame.groupBy("episode_key").agg(F.count(F.lit(1)).alias("num_steps"), F.max(progress).alias("max_progress"), F.min("onset").alias("onset"))
 
 
 def running_streak(steps: DataFrame, flag: Column, name: str = "streak") -> DataFrame:
@@ -160,3 +163,9 @@ def arg_extreme(value: Column, step: Column, largest: bool) -> Column:
     """The step of the smallest or largest value, the first on ties; nulls are left out."""
     order = F.struct((-value if largest else value).alias("v"), step.alias("s"))
     return F.min(F.when(value.isNotNull(), order))["s"]
+
+
+def exact_mean(x: Column, digits: int = 4) -> Column:
+    """The mean of numbers of so many decimals, from a sum of whole numbers: no order of summation shows in it."""
+    scale = 10**digits
+    return F.sum(F.round(x * scale).cast("long")).cast("double") / (scale * F.count(x))

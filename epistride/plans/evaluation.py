@@ -26,9 +26,9 @@ ol AS (SELECT *, CAST(valid = 1 AND onset IS NOT NULL AND step_id + horizon >= o
 """
 
 
-def labelled(spark, sf):
+def labelled(spark, sf, horizons=(5, 10, 20)):
     """Steps with their labels by horizon, and a score that stands for a model's."""
-    return L.online_labels(with_onset(spark, sf)).withColumn("score", F.round(F.col("value") / 1000, 6)).withColumn("success", F.col("onset").isNull())
+    return L.online_labels(with_onset(spark, sf), horizons).withColumn("score", F.round(F.col("value") / 1000, 6)).withColumn("success", F.col("onset").isNull())
 
 
 @register("online_labels", LABELS + "SELECT CAST(horizon AS INTEGER) AS horizon, valid, label, count(*) AS n FROM ol GROUP BY horizon, valid, label")
@@ -72,10 +72,7 @@ e AS (SELECT horizon, detector, episode_key, onset, bool_or(alert) AS any_alert,
 @register("detectors", ALERTS + "SELECT CAST(horizon AS INTEGER) AS horizon, detector, round(count(*) FILTER (WHERE onset IS NULL AND any_alert) / greatest(1, count(*) FILTER (WHERE onset IS NULL)), 6) AS far, round(count(*) FILTER (WHERE in_window) / greatest(1, count(*) FILTER (WHERE onset IS NOT NULL)), 6) AS detection, round(count(*) FILTER (WHERE early IS NOT NULL) / greatest(1, count(*) FILTER (WHERE onset IS NOT NULL)), 6) AS premature, round(avg(onset - early), 6) AS mean_lead FROM e GROUP BY horizon, detector")
 def detectors(spark, sf):
     rows = with_threshold(spark, sf)
-    part = Window.partitionBy("horizon", "episode_key").orderBy("step_id")
-    score, hit = F.col("score"), F.col("score") >= F.col("threshold")
-    three = part.rowsBetween(-2, 0)
-    alerts = {"T0": F.coalesce(hit, F.lit(False)), "T1": F.coalesce(F.when(F.count(score).over(three) == 3, F.avg(score).over(three) >= F.col("threshold")), F.lit(False)), "T2": F.coalesce(hit & F.lag(hit).over(part), F.lit(False))}
+    alerts = L.detector_alerts(F.col("score"), F.col("threshold"), Window.partitionBy("horizon", "episode_key").orderBy("step_id"))
     rows = rows.withColumns(alerts).select("horizon", "episode_key", "onset", "step_id", F.explode(F.array(*[F.struct(F.lit(n).alias("detector"), F.col(n).alias("alert")) for n in alerts])).alias("d"))
     alert, start = F.col("d.alert"), F.col("onset") - F.col("horizon")
     each = rows.groupBy("horizon", F.col("d.detector").alias("detector"), "episode_key", "onset").agg(F.bool_or(alert).alias("any_alert"), F.bool_or(alert & (F.col("step_id") >= start)).alias("in_window"), F.min(F.when(alert & (F.col("step_id") < start), F.col("step_id"))).alias("early"))
@@ -92,10 +89,11 @@ def premature_alerts(spark, sf):
     return each.groupBy("horizon").agg(n_of().alias("episodes"), F.sum("n").alias("alerts"), r6(F.median(d)).alias("median_distance"), F.max(d).alias("max_distance"))
 
 
-@register("episode_scores", LABELS + "SELECT episode_key, round(max(score), 6) AS top, round(avg(score), 6) AS mean, round(arg_max(score, step_id), 6) AS last FROM ol WHERE valid = 1 AND horizon = 5 GROUP BY episode_key")
+@register("episode_scores", LABELS + "SELECT episode_key, round(max(score), 6) AS top, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(score) AS mean_micro, round(arg_max(score, step_id), 6) AS last FROM ol WHERE valid = 1 AND horizon = 5 GROUP BY episode_key")
 def episode_scores(spark, sf):
-    rows = labelled(spark, sf).where("valid = 1 AND horizon = 5")
-    return rows.groupBy("episode_key").agg(r6(F.max("score")).alias("top"), r6(F.avg("score")).alias("mean"), r6(F.max_by("score", "step_id")).alias("last"))
+    """Largest, mean (in millionths, from whole numbers, so that no order of summation shows) and last score of each episode."""
+    rows = labelled(spark, sf, (5,)).where("valid = 1")
+    return rows.groupBy("episode_key").agg(r6(F.max("score")).alias("top"), (F.sum(F.round(F.col("score") * 1000000).cast("long")).cast("double") / F.count("score")).alias("mean_micro"), r6(F.max_by("score", "step_id")).alias("last"))
 
 
 @register("rank_metrics", """WITH x AS (SELECT lang, n_chars AS s, quality = 1 AS y FROM documents JOIN labels USING (doc_id)),
@@ -152,8 +150,7 @@ df AS (SELECT b, avg(m_value) FILTER (WHERE ix.y) - avg(m_value) FILTER (WHERE N
 
 @register("bootstrap_ci", BOOT + "SELECT round(quantile_cont(diff, 0.025), 5) AS lo, round(quantile_cont(diff, 0.975), 5) AS hi, round(avg(diff), 5) AS mean FROM df")
 def bootstrap_ci(spark, sf):
-    own = Window.partitionBy("y")
-    units = episodes(spark, sf).select("y", "m_value", (F.row_number().over(own.orderBy("episode_key")) - 1).cast("long").alias("i"), n_of().over(own).alias("n"))
+    units = T.numbered(episodes(spark, sf).select("y", "m_value", "episode_key"), ["y"], "episode_key")
     d = T.bootstrap_difference(units, "m_value", "y", DRAWS)
     return d.agg(F.round(F.percentile("diff", 0.025), 5).alias("lo"), F.round(F.percentile("diff", 0.975), 5).alias("hi"), F.round(F.avg("diff"), 5).alias("mean"))
 
@@ -168,8 +165,8 @@ me AS (SELECT b, sum(pos * (under + neg / 2.0)) / (sum(pos) * sum(neg)) AS auroc
 SELECT count(*) AS draws, round(quantile_cont(auroc, 0.025), 6) AS auroc_lo, round(quantile_cont(auroc, 0.975), 6) AS auroc_hi, round(quantile_cont(ap, 0.025), 6) AS ap_lo, round(quantile_cont(ap, 0.975), 6) AS ap_hi FROM me""")
 def cluster_bootstrap(spark, sf):
     """95 % intervals of AUROC and average precision over resampled episodes, from the draws that hold both classes."""
-    rows = labelled(spark, sf).where("horizon = 10 AND valid = 1")
-    units = labelled(spark, sf).select("episode_key").distinct()
+    rows = labelled(spark, sf, (10,)).where("valid = 1")
+    units = steps(spark, sf).select("episode_key").distinct()
     d = T.cluster_bootstrap(rows, units, "episode_key", "score", "label", CLUSTER_DRAWS)
     ends = [r6(F.percentile(m, q)).alias(f"{m}_{n}") for m in ("auroc", "ap") for n, q in (("lo", 0.025), ("hi", 0.975))]
     return d.agg(n_of().alias("draws"), *ends)
@@ -205,7 +202,7 @@ def group_kfold(spark, sf):
 @register("oof_logistic")
 def oof_logistic(spark, sf):
     """Out-of-fold scores of every valid step at horizon 10."""
-    rows = labelled(spark, sf).where("valid = 1 AND horizon = 10").select("episode_key", "step_id", "label", F.col("value").alias("feat_value"), F.col("k").cast("double").alias("feat_k"))
+    rows = labelled(spark, sf, (10,)).where("valid = 1").select("episode_key", "step_id", "label", F.col("value").alias("feat_value"), F.col("k").cast("double").alias("feat_k"))
     return M.grouped_oof(rows, ["feat_value", "feat_k"], "label", folds=5).select("episode_key", "step_id", "fold", "label", r6("score").alias("score"))
 
 

@@ -21,11 +21,11 @@ def n_of():
 # Predicates and projections
 
 
-@register("numeric_coercion", "SELECT doc_id, try_cast(substr(text, 1, 3) AS DOUBLE) IS NULL AS bad, CASE WHEN lower(lang) IN ('en', 'de') THEN true WHEN lang = 'fr' THEN false END AS flag FROM documents")
+@register("numeric_coercion", "SELECT doc_id, try_cast(regexp_replace(text, '[^0-9.]', '', 'g') AS DOUBLE) IS NULL AS bad, CASE WHEN lower(lang) IN ('en', 'de') THEN true WHEN lang = 'fr' THEN false END AS flag FROM documents")
 def numeric_coercion(spark, sf):
     lang = F.col("lang")
     spelled = F.when(F.lower(lang).isin("en", "de"), "yes").when(lang == "fr", "no").otherwise("maybe")
-    return read(spark, sf, "documents").select("doc_id", V.number(F.substring("text", 1, 3)).isNull().alias("bad"), V.truth(spelled).alias("flag"))
+    return read(spark, sf, "documents").select("doc_id", V.number(F.regexp_replace("text", "[^0-9.]", "")).isNull().alias("bad"), V.truth(spelled).alias("flag"))
 
 
 @register("clip_progress", STEPS + "SELECT episode_key, step_id, round(least(greatest(coalesce(value, 0) / 100, 0), 1), 6) AS progress FROM steps")
@@ -215,9 +215,9 @@ def broadcast_constants(spark, sf):
 # Aggregations
 
 
-@register("episode_aggregates", STEPS + "SELECT episode_key, arg_min(event_type, step_id) AS first_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.9), 6) AS p90, round(median(value), 6) AS median, count(DISTINCT k) AS n_k, round(stddev_samp(value), 5) AS std1, round(stddev_pop(value), 5) AS std0 FROM steps GROUP BY episode_key")
+@register("episode_aggregates", STEPS + "SELECT episode_key, arg_min(event_type, step_id) AS first_type, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE) / (10000 * count(value)) AS mean, round(quantile_cont(value, 0.9), 6) AS p90, round(median(value), 6) AS median, count(DISTINCT k) AS n_k, round(stddev_samp(value), 5) AS std1, round(stddev_pop(value), 5) AS std0 FROM steps GROUP BY episode_key")
 def episode_aggregates(spark, sf):
-    return steps(spark, sf).groupBy("episode_key").agg(F.min_by("event_type", "step_id").alias("first_type"), r6(F.avg("value")).alias("mean"), r6(F.percentile("value", 0.9)).alias("p90"), r6(F.median("value")).alias("median"), F.countDistinct("k").alias("n_k"), F.round(F.stddev_samp("value"), 5).alias("std1"), F.round(F.stddev_pop("value"), 5).alias("std0"))
+    return steps(spark, sf).groupBy("episode_key").agg(F.min_by("event_type", "step_id").alias("first_type"), S.exact_mean(F.col("value")).alias("mean"), r6(F.percentile("value", 0.9)).alias("p90"), r6(F.median("value")).alias("median"), F.countDistinct("k").alias("n_k"), F.round(F.stddev_samp("value"), 5).alias("std1"), F.round(F.stddev_pop("value"), 5).alias("std0"))
 
 
 @register("success_rate", STEPS + LAST + ", t AS (SELECT DISTINCT episode_key, task FROM steps) SELECT task, count(*) AS n, count(*) FILTER (WHERE last_type <> 'error') AS successes, round(avg(CASE WHEN last_type <> 'error' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM ends JOIN t USING (episode_key) GROUP BY task")

@@ -167,17 +167,16 @@ def prominent_peaks(spark, sf):
 
 
 def with_onset(spark, sf):
-    rows = steps(spark, sf)
-    return rows.join(S.plateau_onset(rows).select("episode_key", "onset"), "episode_key", "left")
+    return S.with_onset(steps(spark, sf))
 
 
 ALIGNED = STEPS + ONSETS + ", al AS (SELECT s.*, o.onset, s.step_id - o.onset AS rel FROM steps s JOIN onsets o USING (episode_key) WHERE o.onset IS NOT NULL) "
 
 
-@register("event_aligned", ALIGNED + "SELECT rel, count(*) AS n, round(avg(value), 6) AS mean_value FROM al WHERE rel BETWEEN -20 AND 20 GROUP BY rel")
+@register("event_aligned", ALIGNED + "SELECT rel, count(*) AS n, CAST(sum(CAST(round(value * 10000) AS BIGINT)) AS DOUBLE) / (10000 * count(value)) AS mean_value FROM al WHERE rel BETWEEN -20 AND 20 GROUP BY rel")
 def event_aligned(spark, sf):
     rows = with_onset(spark, sf).withColumn("rel", F.col("step_id") - F.col("onset")).where(F.col("rel").between(-20, 20))
-    return rows.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean_value"))
+    return rows.groupBy("rel").agg(F.count(F.lit(1)).alias("n"), S.exact_mean(F.col("value")).alias("mean_value"))
 
 
 @register("arg_extreme", ALIGNED + "SELECT episode_key, arg_min(rel, value * 1000000 + rel * 0.0000001) AS low_rel, min(rel) FILTER (WHERE value = hi) AS high_rel FROM (SELECT *, max(value) OVER (PARTITION BY episode_key) AS hi FROM al WHERE rel BETWEEN -10 AND 2) GROUP BY episode_key")

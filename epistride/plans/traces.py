@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epistride.functions import arrays as A
+from epistride.operators import addons
 from epistride.plans.catalog import register
 from epistride.plans.views import POINTS, read, vectors
 
@@ -130,9 +131,8 @@ def backtracking(spark, sf):
     rows = vectors(spark, sf)
     t = F.col("trace")
     vx, vy = A.last(t)["x"] - A.first(t)["x"], A.last(t)["y"] - A.first(t)["y"]
-    mean = rows.where("label < 5").agg(F.avg(vx / A.chord(t)).alias("x"), F.avg(vy / A.chord(t)).alias("y")).first()
-    size = (mean.x**2 + mean.y**2) ** 0.5
-    ux, uy = mean.x / size, mean.y / size
+    rows = addons.with_direction(rows, F.col("label") < 5)
+    ux, uy = F.col("_ux"), F.col("_uy")
     return rows.select("vec_id", F.round(A.backtracking(t, ux, uy), 5).alias("backtracking"), F.round((vx * ux + vy * uy) / A.chord(t), 5).alias("alignment"))
 
 

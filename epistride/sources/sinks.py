@@ -34,36 +34,70 @@ def metadata(spark: SparkSession, inputs: list[str], **facts) -> str:
     return json.dumps({"created_utc": datetime.now(UTC).isoformat(), "inputs": {k: v for p in inputs for k, v in digest_of_files(spark, p).items()}, **facts}, sort_keys=True, default=str)
 
 
-def report(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
-    """A Markdown report of small result tables, at most so many rows of each."""
+def write_metadata(spark: SparkSession, path: str, inputs: list[str], **facts) -> None:
+    """Writes ``metadata`` beside a table, as one line of JSON in a folder."""
+    spark.createDataFrame([(metadata(spark, inputs, **facts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def table_text(df: DataFrame, most: int = 1000) -> str:
+    """Rows of a small table as aligned text; a last line tells if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    cells = [df.columns, *[["" if v is None else str(v) for v in r] for r in rows[:most]]]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
+    lines = [" ".join(v.rjust(w) for v, w in zip(r, widths, strict=True)) for r in cells]
+    return "\n".join([*lines, *["(more rows)"] * (len(rows) > most)])
+
+
+def write_report(spark: SparkSession, path: str, title: str, tables: dict[str, DataFrame]) -> None:
+    """Writes ``report`` as a text file in a folder."""
+    spark.createDataFrame([(report(title, tables),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def report(title: str, tables: dict[str, DataFrame]) -> str:
+    """A Markdown report of small result tables, with all their rows: aggregate before reporting."""
     parts = [f"# {title}"]
     for name, df in tables.items():
-        rows = df.limit(most).collect()
+        rows = df.collect()
         cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|")
         parts += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
     return "\n".join(parts) + "\n"
 
 
 def field_inventory(rows: DataFrame, fields: list[str], episode: str = "episode_key") -> DataFrame:
-    """Per field: rows and episodes that have it, episodes in which it varies, distinct values, and a label of its coverage."""
+    """Per field: rows and episodes that have it, episodes in which it varies, distinct values, least and most, and a label of its coverage.
+
+    Numbers are compared as numbers and also have a mean and a deviation; all values are told as text.
+    """
     long = rows.select(episode, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x")).select(episode, "x.*")
+    x = F.try_cast("v", "double") if hasattr(F, "try_cast") else F.col("v").try_cast("double")
+    long = long.withColumn("x", x)
     each = long.groupBy("field", episode).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("held"), F.count_distinct("v").alias("d"))
-    values = long.groupBy("field").agg(F.count_distinct("v").alias("n_values"), F.min("v").alias("least"), F.max("v").alias("most"))
+    numeric = F.count("v") == F.count("x")
+    ends = {n: F.when(numeric, by(F.col("v"), F.col("x"))).otherwise(of("v")) for n, by, of in (("least", F.min_by, F.min), ("most", F.max_by, F.max))}
+    values = long.groupBy("field").agg(F.count_distinct("v").alias("n_values"), *[c.alias(n) for n, c in ends.items()], F.when(numeric, F.avg("x")).alias("mean"), F.when(numeric, F.stddev_samp("x")).alias("std"))
     out = each.groupBy("field").agg(F.sum("n").alias("rows"), F.sum("held").alias("rows_held"), F.count_if(F.col("held") > 0).alias("episodes_held"), F.count_if(F.col("d") > 1).alias("episodes_varying"))
     share = F.col("rows_held") / F.col("rows")
     return out.join(values, "field").withColumn("coverage", F.when(share > 0.8, "primary").when(share > 0, "sparse").otherwise("empty"))
 
 
-def key_paths(documents: DataFrame, column: str, depth: int = 6) -> DataFrame:
-    """path, n and types of every key in JSON texts, whatever their schema; lists are entered at ``[]``. Goes ``depth`` levels down."""
-    level = documents.select(F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
-    found = None
-    for _ in range(depth):
+def key_paths(documents: DataFrame, column: str) -> DataFrame:
+    """path, n, types and the three least examples of scalars of every key in JSON texts, whatever their schema; lists are entered at ``[]``.
+
+    Goes down until no text holds a deeper key: one pass a level.
+    """
+    level = documents.select(F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL").persist()
+    parts, levels = [], [level]
+    while not level.isEmpty():
         level.createOrReplaceTempView("_level")
         level = documents.sparkSession.sql(
             "SELECT concat(path, CASE WHEN key IS NULL THEN '[]' WHEN path = '' THEN key ELSE concat('.', key) END) AS path, value AS v "
             "FROM _level, LATERAL variant_explode(v)"
-        )
-        typed = level.select("path", F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0).alias("type"))
-        found = typed if found is None else found.union(typed)
-    return found.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("type")).alias("types"))
+        ).persist()
+        levels.append(level)
+        typed = level.select("path", F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0).alias("type"), F.try_variant_get("v", "$", "string").alias("text"))
+        scalar = F.when(~F.col("type").isin("OBJECT", "ARRAY"), F.col("text"))
+        found = typed.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("type")).alias("types"), F.slice(F.array_sort(F.collect_set(scalar)), 1, 3).alias("examples"))
+        parts += found.collect()  # one row a path
+    for x in levels:
+        x.unpersist()
+    return documents.sparkSession.createDataFrame(parts, "path string, n long, types array<string>, examples array<string>")

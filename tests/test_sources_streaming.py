@@ -94,7 +94,7 @@ def test_inventories(spark):
 
 
 def test_folds_models_and_exact_p(spark):
-    assert labels.group_folds([("a", 5), ("b", 3), ("c", 3), ("d", 2)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert labels.fold_runs([(5, 1), (3, 2), (2, 1)], 2) == [(5, 0, 1, [0, 1]), (3, 0, 1, [1]), (3, 1, 2, [1, 0]), (2, 0, 1, [0, 1])]
     assert abs(stats.mann_whitney_exact(0, 3, 3) - 0.1) < 1e-12
     p = spark.range(1).select(stats.two_sided_p(F.lit(1.959964))).first()[0]
     assert abs(p - 0.05) < 1e-5
