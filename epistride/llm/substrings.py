@@ -296,9 +296,12 @@ class FingerprintIndex:
             self.compact()
 
     def compact(self) -> None:
-        """Merges all runs into one. Old ones stay for those who have opened an older manifest."""
+        """Merges all runs into one. Old ones stay where a manifest may list them, and go otherwise."""
         path = self._new("run")
         self._past().groupBy("bucket").applyInArrow(_merge, RUN).write.option("compression", "zstd").parquet(path)
+        if not self.version:
+            for old in self.runs:
+                drop_path(self.spark, old)
         self.runs = [path]
 
     def marked(self) -> DataFrame:
