@@ -128,6 +128,13 @@ def bootstrap_difference(rows: DataFrame, x: str, group: str, draws: int, seed:
     return got.groupBy("draw").agg((mean(F.col(group)) - mean(~F.col(group))).alias("diff"))
 
 
+def bootstrap_mean(rows: DataFrame, x: str, by: list[str], draws: int, seed: int = 43) -> DataFrame:
+    """draw and mean of x over resampled rows of each group, for each draw; ``rows`` as in ``bootstrap_difference``, groups without nulls."""
+    slots = rows.select(*by, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    picked = slots.select(*by, "draw", draw(F.col("n"), seed, *[F.col(c) for c in by], F.col("draw"), F.col("i")).alias("i"))
+    return picked.join(rows.select(*by, "i", x), [*by, "i"]).groupBy(*by, "draw").agg(F.avg(x).alias("mean"))
+
+
 def cluster_bootstrap(rows: DataFrame, units: DataFrame, key: str, score: str, label: str, draws: int, seed: int = 7) -> DataFrame:
     """draw, auroc and ap over resampled units (one row per ``key``), for each draw that holds both classes.
 

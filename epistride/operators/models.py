@@ -2,50 +2,159 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epistride.functions.values import features_only
-from epistride.operators.labels import with_folds
+from epistride.functions.values import features_only, finite
+from epistride.operators.labels import far_threshold, with_folds
+
+
+#: Newton rounds at most; a fit whose largest step is below CLOSE is done.
+NEWTON, CLOSE = 50, 1e-9
+
+
+def _fitted(rows: DataFrame, features: list[str], label: str, masks: list[Column], balanced: bool, indicators: bool) -> Callable[[Column], Column]:
+    """Logistic fits to the rows of each mask, side by side; returns the score of a row by the fit with a given number.
+
+    Gaps (null, NaN, infinite) are filled with the exact median of the fit's rows (0 without any); ``indicators`` adds a
+    column for each feature with gaps there. Columns are scaled by their population deviation (1 if that is 0), and
+    coefficients but the intercept are penalised by half their squares; ``balanced`` gives both classes the same weight. A fit
+    to one class gives 1 or 0, a fit to no rows 0. A round is one pass whose tasks return sums for every fit, of the size of
+    the square of the features.
+    """
+    w = len(features_only(features))
+    x = [finite(F.col(c).cast("double")) for c in features]
+    points = rows.select(F.col(label).cast("double").alias("y"), F.array(*x).alias("x"), F.array(*masks).alias("m")).persist()
+    of = lambda t, c: F.when(F.col("m")[t], c)
+    known = {"median": F.median, "n": F.count, "mean": F.avg, "sd": F.stddev_pop}
+    wanted = [f(of(t, F.col("x")[c])).alias(f"{name}_{t}_{c}") for t in range(len(masks)) for c in range(w) for name, f in known.items()]
+    classes = [F.count_if(F.col("m")[t] & (F.col("y") == k)).alias(f"c_{t}_{k}") for t in range(len(masks)) for k in (0, 1)]
+    stats = points.agg(*wanted, *classes).first()
+    table = lambda name: np.array([[stats[f"{name}_{t}_{c}"] or 0.0 for c in range(w)] for t in range(len(masks))], dtype=float)
+    counts = np.array([[stats[f"c_{t}_{k}"] for k in (0, 1)] for t in range(len(masks))], dtype=float)
+    fill, held, total = table("median"), table("n"), np.maximum(counts.sum(axis=1), 1)[:, None]
+    gaps = (total - held) * (counts.sum(axis=1) > 0)[:, None]
+    mean = (held * table("mean") + gaps * fill) / total
+    sd = np.sqrt((held * (table("sd") ** 2 + (table("mean") - mean) ** 2) + gaps * (fill - mean) ** 2) / total)
+    share = gaps / total
+    centre = np.concatenate([mean, share], axis=1) if indicators else mean
+    scale = np.where(sd > 0, sd, 1.0)
+    if indicators:  # a feature without gaps in training has no indicator
+        scale = np.concatenate([scale, np.where(share > 0, np.maximum(np.sqrt(share * (1 - share)), 1e-300), np.inf)], axis=1)
+        scale[:, w:][share == 1] = 1.0
+    weight = total / (2 * np.maximum(counts, 1)) if balanced else np.ones_like(counts)
+    live = [t for t in range(len(masks)) if counts[t].min() > 0]
+    beta = np.zeros((len(masks), 1 + centre.shape[1]))
+    at, loss, step = beta.copy(), np.full(len(masks), np.inf), np.zeros_like(beta)
+    for _ in range(NEWTON):
+        if not live:
+            break
+        sums = _slopes(points, live, at, fill, centre, scale, weight, indicators)
+        going = []
+        for t in live:
+            value, g, h = sums[t]
+            keep = np.r_[0.0, np.ones(len(g) - 1)]
+            value += 0.5 * (keep * at[t] ** 2).sum()
+            if value > loss[t] + 1e-9 * abs(loss[t]):  # too far: half the way
+                step[t] /= 2
+                at[t] = beta[t] + step[t]
+            else:
+                beta[t], loss[t] = at[t], value
+                step[t] = -np.linalg.lstsq(h + np.diag(keep), g + keep * beta[t], rcond=None)[0]
+                at[t] = beta[t] + step[t]
+            if np.abs(step[t]).max() > CLOSE:
+                going.append(t)
+            else:
+                beta[t] = at[t]
+        live = going
+    points.unpersist()
+    slope = beta[:, 1:] / scale
+    start = beta[:, 0] - (slope * centre).sum(axis=1)
+    for t in range(len(masks)):
+        if counts[t].min() == 0:
+            start[t], slope[t] = (np.inf if counts[t][1] else -np.inf), 0.0
+
+    def score(t: Column) -> Column:
+        pick = lambda v: F.get(F.lit([float(a) for a in v]), t)
+        eta = pick(start)
+        for c in range(w):
+            eta += pick(slope[:, c]) * F.coalesce(x[c], pick(fill[:, c]))
+            if indicators:
+                eta += pick(slope[:, w + c]) * x[c].isNull().cast("double")
+        return 1 / (1 + F.exp(-eta))
 
+    return score
 
-def prepared(train: DataFrame, rows: DataFrame, features: list[str], indicators: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Fills gaps with exact medians of the training rows (0 without any), adds indicators of gaps seen there and scales by its population deviation."""
-    stats = train.agg(*[F.median(c).alias(f"m_{c}") for c in features], *[F.count_if(F.col(c).isNull()).alias(f"g_{c}") for c in features]).first()
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(stats[f"m_{c}"] or 0.0))) for c in features}
-    gaps = {f"feat_gap_{c}": F.col(c).isNull().cast("double") for c in features if indicators and stats[f"g_{c}"]}
-    columns = filled | gaps
-    scale = train.select(*[x.alias(c) for c, x in columns.items()]).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("a", F.avg), ("s", F.stddev_pop))]).first()
-    ready = [((x - scale[f"a_{c}"]) / (scale[f"s_{c}"] or 1.0)).alias(f"z_{c}") for c, x in columns.items()]
-    names = [f"z_{c}" for c in columns]
-    keep = lambda df: VectorAssembler(inputCols=names, outputCol="z").transform(df.select("*", *ready)).drop(*names)
-    return keep(train), keep(rows), names
 
+def _slopes(points: DataFrame, fits: list[int], beta, fill, centre, scale, weight, indicators: bool) -> dict[int, tuple]:
+    """Loss, gradient and curvature of each fit at ``beta``, without the penalty."""
+    d = beta.shape[1]
 
-def grouped_oof(rows: DataFrame, features: list[str], label: str, group: str = "episode_key", folds: int = 5, balanced: bool = True, iterations: int = 200) -> DataFrame:
-    """Rows with fold and score: each fold is scored by a logistic fit to the others. One class in training gives its share."""
-    features_only(features)
+    def run(batches):
+        sums = {t: np.zeros(1 + d + d * d) for t in fits}
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(y), -1)
+            m = batch.column("m").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            for t in fits:
+                own = m[:, t].astype(bool)
+                z, v = x[own], y[own]
+                gap = np.isnan(z)
+                z = np.where(gap, fill[t], z)
+                z = np.concatenate([z, gap.astype(float)], axis=1) if indicators else z
+                z = np.concatenate([np.ones((len(z), 1)), (z - centre[t]) / scale[t]], axis=1)
+                eta = z @ beta[t]
+                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+                s = np.where(v == 1, weight[t][1], weight[t][0])
+                bend = (z * (s * p * (1 - p))[:, None]).T @ z
+                sums[t] += np.concatenate([[(s * (np.logaddexp(0, eta) - v * eta)).sum()], z.T @ (s * (p - v)), bend.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(fits, pa.int32()), pa.array([sums[t] for t in fits], pa.list_(pa.float64()))], ["t", "v"])
+
+    parts = points.mapInArrow(run, "t int, v array<double>").select("t", F.posexplode("v").alias("i", "v")).groupBy("t", "i").agg(F.sum("v").alias("v"))
+    out = {t: np.zeros(1 + d + d * d) for t in fits}
+    for r in parts.collect():  # fits by the square of the features
+        out[r.t][r.i] = r.v
+    return {t: (v[0], v[1 : 1 + d], v[1 + d :].reshape(d, d)) for t, v in out.items()}
+
+
+def grouped_oof(rows: DataFrame, features: list[str], label: str, group: str = "episode_key", folds: int = 5, balanced: bool = True, indicators: bool = True) -> DataFrame:
+    """Rows with fold and score: each fold is scored by a logistic fit to the others, all of them fitted side by side.
+
+    Neither weights nor indicators gives the plain model of trace depth. One class in training gives 1 or 0.
+    """
     dealt = with_folds(rows, group, folds)
-    out = None
-    for fold in range(folds):
-        train, test = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
-        counts = dict(train.groupBy(label).count().collect())
-        if len(counts) < 2:
-            scored = test.withColumn("score", F.lit(float(next(iter(counts), 0))))
-        else:
-            a, b, _ = prepared(train, test, features)
-            n = sum(counts.values())
-            weight = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, n / (2 * c))])[F.col(label)] if balanced else F.lit(1.0)
-            model = LogisticRegression(featuresCol="z", labelCol=label, weightCol="w", maxIter=iterations, regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(a.withColumn("w", weight))
-            scored = model.transform(b).withColumn("score", vector_to_array("probability")[1]).select(*dealt.columns, "score")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    score = _fitted(dealt, features, label, [F.col("fold") != f for f in range(folds)], balanced, indicators)
+    return dealt.withColumn("score", score(F.col("fold")))
+
+
+def nested_oof(rows: DataFrame, features: list[str], label: str, folds: int = 5, inner: int = 3, most: float = 0.1) -> DataFrame:
+    """Rows with fold, score and fold_threshold; the threshold of a fold is learnt from the other folds alone.
+
+    The episodes of the other folds are dealt again into ``inner`` folds, whose out-of-fold scores give the threshold that
+    at most a share of ``most`` of the successful ones reach. ``rows`` has episode_key, success, the label and the features;
+    rows whose fold has no successful episode to learn from get infinity.
+    """
+    dealt = with_folds(rows, "episode_key", folds)
+    keys = dealt.select("episode_key", "fold").persist()
+    for f in range(folds):
+        again = with_folds(keys.where(F.col("fold") != f).select("episode_key"), "episode_key", inner)
+        dealt = dealt.join(again.groupBy("episode_key").agg(F.first("fold").alias(f"_in{f}")), "episode_key", "left")
+    fold, within = F.col("fold"), [F.col(f"_in{f}") for f in range(folds)]
+    masks = [fold != f for f in range(folds)] + [(fold != f) & (within[f] != j) for f in range(folds) for j in range(inner)]
+    score = _fitted(dealt, features, label, [F.coalesce(m, F.lit(False)) for m in masks], True, True)
+    keys.unpersist()
+    train = dealt.where("success").withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("outer") != fold)
+    train = train.withColumn("score", score((folds + F.col("outer") * inner + F.get(F.array(*within), F.col("outer"))).cast("int")))
+    top = train.groupBy("outer", "episode_key").agg(F.max("score").alias("score")).withColumn("success", F.lit(True))
+    found = far_threshold(top, "score", ["outer"], most).withColumnsRenamed({"outer": "fold", "threshold": "_th"})
+    out = dealt.withColumn("score", score(fold)).drop(*[f"_in{f}" for f in range(folds)]).join(F.broadcast(found), "fold", "left")  # a row for each fold
+    return out.withColumn("fold_threshold", F.coalesce("_th", F.lit(float("inf")))).drop("_th")
 
 
 def family_scores(rows: DataFrame, families: dict[str, list[str]]) -> DataFrame:

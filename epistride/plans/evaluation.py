@@ -155,6 +155,27 @@ def bootstrap_ci(spark, sf):
     return d.agg(F.round(F.percentile("diff", 0.025), 5).alias("lo"), F.round(F.percentile("diff", 0.975), 5).alias("hi"), F.round(F.avg("diff"), 5).alias("mean"))
 
 
+BINNED = STEPS + LAST + f""", f AS (SELECT s.episode_key, task, last_type = 'error' AS failed, value, CAST(least(floor(step_id / greatest(count(*) OVER (PARTITION BY s.episode_key) - 1, 1) * 20), 19) AS BIGINT) AS bin FROM steps s JOIN ends e ON e.episode_key = s.episode_key),
+ix AS (SELECT *, row_number() OVER (PARTITION BY task, failed, bin ORDER BY episode_key) - 1 AS i, count(*) OVER (PARTITION BY task, failed, bin) AS n FROM (SELECT task, failed, bin, episode_key, avg(value) AS m FROM f GROUP BY 1, 2, 3, 4 HAVING count(value) > 0)),
+dr AS (SELECT task, failed, bin, b, CAST(('0x' || substr(md5(concat_ws('-', 43, task, failed, bin, b, i)), 1, 8)) AS BIGINT) % n AS i FROM ix, range(1, {DRAWS + 1}) r(b)),
+bm AS (SELECT task, failed, bin, b, avg(m) AS mean FROM dr JOIN ix USING (task, failed, bin, i) GROUP BY 1, 2, 3, 4),
+ci AS (SELECT task, failed, bin, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM bm GROUP BY 1, 2, 3)
+"""
+
+
+@register("bin_bootstrap", BINNED + "SELECT task, failed, bin, n_episodes, round(mean, 5) AS mean, round(lo, 5) AS lo, round(hi, 5) AS hi FROM ci JOIN (SELECT task, failed, bin, count(*) AS n_episodes, avg(m) AS mean FROM ix GROUP BY 1, 2, 3) USING (task, failed, bin)")
+def bin_bootstrap(spark, sf):
+    """Mean value of episodes in each twentieth of their course by task and outcome, with its 95 % interval over resampled episodes."""
+    by = ["task", "failed", "bin"]
+    n = n_of().over(S.by_episode())
+    rows = steps(spark, sf).withColumn("bin", F.least(F.floor(F.col("step_id") / F.greatest(n - 1, F.lit(1)) * 20), F.lit(19)).cast("long"))
+    last = rows.groupBy("episode_key").agg((F.max_by("event_type", "step_id") == "error").alias("failed"))
+    each = rows.join(last, "episode_key").groupBy(*by, "episode_key").agg(F.avg("value").alias("m")).where("m IS NOT NULL")
+    ends = T.bootstrap_mean(T.numbered(each, by, "episode_key"), "m", by, DRAWS).groupBy(*by).agg(F.percentile("mean", 0.025).alias("lo"), F.percentile("mean", 0.975).alias("hi"))
+    out = each.groupBy(*by).agg(n_of().alias("n_episodes"), F.avg("m").alias("mean")).join(ends, by)
+    return out.select(*by, "n_episodes", *[F.round(c, 5).alias(c) for c in ("mean", "lo", "hi")])
+
+
 @register("cluster_bootstrap", LABELS + f""", un AS (SELECT episode_key, row_number() OVER (ORDER BY episode_key) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT episode_key FROM ol)),
 pk AS (SELECT b, CAST(('0x' || substr(md5(concat_ws('-', 7, b, i)), 1, 8)) AS BIGINT) % n AS j FROM un, range(1, {CLUSTER_DRAWS + 1}) r(b)),
 ml AS (SELECT b, episode_key, count(*) AS c FROM pk JOIN un ON un.i = pk.j GROUP BY 1, 2),
