@@ -17,15 +17,15 @@ def histogram(rows: DataFrame, score: str, positive: Column, by: list[str]) -> D
 RANGES, EDGES = 256, 4096
 
 
-def sums_before(rows: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
+def sums_before(rows: DataFrame, by: list[str], at: str, values: list[str], like: DataFrame | None = None) -> DataFrame:
     """Adds for each of ``values`` its sum over the rows of the group with a smaller ``at`` (before_*), and over the group (all_*).
 
-    ``at`` is distinct within a group and may be of any type with an order (null first). Edges from a bounded sample cut
-    the order into ranges; each range is a window of its own and gets the total of the ranges before it, so that no task
+    ``at`` is distinct within a group and may be of any type with an order (null first). Edges from a bounded sample,
+    of ``like`` where it has the same values and is cheaper to read, cut the order into ranges; each range is a window of its own and gets the total of the ranges before it, so that no task
     holds a group, however large.
     """
     key = F.xxhash64(at)
-    sample = sorted(r[0] for r in rows.select(at).where(F.col(at).isNotNull()).orderBy(key, at).limit(EDGES).collect())
+    sample = sorted(r[0] for r in (rows if like is None else like).select(at).where(F.col(at).isNotNull()).orderBy(key, at).limit(EDGES).collect())
     ranges = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = sorted(set(sample[:: -(-len(sample) // ranges)] if sample else []))
     part = sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
@@ -135,34 +135,34 @@ def bootstrap_mean(rows: DataFrame, x: str, by: list[str], draws: int, seed: int
     return picked.join(rows.select(*by, "i", x), [*by, "i"]).groupBy(*by, "draw").agg(F.avg(x).alias("mean"))
 
 
-def cluster_bootstrap(rows: DataFrame, units: DataFrame, key: str, score: str, label: str, draws: int, seed: int = 7) -> DataFrame:
-    """draw, auroc and ap over resampled units (one row per ``key``), for each draw that holds both classes.
+def cluster_bootstrap(rows: DataFrame, units: DataFrame, key: str, score: str, label: str, draws: int, seed: int = 7, by: list[str] | None = None) -> DataFrame:
+    """Group, draw, auroc and ap over resampled units (one row per ``key``), for each draw that holds both classes.
 
-    Draws give each unit a multiplicity, and histograms of scores are weighted by it. Tied scores count half in auroc and
-    are one threshold in ap; null scores are left out.
+    Draws give each unit a multiplicity, the same in all groups, and histograms of scores are weighted by it. Tied scores count
+    half in auroc and are one threshold in ap; null scores are left out.
     """
+    by = by or []
     placed = numbered(units, [], key)
     picked = placed.select("i", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("draw", draw(F.col("n"), seed, F.col("draw"), F.col("i")).alias("i"))
     times = picked.groupBy("draw", "i").agg(F.count(F.lit(1)).alias("c")).join(placed, "i").select("draw", key, "c")
-    each = histogram(rows, score, F.col(label) == 1, [key])
-    h = each.join(times, key).groupBy("draw", "s").agg(F.sum(F.col("pos") * F.col("c")).alias("pos"), F.sum(F.col("neg") * F.col("c")).alias("neg"))
-    part = Window.partitionBy("draw")
-    below = part.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    to_here = part.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumns({"under": F.coalesce(F.sum("neg").over(below), F.lit(0)), "less": F.sum("pos").over(to_here), "all": F.sum(F.col("pos") + F.col("neg")).over(to_here), "p": F.sum("pos").over(part), "t": F.sum(F.col("pos") + F.col("neg")).over(part)})
+    each = histogram(rows, score, F.col(label) == 1, [*by, key])
+    h = each.join(times, key).groupBy(*by, "draw", "s").agg(F.sum(F.col("pos") * F.col("c")).alias("pos"), F.sum(F.col("neg") * F.col("c")).alias("neg"))
+    h = sums_before(h, [*by, "draw"], "s", ["pos", "neg"], each)
     pos, neg = F.col("pos"), F.col("neg")
-    tp, k = F.col("p") - F.col("less") + pos, F.col("t") - F.col("all") + pos + neg
-    out = h.where(pos + neg > 0).groupBy("draw").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(pos * (F.col("under") + neg / 2)).alias("u"), F.sum(pos * tp / k).alias("a"))
-    return out.where("p > 0 AND n > 0").select("draw", (F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"), (F.col("a") / F.col("p")).alias("ap"))
+    tp, k = F.col("all_pos") - F.col("before_pos"), F.col("all_pos") + F.col("all_neg") - F.col("before_pos") - F.col("before_neg")
+    out = h.where(pos + neg > 0).groupBy(*by, "draw").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(pos * (F.col("before_neg") + neg / 2)).alias("u"), F.sum(pos * tp / k).alias("a"))
+    return out.where("p > 0 AND n > 0").select(*by, "draw", (F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"), (F.col("a") / F.col("p")).alias("ap"))
 
 
-def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The adjusted Rand index of two labellings, from their contingency counts; no row for an empty table."""
+def adjusted_rand(rows: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """The adjusted Rand index of two labellings in each group, from their contingency counts; no row for an empty table."""
+    by = by or []
     pairs = lambda n: n * (n - 1) / 2
-    cells = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    side = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias(name)).withColumn("one", F.lit(1))
-    both = cells.agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("n")).where("n > 0").withColumn("one", F.lit(1))
-    sums = both.join(side(a, "l"), "one").join(side(b, "r"), "one")  # one row each
+    cells = rows.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    on = [*by, "one"]
+    side = lambda c, name: cells.groupBy(*on, c).agg(F.sum("n").alias("n")).groupBy(*on).agg(F.sum(pairs(F.col("n"))).alias(name))
+    both = cells.groupBy(*on).agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("n"))
+    sums = both.join(side(a, "l"), on).join(side(b, "r"), on)  # one row a group each
     expected = F.when(F.col("n") > 1, F.col("l") * F.col("r") / pairs(F.col("n"))).otherwise(0.0)
     best = (F.col("l") + F.col("r")) / 2
-    return sums.select(F.when(best == expected, 1.0).otherwise((F.col("s") - expected) / F.nullif(best - expected, F.lit(0.0))).alias("ari"))
+    return sums.select(*by, F.when(best == expected, 1.0).otherwise((F.col("s") - expected) / F.nullif(best - expected, F.lit(0.0))).alias("ari"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epistride.functions.stats import adjusted_rand
 from epistride.functions.values import features_only, finite
 from epistride.operators.labels import far_threshold, with_folds
 
@@ -19,8 +22,10 @@ from epistride.operators.labels import far_threshold, with_folds
 NEWTON, CLOSE = 50, 1e-9
 
 
-def _fitted(rows: DataFrame, features: list[str], label: str, masks: list[Column], balanced: bool, indicators: bool) -> Callable[[Column], Column]:
-    """Logistic fits to the rows of each mask, side by side; returns the score of a row by the fit with a given number.
+def _fitted(rows: DataFrame, features: list[str], labels: list[str], masks: list[Column], balanced: bool, indicators: bool) -> Callable[[Column], Column]:
+    """Logistic fits of each label to the rows of each mask, side by side; returns the score of a row by the fit with a given number.
+
+    Fits are numbered label by label: those of the first label have the numbers of the masks.
 
     Gaps (null, NaN, infinite) are filled with the exact median of the fit's rows (0 without any); ``indicators`` adds a
     column for each feature with gaps there. Columns are scaled by their population deviation (1 if that is 0), and
@@ -30,14 +35,15 @@ def _fitted(rows: DataFrame, features: list[str], label: str, masks: list[Column
     """
     w = len(features_only(features))
     x = [finite(F.col(c).cast("double")) for c in features]
-    points = rows.select(F.col(label).cast("double").alias("y"), F.array(*x).alias("x"), F.array(*masks).alias("m")).persist()
+    points = rows.select(F.array(*[F.col(c).cast("double") for c in labels]).alias("y"), F.array(*x).alias("x"), F.array(*masks).alias("m")).persist()
     of = lambda t, c: F.when(F.col("m")[t], c)
     known = {"median": F.median, "n": F.count, "mean": F.avg, "sd": F.stddev_pop}
     wanted = [f(of(t, F.col("x")[c])).alias(f"{name}_{t}_{c}") for t in range(len(masks)) for c in range(w) for name, f in known.items()]
-    classes = [F.count_if(F.col("m")[t] & (F.col("y") == k)).alias(f"c_{t}_{k}") for t in range(len(masks)) for k in (0, 1)]
+    classes = [F.count_if(F.col("m")[t] & (F.col("y")[i] == k)).alias(f"c_{i}_{t}_{k}") for i in range(len(labels)) for t in range(len(masks)) for k in (0, 1)]
     stats = points.agg(*wanted, *classes).first()
-    table = lambda name: np.array([[stats[f"{name}_{t}_{c}"] or 0.0 for c in range(w)] for t in range(len(masks))], dtype=float)
-    counts = np.array([[stats[f"c_{t}_{k}"] for k in (0, 1)] for t in range(len(masks))], dtype=float)
+    fits = [(i, t) for i in range(len(labels)) for t in range(len(masks))]
+    table = lambda name: np.array([[stats[f"{name}_{t}_{c}"] or 0.0 for c in range(w)] for _, t in fits], dtype=float)
+    counts = np.array([[stats[f"c_{i}_{t}_{k}"] for k in (0, 1)] for i, t in fits], dtype=float)
     fill, held, total = table("median"), table("n"), np.maximum(counts.sum(axis=1), 1)[:, None]
     gaps = (total - held) * (counts.sum(axis=1) > 0)[:, None]
     mean = (held * table("mean") + gaps * fill) / total
@@ -49,13 +55,13 @@ def _fitted(rows: DataFrame, features: list[str], label: str, masks: list[Column
         scale = np.concatenate([scale, np.where(share > 0, np.maximum(np.sqrt(share * (1 - share)), 1e-300), np.inf)], axis=1)
         scale[:, w:][share == 1] = 1.0
     weight = total / (2 * np.maximum(counts, 1)) if balanced else np.ones_like(counts)
-    live = [t for t in range(len(masks)) if counts[t].min() > 0]
-    beta = np.zeros((len(masks), 1 + centre.shape[1]))
-    at, loss, step = beta.copy(), np.full(len(masks), np.inf), np.zeros_like(beta)
+    live = [t for t in range(len(fits)) if counts[t].min() > 0]
+    beta = np.zeros((len(fits), 1 + centre.shape[1]))
+    at, loss, step = beta.copy(), np.full(len(fits), np.inf), np.zeros_like(beta)
     for _ in range(NEWTON):
         if not live:
             break
-        sums = _slopes(points, live, at, fill, centre, scale, weight, indicators)
+        sums = _slopes(points, {t: fits[t] for t in live}, at, fill, centre, scale, weight, indicators)
         going = []
         for t in live:
             value, g, h = sums[t]
@@ -76,35 +82,40 @@ def _fitted(rows: DataFrame, features: list[str], label: str, masks: list[Column
     points.unpersist()
     slope = beta[:, 1:] / scale
     start = beta[:, 0] - (slope * centre).sum(axis=1)
-    for t in range(len(masks)):
+    for t in range(len(fits)):
         if counts[t].min() == 0:
             start[t], slope[t] = (np.inf if counts[t][1] else -np.inf), 0.0
 
+    table = [{"start": a, "slope": b[:w].tolist(), "fill": f.tolist(), "gap": b[w:].tolist()} for a, b, f in zip(start.tolist(), slope, fill, strict=True)]
+    known = _constant(table, "array<struct<start double, slope array<double>, fill array<double>, gap array<double>>>")
+    total_of = lambda v: F.aggregate(v, F.lit(0.0), lambda s, p: s + p)
+
     def score(t: Column) -> Column:
-        pick = lambda v: F.get(F.lit([float(a) for a in v]), t)
-        eta = pick(start)
-        for c in range(w):
-            eta += pick(slope[:, c]) * F.coalesce(x[c], pick(fill[:, c]))
-            if indicators:
-                eta += pick(slope[:, w + c]) * x[c].isNull().cast("double")
+        own, values = F.get(known, t), F.array(*x)
+        eta = own["start"] + total_of(F.zip_with(own["slope"], F.zip_with(values, own["fill"], lambda v, f: F.coalesce(v, f)), lambda b, v: b * v))
+        if indicators:
+            eta += total_of(F.zip_with(own["gap"], values, lambda b, v: F.when(v.isNull(), b).otherwise(0.0)))
         return 1 / (1 + F.exp(-eta))
 
     return score
 
 
-def _slopes(points: DataFrame, fits: list[int], beta, fill, centre, scale, weight, indicators: bool) -> dict[int, tuple]:
-    """Loss, gradient and curvature of each fit at ``beta``, without the penalty."""
+def _constant(values: list, kind: str) -> Column:
+    """One literal of nested values, which is read once and not built anew for each row."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _slopes(points: DataFrame, fits: dict[int, tuple[int, int]], beta, fill, centre, scale, weight, indicators: bool) -> dict[int, tuple]:
+    """Loss, gradient and curvature of each fit (to a label and a mask) at ``beta``, without the penalty."""
     d = beta.shape[1]
 
     def run(batches):
         sums = {t: np.zeros(1 + d + d * d) for t in fits}
         for batch in batches:
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(y), -1)
-            m = batch.column("m").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
-            for t in fits:
-                own = m[:, t].astype(bool)
-                z, v = x[own], y[own]
+            y, x, m = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in "yxm")
+            for t, (label, mask) in fits.items():
+                own = m[:, mask] == 1
+                z, v = x[own], y[own, label]
                 gap = np.isnan(z)
                 z = np.where(gap, fill[t], z)
                 z = np.concatenate([z, gap.astype(float)], axis=1) if indicators else z
@@ -114,7 +125,7 @@ def _slopes(points: DataFrame, fits: list[int], beta, fill, centre, scale, weigh
                 s = np.where(v == 1, weight[t][1], weight[t][0])
                 bend = (z * (s * p * (1 - p))[:, None]).T @ z
                 sums[t] += np.concatenate([[(s * (np.logaddexp(0, eta) - v * eta)).sum()], z.T @ (s * (p - v)), bend.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(fits, pa.int32()), pa.array([sums[t] for t in fits], pa.list_(pa.float64()))], ["t", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(fits), pa.int32()), pa.array([sums[t] for t in fits], pa.list_(pa.float64()))], ["t", "v"])
 
     parts = points.mapInArrow(run, "t int, v array<double>").select("t", F.posexplode("v").alias("i", "v")).groupBy("t", "i").agg(F.sum("v").alias("v"))
     out = {t: np.zeros(1 + d + d * d) for t in fits}
@@ -129,34 +140,57 @@ def grouped_oof(rows: DataFrame, features: list[str], label: str, group: str = "
     Neither weights nor indicators gives the plain model of trace depth. One class in training gives 1 or 0.
     """
     dealt = with_folds(rows, group, folds)
-    score = _fitted(dealt, features, label, [F.col("fold") != f for f in range(folds)], balanced, indicators)
+    score = _fitted(dealt, features, [label], [F.col("fold") != f for f in range(folds)], balanced, indicators)
     return dealt.withColumn("score", score(F.col("fold")))
 
 
-def nested_oof(rows: DataFrame, features: list[str], label: str, folds: int = 5, inner: int = 3, most: float = 0.1) -> DataFrame:
-    """Rows with fold, score and fold_threshold; the threshold of a fold is learnt from the other folds alone.
-
-    The episodes of the other folds are dealt again into ``inner`` folds, whose out-of-fold scores give the threshold that
-    at most a share of ``most`` of the successful ones reach. ``rows`` has episode_key, success, the label and the features;
-    rows whose fold has no successful episode to learn from get infinity.
-    """
+def nested_folds(rows: DataFrame, folds: int = 5, inner: int = 3) -> DataFrame:
+    """Rows with the fold of their episode, and for each fold f the inner fold of the episodes outside it (_in{f}, null inside)."""
     dealt = with_folds(rows, "episode_key", folds)
     keys = dealt.select("episode_key", "fold").persist()
     for f in range(folds):
         again = with_folds(keys.where(F.col("fold") != f).select("episode_key"), "episode_key", inner)
         dealt = dealt.join(again.groupBy("episode_key").agg(F.first("fold").alias(f"_in{f}")), "episode_key", "left")
-    fold, within = F.col("fold"), [F.col(f"_in{f}") for f in range(folds)]
-    masks = [fold != f for f in range(folds)] + [(fold != f) & (within[f] != j) for f in range(folds) for j in range(inner)]
-    score = _fitted(dealt, features, label, [F.coalesce(m, F.lit(False)) for m in masks], True, True)
     keys.unpersist()
-    train = dealt.where("success").withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("outer") != fold)
-    train = train.withColumn("score", score((folds + F.col("outer") * inner + F.get(F.array(*within), F.col("outer"))).cast("int")))
-    top = train.groupBy("outer", "episode_key").agg(F.max("score").alias("score")).withColumn("success", F.lit(True))
-    found = far_threshold(top, "score", ["outer"], most).withColumnsRenamed({"outer": "fold", "threshold": "_th"})
-    out = dealt.withColumn("score", score(fold)).drop(*[f"_in{f}" for f in range(folds)]).join(F.broadcast(found), "fold", "left")  # a row for each fold
+    return dealt
+
+
+def nested_scores(dealt: DataFrame, sets: dict[str, list[str]], labels: dict[int, str], folds: int = 5, inner: int = 3, most: float = 0.1, at_once: int = 4) -> DataFrame:
+    """Rows of ``nested_folds`` once for each set of features and label: spec, horizon, score and fold_threshold.
+
+    ``sets`` has features by spec, ``labels`` columns by horizon. The labels, folds and inner folds of a set are fitted side
+    by side, ``at_once`` sets at a time. All scores and thresholds are one pass each, whatever the number of sets.
+    """
+    fold, outer, within = F.col("fold"), F.col("outer"), F.array(*[f"_in{f}" for f in range(folds)])
+    masks = [fold != f for f in range(folds)] + [(fold != f) & (within[f] != j) for f in range(folds) for j in range(inner)]
+    masks = [F.coalesce(m, F.lit(False)) for m in masks]
+    with ThreadPool(at_once) as pool:
+        fits = dict(zip(sets, pool.map(lambda features: _fitted(dealt, features, list(labels.values()), masks, True, True), sets.values()), strict=True))
+
+    def told(number: Column) -> Column:
+        each = [F.struct(F.lit(spec).alias("spec"), F.lit(h).alias("horizon"), score(number + i * len(masks)).alias("score")) for spec, score in fits.items() for i, h in enumerate(labels)]
+        return F.explode(F.array(*each)).alias("_f")
+
+    train = dealt.where("success").withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(outer != fold)
+    train = train.select("outer", "episode_key", told((folds + outer * inner + F.get(within, outer)).cast("int"))).select("outer", "episode_key", "_f.*")
+    by = ["spec", "horizon"]
+    top = train.groupBy(*by, "outer", "episode_key").agg(F.max("score").alias("score")).withColumn("success", F.lit(True))
+    found = far_threshold(top, "score", [*by, "outer"], most).withColumnsRenamed({"outer": "fold", "threshold": "_th"})
+    kept = [c for c in dealt.columns if not c.startswith("_in")]
+    out = dealt.select(*kept, told(fold)).select(*kept, "_f.*").join(F.broadcast(found), [*by, "fold"], "left")  # a row for each set, label and fold
     return out.withColumn("fold_threshold", F.coalesce("_th", F.lit(float("inf")))).drop("_th")
 
 
+def nested_oof(rows: DataFrame, features: list[str], label: str, folds: int = 5, inner: int = 3, most: float = 0.1) -> DataFrame:
+    """Rows with fold, score and fold_threshold; the threshold of a fold is learnt from the other folds alone.
+
+    The episodes of the other folds are dealt again into ``inner`` folds, whose out-of-fold scores give the threshold that
+    at most a share of ``most`` of the successful ones reach. ``rows`` has episode_key, success, the label and the features;
+    rows whose fold has no successful episode to learn from get infinity.
+    """
+    return nested_scores(nested_folds(rows, folds, inner), {"": features}, {0: label}, folds, inner, most).drop("spec", "horizon")
+
+
 def family_scores(rows: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     """Adds one column per family: gaps filled with the median, each feature in standard units (0 if constant), and their mean."""
     stats = rows.agg(*[F.median(c).alias(f"m_{c}") for cs in families.values() for c in cs]).first()
@@ -182,25 +216,69 @@ def clusters(rows: DataFrame, features: list[str], k: int, tries: int = 10, seed
     null feature get a null cluster; an empty table stays empty; features that hold fewer than k distinct rows give fewer
     clusters.
     """
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    points = rows.select(x.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).persist()
-    sample = np.array([r.x for r in points.orderBy(F.xxhash64("x"), "x").limit(STARTS).collect()]).reshape(-1, len(features))
-    if not len(sample):
-        points.unpersist()
-        return rows.withColumn("cluster", F.lit(None).cast("int"))
+    found = _best(rows.select(_point(features).alias("x"), F.lit(-1).alias("part")), len(features), k, [-1], tries, seed)
+    return rows.withColumn("cluster", _nearest([F.col(c).cast("double") for c in features], found[0]))
+
+
+def cluster_stability(rows: DataFrame, features: list[str], part: str, k: int = 2, tries: int = 100, seed: int = 0) -> DataFrame:
+    """For each value of ``part``, the adjusted Rand index of the clusters of all rows and of a fit without that part, over the other rows.
+
+    With the key of an episode as ``part`` one episode is left out at a time. The fits without each part and their starts go
+    on side by side, a pass over the rows a round, so large tables are better left out by folds than by rows: the result has
+    a row for each part. Parts without which the others lie in one cluster give none, rows with a null feature or part take
+    no part.
+    """
+    x = _point(features)
+    ready = rows.where(F.col(part).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v))).persist()
+    parts = sorted(r[0] for r in ready.select(part).distinct().collect())  # the parts named by the caller
+    whole = _best(ready.select(x.alias("x"), F.lit(-1).alias("part")), len(features), k, [-1], tries, seed)[0]
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(parts)), f"_n int, `{part}` {dict(rows.dtypes)[part]}")
+    placed = ready.select(part, x.alias("x")).join(numbers, part).select("x", F.col("_n").alias("part"))
+    found = _best(placed, len(features), k, list(range(len(parts))), tries, seed)
+    ready.unpersist()
+    fits = _constant([{"n": n, "c": c} for n, c in enumerate(found)], "array<struct<n int, c array<array<double>>>>")
+    far = lambda c: F.aggregate(F.zip_with(c, F.col("x"), lambda p, v: (v - p) * (v - p)), F.lit(0.0), lambda s, v: s + v)
+    away = F.transform(F.filter(fits, lambda e: e["n"] != F.col("part")), lambda e: F.struct(e["n"].alias("_n"), F.transform(e["c"], far).alias("d")))
+    each = placed.select("part", "x", F.explode(away).alias("o")).select(_nearest([F.get("x", F.lit(i)) for i in range(len(features))], whole).alias("a"), "o._n", (F.array_position("o.d", F.array_min("o.d")) - 1).alias("b"))
+    several = each.groupBy("_n").agg(F.min("a").alias("_l"), F.max("a").alias("_m")).where("_l < _m").select("_n")
+    return adjusted_rand(each.join(several, "_n"), "a", "b", ["_n"]).join(numbers, "_n").select(part, "ari")
+
+
+def _point(features: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in features])
+
+
+def _nearest(x: list[Column], centres: list[list[float]]) -> Column:
+    """Number of the nearest centre; null where a component is, or without centres."""
+    if not centres:
+        return F.lit(None).cast("int")
+    away = F.array(*[sum((F.pow(f - v, F.lit(2)) for f, v in zip(x, c, strict=True)), F.lit(0.0)) for c in centres])
+    return F.nullif(F.array_position(away, F.array_min(away)) - 1, F.lit(-1)).cast("int")
+
+
+def _best(points: DataFrame, width: int, k: int, omit: list[int], tries: int, seed: int) -> list[list[list[float]]]:
+    """For each part in ``omit``, the centres of the best fit to the points of all other parts, in order; none without points."""
+    points = points.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).persist()
+    drawn = points.orderBy(F.xxhash64("x"), "x").limit(STARTS).collect()
+    x, part = np.array([r.x for r in drawn]).reshape(-1, width), np.array([r.part for r in drawn])
     rng = np.random.default_rng(seed)
-    centres = np.array([_spread(sample, k, rng) for _ in range(tries)])
-    for _ in range(ROUNDS):
-        counts, sums, costs = _round(points, centres)
-        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres)
-        if np.allclose(moved, centres, rtol=0, atol=1e-9 * (1 + np.abs(centres).max())):
-            break
-        centres = moved
+    samples = [x[part != o] if o >= 0 else x for o in omit]
+    live = [i for i, sample in enumerate(samples) if len(sample)]
+    out: list[list[list[float]]] = [[] for _ in omit]
+    if live:
+        centres = np.array([_spread(samples[i], k, rng) for i in live for _ in range(tries)])
+        left = np.repeat([omit[i] for i in live], tries)
+        for _ in range(ROUNDS):
+            counts, sums, costs = _round(points, centres, left)
+            moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres)
+            if np.allclose(moved, centres, rtol=0, atol=1e-9 * (1 + np.abs(centres).max())):
+                break
+            centres = moved
+        for n, i in enumerate(live):
+            best = n * tries + int(costs[n * tries : (n + 1) * tries].argmin())
+            out[i] = sorted((c for c, m in zip(centres[best].tolist(), counts[best].tolist(), strict=True) if m), key=contrast, reverse=True)
     points.unpersist()
-    best = int(costs.argmin())
-    found = sorted((c for c, n in zip(centres[best].tolist(), counts[best].tolist(), strict=True) if n), key=contrast, reverse=True)
-    away = F.array(*[sum((F.pow(x[i] - v, F.lit(2)) for i, v in enumerate(c)), F.lit(0.0)) for c in found])
-    return rows.withColumn("cluster", F.nullif(F.array_position(away, F.array_min(away)) - 1, F.lit(-1)).cast("int"))
+    return out
 
 
 def _spread(sample: np.ndarray, k: int, rng) -> np.ndarray:
@@ -212,27 +290,29 @@ def _spread(sample: np.ndarray, k: int, rng) -> np.ndarray:
     return out
 
 
-def _round(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows and sums of each cluster of every fit, and the cost of every fit; a task returns one row for each fit."""
-    tries, k, d = centres.shape
+def _round(points: DataFrame, centres: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and sums of each cluster of every fit, and its cost, over the rows that aren't of the part it leaves out; a task returns one row for each fit."""
+    fits, k, d = centres.shape
 
     def run(batches):
-        counts, sums, costs = np.zeros((tries, k)), np.zeros((tries, k, d)), np.zeros(tries)
+        counts, sums, costs = np.zeros((fits, k)), np.zeros((fits, k, d)), np.zeros(fits)
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            for t in range(tries):
+            every = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            part = batch.column("part").to_numpy(zero_copy_only=False)
+            for t in range(fits):
+                x = every[part != left[t]] if left[t] >= 0 else every
                 away = ((x[:, None] - centres[t][None]) ** 2).sum(axis=2)
                 near = away.argmin(axis=1)
                 counts[t] += np.bincount(near, minlength=k)
                 np.add.at(sums[t], near, x)
                 costs[t] += away.min(axis=1).sum()
-        flat = np.concatenate([counts, sums.reshape(tries, -1), costs[:, None]], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tries, dtype=np.int32)), pa.array(list(flat), pa.list_(pa.float64()))], ["t", "v"])
+        flat = np.concatenate([counts, sums.reshape(fits, -1), costs[:, None]], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(fits, dtype=np.int32)), pa.array(list(flat), pa.list_(pa.float64()))], ["t", "v"])
 
     width = k + k * d + 1
     total = points.mapInArrow(run, "t int, v array<double>").groupBy("t").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width)]).orderBy("t").collect()
     v = np.array([r[1:] for r in total])
-    return v[:, :k], v[:, k:-1].reshape(tries, k, d), v[:, -1]
+    return v[:, :k], v[:, k:-1].reshape(fits, k, d), v[:, -1]
 
 
 def silhouette(rows: DataFrame, features: list[str], cluster: str = "cluster") -> float:

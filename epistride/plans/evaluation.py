@@ -231,3 +231,10 @@ def oof_logistic(spark, sf):
 def cluster_modes(spark, sf):
     """Two clusters of episodes, cluster 0 with the larger mean value."""
     return M.clusters(episodes(spark, sf).select("episode_key", "m_value", "m_k"), ["m_value", "m_k"], 2, tries=100).select("episode_key", "cluster")
+
+
+@register("cluster_stability")
+def cluster_stability(spark, sf):
+    """Agreement of two clusters of failed episodes with those found without each of them."""
+    failed = episodes(spark, sf).where("y").select("episode_key", "m_value", "m_k")
+    return M.cluster_stability(failed, ["m_value", "m_k"], "episode_key").select("episode_key", r6("ari").alias("ari"))
