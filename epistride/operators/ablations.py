@@ -43,6 +43,7 @@ def ablations(scored: DataFrame) -> DataFrame:
     """One row per horizon and set: counts, AUROC and average precision of steps and of each score of episodes, and how alerts fare.
 
     Metrics are null where a class is missing; rates have at least one episode below the line.
+    Mean scores that differ only by the rounding of their sums may count as tied or not.
     """
     each = episode_scores(scored)
     step = T.rank_metrics(scored, "score", F.col("label") == 1, BY)
