@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epistride.llm import bpe, chat, minhash, mtree, multiindex, packing, substrings, tokens, toxicity, warc
+from epistride.llm import bpe, chat, minhash, mtree, multiindex, packing, repair, substrings, tokens, toxicity, trie, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +97,21 @@ def op10_chat_events(spark, sf_dir):
     return chat.digests(chat.format_conversations(rows))
 
 
+@register
+def op11_structure_repair(spark, sf_dir):
+    return repair.digests(repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+@register
+def op12_wavelet_shards(spark, sf_dir):
+    return wavelet.store_and_read(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(trie.rebuilt(trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
 #: Smallest id reachable over the links ``l`` (a, b in both directions), as the table ``c`` (id, component_id).
 _REACH = """r AS (SELECT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)"""
 
