@@ -163,3 +163,68 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss, sum(10 + length({_ROLE}) + length({_TEXT})) AS n FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM g
 """
+
+def _crc32(text: str) -> str:
+    """DuckDB has no CRC-32: byte by byte, for ASCII texts."""
+    step = "lambda r, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(r, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _state_sql() -> str:
+    """One turn more before a suffix: D, K and R from each state, then inserts; least cost, then least audit."""
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    way = lambda letter, cost, to: f"{{'c': {cost} + s{to}.c, 'a': '{letter}' || s{to}.a}}"
+    more = "CASE WHEN fault = 't' THEN 5 ELSE 0 END"
+    states = []
+    for state in range(4):
+        ways = [way("D", "2", state)]
+        ways += [f"CASE WHEN fault NOT IN ('b', 'd') AND left(role, 1) = '{letter}' THEN {way('K', more, to)} END" for letter, to in kept[state].items()]
+        ways.append(f"CASE WHEN fault NOT IN ('b', 'd') THEN {way('R', f'1 + {more}', after[state])} END")
+        states.append(f"list_min([{', '.join(ways)}]) AS b{state}")
+    return ", ".join(states)
+
+
+_INSERT = lambda own, to: f"list_min([{own}, {{'c': 5 + {to}.c, 'a': 'I' || {to}.a}}])"
+
+ORACLES["op11_structure_repair"] = f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM r, range(2) q(copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM i),
+t AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair FROM o),
+f AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, n AS i, {{'c': 0, 'a': ''}} AS s0, {{'c': 10, 'a': 'II'}} AS s1, {{'c': 5, 'a': 'I'}} AS s2, {{'c': 0, 'a': ''}} AS s3 FROM f
+  UNION ALL
+  SELECT conv_id, i, {_INSERT("b0", "u2")}, {_INSERT("b1", "u2")}, u2, u3
+  FROM (SELECT *, {_INSERT("b2", "b3")} AS u2, {_INSERT("b3", "b2")} AS u3 FROM (SELECT s.conv_id, s.i - 1 AS i, {_state_sql()} FROM s JOIN t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i))),
+a AS (SELECT conv_id, CAST(s0.c AS BIGINT) AS cost, s0.a AS audit FROM s WHERE i = 0),
+e AS (SELECT conv_id, edit, row_number() OVER w AS k, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w AS j
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(length(audit))) AS place FROM a WHERE audit <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
+m AS (SELECT e.*, t.role, t.text, max(CASE WHEN j = 1 AND edit = 'K' AND left(t.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS lead
+  FROM e LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.i = e.i AND edit <> 'I' WHERE edit <> 'D'),
+p AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY k) AS told FROM m GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i <= h UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+x AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, sha256(length(role) || ':' || role || text) AS x, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM r),
+p AS (SELECT conv_id, 0 AS d, '' AS k, 0 AS w FROM c UNION ALL SELECT conv_id, d, string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY d), w FROM x),
+q AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (SELECT d, k, min(conv_id) AS low, count(*) AS n, any_value(w) AS w, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = last), '') AS ends FROM q GROUP BY d, k),
+g AS (SELECT left(k, 64 * (d - 1)) AS k, d - 1 AS d, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+z AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN g ON g.k = n.k AND g.d = n.d),
+u AS (SELECT left(k, 64 * up) AS k, up AS d, count(*) FILTER (WHERE kids = 0) AS n_leaves, sum((n - 1) * w) AS saved FROM (SELECT k, kids, n, w, unnest(range(d + 1)) AS up FROM z) GROUP BY ALL)
+SELECT z.low AS conv_id, z.d AS depth, y.low AS parent_conv_id, z.n AS n_convs, z.kids AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(z.ends) AS ends_sha256
+FROM z JOIN u ON u.k = z.k AND u.d = z.d LEFT JOIN n y ON y.d = z.d - 1 AND y.k = left(z.k, 64 * (z.d - 1))
+"""
