@@ -9,6 +9,7 @@ quicker but can be made to collide, only find candidates, deal out work or serve
 from __future__ import annotations
 
 import hashlib
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,16 +136,29 @@ def word_hashes(digests: np.ndarray) -> np.ndarray:
     return mix(digests[:, 0] ^ mix(digests[:, 1]))
 
 
-def shingle_hashes(digests: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the ``k`` words from each position on (the last k - 1 have none): both halves of each digest enter."""
+def shingle_key(k: int, secret: bytes | None = None) -> np.ndarray:
+    """Random multipliers for hashes of ``k`` words, drawn anew unless ``secret`` is given."""
+    rng = np.random.Generator(np.random.Philox(key=int.from_bytes(secret or os.urandom(16), "little")))
+    return rng.integers(0, 1 << 64, (2, 4 * k + 1), np.uint64)
+
+
+def shingle_hashes(digests: np.ndarray, k: int, key: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ``k`` words from each position on (the last k - 1 have none), by the ``key`` of k words or more.
+
+    Each half is the upper half of a sum of the words' 32-bit parts times random 64-bit numbers: a multilinear hash, with
+    which any two different shingles, whatever their words, collide with a probability of 2**-64 over the draws of the key. Who doesn't know
+    the key can't make two that do. Fewer words than the key is for are hashed as if zeros followed, which no word is.
+    """
     n = max(0, len(digests) - k + 1)
-    one, two = np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])
-    h = np.full(n, U(k))
-    for j in range(k):
-        h ^= one[j : j + n]
-        h = mix(h)
-        h += two[j : j + n]
-    return mix(h)
+    parts = np.ascontiguousarray(digests).view(np.uint32).reshape(-1, 4).T.astype(np.uint64)
+    halves = []
+    for row in key:
+        h = np.full(n, row[0])
+        for j in range(k):
+            for c in range(4):
+                h += parts[c, j : j + n] * row[1 + 4 * j + c]
+        halves.append(h >> U(32))
+    return halves[0] << U(32) | halves[1]
 
 
 def window_digests(digests: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:

@@ -4,10 +4,15 @@ Sketch: in round i < t each shingle is thrown into one hashed bin of t with the
 smallest. A document stops after the first round that leaves no bin empty, and rounds t to 2t - 1 throw every shingle
 into bin i - t, so that every coordinate fills. Coordinates of two sets agree with a probability of their similarity,
 concentrated about it. Bands of coordinates give candidates; links are confirmed on full shingle sets.
+
+Sets hold keyed 64-bit hashes of shingles, whose key is drawn anew for each run: no texts can be made that collide, and
+any two sets of n shingles do by chance with a probability below n**2 / 2**64. Equal sets are known by the BLAKE2b digest of
+the whole set.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 
 from epistride.llm.common import Scratch, by_bytes, clean, filter_slot, id_filter, in_filter, maybe_in, prepare, write_table
 from epistride.llm.components import Forest, components
-from epistride.llm.hashing import U, mix, shingle_hashes, split_words, window_starts, word_digests
+from epistride.llm.hashing import U, mix, shingle_hashes, shingle_key, split_words, window_starts, word_digests
 
 #: Shingles and sets of one part of a bucket, about, if no single set is larger: a task compares two parts.
 GROUP_SHINGLES = 400_000
@@ -39,7 +44,7 @@ class Near:
         return self.bands * self.rows
 
 
-def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text, one after another, and where each begins.
 
     Words are compared with A-Z in lower case; a text with fewer than ``k`` words is one shingle, one without words none.
@@ -47,7 +52,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     words = split_words(texts, lower=True)
     digests, n = word_digests(words), words.per_text
     at, counts = window_starts(words.first, k)
-    long = shingle_hashes(digests, k)[at]
+    long = shingle_hashes(digests, k, key)[at]
     short = np.flatnonzero((n > 0) & (n < k))
     counts = counts.copy()
     counts[short] = 1
@@ -57,7 +62,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         mask = np.zeros(first[-1], bool)
         mask[first[short]] = True
         every[~mask] = long
-        every[mask] = [shingle_hashes(digests[words.first[i] : words.first[i + 1]], int(n[i]))[0] for i in short]
+        every[mask] = [shingle_hashes(digests[words.first[i] : words.first[i + 1]], int(n[i]), key)[0] for i in short]
     else:
         every = long
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -96,40 +101,41 @@ def band_hashes(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-def _profile(near: Near):
-    """Arrow function: per document its number of shingles, a 128-bit sum over its set, and its band hashes."""
+def _digests(values: np.ndarray, first: np.ndarray) -> tuple[list[bytes], pa.Array]:
+    """Each set as bytes, and its digest."""
+    data = values.astype("<u8").tobytes()
+    sets = [data[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return sets, pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary())
+
+
+def _profile(near: Near, key: np.ndarray):
+    """Arrow function: per document its number of shingles, the digest of its set, and its band hashes."""
 
     def run(batches):
         for batch in batches:
             for part in by_bytes(batch, most=2 << 20):
-                values, first = shingle_sets(part.column("text"), near.words)
+                values, first = shingle_sets(part.column("text"), near.words, key)
                 n = np.diff(first)
-                sums = []
-                for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ U(seed)))))
-                    sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
                 bands = band_hashes(sketches(values, first, near.size), near.bands, near.rows)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * near.bands), pa.array(bands.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), flat], ["id", "n_shingles", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), _digests(values, first)[1], flat], ["id", "n_shingles", "own", "bands"])
 
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and shingle set (bytes of sorted 64-bit hashes) of the documents in ``ids``, one row each."""
-    bitmap = id_filter(ids, "id")
+def _sets_of(docs: DataFrame, reps: DataFrame, words: int, key: np.ndarray) -> DataFrame:
+    """id and shingle set (bytes of sorted 64-bit hashes) of the classes in ``reps`` (id, rep, own), one row each."""
+    bitmap = id_filter(reps, "rep")
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(bitmap, batch.column("slot").to_numpy())))
             for part in by_bytes(batch, most=2 << 20) if batch.num_rows else ():
-                values, first = shingle_sets(part.column("text"), words)
-                data = values.astype("<u8").tobytes()
-                sets = pa.array([data[8 * a : 8 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), sets], ["id", "shingles"])
+                sets, own = _digests(*shingle_sets(part.column("text"), words, key))
+                yield pa.RecordBatch.from_arrays([part.column("id"), own, pa.array(sets, pa.binary())], ["rep", "own", "shingles"])
 
-    rows = docs.select("id", "text", filter_slot("id").alias("slot")).mapInArrow(run, "id long, shingles binary")
-    return rows.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    rows = docs.select("id", "text", filter_slot("id").alias("slot")).mapInArrow(run, "rep long, own binary, shingles binary")
+    return rows.join(reps, ["rep", "own"]).select("id", "shingles").dropDuplicates(["id"])
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -192,22 +198,27 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), id_column: str = "doc_
     """id, n_shingles, component_id (smallest id reachable over links) and kept (id = component_id) of every row.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing; repeated rows give a row
-    each; rows with a null id come back unlinked; ids are longs; other columns are left out; an empty table gives an
+    each, and rows that share an id but not their text link each by its own text; rows with a null id come back unlinked; ids are longs; other columns are left out; an empty table gives an
     empty result. Texts of any length count whole. Documents with equal sets are one class from the start, so copies
     are never compared with each other.
     """
     spark = docs.sparkSession
     prepare(spark)
+    key = shingle_key(near.words)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text"))
     with Scratch(spark, "minhash") as made:
-        profiles = made.write(rows.mapInArrow(_profile(near), "id long, n_shingles long, s1 long, s2 long, bands array<long>"), "profiles")
+        profiles = made.write(rows.mapInArrow(_profile(near, key), "id long, n_shingles long, own binary, bands array<long>"), "profiles")
         full = profiles.where("n_shingles > 0 AND id IS NOT NULL")
-        # Written, so that later joins deal rows out by their own keys and a class of many copies can be split.
-        classes = made.write(full.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
-        reps = full.select("id", "s1", "s2", "n_shingles", "bands").join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"]).dropDuplicates(["id"])
-        labels = _linked(made, rows, reps, near)
-        named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-        out = profiles.select("id", "n_shingles", "s1", "s2").join(made.write(named, "named"), ["s1", "s2"], "left")
+        # Written, so that later joins deal rows out by their own keys and a class of many copies can be split, and class numbers stay.
+        classes = made.write(full.groupBy("own").agg(F.min("id").alias("rep")).withColumn("class", F.monotonically_increasing_id()), "classes")
+        named = classes.withColumnRenamed("rep", "id")
+        reps = full.select("id", "own", "n_shingles", "bands").join(named, ["id", "own"]).dropDuplicates(["class"])
+        labels = _linked(made, rows, reps.select(F.col("class").alias("id"), F.col("id").alias("rep"), "own", "n_shingles", "bands"), near, key)
+        linked = labels.select(F.col("id").alias("class"), "component").join(classes, "class")
+        lowest = made.write(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "lowest")
+        linked = linked.join(lowest, "component").select("class", "component_id")
+        known = made.write(classes.join(linked, "class", "left").select("own", F.coalesce("component_id", "rep").alias("component_id")), "known")
+        out = profiles.select("id", "n_shingles", "own").join(known, "own", "left")
         component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
         out = write_table(out.select(F.col("id"), "n_shingles", component.alias("component_id")), "near")
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_column)
@@ -217,8 +228,8 @@ def _parts(load: str) -> str:
     return f"greatest(1L, ceil({load} / {GROUP_SHINGLES}), ceil(n / {GROUP_ROWS}))"
 
 
-def _linked(made: Scratch, rows: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
-    """id and component of the classes ``reps`` that are linked with others."""
+def _linked(made: Scratch, rows: DataFrame, reps: DataFrame, near: Near, key: np.ndarray) -> DataFrame:
+    """id and component of the classes ``reps`` (id, the number of the class; rep, a document of it; own, the digest of its set) that are linked with others."""
     banded = made.write(reps.select("id", "n_shingles", F.explode("bands").alias("band")), "bands")
     # Buckets with more than one class: every class is compared with the bucket's smallest id first.
     buckets = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub != other").select("band", "hub")
@@ -226,7 +237,7 @@ def _linked(made: Scratch, rows: DataFrame, reps: DataFrame, near: Near) -> Data
     made.drop("bands")
     stars = members.where("id != hub").groupBy("id", "hub").agg(F.first("n_shingles").alias("n_shingles"))
     ids = members.select("id").distinct()
-    sets = made.write(_sets_of(rows, ids, near.words), "sets")
+    sets = made.write(_sets_of(rows, reps.select("id", "rep", "own").join(ids, "id", "left_semi"), near.words, key), "sets")
     loads = stars.groupBy("hub").agg(F.sum("n_shingles").alias("load"), F.count(F.lit(1)).alias("n")).select("hub", F.expr(_parts("load")).alias("parts"))
     dealt = stars.join(loads, "hub").select("id", "hub", F.expr("pmod(xxhash64(id), parts)").alias("part"))
     keys = dealt.select("hub", "part").distinct()

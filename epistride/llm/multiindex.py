@@ -156,7 +156,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, as do rows with a null
     id; shorter vectors count as filled up with zeros; equal vectors are one class and are never compared with each other;
-    repeated rows count as further vectors; other columns are left out; an empty table gives an empty result.
+    repeated rows count as further vectors, and rows that share an id but not their vector link each by its own; other columns are left out; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -166,22 +166,26 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"), fits.alias("fits"), F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"))
     with Scratch(spark, "multiindex") as made:
         # Classes are of equal vectors, not of equal hashes; hashes only name them. Written, so that a class of many copies can be split.
-        classes = made.write(rows.where("fits").groupBy("h1", "h2", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-        # Repeated ids with different vectors: one vector stands for the id.
-        reps = made.write(classes.select("id", "n", "v").dropDuplicates(["id"]), "vectors")
+        # Links are between numbers of classes, so that an id with several vectors keeps the links of each.
+        classes = rows.where("fits").groupBy("h1", "h2", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+        classes = made.write(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        reps = classes.select("id", "n", "v")
         width, count = width_of(reps, "v"), reps.count()
-        named = classes.select("h1", "h2", "n", F.col("id").alias("rep"))
+        named = classes.select("id", "h1", "h2", "n", "rep")
         if count:
             k = int(min(CODEWORDS, max(1, round((count / CELL) ** 0.5))))
-            sample = reps.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(max(SAMPLE, PER_WORD * k)).select("v").toArrow()  # at most PER_WORD * CODEWORDS rows
+            sample = classes.orderBy(F.xxhash64("rep", "h1"), "h1", "h2").limit(max(SAMPLE, PER_WORD * k)).select("v").toArrow()  # at most PER_WORD * CODEWORDS rows
             grid = Grid(unit(matrix(sample.column("v"), width)), k, threshold, recall)
             found = made.write(_found(made, reps, grid, threshold, width), "found")
             links = found.groupBy("id").agg(F.sum("links").alias("links"))
             parts = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-            named = named.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+            linked = made.write(parts.join(classes.select("id", "rep"), "id"), "parts")
+            lowest = linked.groupBy("component").agg(F.min("rep").alias("low"))
+            linked = linked.join(lowest, "component").select("id", "low")
+            named = named.join(links, "id", "left").join(linked, "id", "left")
         else:
-            named = named.withColumn("links", F.lit(0)).withColumn("component", F.col("rep"))
-        named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+            named = named.withColumn("links", F.lit(0)).withColumn("low", F.col("rep"))
+        named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
         out = rows.select("id", "fits", "h1", "h2").join(made.write(named, "named"), ["h1", "h2"], "left")
         links = F.when(F.col("fits"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
         out = out.select("id", links, F.when(F.col("fits"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

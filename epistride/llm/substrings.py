@@ -35,7 +35,8 @@ BUCKET_BYTES = 64 << 20
 SENT = "bucket int, hashes binary, checks binary, docs binary, places binary, sure_docs binary, sure_places binary"
 RUN = "bucket int, hashes binary, docs binary, places binary"
 MARKS = "part int, docs binary, places binary"
-MANIFEST = "version long, k int, buckets int, last long, runs array<string>, marks array<string>"
+MANIFEST = "version long, k int, buckets int, before long, last long, runs array<string>, levels array<int>, marks array<string>, answer string"
+GONE = "id long, places array<int>"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -237,8 +238,10 @@ def _merge(table: pa.Table) -> pa.Table:
 class FingerprintIndex:
     """A log-structured index in a folder: sorted immutable runs of anchor hashes by bucket, and the places marked so far.
 
-    No hash is in two runs. A manifest lists what is valid; it is written after new tables and before old ones go, so
-    that an index can be opened again, also after a failure half-way.
+    No hash is in two runs. Runs stand on levels: when a level has more than ``most_runs``, they are merged into one of the
+    next level, so that an anchor is rewritten a logarithm of the number of batches times. A manifest lists what is valid;
+    it is written after new tables and before superseded ones go, so that an index can be opened again, also after a failure
+    half-way.
     """
 
     def __init__(self, spark: SparkSession, k: int = 20, buckets: int | None = None, most_runs: int = 2, folder: str | None = None):
@@ -248,23 +251,42 @@ class FingerprintIndex:
         self.buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = folder or new_path(spark, "index")
         self.runs: list[str] = []
+        self.levels: list[int] = []
         self.marks: list[str] = []
-        #: Largest document id indexed; ids of the next batch must be larger.
+        #: Largest document id indexed; ids of the next batch must be larger. And that before the last batch.
         self.last: int | None = None
+        self.before: int | None = None
+        #: What was found in the last batch, for a caller that lost it.
+        self.answer: str | None = None
         self.version = 0
+        self._stale: list[str] = []
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, most_runs: int = 2) -> FingerprintIndex:
         """The index that ``save`` left in a folder."""
         row = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy(F.desc("version")).first()
         self = cls(spark, row.k, row.buckets, most_runs, folder)
-        self.runs, self.marks, self.last, self.version = list(row.runs), list(row.marks), row.last, row.version
+        self.runs, self.levels, self.marks = list(row.runs), list(row.levels), list(row.marks)
+        self.before, self.last, self.answer, self.version = row.before, row.last, row.answer, row.version
         return self
 
     def save(self) -> None:
-        self.version += 1
-        row = (self.version, self.k, self.buckets, self.last, self.runs, self.marks)
+        """Writes a manifest; then tables that it no longer lists go."""
+        row = (self.version + 1, self.k, self.buckets, self.before, self.last, self.runs, self.levels, self.marks, self.answer)
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.version += 1
+        for path in self._stale:
+            drop_path(self.spark, path)
+        self._stale = []
+
+    def _state(self) -> dict:
+        return {k: list(v) if isinstance(v, list) else v for k, v in vars(self).items()}
+
+    def _restore(self, state: dict) -> None:
+        """Back to an earlier state; tables made since are deleted."""
+        for path in {*self.runs, *self.marks, *self._stale} - {*state["runs"], *state["marks"], *state["_stale"]}:
+            drop_path(self.spark, path)
+        vars(self).update(state)
 
     def _new(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid.uuid4().hex}"
@@ -288,21 +310,31 @@ class FingerprintIndex:
         both.withColumn("is_run", F.col("part").isNull()).write.option("compression", "zstd").partitionBy("is_run").parquet(path)
         matched = self.spark.read.schema(kind + ", is_run boolean").parquet(path)
         matched.where("is_run AND length(hashes) > 0").select("bucket", "hashes", "docs", "places").write.option("compression", "zstd").parquet(run)
+        drop_path(self.spark, f"{path}/is_run=true")
         self.runs.append(run)
+        self.levels.append(0)
         self.marks.append(path)
-        self.last = high
-        drop_path(self.spark, f"{path}/is_run=true")
-        if len(self.runs) > self.most_runs:
-            self.compact()
+        self.before, self.last, self.answer = self.last, high, None
+        while self.levels.count(self.levels[-1]) > self.most_runs:
+            self._merge_from(self.levels.index(self.levels[-1]))
 
-    def compact(self) -> None:
-        """Merges all runs into one. Old ones stay where a manifest may list them, and go otherwise."""
+    def _merge_from(self, at: int) -> None:
+        """Merges the runs from place ``at`` on into one of the next level; old ones go with the next manifest, or at once if none lists them."""
         path = self._new("run")
-        self._past().groupBy("bucket").applyInArrow(_merge, RUN).write.option("compression", "zstd").parquet(path)
+        old = self.spark.read.schema(RUN).parquet(*self.runs[at:])
+        old.groupBy("bucket").applyInArrow(_merge, RUN).write.option("compression", "zstd").parquet(path)
+        self._stale += self.runs[at:]
         if not self.version:
-            for old in self.runs:
-                drop_path(self.spark, old)
-        self.runs = [path]
+            for gone in self._stale:
+                drop_path(self.spark, gone)
+            self._stale = []
+        self.runs[at:], self.levels[at:] = [path], [self.levels[-1] + 1]
+
+    def compact(self) -> None:
+        """Merges all runs into one."""
+        if len(self.runs) > 1:
+            self.levels[-1] = max(self.levels)
+            self._merge_from(0)
 
     def marked(self) -> DataFrame:
         """id and the distinct places of each document marked so far."""
@@ -393,18 +425,35 @@ def repeats_of_batch(index: FingerprintIndex, batch: DataFrame, past: DataFrame,
     Ids of the batch must be larger than all indexed (else ValueError); rows with a null id come back whole. ``past`` holds
     the documents of earlier batches: only those with marked places are read again, to verify. What the index was built
     with holds for the window; an empty batch gives an empty result.
+
+    The index is saved once the batch is verified. After a failure before that it stands as it was, and the batch can be
+    given again; if it was saved and the caller lost the result, the same batch (the last one) gives it once more.
     """
     prepare(batch.sparkSession)
     rows, old = (d.select(F.col(id_column).cast("long").alias("id"), clean(text_column).alias("text")) for d in (batch, past))
     known = rows.where("id IS NOT NULL")
-    first = index.last
-    index.append(known)
-    index.save()
-    with Scratch(batch.sparkSession, "batch") as made:
-        every = old.where(F.lit(first).isNotNull() & (F.col("id") <= F.lit(first))).union(known)
-        gone = _verified(made, every, index)
-        gone = write_table(gone.where(F.col("id") > first) if first is not None else gone, "gone")
-    return _told(rows, gone, index.k, id_column)
+    low, high = known.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return _told(rows, batch.sparkSession.createDataFrame([], GONE), index.k, id_column)
+    if index.answer and high == index.last and (index.before is None or low > index.before):
+        return _told(rows, batch.sparkSession.read.schema(GONE).parquet(index.answer), index.k, id_column)
+    first, state, answer = index.last, index._state(), index._new("answer")
+    try:
+        index.append(known)
+        with Scratch(batch.sparkSession, "batch") as made:
+            every = old.where(F.lit(first).isNotNull() & (F.col("id") <= F.lit(first))).union(known)
+            gone = _verified(made, every, index)
+            gone = gone.where(F.col("id") > first) if first is not None else gone
+            gone.write.option("compression", "zstd").parquet(answer)
+        if state["answer"]:
+            index._stale.append(state["answer"])
+        index.answer = answer
+        index.save()
+    except BaseException:
+        drop_path(batch.sparkSession, answer)
+        index._restore(state)
+        raise
+    return _told(rows, batch.sparkSession.read.schema(GONE).parquet(answer), index.k, id_column)
 
 
 def remove_repeats(docs: DataFrame, k: int = 20, batches: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

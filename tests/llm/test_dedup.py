@@ -120,6 +120,81 @@ def test_batches_alone_against_a_reopened_index(spark, small):
         substrings.FingerprintIndex.open(spark, folder).append(small.select(F.col("doc_id").alias("id"), "text"))
 
 
+def test_a_failed_batch_can_be_given_again(spark, small, monkeypatch):
+    texts = texts_of(small)
+    ids = sorted(texts)
+    folder = common.new_path(spark, "failing-index")
+    substrings.FingerprintIndex(spark, 20, folder=folder).save()
+    index = substrings.FingerprintIndex.open(spark, folder)
+    half = len(ids) // 2
+    one, two = small.where(F.col("doc_id") < ids[half]), small.where(F.col("doc_id") >= ids[half])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeats_of_batch(index, one, one.limit(0)).collect()}
+    verified = substrings._verified
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(substrings, "_verified", fails)
+    with pytest.raises(RuntimeError):
+        substrings.repeats_of_batch(index, two, one)
+    monkeypatch.setattr(substrings, "_verified", verified)
+    again = substrings.FingerprintIndex.open(spark, folder)
+    for known in (index, again):
+        assert known.last == ids[half - 1] and known.runs == again.runs
+    got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.repeats_of_batch(index, two, one).collect()}
+    assert got == brute.substring_dedup(texts, 20)
+    # Saved, and the result lost: the same batch gives it once more.
+    repeated = substrings.repeats_of_batch(substrings.FingerprintIndex.open(spark, folder), two, one).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated}.items() <= got.items() and len(repeated) == len(ids) - half
+
+
+def test_ten_batches_rewrite_runs_by_levels(spark):
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"p{j}x{i}" for i in range(25)) for j in range(6)]
+    rows = [(i, " ".join(rng.permutation([pool[rng.integers(6)], f"a{i} b{i}", " ".join(f"u{i}y{j}" for j in range(22))]))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = common.new_path(spark, "levels")
+    substrings.FingerprintIndex(spark, 20, buckets=3, folder=folder).save()
+    got, levels = {}, []
+    for b in range(10):
+        index = substrings.FingerprintIndex.open(spark, folder, most_runs=1)
+        out = substrings.repeats_of_batch(index, docs.where(F.col("doc_id").between(6 * b, 6 * b + 5)), docs.where(F.col("doc_id") < 6 * b))
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()}
+        levels.append(list(index.levels))
+    assert got == brute.substring_dedup(dict(rows), 20)
+    assert levels[:4] == [[0], [1], [1, 0], [2]] and levels[9] == [3, 1]
+    kept = {p.rsplit("/", 1)[-1] for p in index.runs}
+    import os
+
+    assert {x for x in os.listdir(folder.removeprefix("file://")) if x.startswith("run-")} == kept
+
+
+def test_shingles_that_once_collided_are_not_linked(spark):
+    """Under an unkeyed hash these texts had equal sets, though they share no shingle."""
+    rows = [(1, "eszyci (!@#@!!! tail"), (2, "fiqfvi @(n@d~t= tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, Near(3, 85)).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 2, True)]
+    assert minhash.one_of_each(docs, Near(5, 80)).count() == 2
+
+
+def test_shingle_hashes_depend_on_the_key_and_on_each_word():
+    split = hashing.split_words(pa.array(["a b c d", "b a c d", "a b", "a b c"]))
+    digests = hashing.word_digests(split)
+    one, two = hashing.shingle_key(5), hashing.shingle_key(5)
+    whole = [hashing.shingle_hashes(digests[a:b], b - a, key)[0] for key in (one, two) for a, b in zip(split.first[:-1], split.first[1:], strict=True)]
+    assert len(set(whole)) == 8
+    again = hashing.shingle_key(5, b"0123456789abcdef")
+    assert (hashing.shingle_key(5, b"0123456789abcdef") == again).all()
+
+
+def test_an_id_with_several_texts_keeps_the_links_of_each(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, Near(3, 85)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_kept_texts(spark):
     run = " ".join(f"p{i}" for i in range(25))
     docs = spark.createDataFrame([(1, f"x  {run}"), (2, f"y\n{run} z"), (3, "a\n b")], "doc_id long, text string")
