@@ -10,6 +10,7 @@ these by going up again. Shards are ranges of documents, of about as many tokens
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epistride.llm.common import Scratch, by_bytes, clean, drop_path, new_path, prepare, write_table
+from epistride.llm.tokens import byte_of_character
 
 #: Tokens of a shard; only a longer document makes a longer one.
 SHARD_TOKENS = 1 << 20
 #: Bits whose ones are counted together.
 BLOCK = 512
-#: Distinct words whose ids a worker remembers, and bytes of a word that may be remembered.
-WORDS, WORD_BYTES = 1 << 18, 64
+#: Bytes of a word that takes the quick way.
+WORD_BYTES = 256
 #: The id at the end of each document.
 END = 2
 
@@ -42,21 +44,99 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Stands for the end of a word's part inside the fast encoder; words that hold it go through the library.
+MARK = "\x01"
+_LETTERS, _PUNCTUATION = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!\"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~\\\\"
+_PLAIN = rf"^[{_LETTERS}0-9{_PUNCTUATION}]+$"
+_PART = rf"([{_LETTERS}]+|[0-9]|[{_PUNCTUATION}]+)"
+
+
+@functools.lru_cache(maxsize=4)
+def is_proper(path: str) -> bool:
+    """Whether merging whatever gives the piece of lowest id is the same as going through the vocabulary's merges.
+
+    It is where pieces of one character come before all merges, ids of merges ascend in their order, and each piece,
+    merged from its characters, gives itself: no merge reaches over the borders of two pieces that stand side by side, so
+    that they are what they would be alone, which is the pair that the vocabulary lists.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model["type"] != "BPE" or model["end_of_word_suffix"] != _SUFFIX or any(model.get(k) for k in ("continuing_subword_prefix", "dropout", "byte_fallback", "unk_token")):
+        return False
+    ids, made = model["vocab"], {}
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    order = {m: i for i, m in enumerate(merges)}
+    at = [ids[a + b] for a, b in merges]
+    single = [*byte_of_character(), *(c + _SUFFIX for c in byte_of_character())]
+    if at != sorted(set(at)) or not all(c in ids for c in single) or max(ids[c] for c in single) > at[0]:
+        return False
+    for a, b in merges:
+        piece, end = (a + b, "") if not b.endswith(_SUFFIX) else ((a + b)[: -len(_SUFFIX)], _SUFFIX)
+        parts = [*piece[:-1], piece[-1] + end]
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: (order.get((parts[i], parts[i + 1]), len(order)), i))
+            if (parts[best], parts[best + 1]) not in order:
+                return False
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        made[a + b] = True
+    return len(made) == len(merges)
+
+
+_SUFFIX = "</w>"
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose tokens never reach across ASCII white space: each distinct word is encoded once.
+    """Ids of texts by a tokenizer whose tokens never reach across ASCII white space: each distinct word of a batch is encoded once.
 
     Normal forms, lower case, special strings and the split into words all stop at white space, which gives no token itself.
-    Up to WORDS words are kept for later batches, those longer than WORD_BYTES for their own batch alone.
+    Plain words (Latin letters, digits and ASCII punctuation without the apostrophe) are cut into their parts and merged by a
+    quicker encoder of the same pieces if the vocabulary is ``proper``; other words go through the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proper: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import tiktoken
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, np.ndarray] = {}
+        self.fast = None
+        if proper:
+            with open(path, encoding="utf-8") as f:
+                file = json.load(f)
+            special, table = {t["content"] for t in file["added_tokens"]}, byte_of_character()
+            ranks = {}
+            for piece, i in file["model"]["vocab"].items():
+                if piece not in special:
+                    ends = piece.endswith(_SUFFIX)
+                    ranks[bytes(table[c] for c in (piece[: -len(_SUFFIX)] if ends else piece)) + (MARK.encode() if ends else b"")] = i
+            self.fast = tiktoken.Encoding("own", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(max(ranks.values()) + 1, bool)
+            self.ends[[i for b, i in ranks.items() if len(b) > 1 and b.endswith(MARK.encode())]] = True
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, one after the other, and the number of each."""
+        plain = np.zeros(len(words), bool)
+        if self.fast is not None:
+            short = pc.less_equal(pc.binary_length(words), WORD_BYTES)
+            plain = pc.and_(pc.and_(pc.match_substring_regex(words, _PLAIN), short), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(words), np.int64)
+        some = words.filter(pa.array(plain))
+        parts = pc.count_substring_regex(some, _PART).to_numpy(zero_copy_only=False).astype(np.int64)
+        marked = pc.replace_substring_regex(pc.utf8_lower(some), _PART, r"\1" + MARK)
+        quick = np.concatenate([np.zeros(0, np.uint32), *(self.fast.encode_to_numpy("".join(marked.slice(i, 1 << 16).to_pylist()), disallowed_special=()) for i in range(0, len(some), 1 << 16))])
+        # A word ends with the last of its parts.
+        ends = (np.flatnonzero(self.ends[quick]) + 1)[np.cumsum(parts) - 1] if len(some) else np.zeros(0, np.int64)
+        counts[plain] = np.diff(ends, prepend=0)
+        rest = self.library.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)
+        slow = [np.array(x.ids, np.uint32) for x in rest]
+        counts[~plain] = [len(x) for x in slow]
+        out = np.empty(int(counts.sum()), np.uint32)
+        at = np.repeat(plain, counts)
+        out[at] = quick
+        out[~at] = np.concatenate([np.zeros(0, np.uint32), *slow])
+        return out, counts
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of each."""
@@ -65,18 +145,9 @@ class WordEncoder:
         coded = words.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        at, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-        ids = [self.known.get(w) for w in distinct]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        if len(self.known) + len(missing) > WORDS:
-            self.known.clear()
-        for i, made in zip(missing, self.library.encode_batch_fast([distinct[i] for i in missing], add_special_tokens=False), strict=True):
-            ids[i] = np.array(made.ids, np.uint32)
-            if len(distinct[i]) <= WORD_BYTES:
-                self.known[distinct[i]] = ids[i]
-        sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        pool, sizes = self._distinct(coded.dictionary)
         begins = np.cumsum(sizes) - sizes
-        pool = np.concatenate([*ids, np.zeros(0, np.uint32)])
         per_word = sizes[at]
         upto = np.concatenate(([0], np.cumsum(per_word)))
         out = pool[np.arange(upto[-1]) + np.repeat(begins[at] - upto[:-1], per_word)]
@@ -85,8 +156,8 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, proper: bool) -> WordEncoder:
+    return WordEncoder(path, proper)
 
 
 @dataclass
@@ -193,9 +264,10 @@ def matrix_of(row: dict) -> Matrix:
 def encoded(docs: DataFrame, vocabulary: str | None = None, id_column: str = "doc_id", text_column: str = "text", end_id: int = END) -> DataFrame:
     """id, tie (a hash of the text), n_tokens and ids (little-endian, 32 bits, the end id last) of each row."""
     path = vocabulary or default_vocabulary()
+    proper = is_proper(path)
 
     def run(batches):
-        enc = word_encoder(path)
+        enc = word_encoder(path, proper)
         for batch in batches:
             for part in by_bytes(batch):
                 ids, counts = enc.batch(part.column("text"))
@@ -256,6 +328,8 @@ def _shard_schema(kind: pa.DataType) -> pa.Schema:
 
 #: Tasks whose shards are summed as one group.
 GROUP = 1024
+#: Shards whose starts may be broadcast: 24 bytes each.
+STARTS = 1 << 20
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
@@ -297,8 +371,10 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 ids = [data[4 * (b - n) : 4 * b] for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([names, pa.array(row["start"] + ends - counts), pa.array(counts), pa.array(ids, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
-    told = shards.join(starts(spark, path).select("part", "place", "start"), ["part", "place"])
-    return told.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids binary")
+    where = starts(spark, path).select("part", "place", "start")
+    if shards.count() <= STARTS:  # else the planes are shuffled
+        where = F.broadcast(where)
+    return shards.join(where, ["part", "place"]).mapInArrow(run, f"id {kind}, start long, n_tokens long, ids binary")
 
 
 def count_of(spark: SparkSession, path: str, tokens: Iterable[int]) -> DataFrame:
