@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epistride.llm.common import Scratch, by_bytes, clean, drop_path, new_path, prepare, write_table
+from epistride.llm.hashing import text_buffers
 from epistride.llm.tokens import byte_of_character
 
 #: Tokens of a shard; only a longer document makes a longer one.
@@ -125,7 +126,8 @@ class WordEncoder:
         some = words.filter(pa.array(plain))
         parts = pc.count_substring_regex(some, _PART).to_numpy(zero_copy_only=False).astype(np.int64)
         marked = pc.replace_substring_regex(pc.utf8_lower(some), _PART, r"\1" + MARK)
-        quick = np.concatenate([np.zeros(0, np.uint32), *(self.fast.encode_to_numpy("".join(marked.slice(i, 1 << 16).to_pylist()), disallowed_special=()) for i in range(0, len(some), 1 << 16))])
+        told = text_buffers(marked)[0].tobytes().decode()
+        quick = self.fast.encode_to_numpy(told, disallowed_special=()) if told else np.zeros(0, np.uint32)
         # A word ends with the last of its parts.
         ends = (np.flatnonzero(self.ends[quick]) + 1)[np.cumsum(parts) - 1] if len(some) else np.zeros(0, np.int64)
         counts[plain] = np.diff(ends, prepend=0)
