@@ -263,8 +263,19 @@ def matrix_of(row: dict) -> Matrix:
     return Matrix(row["n_tokens"], row["zeros"], [np.frombuffer(p, np.uint8) for p in row["planes"]], [np.frombuffer(o, "<i8") for o in row["ones"]])
 
 
+def _pack(ids: np.ndarray) -> bytes:
+    """Ids compressed for their way through a shuffle, in 16 bits each where they fit."""
+    wide = len(ids) and ids.max() > 0xFFFF
+    return (b"\1" if wide else b"\0") + pa.compress(ids.astype("<u4" if wide else "<u2").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    kind = np.dtype("<u4" if data[0] else "<u2")
+    return np.frombuffer(pa.decompress(data[1:], n * kind.itemsize, codec="zstd", asbytes=True), kind)
+
+
 def encoded(docs: DataFrame, vocabulary: str | None = None, id_column: str = "doc_id", text_column: str = "text", end_id: int = END) -> DataFrame:
-    """id, tie (a hash of the text), n_tokens and ids (little-endian, 32 bits, the end id last) of each row."""
+    """id, tie (a hash of the text), n_tokens and ids (packed, the end id last) of each row."""
     path = vocabulary or default_vocabulary()
     proper = is_proper(path)
 
@@ -274,7 +285,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, id_column: str = "do
             for part in by_bytes(batch):
                 ids, counts = enc.batch(part.column("text"))
                 ends = np.cumsum(counts)
-                out = [np.append(ids[b - n : b], np.uint32(end_id)).astype("<u4").tobytes() for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
+                out = [_pack(np.append(ids[b - n : b], np.uint32(end_id))) for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(counts + 1, pa.int64()), pa.array(out, pa.binary())], ["id", "tie", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_column).alias("id"), clean(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -300,8 +311,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, id_c
             part, place, held, names, size, schema = TaskContext.get().partitionId(), 0, [], [], 0, None
 
             def shard():
-                matrix = Matrix.of(np.frombuffer(b"".join(held), "<u4"))
-                documents = [{"id": i, "tokens": len(x) // 4} for i, x in zip(names, held, strict=True)]
+                matrix = Matrix.of(np.concatenate(held).astype(np.uint32))
+                documents = [{"id": i, "tokens": len(x)} for i, x in zip(names, held, strict=True)]
                 row = [part, place, documents, matrix.n, matrix.zeros, [p.tobytes() for p in matrix.planes], [o.astype("<i8").tobytes() for o in matrix.ones]]
                 return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema.names)
 
@@ -311,7 +322,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, id_c
                     if held and size + n > shard_tokens:
                         yield shard()
                         place, held, names, size = place + 1, [], [], 0
-                    held.append(ids)
+                    held.append(_unpack(ids, n))
                     names.append(i)
                     size += n
             if held:
