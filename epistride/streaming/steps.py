@@ -6,89 +6,36 @@ it; everything else is the column code of ``operators.features``. State is gone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from epistride.functions import values as V
 from epistride.operators import features as X
 from epistride.sources import ingest
+from epistride.streaming.ordered import InOrder, rocksdb
 
 #: Rows before a row whose raw fields it needs: means go over three rows, each of which looks at the one before.
 BEFORE = 3
-_RAW = ", ".join(f"{c} string" for c in X.RAW)
 _OUT = "episode_key string, row string, stage int, " + ", ".join(f"{c}_{k} string" for k in range(1, BEFORE + 1) for c in X.RAW)
-
 _ORDERED = Row(*[c.split()[0] for c in _OUT.split(", ")])
 
 
-class InOrder(StatefulProcessor):
-    """Hands on the rows of an episode in order of their steps.
+class WithPast(InOrder):
+    """Each row with the raw fields of the rows before it and the furthest stage so far."""
 
-    Value state: the next step, the furthest stage, whether the last step has come, and the latest time of a row. List
-    state: the raw fields of the last rows. Map state: rows that came early, by step. A row that is still missing
-    ``patience`` milliseconds of event time after a row that waits for it is given up, as a timer tells; it is left out if
-    it comes later still, as are repeated rows. After the last step only the value stays, until a timer clears it as late.
-    """
+    fields = "row string, stage int, " + ", ".join(f"{c} string" for c in X.RAW)
+    memory = "stage int"
+    start = (0,)
+    before = BEFORE
+
+    def emit(self, key, row, past, memo):
+        stage = max(memo[0], row[1] or 0)
+        none = (None,) * len(X.RAW)
+        raw = [x for k in range(BEFORE) for x in (past[k][2:] if k < len(past) else none)]
+        return _ORDERED(key[0], row[0], stage, *raw), (stage,)
 
-    def __init__(self, first: int, patience: int):
-        self.first, self.patience = first, patience
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.at = handle.getValueState("at", "next long, stage int, ended boolean, latest long")
-        self.before = handle.getListState("before", _RAW)
-        self.early = handle.getMapState("early", "step long", f"time long, row string, stage int, ends boolean, {_RAW}")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the interface
-        at, stage, ended, latest = self.at.get() if self.at.exists() else (self.first, 0, False, 0)
-        for r in rows:
-            if r.step_id is not None and r.step_id >= at and not ended and not self.early.containsKey((r.step_id,)):
-                self.early.updateValue((r.step_id,), (r.time, r.row, r.stage, r.ends, *(r[c] for c in X.RAW)))
-                latest = max(latest, r.time)
-        yield from self._go_on(key, at, stage, ended, latest, skip=None)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.at.exists():
-            state = self.at.get()
-            if state[2]:
-                self.at.clear()
-            else:
-                yield from self._go_on(key, *state, skip=expiredTimerInfo.getExpiryTimeInMs())
-
-    def _go_on(self, key, at: int, stage: int, ended: bool, latest: int, skip: int | None) -> Iterator[Row]:
-        """Rows from step ``at`` on; gaps are passed where a row behind them has waited until ``skip``."""
-        before = list(self.before.get()) if self.before.exists() else []
-        waiting = {k[0]: v for k, v in self.early.iterator()}
-        while waiting and not ended:
-            step = min(waiting)
-            if step != at and not (skip is not None and min(v[0] for v in waiting.values()) + self.patience <= skip):
-                break
-            _, row, own, ended, *raw = waiting.pop(step)
-            self.early.removeKey((step,))
-            stage = max(stage, own or 0)
-            none = (None,) * len(X.RAW)
-            past = [x for k in range(1, BEFORE + 1) for x in (before[-k] if k <= len(before) else none)]
-            yield _ORDERED(key[0], row, stage, *past)
-            before = [*before, tuple(raw)][-BEFORE:]
-            at = step + 1
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.at.update((at, stage, bool(ended), latest))
-        if ended:
-            self.before.clear()
-            self.early.clear()
-            self.handle.registerTimer(latest + self.patience)
-            return
-        if before:
-            self.before.put(before)
-        if waiting:
-            self.handle.registerTimer(min(v[0] for v in waiting.values()) + self.patience)
-
-    def close(self) -> None:
-        pass
+    def kept(self, row):
+        return (None, None, *row[2:])
 
 
 def read_step_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -112,15 +59,14 @@ def step_features(steps: DataFrame, first: int = 0, patience_s: int = 600, late:
     are no columns, since they aren't known yet. State is a few rows for each open episode; after a step that is terminated or truncated it is one value, and
     nothing once the watermark has passed it by ``patience_s``.
     """
-    spark = steps.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rocksdb(steps.sparkSession)
     schema = steps.drop("ts").schema
     post = lambda c: F.coalesce(V.truth(F.col(f"post_action.{c}")), F.lit(False))
     told = steps.withWatermark("ts", late).select(
         "episode_key", "ts", (F.unix_millis("ts")).alias("time"), "step_id", X.stage().alias("stage"), (post("terminated") | post("truncated")).alias("ends"),
         F.to_json(F.struct(*[c for c in steps.columns if c != "ts"])).alias("row"), *[F.col(f"pre_action.{c}").alias(c) for c in X.RAW],
     )
-    ordered = told.groupBy("episode_key").transformWithState(InOrder(first, 1000 * patience_s), _OUT, "Append", "EventTime")
+    ordered = told.groupBy("episode_key").transformWithState(WithPast(first, 1000 * patience_s), _OUT, "Append", "EventTime")
     rows = ordered.select(F.from_json("row", schema).alias("r"), "stage", *[f"{c}_{k}" for k in range(1, BEFORE + 1) for c in X.RAW]).select("r.*", "stage", *[f"{c}_{k}" for k in range(1, BEFORE + 1) for c in X.RAW])
     rows = X.parsed(rows, {c: F.col(f"pre_action.{c}") for c in X.RAW}, points)
     for k in range(1, BEFORE + 1):

@@ -107,3 +107,37 @@ def test_gaps_are_given_up_after_a_while(spark, tmp_path):
     assert held(spark, tmp_path, "at") == 1 and len(got()) == 8
     row = spark.read.parquet(f"file://{tmp_path}/out").where(F.col("step_id") == 3).first()
     assert row.label_coke_stage is not None
+
+
+def test_online_alerts_are_those_of_the_batch(spark, tmp_path):
+    """Scores of events, shuffled and split over batches and restarts, against the detectors of the batch."""
+    from pyspark.sql import Window
+
+    from epistride.operators import labels as L
+    from epistride.plans.views import steps
+    from epistride.streaming.alerts import DETECTORS, alerts
+
+    rows = steps(spark, "/root/testdata/sf0.001").where("episode_key < 12").select(
+        F.col("episode_key").cast("string").alias("episode_key"), (F.col("episode_key") % 3).cast("int").alias("fold"), "step_id", F.when(F.col("step_id") % 7 != 3, F.col("value") / 1000).alias("score")
+    )
+    rows = rows.withColumn("ends", F.col("step_id") == F.max("step_id").over(Window.partitionBy("episode_key"))).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("step_id"))).cache()
+    thresholds = spark.createDataFrame([(0, 0.05), (1, 0.08)], "fold int, threshold double")  # none for fold 2
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("episode_key", "step_id"), F.lit(4)))
+    for part in range(4):
+        parts.where(F.col("part") == part).drop("part").orderBy(F.rand(part)).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in")
+        out = alerts(stream, thresholds, late="1 hour", patience_s=3600)
+        out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    each = rows.join(thresholds, "fold", "left")
+    want = each.withColumns(L.detector_alerts(F.col("score"), F.col("threshold"), Window.partitionBy("episode_key").orderBy("step_id")))
+    columns = ["episode_key", "step_id", *DETECTORS]
+    a, b = (sorted(tuple(r) for r in x.select(columns).collect()) for x in (got, want))
+    assert a == b and all(any(r[2 + i] for r in a) for i in range(3))
+    fired = {}
+    for r in sorted(got.collect(), key=lambda r: r.step_id):
+        before = fired.setdefault(r.episode_key, set())
+        new = [d for d in DETECTORS if r[d] and d not in before]
+        assert (r["first"] or "") == ",".join(new)
+        fired[r.episode_key] |= set(new)
+    assert held(spark, tmp_path, "memo") == 0 and held(spark, tmp_path, "before") == 0
