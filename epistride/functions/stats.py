@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,7 +27,7 @@ def sums_before(rows: DataFrame, by: list[str], at: str, values: list[str], like
     holds a group, however large.
     """
     key = F.xxhash64(at)
-    sample = sorted(r[0] for r in (rows if like is None else like).select(at).where(F.col(at).isNotNull()).orderBy(key, at).limit(EDGES).collect())
+    sample = sorted(r[0] for r in (rows if like is None else like).select(at).where(F.col(at).isNotNull()).distinct().orderBy(key, at).limit(EDGES).collect())
     ranges = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = sorted(set(sample[:: -(-len(sample) // ranges)] if sample else []))
     part = sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
@@ -67,39 +69,67 @@ def rank_metrics(rows: DataFrame, score: str, positive: Column, by: list[str]) -
     return out.select(*by, "n_pos", "n_neg", F.when(both, F.col("u") / (p * q)).alias("auroc"), F.when(p > 0, F.col("ap") / p).alias("average_precision"), F.when(both, F.col("u")).alias("u"), F.when(both & (sigma > 0), z).alias("z"))
 
 
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, off by less than 1e-14: one less a series of positive terms; 0 beyond 6."""
+    x = F.least(F.abs(x), F.lit(6.0))
+    start = F.struct(x.alias("term"), x.alias("sum"))
+    more = lambda a, n: F.struct((a.term * 2 * x * x / (2 * n + 1)).alias("term"), (a.sum + a.term * 2 * x * x / (2 * n + 1)).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(140)), start, more, lambda a: a.sum)
+    return F.when(x < 6.0, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * total).when(x.isNotNull(), F.lit(0.0))
+
+
 def two_sided_p(z: Column) -> Column:
-    """erfc(z / sqrt(2)), by a rational approximation that is off by less than 2e-7."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    # Coefficients of the approximation, highest power first.
-    poly = F.lit(0.0)
-    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
-        poly = (poly + c) * t
-    return poly * F.exp(-x * x)
-
-
-def mann_whitney_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided p without ties, from the exact distribution of U; for small samples."""
-    counts = _rank_sums(n1, n2)
-    tail = sum(c for s, c in counts.items() if s >= max(u, n1 * n2 - u))
-    return min(1.0, 2 * tail / sum(counts.values()))
-
-
-def _rank_sums(n1: int, n2: int) -> dict[int, int]:
-    """Number of orders of two samples by U."""
-    table: dict[tuple[int, int], dict[int, int]] = {}
-    for a in range(n1 + 1):
-        for b in range(n2 + 1):
-            if a == 0 or b == 0:
-                table[a, b] = {0: 1}
-                continue
-            out: dict[int, int] = {}
-            for s, c in table[a - 1, b].items():  # the largest is of the first sample and beats all b
-                out[s + b] = out.get(s + b, 0) + c
-            for s, c in table[a, b - 1].items():
-                out[s] = out.get(s, 0) + c
-            table[a, b] = out
-    return table[n1, n2]
+    """The probability that a normal variable is at least as far from 0 as ``z``."""
+    return erfc(F.abs(z) / math.sqrt(2))
+
+
+#: Samples with an exact p: the smaller has at most the first, the larger at most the second number of values.
+U_SMALL, U_LARGE = 8, 128
+
+
+def u_distribution(spark: SparkSession, small: int = U_SMALL, large: int = U_LARGE) -> DataFrame:
+    """n1, n2, u, orders and tail: in how many orders of two samples without ties U is ``u``, and the share in which it is at least that.
+
+    For n1 up to ``small`` and n1 <= n2 <= ``large``; by the recurrence on whether the largest value is of the first sample or the second.
+    """
+    counts = {(0, b): np.ones(1) for b in range(large + 1)}
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    for n1 in range(1, small + 1):
+        counts[n1, 0] = np.ones(1)
+        for n2 in range(1, large + 1):
+            c = np.zeros(n1 * n2 + 1)
+            c[n2:] += counts[n1 - 1, n2]
+            c[: len(counts[n1, n2 - 1])] += counts[n1, n2 - 1]
+            counts[n1, n2] = c
+            if n1 <= n2:
+                tail = np.cumsum(c[::-1])[::-1] / c.sum()
+                for column, x in zip(columns, (np.full(len(c), n1), np.full(len(c), n2), np.arange(len(c)), c, tail), strict=True):
+                    column.append(x)
+    n1, n2, u, c, tail = (np.concatenate(x) for x in columns)
+    whole = lambda x: pa.array(x.astype(np.int64))
+    return spark.createDataFrame(pa.table({"n1": whole(n1), "n2": whole(n2), "u": whole(u), "orders": pa.array(c), "tail": pa.array(tail)}))
+
+
+def mann_whitney(rows: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
+    """The columns of ``rank_metrics`` with p, two-sided, and exact (whether it is from the distribution of U).
+
+    It is where a sample has at most U_SMALL values, neither more than U_LARGE, and no scores are tied; else the normal
+    approximation with corrections for ties and continuity is taken. p is null where a class is missing.
+    """
+    h = histogram(rows, score, positive, by)
+    tied = h.groupBy(*by).agg(F.bool_or(F.col("pos") + F.col("neg") > 1).alias("tied"))
+    ranked = rank_metrics(rows, score, positive, by)
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    ranked = ranked.join(tied.select(*[F.col(c).alias(f"_{c}") for c in by], "tied"), same, "left").drop(*[f"_{c}" for c in by])
+    low, high = F.least("n_pos", "n_neg"), F.greatest("n_pos", "n_neg")
+    far = F.greatest(F.col("u"), F.col("n_pos") * F.col("n_neg") - F.col("u"))
+    wanted = ~F.col("tied") & (low <= U_SMALL) & (high <= U_LARGE)
+    table = u_distribution(rows.sparkSession).select(F.col("n1").alias("_n1"), F.col("n2").alias("_n2"), F.col("u").alias("_u"), "tail")
+    found = ranked.join(table, wanted & (low == F.col("_n1")) & (high == F.col("_n2")) & (far.cast("long") == F.col("_u")), "left")
+    p = F.coalesce(F.when(F.col("tail").isNotNull(), F.least(2 * F.col("tail"), F.lit(1.0))), F.when(F.col("u").isNotNull(), F.coalesce(two_sided_p(F.col("z")), F.lit(1.0))))
+    return found.withColumns({"p": p, "exact": F.col("tail").isNotNull()}).drop("_n1", "_n2", "_u", "tail", "tied")
 
 
 def cohen_d(x: Column, positive: Column, on_zero: float | None = 0.0) -> Column:

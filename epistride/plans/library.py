@@ -1,3 +1,3 @@
 """Imports every module that registers catalog queries."""
 
-from epistride.plans import evaluation, relations, reports, sequences, traces  # noqa: F401
+from epistride.plans import evaluation, generalization, relations, reports, sequences, traces  # noqa: F401

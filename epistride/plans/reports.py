@@ -81,7 +81,14 @@ def parser_health(spark, sf):
     return B.parser_health(read(spark, sf, "events"), ["event_type"], {"value": F.col("value").isNotNull(), "k": F.get_json_object("props", "$.k").isNotNull()})
 
 
-_P = "(((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-x * x)"
+def erfc_sql(x: str) -> str:
+    """erfc(x) by the series of functions.stats.erfc."""
+    more = f"lambda acc, nth: {{'t': acc.t * 2 * {x} * {x} / (2 * nth.t + 1), 's': acc.s + acc.t * 2 * {x} * {x} / (2 * nth.t + 1)}}"
+    terms = "list_transform(range(1, 141), lambda nth: {'t': CAST(nth AS DOUBLE), 's': 0.0::DOUBLE})"
+    return f"CASE WHEN {x} < 6 THEN 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_reduce({terms}, {more}, {{'t': {x}::DOUBLE, 's': {x}::DOUBLE}}).s ELSE 0 END"
+
+
+_P = erfc_sql("x")
 
 ASSOCIATED = STEPS + LAST + """, el AS (SELECT task, episode_key, y, unnest(['value', 'p', 'k']) AS feature, unnest([v, p, k]) AS x, unnest([hv, hp, hk]) AS held, n FROM
   (SELECT task, episode_key, last_type = 'error' AS y, avg(value) AS v, avg(p) AS p, avg(k) AS k, count(value) AS hv, count(p) AS hp, count(k) AS hk, count(*) AS n FROM steps JOIN ends USING (episode_key) GROUP BY 1, 2, 3)),
@@ -89,7 +96,7 @@ rk AS (SELECT *, rank() OVER (PARTITION BY task, feature ORDER BY x) + (count(*)
 gr AS (SELECT task, feature, count(x) AS n, count(*) FILTER (WHERE y) AS a, count(*) FILTER (WHERE NOT y) AS b, sum(r) FILTER (WHERE y) AS rs, sum(t * t - 1.0) AS ties, avg(x) FILTER (WHERE y) AS ma, avg(x) FILTER (WHERE NOT y) AS mb, var_samp(x) FILTER (WHERE y) AS va, var_samp(x) FILTER (WHERE NOT y) AS vb FROM rk GROUP BY 1, 2),
 cv AS (SELECT task, feature, sum(held) / sum(n) AS share FROM el GROUP BY 1, 2),
 zz AS (SELECT *, rs - a * (a + 1) / 2.0 AS u, greatest(abs(rs - a * (a + 1) / 2.0 - a * b / 2.0) - 0.5, 0) / sqrt(a * b / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))) / sqrt(2.0) AS x FROM gr),
-tt AS (SELECT *, 1 / (1 + 0.3275911 * x) AS t FROM zz)
+tt AS (SELECT * FROM zz)
 """
 
 

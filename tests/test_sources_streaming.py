@@ -95,9 +95,8 @@ def test_inventories(spark):
 
 def test_folds_models_and_exact_p(spark):
     assert labels.fold_runs([(5, 1), (3, 2), (2, 1)], 2) == [(5, 0, 1, [0, 1]), (3, 0, 1, [1]), (3, 1, 2, [1, 0]), (2, 0, 1, [0, 1])]
-    assert abs(stats.mann_whitney_exact(0, 3, 3) - 0.1) < 1e-12
     p = spark.range(1).select(stats.two_sided_p(F.lit(1.959964))).first()[0]
-    assert abs(p - 0.05) < 1e-5
+    assert abs(p - 0.05) < 1e-8
     rows = spark.createDataFrame([(f"e{i % 10}", float(i % 10 >= 5) * 4 + i % 3, int(i % 10 >= 5)) for i in range(200)], "episode_key string, feat_x double, y int")
     scored = models.grouped_oof(rows, ["feat_x"], "y").collect()
     assert len(scored) == 200 and all((r.score > 0.5) == (r.y == 1) for r in scored)
