@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -14,134 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epistride.functions.stats import adjusted_rand
-from epistride.functions.values import features_only, finite
+from epistride.operators.fits import logistic, vector
 from epistride.operators.labels import far_threshold, with_folds
 
 
-#: Newton rounds at most; a fit whose largest step is below CLOSE is done.
-NEWTON, CLOSE = 50, 1e-9
-
-
-def _fitted(rows: DataFrame, features: list[str], labels: list[str], masks: list[Column], balanced: bool, indicators: bool) -> Callable[[Column], Column]:
-    """Logistic fits of each label to the rows of each mask, side by side; returns the score of a row by the fit with a given number.
-
-    Fits are numbered label by label: those of the first label have the numbers of the masks.
-
-    Gaps (null, NaN, infinite) are filled with the exact median of the fit's rows (0 without any); ``indicators`` adds a
-    column for each feature with gaps there. Columns are scaled by their population deviation (1 if that is 0), and
-    coefficients but the intercept are penalised by half their squares; ``balanced`` gives both classes the same weight. A fit
-    to one class gives 1 or 0, a fit to no rows 0. A round is one pass whose tasks return sums for every fit, of the size of
-    the square of the features.
-    """
-    w = len(features_only(features))
-    x = [finite(F.col(c).cast("double")) for c in features]
-    points = rows.select(F.array(*[F.col(c).cast("double") for c in labels]).alias("y"), F.array(*x).alias("x"), F.array(*masks).alias("m")).persist()
-    of = lambda t, c: F.when(F.col("m")[t], c)
-    known = {"median": F.median, "n": F.count, "mean": F.avg, "sd": F.stddev_pop}
-    wanted = [f(of(t, F.col("x")[c])).alias(f"{name}_{t}_{c}") for t in range(len(masks)) for c in range(w) for name, f in known.items()]
-    classes = [F.count_if(F.col("m")[t] & (F.col("y")[i] == k)).alias(f"c_{i}_{t}_{k}") for i in range(len(labels)) for t in range(len(masks)) for k in (0, 1)]
-    stats = points.agg(*wanted, *classes).first()
-    fits = [(i, t) for i in range(len(labels)) for t in range(len(masks))]
-    table = lambda name: np.array([[stats[f"{name}_{t}_{c}"] or 0.0 for c in range(w)] for _, t in fits], dtype=float)
-    counts = np.array([[stats[f"c_{i}_{t}_{k}"] for k in (0, 1)] for i, t in fits], dtype=float)
-    fill, held, total = table("median"), table("n"), np.maximum(counts.sum(axis=1), 1)[:, None]
-    gaps = (total - held) * (counts.sum(axis=1) > 0)[:, None]
-    mean = (held * table("mean") + gaps * fill) / total
-    sd = np.sqrt((held * (table("sd") ** 2 + (table("mean") - mean) ** 2) + gaps * (fill - mean) ** 2) / total)
-    share = gaps / total
-    centre = np.concatenate([mean, share], axis=1) if indicators else mean
-    scale = np.where(sd > 0, sd, 1.0)
-    if indicators:  # a feature without gaps in training has no indicator
-        scale = np.concatenate([scale, np.where(share > 0, np.maximum(np.sqrt(share * (1 - share)), 1e-300), np.inf)], axis=1)
-        scale[:, w:][share == 1] = 1.0
-    weight = total / (2 * np.maximum(counts, 1)) if balanced else np.ones_like(counts)
-    live = [t for t in range(len(fits)) if counts[t].min() > 0]
-    beta = np.zeros((len(fits), 1 + centre.shape[1]))
-    at, loss, step = beta.copy(), np.full(len(fits), np.inf), np.zeros_like(beta)
-    for _ in range(NEWTON):
-        if not live:
-            break
-        sums = _slopes(points, {t: fits[t] for t in live}, at, fill, centre, scale, weight, indicators)
-        going = []
-        for t in live:
-            value, g, h = sums[t]
-            keep = np.r_[0.0, np.ones(len(g) - 1)]
-            value += 0.5 * (keep * at[t] ** 2).sum()
-            if value > loss[t] + 1e-9 * abs(loss[t]):  # too far: half the way
-                step[t] /= 2
-                at[t] = beta[t] + step[t]
-            else:
-                beta[t], loss[t] = at[t], value
-                step[t] = -np.linalg.lstsq(h + np.diag(keep), g + keep * beta[t], rcond=None)[0]
-                at[t] = beta[t] + step[t]
-            if np.abs(step[t]).max() > CLOSE:
-                going.append(t)
-            else:
-                beta[t] = at[t]
-        live = going
-    points.unpersist()
-    slope = beta[:, 1:] / scale
-    start = beta[:, 0] - (slope * centre).sum(axis=1)
-    for t in range(len(fits)):
-        if counts[t].min() == 0:
-            start[t], slope[t] = (np.inf if counts[t][1] else -np.inf), 0.0
-
-    table = [{"start": a, "slope": b[:w].tolist(), "fill": f.tolist(), "gap": b[w:].tolist()} for a, b, f in zip(start.tolist(), slope, fill, strict=True)]
-    known = _constant(table, "array<struct<start double, slope array<double>, fill array<double>, gap array<double>>>")
-    total_of = lambda v: F.aggregate(v, F.lit(0.0), lambda s, p: s + p)
-
-    def score(t: Column) -> Column:
-        own, values = F.get(known, t), F.array(*x)
-        eta = own["start"] + total_of(F.zip_with(own["slope"], F.zip_with(values, own["fill"], lambda v, f: F.coalesce(v, f)), lambda b, v: b * v))
-        if indicators:
-            eta += total_of(F.zip_with(own["gap"], values, lambda b, v: F.when(v.isNull(), b).otherwise(0.0)))
-        return 1 / (1 + F.exp(-eta))
-
-    return score
-
-
 def _constant(values: list, kind: str) -> Column:
     """One literal of nested values, which is read once and not built anew for each row."""
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def _slopes(points: DataFrame, fits: dict[int, tuple[int, int]], beta, fill, centre, scale, weight, indicators: bool) -> dict[int, tuple]:
-    """Loss, gradient and curvature of each fit (to a label and a mask) at ``beta``, without the penalty."""
-    d = beta.shape[1]
-
-    def run(batches):
-        sums = {t: np.zeros(1 + d + d * d) for t in fits}
-        for batch in batches:
-            y, x, m = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in "yxm")
-            for t, (label, mask) in fits.items():
-                own = m[:, mask] == 1
-                z, v = x[own], y[own, label]
-                gap = np.isnan(z)
-                z = np.where(gap, fill[t], z)
-                z = np.concatenate([z, gap.astype(float)], axis=1) if indicators else z
-                z = np.concatenate([np.ones((len(z), 1)), (z - centre[t]) / scale[t]], axis=1)
-                eta = z @ beta[t]
-                p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-                s = np.where(v == 1, weight[t][1], weight[t][0])
-                bend = (z * (s * p * (1 - p))[:, None]).T @ z
-                sums[t] += np.concatenate([[(s * (np.logaddexp(0, eta) - v * eta)).sum()], z.T @ (s * (p - v)), bend.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(list(fits), pa.int32()), pa.array([sums[t] for t in fits], pa.list_(pa.float64()))], ["t", "v"])
-
-    parts = points.mapInArrow(run, "t int, v array<double>").select("t", F.posexplode("v").alias("i", "v")).groupBy("t", "i").agg(F.sum("v").alias("v"))
-    out = {t: np.zeros(1 + d + d * d) for t in fits}
-    for r in parts.collect():  # fits by the square of the features
-        out[r.t][r.i] = r.v
-    return {t: (v[0], v[1 : 1 + d], v[1 + d :].reshape(d, d)) for t, v in out.items()}
-
-
 def grouped_oof(rows: DataFrame, features: list[str], label: str, group: str = "episode_key", folds: int = 5, balanced: bool = True, indicators: bool = True) -> DataFrame:
     """Rows with fold and score: each fold is scored by a logistic fit to the others, all of them fitted side by side.
 
     Neither weights nor indicators gives the plain model of trace depth. One class in training gives 1 or 0.
     """
     dealt = with_folds(rows, group, folds)
-    score = _fitted(dealt, features, [label], [F.col("fold") != f for f in range(folds)], balanced, indicators)
-    return dealt.withColumn("score", score(F.col("fold")))
+    fits = logistic(dealt, {"": features}, [label], [F.col("fold") != f for f in range(folds)], balanced, indicators)
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, fold: pd.Series) -> pd.Series:
+        return pd.Series(fits.scores(np.array(x.tolist(), float).reshape(len(x), -1), "", 0, fold.to_numpy()))
+
+    return dealt.withColumn("score", score(vector(fits.features), F.col("fold")))
 
 
 def nested_folds(rows: DataFrame, folds: int = 5, inner: int = 3) -> DataFrame:
@@ -155,30 +48,58 @@ def nested_folds(rows: DataFrame, folds: int = 5, inner: int = 3) -> DataFrame:
     return dealt
 
 
-def nested_scores(dealt: DataFrame, sets: dict[str, list[str]], labels: dict[int, str], folds: int = 5, inner: int = 3, most: float = 0.1, at_once: int = 4) -> DataFrame:
+def nested_scores(dealt: DataFrame, sets: dict[str, list[str]], labels: dict[int, str], folds: int = 5, inner: int = 3, most: float = 0.1) -> DataFrame:
     """Rows of ``nested_folds`` once for each set of features and label: spec, horizon, score and fold_threshold.
 
-    ``sets`` has features by spec, ``labels`` columns by horizon. The labels, folds and inner folds of a set are fitted side
-    by side, ``at_once`` sets at a time. All scores and thresholds are one pass each, whatever the number of sets.
+    ``sets`` has features by spec, ``labels`` columns by horizon. The fits of all sets, labels, folds and inner folds go on side
+    by side; a pass over the rows gives the scores, and another the largest score of each successful episode by the inner fits, of
+    which thresholds are made.
     """
-    fold, outer, within = F.col("fold"), F.col("outer"), F.array(*[f"_in{f}" for f in range(folds)])
+    fold, within = F.col("fold"), F.array(*[f"_in{f}" for f in range(folds)])
     masks = [fold != f for f in range(folds)] + [(fold != f) & (within[f] != j) for f in range(folds) for j in range(inner)]
-    masks = [F.coalesce(m, F.lit(False)) for m in masks]
-    with ThreadPool(at_once) as pool:
-        fits = dict(zip(sets, pool.map(lambda features: _fitted(dealt, features, list(labels.values()), masks, True, True), sets.values()), strict=True))
-
-    def told(number: Column) -> Column:
-        each = [F.struct(F.lit(spec).alias("spec"), F.lit(h).alias("horizon"), score(number + i * len(masks)).alias("score")) for spec, score in fits.items() for i, h in enumerate(labels)]
-        return F.explode(F.array(*each)).alias("_f")
-
-    train = dealt.where("success").withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(outer != fold)
-    train = train.select("outer", "episode_key", told((folds + outer * inner + F.get(within, outer)).cast("int"))).select("outer", "episode_key", "_f.*")
-    by = ["spec", "horizon"]
-    top = train.groupBy(*by, "outer", "episode_key").agg(F.max("score").alias("score")).withColumn("success", F.lit(True))
-    found = far_threshold(top, "score", [*by, "outer"], most).withColumnsRenamed({"outer": "fold", "threshold": "_th"})
+    fits = logistic(dealt, sets, list(labels.values()), [F.coalesce(m, F.lit(False)) for m in masks], True, True)
+    each = [(spec, i, h) for spec in sets for i, h in enumerate(labels)]
+    key = dict(dealt.dtypes)["episode_key"]
+
+    def tops(batches):
+        """The largest score of each successful episode of a batch by the fits of each outer fold that leave out its inner fold."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column("x"), len(fits.features))
+            own, put = batch.column("fold").to_numpy(), _matrix(batch.column("within"), folds)
+            code = batch.column("episode_key").dictionary_encode()
+            names, at = code.dictionary, code.indices.to_numpy()
+            for outer in range(folds):
+                some = np.flatnonzero((own != outer) & ~np.isnan(put[:, outer]))
+                if not len(some):
+                    continue
+                mask = folds + outer * inner + put[some, outer].astype(int)
+                held = np.unique(at[some])
+                for number, (spec, i, _) in enumerate(each):
+                    top = np.full(len(names), -np.inf)
+                    np.maximum.at(top, at[some], fits.scores(x[some], spec, i, mask))
+                    n = len(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, outer, np.int32)), names.take(pa.array(held)), pa.array(top[held])], ["number", "outer", "episode_key", "score"])
+
+    told = F.create_map(*[x for n, (spec, _, h) in enumerate(each) for x in (F.lit(n), F.struct(F.lit(spec).alias("spec"), F.lit(h).alias("horizon")))])
+    train = dealt.where("success").select(vector(fits.features).alias("x"), "fold", within.cast("array<double>").alias("within"), "episode_key")
+    top = train.mapInArrow(tops, f"number int, outer int, episode_key {key}, score double").groupBy("number", "outer", "episode_key").agg(F.max("score").alias("score"))
+    found = far_threshold(top.withColumn("success", F.lit(True)), "score", ["number", "outer"], most).select("number", F.col("outer").alias("fold"), F.col("threshold").alias("_th"))
+
+    @F.pandas_udf("array<double>")
+    def scores(x: pd.Series, fold: pd.Series) -> pd.Series:
+        values, own = np.array(x.tolist(), float).reshape(len(x), -1), fold.to_numpy()
+        return pd.Series(list(np.column_stack([fits.scores(values, spec, i, own) for spec, i, _ in each])))
+
     kept = [c for c in dealt.columns if not c.startswith("_in")]
-    out = dealt.select(*kept, told(fold)).select(*kept, "_f.*").join(F.broadcast(found), [*by, "fold"], "left")  # a row for each set, label and fold
-    return out.withColumn("fold_threshold", F.coalesce("_th", F.lit(float("inf")))).drop("_th")
+    out = dealt.select(*kept, F.posexplode(scores(vector(fits.features), fold)).alias("number", "score"))  # a row for each set and label
+    out = out.join(F.broadcast(found), ["number", "fold"], "left").withColumn("_f", told[F.col("number")])  # a row for each set, label and fold
+    return out.select(*kept, "_f.spec", "_f.horizon", "score", F.coalesce("_th", F.lit(float("inf"))).alias("fold_threshold"))
+
+
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), width)
 
 
 def nested_oof(rows: DataFrame, features: list[str], label: str, folds: int = 5, inner: int = 3, most: float = 0.1) -> DataFrame:

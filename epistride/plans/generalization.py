@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epistride.functions import stats as T
+from epistride.operators import ablations as A
 from epistride.operators import generalize as G
+from epistride.operators import sequence as S
 from epistride.plans.catalog import register
-from epistride.plans.evaluation import ALERTS, EPISODES, r6, with_threshold
+from epistride.plans.evaluation import ALERTS, EPISODES, episodes, r6, with_threshold
 from epistride.plans.relations import LAST
-from epistride.plans.reports import episodes, erfc_sql
+from epistride.plans.reports import erfc_sql
+from epistride.plans.sequences import with_onset
 from epistride.plans.views import STEPS, read, steps
 
 
@@ -80,3 +83,22 @@ def mann_whitney_u(spark, sf):
     rows = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("s"), (F.col("s_suppkey") % 3 == 0).alias("y"))
     out = T.mann_whitney(rows, "s", F.col("y"), ["nation"])
     return out.select("nation", "n_pos", "n_neg", F.col("u").cast("double").alias("u"), F.round("p", 9).alias("p"), "exact")
+
+
+#: Sets of features that are compared: the value alone, with its changes, counts alone, counts and means, all of them.
+SETS = {
+    "A0": ["feat_value"],
+    "A1": ["feat_value", "feat_value_jump"],
+    "A2": ["feat_k", "feat_k_jump"],
+    "A3": ["feat_k", "feat_k_jump", "feat_value_mean"],
+    "A4": ["feat_value", "feat_value_jump", "feat_k", "feat_k_jump", "feat_value_mean"],
+}
+
+
+@register("ablation_table")
+def ablation_table(spark, sf):
+    """Each set of features at each horizon: nested out-of-fold scores of all valid steps, and what they tell of steps, episodes and alerts."""
+    rows = with_onset(spark, sf)
+    value, k = F.col("value"), F.col("k").cast("double")
+    rows = rows.select("episode_key", "step_id", "onset", value.alias("feat_value"), S.difference(value).alias("feat_value_jump"), k.alias("feat_k"), S.difference(k).alias("feat_k_jump"), S.rolling_mean(value).alias("feat_value_mean"))
+    return A.ablations(A.scored_sets(rows, SETS))
