@@ -71,11 +71,11 @@ def rank_metrics(rows: DataFrame, score: str, positive: Column, by: list[str]) -
 
 def erfc(x: Column) -> Column:
     """The complementary error function of x >= 0, off by less than 1e-14: one less a series of positive terms; 0 beyond 6."""
-    x = F.least(F.abs(x), F.lit(6.0))
+    given, x = x, F.least(F.abs(x), F.lit(6.0))  # which skips nulls
     start = F.struct(x.alias("term"), x.alias("sum"))
     more = lambda a, n: F.struct((a.term * 2 * x * x / (2 * n + 1)).alias("term"), (a.sum + a.term * 2 * x * x / (2 * n + 1)).alias("sum"))
     total = F.aggregate(F.sequence(F.lit(1), F.lit(140)), start, more, lambda a: a.sum)
-    return F.when(x < 6.0, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * total).when(x.isNotNull(), F.lit(0.0))
+    return F.when(given.isNotNull(), F.when(x < 6.0, 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * total).otherwise(F.lit(0.0)))
 
 
 def two_sided_p(z: Column) -> Column:

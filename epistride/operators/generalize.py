@@ -46,7 +46,7 @@ def point_biserial(rows: DataFrame, features: list[str], failed: Column, by: lis
     """
     long = rows.select(*by, failed.cast("double").alias("_y"), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("f")).select(*by, "_y", "f.*").where("x IS NOT NULL AND _y IS NOT NULL")
     varies = (F.min("x") < F.max("x")) & (F.min("_y") < F.max("_y"))
-    out = long.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("x", "_y")).alias("r"))
+    out = long.groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.covar_pop("x", "_y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("_y"), F.lit(0.0))).alias("r"))
     return out.withColumn("t", F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))))
 
 
