@@ -43,9 +43,11 @@ def ablations(scored: DataFrame) -> DataFrame:
     """One row per horizon and set: counts, AUROC and average precision of steps and of each score of episodes, and how alerts fare.
 
     Metrics are null where a class is missing; rates have at least one episode below the line.
-    Mean scores that differ only by the rounding of their sums may count as tied or not.
+    Mean scores that differ only by the rounding of their sums may count as tied or not. ``scored`` and the scores of
+    episodes are read several times, so they stay cached with the session.
     """
-    each = episode_scores(scored)
+    scored = scored.persist()
+    each = episode_scores(scored).persist()
     step = T.rank_metrics(scored, "score", F.col("label") == 1, BY)
     step = step.select(*BY, (F.col("n_pos") + F.col("n_neg")).alias("n_steps"), F.col("n_pos").alias("positive_steps"), F.col("auroc").alias("step_auroc"), F.col("average_precision").alias("step_auprc"))
     ranked = T.rank_metrics(_long(each), "score", ~F.col("success"), [*BY, "how"])
