@@ -10,15 +10,16 @@ subtrees and entries that the triangle inequality rules out from stored distance
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from epistride.llm.common import Scratch, prepare, write_table
 from epistride.llm.hashing import ranges
-from epistride.llm.vectors import matrix, usable, width_of
+from epistride.llm.vectors import matrix, usable
 
 #: Pivots at most (a bounded sample of the vectors; a pivot has several pages beyond), vectors of a page on average, entries
 #: of a leaf and children of a node.
@@ -30,6 +31,10 @@ FAN = 32
 QUERIES = 512
 #: Sums of products whose terms add up to less than this in size are exact in doubles.
 EXACT = 1 << 52
+#: Squared lengths beyond the first need smaller units, in which components are below the second.
+LARGEST, COMPONENT = 2.0**960, 450
+#: What a product of doubles can lose by vanishing.
+TINY = 2.0**-1070
 #: The largest and smallest long: scores beyond are given as these.
 MOST, LEAST = (1 << 63) - 1, -(1 << 63)
 
@@ -45,10 +50,13 @@ def slack_of(width: int, square: float) -> float:
 
 
 class Tree:
-    """An M-tree over integer vectors with their lifted component. Integers are held as doubles, which each is exactly."""
+    """An M-tree over integer vectors with their lifted component. Integers are held as doubles, which each is exactly.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float):
-        self.ids, self.vectors, self.top = ids, vectors.astype(np.float64), top
+    With a ``shift`` they are held divided by two to its power, so that squares fit; scores are those of the integers.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, shift: int = 0):
+        self.ids, self.vectors, self.top, self.shift = ids, vectors.astype(np.float64), top, shift
         self.points = lifted(self.vectors, top)
         #: Per node: entries (rows of a leaf, or children), their distance to the node's pivot, radii of children, whether a leaf.
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
@@ -67,7 +75,7 @@ class Tree:
                 self.nodes[k] = (np.arange(begin, begin + len(rows)), at, None)
                 begin += len(rows)
             self.ids, self.vectors, self.points = self.ids[order], self.vectors[order], self.points[order]
-        self.lengths = np.sqrt((self.vectors**2).sum(axis=1))
+        self.lengths = lengths_of(self.vectors)
 
     def _distances(self, rows: np.ndarray, pivot: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[rows] - pivot) ** 2).sum(axis=1))
@@ -98,12 +106,13 @@ class Tree:
         heapq.heapify(best)
         whole = query.astype(np.float64)
         q = np.append(whole, 0.0)
-        length = float(np.sqrt((whole**2).sum()))
+        length = float(lengths_of(whole[None])[0])
         base = length**2 + self.top
+        square = 1 << 2 * self.shift  # integer scores to one of the tree's
         slack = slack_of(len(whole), base)
 
         def reach() -> float:
-            return np.sqrt(max(base - 2 * best[0][0], 0)) + slack if len(best) >= k else np.inf
+            return np.sqrt(max(base - 2 * (best[0][0] / square), 0)) + slack if len(best) >= k else np.inf
 
         first = float(np.sqrt(((self.pivots[self.root] - q) ** 2).sum()))
         queue = [(max(0.0, first - self.radius), self.root, first)]
@@ -120,13 +129,15 @@ class Tree:
                 self.computed += len(scores)
                 ids = self.ids[rows]
                 sizes = self.lengths[rows] * length
-                error = np.where(sizes < EXACT, 0.0, sizes * rounding(len(whole)))
+                error = sizes * rounding(len(whole))
+                # Products of small components may vanish in the units of large ones.
+                error = error + len(whole) * TINY if self.shift else np.where(sizes < EXACT, 0.0, error)
                 if len(best) >= k:
-                    some = np.flatnonzero((scores + error >= float(best[0][0])) & (ids != own))
+                    some = np.flatnonzero((scores + error >= best[0][0] / square) & (ids != own))
                 else:
                     some = np.flatnonzero(ids != own)
                 if error[some].any():
-                    exact = exact_scores(self.vectors[int(rows.start) + some], whole, sizes[some])
+                    exact = exact_scores(self.vectors[int(rows.start) + some], whole, sizes[some], self.shift)
                     offers = heapq.nlargest(k, zip(exact, (-ids[some]).tolist(), strict=True))
                 else:
                     if len(some) > k:
@@ -157,7 +168,7 @@ class Tree:
         sizes = np.array([len(e) for e, _, _ in self.nodes])
         radii = [r if r is not None else np.full(len(e), -1.0) for e, _, r in self.nodes]
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-        np.savez_compressed(out, ids=self.ids, vectors=self.vectors.astype(np.int32) if fits_int(self.top) else self.vectors, sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top]))
+        np.savez_compressed(out, ids=self.ids, vectors=self.vectors.astype(np.int32) if fits_int(self.top) else self.vectors, sizes=sizes, entries=cat([e for e, _, _ in self.nodes]).astype(np.int32), at=cat([a for _, a, _ in self.nodes]), radii=cat(radii), pivots=np.array(self.pivots), head=np.array([self.root, self.radius, self.top, self.shift]))
         return out.getvalue()
 
     @classmethod
@@ -168,8 +179,8 @@ class Tree:
         self = cls.__new__(cls)
         self.computed = 0
         self.ids, self.vectors = f["ids"], f["vectors"].astype(np.float64)
-        self.lengths = np.sqrt((self.vectors**2).sum(axis=1))
-        self.root, self.radius, self.top = int(f["head"][0]), float(f["head"][1]), float(f["head"][2])
+        self.lengths = lengths_of(self.vectors)
+        self.root, self.radius, self.top, self.shift = int(f["head"][0]), float(f["head"][1]), float(f["head"][2]), int(f["head"][3])
         ends = np.cumsum(f["sizes"])
         entries, at, radii, self.pivots = f["entries"], f["at"], f["radii"], list(f["pivots"])
         self.nodes = []
@@ -179,28 +190,42 @@ class Tree:
         return self
 
 
-def exact_scores(vectors: np.ndarray, query: np.ndarray, sizes: np.ndarray) -> list[int]:
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of rows whose squares may vanish."""
+    most = np.abs(vectors).max(axis=1, initial=0.0)
+    return most * np.sqrt(((vectors / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(axis=1))
+
+
+def exact_scores(vectors: np.ndarray, query: np.ndarray, sizes: np.ndarray, shift: int = 0) -> list[int]:
     """Inner products of integers held as doubles; ``sizes`` bounds the sums of their terms' sizes, by which longs do or Python integers."""
     out = np.empty(len(vectors), object)
-    small = sizes < (1 << 62)
+    small = (sizes < (1 << 62)) & (shift == 0)
     out[small] = (vectors[small].astype(np.int64) @ query.astype(np.int64)).tolist()
-    whole = [int(x) for x in query.tolist()]
-    out[~small] = [sum(int(x) * y for x, y in zip(v, whole, strict=True)) for v in vectors[~small].tolist()]
+    whole = [_integer(x, shift) for x in query.tolist()]
+    out[~small] = [sum(_integer(x, shift) * y for x, y in zip(v, whole, strict=True) if y) for v in vectors[~small].tolist()]
     return out.tolist()
 
 
+def _integer(x: float, shift: int) -> int:
+    """The integer that is held as ``x``, which may be beyond all doubles."""
+    over, under = x.as_integer_ratio()
+    return (over << shift) // under
+
+
 def fits_int(top: float) -> bool:
     """Whether all components fit 32 bits, by the largest squared length."""
     return top < 1 << 62
 
 
-def integers(vector: str, scale: int = 1024):
-    """floor(scale * x) of each component, as a double, which holds it exactly."""
-    return F.transform(F.col(vector), lambda x: _floor(x.cast("double") * scale))
+def integers(vector: str, scale: int = 1024, shift: int = 0):
+    """floor(scale * x) of each component, as a double, which holds it exactly; divided by two to the power ``shift``."""
+    unit = 2.0**-shift
+    return F.transform(F.col(vector), lambda x: _floor(x.cast("double"), scale, unit))
 
 
-def _floor(y):
-    return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+def _floor(x, scale, unit):
+    y = x * scale
+    return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double") * unit).otherwise(x * unit * scale)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -210,25 +235,37 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_colum
     others do, with exact scores. A score beyond a long is given as the nearest long, and such scores are ranked by their
     value as doubles. Shorter vectors count as filled up with zeros; a query's own id is no candidate; rows that repeat a
     query's id and vector ask once, and as candidates count each; null ids take no part; an empty table gives an empty
-    result. Squared lengths must fit a double (components up to 1e150, which all floats do), else ValueError.
+    result. Where squared lengths are too large for doubles, bounds are taken in smaller units, and scores from whole numbers.
     """
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.where(usable(vector_column)).where(F.col(id_column).isNotNull())
-    rows = rows.select(F.col(id_column).cast("long").alias("id"), integers(vector_column, scale).alias("v"), is_query.alias("asks"))
+
+    def held(shift: int) -> DataFrame:
+        return rows.select(F.col(id_column).cast("long").alias("id"), integers(vector_column, scale, shift).alias("v"), is_query.alias("asks"))
+
     with Scratch(spark, "mtree") as made:
-        return write_table(_top_k(made, made.write(rows, "integers"), k), "top")
+        whole = made.write(held(0), "integers")
+        size, shift = size_of(whole), 0
+        if size.top is not None and size.top > LARGEST:
+            most = rows.agg(F.max(F.array_max(F.transform(F.col(vector_column), lambda x: F.abs(x.cast("double")))))).first()[0]
+            shift = max(1, math.frexp(most)[1] + math.frexp(scale)[1] - COMPONENT)
+            whole = made.write(held(shift), "scaled")
+            size = size_of(whole)
+        return write_table(_top_k(made, whole, size, k, shift), "top")
+
+
+def size_of(rows: DataFrame) -> Row:
+    """width, the largest squared length (top), rows (n) and queries (asked)."""
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.agg(F.max(F.size("v")).alias("width"), F.max(square).alias("top"), F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asked")).first()
 
 
-def _top_k(made: Scratch, rows: DataFrame, k: int) -> DataFrame:
-    width = width_of(rows, "v")
-    schema = "query_id long, vec_id long, score long, beyond double"
+def _top_k(made: Scratch, rows: DataFrame, size: Row, k: int, shift: int) -> DataFrame:
+    width, top, n, asked = size
+    schema = "query_id long, vec_id long, score long, exponent int, mantissa double"
     if not width:
         return made.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    top, n, asked = rows.agg(F.max(square), F.count(F.lit(1)), F.count_if("asks")).first()
-    if not np.isfinite(top):
-        raise ValueError("a vector's squared length doesn't fit a double")
     kind = "array<int>" if fits_int(top) else "array<double>"
     rows = rows.withColumn("v", F.col("v").cast(kind))
     most = int(max(1, min(PIVOTS, n // PAGE + 1)))
@@ -251,7 +288,7 @@ def _top_k(made: Scratch, rows: DataFrame, k: int) -> DataFrame:
     dealt = made.write(dealt.join(F.broadcast(counts), "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("pages"))).drop("pages"), "dealt")
 
     def build(table: pa.Table) -> pa.Table:
-        tree = Tree(table.column("id").to_numpy(), matrix(table.column("v"), width), top)
+        tree = Tree(table.column("id").to_numpy(), matrix(table.column("v"), width), top, shift)
         pivot = table.column("pivot")[0].as_py()
         reach = float(np.sqrt(((tree.points - near[pivot]) ** 2).sum(axis=1)).max())
         return pa.table({"pivot": pa.array([pivot], pa.int32()), "part": table.column("part").combine_chunks()[:1].cast(pa.int64()), "reach": [reach], "tree": pa.array([tree.dump()], pa.binary())})
@@ -272,9 +309,9 @@ def _top_k(made: Scratch, rows: DataFrame, k: int) -> DataFrame:
             for q, own, worst in zip(qs, asks.column("id").to_pylist(), asks.column("worst").to_pylist(), strict=True):
                 best = [(worst - 1, 0)] * k if worst is not None else []
                 out += [(own, -i, s) for s, i in tree.search(q, own, k, best) if worst is None or s >= worst]
-        beyond = [0.0 if LEAST < s < MOST else float(s) for _, _, s in out]
+        beyond = [(0, 0.0) if LEAST < s < MOST else (s.bit_length() * (1 if s > 0 else -1), s / (1 << s.bit_length())) for _, _, s in out]
         table = np.array([(q, i, min(max(s, LEAST), MOST)) for q, i, s in out], np.int64).reshape(-1, 3)
-        return pa.table({"query_id": table[:, 0], "vec_id": table[:, 1], "score": table[:, 2], "beyond": pa.array(beyond, pa.float64())})
+        return pa.table({"query_id": table[:, 0], "vec_id": table[:, 1], "score": table[:, 2], "exponent": pa.array([e for e, _ in beyond], pa.int32()), "mantissa": pa.array([m for _, m in beyond], pa.float64())})
 
     def ask(requests: DataFrame) -> DataFrame:
         keys = requests.select(*(F.col(c).alias(c) for c in ("pivot", "part", "block"))).distinct()
@@ -297,7 +334,7 @@ def _top_k(made: Scratch, rows: DataFrame, k: int) -> DataFrame:
             base = (q**2).sum(axis=1)
             d = np.sqrt(np.maximum(base[:, None] + (near**2).sum(axis=1)[None] - 2 * q @ near.T, 0))
             worst = batch.column("worst").to_numpy(zero_copy_only=False).astype(np.float64)  # null: not a number
-            far = np.sqrt(np.maximum(base + top - 2 * worst, 0)) + slack_of(width, float((base + top).max()))
+            far = np.sqrt(np.maximum(base + top - 2 * np.ldexp(worst, -2 * shift), 0)) + slack_of(width, float((base + top).max()))
             i, p = np.nonzero(d - reaches[None] <= np.where(np.isnan(far), np.inf, far)[:, None])
             i, p, part = np.repeat(i, pages[p]), np.repeat(p, pages[p]), ranges(np.zeros(len(p), np.int64), pages[p])
             away = (p != batch.column("pivot").to_numpy()[i]) | (part != batch.column("part").to_numpy()[i])
@@ -306,7 +343,7 @@ def _top_k(made: Scratch, rows: DataFrame, k: int) -> DataFrame:
 
     known = home.drop("worst").join(kth, "id", "left").select("id", "v", "block", "worst", "pivot", "part")
     rest = ask(known.mapInArrow(routes, f"id long, v {kind}, block long, worst long, pivot int, part long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("exponent"), F.desc("mantissa"), "vec_id")
     ranked = first.union(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

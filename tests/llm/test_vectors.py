@@ -1,3 +1,7 @@
+import math
+import operator
+from fractions import Fraction
+
 import brute
 import numpy as np
 import pytest
@@ -92,6 +96,25 @@ def test_wide_and_large(spark):
     assert sorted(map(tuple, got)) == sorted(best(rows, 10))
 
 
+def test_squares_beyond_doubles(spark, monkeypatch):
+    """Components near the largest double beside ordinary and small ones: scores stay exact, and no row is refused."""
+    rng = np.random.default_rng(8)
+    sizes = [1e160, 1e308, 1.0, 1e-3, 3e5, 1e40, 0.0]
+    rows = [(20 * i, [float(x) for x in rng.uniform(-1, 1, 6) * sizes[i % 7]]) for i in range(90)]
+    rows += [(9001, rows[5][1]), (9003, rows[5][1]), (9005, [1.7e308] * 6), (9100, [-1.7e308] * 6), (9107, [1.0, None, 1.0]), (9109, None)]
+    integer = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows if v and None not in v}
+    # Scores beyond a long rank by their value as doubles of one unit, which no two different ones share here.
+    want = []
+    for q in (i for i in integer if i % 100 == 0):
+        scores = {i: sum(map(operator.mul, integer[q], v)) for i, v in integer.items() if i != q}
+        first = sorted(scores, key=lambda i: (-scores[i], i))[:10]
+        want += [(q, r + 1, i, min(max(scores[i], mtree.LEAST), mtree.MOST)) for r, i in enumerate(first)]
+    monkeypatch.setattr(mtree, "PAGE", 30)
+    monkeypatch.setattr(mtree, "LEAF", 8)
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 10).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_equal_hashes_do_not_make_a_class(spark, monkeypatch):
     monkeypatch.setattr(multiindex.F, "xxhash64", lambda *c: F.hash(*c).cast("long"))
     data = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1e200, 1e200]), (5, [1e-200, 1e-200])], "vec_id long, embedding array<double>")
