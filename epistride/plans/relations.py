@@ -10,6 +10,7 @@ from epistride.operators import sequence as S
 from epistride.plans.catalog import register
 from epistride.plans.sequences import ALIGNED, ONSETS, with_onset
 from epistride.plans.views import STEPS, WINDOW_SQL, read, steps
+from epistride.sources import walks
 
 r6 = lambda c: F.round(c, 6)
 
@@ -335,3 +336,26 @@ def global_limits(spark, sf):
     e = steps(spark, sf).agg(F.least(F.lit(0.0), F.min("value")).alias("a"), F.max("value").alias("b"))
     pad = F.when(F.col("b") > F.col("a"), 0.05 * (F.col("b") - F.col("a"))).otherwise(F.lit(0.5))
     return e.select(r6(F.col("a") - pad).alias("lo"), r6(F.col("b") + pad).alias("hi"))
+
+
+SEARCHED = """WITH x AS (SELECT 'kind' AS path, 'str' AS type, event_id AS ev, 0 AS place, concat(chr(39), event_type, chr(39)) AS text FROM events
+UNION ALL SELECT 'props.k', 'int', event_id, 1, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) FROM events
+UNION ALL SELECT 'parts[].Kind', CASE WHEN i = 0 THEN 'int' ELSE 'str' END, event_id, 2 + i, CASE WHEN i = 0 THEN CAST(user_id AS VARCHAR) ELSE concat(chr(39), event_type, chr(39)) END FROM events, range(2) r(i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ev, place) AS i FROM x)
+"""
+
+
+@register("key_search", SEARCHED + "SELECT path, count(*) AS n, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, array_to_string(list(text ORDER BY i) FILTER (WHERE i <= 3), ' ') AS examples FROM r GROUP BY path")
+def key_search(spark, sf):
+    """Keys with a k in JSON texts of events, their types and first three values; of lists the first two elements."""
+    part = lambda c: F.struct(F.col(c).alias("Kind"))
+    texts = read(spark, sf, "events").select("event_id", F.concat(F.lit('{"kind":"'), "event_type", F.lit('","props":'), "props", F.lit(',"parts":['), F.concat_ws(",", F.to_json(part("user_id")), F.to_json(part("event_type")), F.to_json(part("value"))), F.lit("]}")).alias("body"))
+    found = walks.key_paths(texts, "body", "event_id", terms=["K"], elements=2, distinct=False)
+    return found.select("path", "n", F.array_join("types", ",").alias("types"), F.array_join("examples", " ").alias("examples"))
+
+
+@register("first_values", "WITH x AS (SELECT event_id, unnest(['event_type', 'value', 'user_id']) AS field, unnest(['string', 'double', 'bigint']) AS type, unnest([event_type, CAST(value AS VARCHAR), CAST(user_id AS VARCHAR)]) AS v FROM events), d AS (SELECT field, type, v, min(event_id) AS ev FROM x WHERE v <> '' GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY ev) AS i FROM d) SELECT field, type, array_to_string(list(v ORDER BY i), ' ') AS first_values FROM r WHERE i <= 20 GROUP BY 1, 2")
+def first_values(spark, sf):
+    """The first twenty different values of fields of events."""
+    found = walks.first_values(read(spark, sf, "events"), ["event_type", "value", "user_id"], ["event_id"])
+    return found.select("field", "type", F.array_join("first_values", " ").alias("first_values"))

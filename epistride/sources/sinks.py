@@ -78,26 +78,3 @@ def field_inventory(rows: DataFrame, fields: list[str], episode: str = "episode_
     out = each.groupBy("field").agg(F.sum("n").alias("rows"), F.sum("held").alias("rows_held"), F.count_if(F.col("held") > 0).alias("episodes_held"), F.count_if(F.col("d") > 1).alias("episodes_varying"))
     share = F.col("rows_held") / F.col("rows")
     return out.join(values, "field").withColumn("coverage", F.when(share > 0.8, "primary").when(share > 0, "sparse").otherwise("empty"))
-
-
-def key_paths(documents: DataFrame, column: str) -> DataFrame:
-    """path, n, types and the three least examples of scalars of every key in JSON texts, whatever their schema; lists are entered at ``[]``.
-
-    Goes down until no text holds a deeper key: one pass a level.
-    """
-    level = documents.select(F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL").persist()
-    parts, levels = [], [level]
-    while not level.isEmpty():
-        level.createOrReplaceTempView("_level")
-        level = documents.sparkSession.sql(
-            "SELECT concat(path, CASE WHEN key IS NULL THEN '[]' WHEN path = '' THEN key ELSE concat('.', key) END) AS path, value AS v "
-            "FROM _level, LATERAL variant_explode(v)"
-        ).persist()
-        levels.append(level)
-        typed = level.select("path", F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0).alias("type"), F.try_variant_get("v", "$", "string").alias("text"))
-        scalar = F.when(~F.col("type").isin("OBJECT", "ARRAY"), F.col("text"))
-        found = typed.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("type")).alias("types"), F.slice(F.array_sort(F.collect_set(scalar)), 1, 3).alias("examples"))
-        parts += found.collect()  # one row a path
-    for x in levels:
-        x.unpersist()
-    return documents.sparkSession.createDataFrame(parts, "path string, n long, types array<string>, examples array<string>")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epistride.functions import stats, values
 from epistride.operators import labels, models
-from epistride.sources import ingest, sinks
+from epistride.sources import ingest, sinks, walks
 from epistride.streaming import online
 
 SF = "/root/testdata/sf0.001"
@@ -89,7 +89,7 @@ def test_inventories(spark):
     got = {r.field: (r.rows_held, r.episodes_varying, r.coverage) for r in sinks.field_inventory(df, ["a", "b"]).collect()}
     assert got == {"a": (3, 1, "primary"), "b": (0, 0, "empty")}
     docs = spark.createDataFrame([('{"a": {"b": [1, "x"]}, "c": true}',), ("nope",)], "j string")
-    paths = {r.path: r.n for r in sinks.key_paths(docs, "j").collect()}
+    paths = {r.path: r.n for r in walks.key_paths(docs, "j").collect()}
     assert paths == {"a": 1, "c": 1, "a.b": 1, "a.b[]": 2}
 
 

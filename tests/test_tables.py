@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from epistride.functions import stats
 from epistride.operators import addons, labels, models, progress, tables
 from epistride.plans import catalog, library  # noqa: F401
-from epistride.sources import sinks
+from epistride.sources import sinks, walks
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings benchmark labels conversations pages".split()
 
@@ -144,7 +144,7 @@ def test_inventories(spark, tmp_path):
     found = {r.field: r for r in sinks.field_inventory(rows, ["x", "t"]).collect()}
     assert (found["x"].least, found["x"].most, found["x"].mean) == ("9.0", "10.0", 9.5) and (found["t"].least, found["t"].most, found["t"].mean) == ("a", "b", None)
     deep = '{"a": ' * 9 + "[1, 2, 2, 5, 7]" + "}" * 9
-    paths = {r.path: (r.n, r.examples) for r in sinks.key_paths(spark.createDataFrame([(deep,), ("no",)], "j string"), "j").collect()}
+    paths = {r.path: (r.n, r.examples) for r in walks.key_paths(spark.createDataFrame([(deep,), ("no",)], "j string"), "j").collect()}
     assert paths[".".join("a" * 9)] == (1, []) and paths[".".join("a" * 9) + "[]"] == (5, ["1", "2", "5"])
     assert len(sinks.report("t", {"x": spark.range(300)}).splitlines()) == 306 and sinks.table_text(spark.range(3), 2).splitlines() == ["id", " 0", " 1", "(more rows)"]
     sinks.write_report(spark, f"file://{tmp_path}/r", "t", {"x": rows})
