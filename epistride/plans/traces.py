@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epistride.functions import arrays as A
+from epistride.functions import sql
 from epistride.operators import addons
 from epistride.plans.catalog import register
-from epistride.plans.views import POINTS, read, vectors
+from epistride.plans.sequences import ONSETS
+from epistride.plans.views import POINTS, STEPS, read, steps, vectors
 
 r6 = lambda c: F.round(c, 6)
 
@@ -179,3 +181,16 @@ def regex_tokens(spark, sf):
 def consecutive_points(spark, sf):
     whole = F.transform("trace", lambda p: F.struct(F.round(p["x"] * 4).alias("x"), F.round(p["y"] * 4).alias("y")))
     return vectors(spark, sf).select("vec_id", F.size(A.without_repeats(whole)).alias("n_kept"))
+
+
+@register("sql_functions", STEPS + ONSETS + """, pts AS (SELECT label, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y, vec_id FROM embeddings, range(32) t(i)),
+seg AS (SELECT label, vec_id, i, x, y, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS d FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+ln AS (SELECT label, vec_id, sqrt(power(arg_max(x, i) - arg_min(x, i), 2) + power(arg_max(y, i) - arg_min(y, i), 2)) / sum(d) AS s FROM seg GROUP BY 1, 2),
+lb AS (SELECT label, round(avg(s), 6) AS straight, count(*) AS n FROM ln GROUP BY label)
+SELECT o.episode_key, o.onset, lb.n, lb.straight FROM onsets o JOIN lb ON lb.label = o.episode_key""")
+def sql_functions(spark, sf):
+    """Onsets of episodes and the straightness of the lines that bear their number, in SQL alone."""
+    steps(spark, sf).createOrReplaceTempView("sql_functions_steps")
+    vectors(spark, sf).createOrReplaceTempView("sql_functions_vectors")
+    sql.install(spark, "sql_functions_steps")
+    return spark.sql("SELECT o.episode_key, o.onset, l.n, l.straight FROM plateau_onsets() o JOIN (SELECT label, count(1) AS n, round(avg(straightness(trace)), 6) AS straight FROM sql_functions_vectors GROUP BY 1) l ON l.label = o.episode_key")
