@@ -28,7 +28,8 @@ def scalar(text: Column) -> Column:
     return F.coalesce(number(text), F.when(F.size(one) == 1, finite(F.get(one, F.lit(0)))))
 
 
-# The spellings of both truth values.
+# The spellings of both truth values, of texts alone and where numbers have become texts.
+WORDS = {True: ("true", "1", "yes"), False: ("false", "0", "no")}
 TRUE, FALSE = ("true", "1", "1.0", "yes"), ("false", "0", "0.0", "no")
 
 
@@ -39,6 +40,15 @@ def truth(text: Column, strict: bool = False) -> Column:
     return known.when(t != "", F.lit(False)) if strict else known
 
 
+def truth_of(value: Column) -> Column:
+    """true, false or null of a VARIANT, which tells numbers from texts: numbers are false at 0, texts by WORDS, others null."""
+    kind = F.schema_of_variant(value)
+    text = F.lower(F.trim(F.try_variant_get(value, "$", "string")))
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    word = F.when(text.isin(*WORDS[True]), True).when(text.isin(*WORDS[False]), False)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(number, F.try_variant_get(value, "$", "double") != 0).when(kind == "STRING", word)
+
+
 def progress(x: Column, scale: float = 1.0) -> Column:
     """From 0 to 1: NaN and null count as 0, infinities as the ends."""
     return F.least(F.greatest(F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)) / scale, F.lit(0.0)), F.lit(1.0))

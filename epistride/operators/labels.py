@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from epistride.functions.stats import numbered, sums_before
@@ -41,6 +41,20 @@ def detector_alerts(score: Column, threshold: Column, part: WindowSpec) -> dict[
     }
 
 
+def premature_events(scores: DataFrame, by: list[str]) -> DataFrame:
+    """One row per premature alert of a failed episode: a score at or above ``threshold`` more than the horizon before the onset.
+
+    ``scores`` has ``by``, episode_key, step_id, onset, horizon, score and threshold, which may differ by fold. Adds to these
+    distance (steps to the onset), over_horizon (distance less the horizon) and first (the episode's earliest). Rows
+    without onset, score or threshold are no alerts.
+    """
+    distance = F.col("onset") - F.col("step_id")
+    early = scores.where((F.col("score") >= F.col("threshold")) & (distance > F.col("horizon")))
+    columns = list(dict.fromkeys([*by, "horizon", "episode_key", "step_id", "onset", "score", "threshold"]))
+    place = Window.partitionBy(*dict.fromkeys([*by, "horizon", "episode_key"])).orderBy("step_id")
+    return early.select(*columns, distance.alias("distance"), (distance - F.col("horizon")).alias("over_horizon"), (F.row_number().over(place) == 1).alias("first"))
+
+
 def fold_runs(sizes: list[tuple[int, int]], folds: int = 5) -> list[tuple[int, int, int, list[int]]]:
     """Deals groups, the largest first, each into the fold with the fewest rows so far (the lower one on ties).
 

@@ -84,6 +84,22 @@ def running_streak(steps: DataFrame, flag: Column, name: str = "streak") -> Data
     return held.withColumn(name, F.when(F.col("_held"), streak).otherwise(F.lit(0)).cast("long")).drop("_held", "_island")
 
 
+def sustained_flag(steps: DataFrame, flag: Column, run: int = 3) -> DataFrame:
+    """episode_key, num_steps, fraction, max_streak, sustained, onset_step, onset_frac and lead_to_end of a flag over each episode.
+
+    It is sustained if it holds on ``run`` rows in a row; the onset is the step at which the first such run begins, as a share
+    of the last place, and the lead the places from there to the end. Both null without one. A null flag doesn't hold.
+    """
+    first = F.lag("step_id", run - 1).over(in_order())
+    rows = running_streak(steps.select("episode_key", "step_id", flag.alias("_flag")), F.col("_flag")).withColumn("_first", first)
+    each = rows.groupBy("episode_key").agg(
+        F.count(F.lit(1)).alias("num_steps"), F.avg(F.coalesce("_flag", F.lit(False)).cast("double")).alias("fraction"),
+        F.max("streak").alias("max_streak"), F.min(F.when(F.col("streak") == run, F.col("_first"))).alias("onset_step"),
+    )
+    end = F.col("num_steps") - 1
+    return each.select("episode_key", "num_steps", "fraction", "max_streak", F.col("onset_step").isNotNull().cast("int").alias("sustained"), "onset_step", (F.col("onset_step") / F.greatest(end, F.lit(1))).alias("onset_frac"), (end - F.col("onset_step")).alias("lead_to_end"))
+
+
 def longest_run(steps: DataFrame, flag: Column) -> DataFrame:
     return running_streak(steps, flag).groupBy("episode_key").agg(F.max("streak").alias("longest_run"))
 

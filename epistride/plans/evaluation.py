@@ -89,6 +89,22 @@ def premature_alerts(spark, sf):
     return each.groupBy("horizon").agg(n_of().alias("episodes"), F.sum("n").alias("alerts"), r6(F.median(d)).alias("median_distance"), F.max(d).alias("max_distance"))
 
 
+BY_TASK = LABELS + """, mx AS (SELECT horizon, task, episode_key, max(score) AS m FROM ol WHERE valid = 1 AND onset IS NULL GROUP BY 1, 2, 3),
+cand AS (SELECT DISTINCT horizon, task, score AS t FROM ol WHERE valid = 1 UNION ALL SELECT DISTINCT horizon, task, 'Infinity'::DOUBLE FROM ol),
+ok AS (SELECT c.horizon, c.task, t FROM cand c LEFT JOIN mx ON mx.horizon = c.horizon AND mx.task = c.task GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE m >= t) <= floor(0.1 * count(m) + 1e-12)),
+th AS (SELECT horizon, task, min(t) AS threshold FROM ok GROUP BY 1, 2),
+al AS (SELECT ol.*, threshold FROM ol JOIN th ON th.horizon = ol.horizon AND th.task = ol.task WHERE valid = 1 AND score >= threshold AND onset - step_id > ol.horizon)
+"""
+
+
+@register("premature_events", BY_TASK + "SELECT task, CAST(horizon AS INTEGER) AS horizon, episode_key, step_id, onset, onset - step_id AS distance, onset - step_id - horizon AS over_horizon, score, threshold, row_number() OVER (PARTITION BY task, horizon, episode_key ORDER BY step_id) = 1 AS first FROM al")
+def premature_events(spark, sf):
+    """Each premature alert, with a threshold for each task."""
+    rows = labelled(spark, sf).where("valid = 1")
+    rows = rows.join(L.far_threshold(rows, "score", ["horizon", "task"]), ["horizon", "task"])
+    return L.premature_events(rows, ["task", "horizon"])
+
+
 @register("episode_scores", LABELS + "SELECT episode_key, round(max(score), 6) AS top, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) / count(score) AS mean_micro, round(arg_max(score, step_id), 6) AS last FROM ol WHERE valid = 1 AND horizon = 5 GROUP BY episode_key")
 def episode_scores(spark, sf):
     """Largest, mean (in millionths, from whole numbers, so that no order of summation shows) and last score of each episode."""

@@ -359,3 +359,16 @@ def first_values(spark, sf):
     """The first twenty different values of fields of events."""
     found = walks.first_values(read(spark, sf, "events"), ["event_type", "value", "user_id"], ["event_id"])
     return found.select("field", "type", F.array_join("first_values", " ").alias("first_values"))
+
+
+@register("truth_values", """WITH x AS (SELECT event_id % 6 AS form, json_extract(props, '$.k') AS k, value, event_type FROM events),
+t AS (SELECT form, CASE form WHEN 0 THEN CAST(CAST(k AS BIGINT) % 2 = 1 AS VARCHAR) WHEN 1 THEN CASE WHEN value IS NULL THEN NULL ELSE CAST(value <> 0 AS VARCHAR) END WHEN 2 THEN CASE WHEN event_type = 'click' THEN 'true' END WHEN 3 THEN 'true' WHEN 4 THEN NULL ELSE CASE WHEN CAST(k AS BIGINT) = 1 THEN 'true' WHEN CAST(k AS BIGINT) = 0 THEN 'false' END END AS truth FROM x)
+SELECT form, count(*) AS n, count(*) FILTER (WHERE truth = 'true') AS yes, count(*) FILTER (WHERE truth = 'false') AS no FROM t GROUP BY form""")
+def truth_values(spark, sf):
+    """Truth of JSON values: numbers, texts of words and of numbers, truth values and lists."""
+    k, form = F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 6
+    word = F.when(F.col("event_type") == "click", " Yes ").otherwise(F.col("event_type"))
+    text = F.when(form == 0, (k % 2).cast("string")).when(form == 1, F.col("value").cast("string")).when(form == 2, F.concat(F.lit('"'), word, F.lit('"'))).when(form == 3, "true").when(form == 4, "[1]")
+    text = text.when(form == 5, F.concat(F.lit('"'), k.cast("string"), F.lit('"')))
+    rows = read(spark, sf, "events").select(form.alias("form"), V.truth_of(F.try_parse_json(text)).alias("truth"))
+    return rows.groupBy("form").agg(n_of().alias("n"), F.count_if("truth").alias("yes"), F.count_if(~F.col("truth")).alias("no"))

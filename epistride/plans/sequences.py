@@ -226,3 +226,13 @@ def first_divergence(spark, sf):
     differs = ~F.col("event_type").eqNullSafe(F.col("other_type"))
     pairs = pairs.withColumn("first_type", F.min(F.when(differs, F.col("step_id"))).over(S.by_episode()))
     return pairs.groupBy("episode_key").agg(F.min("first_type").alias("first_type"), F.min(F.when(~F.col("k").eqNullSafe(F.col("other_k")), F.col("step_id"))).alias("first_k"), F.count_if(F.col("step_id") <= F.col("first_type")).alias("compared"))
+
+
+@register("sustained_flag", STEPS + """, f AS (SELECT *, coalesce(value > 60, false) AS flag, sum(CASE WHEN value > 60 THEN 0 ELSE 1 END) OVER (PARTITION BY episode_key ORDER BY step_id) AS z FROM steps),
+s AS (SELECT *, CASE WHEN flag THEN count(*) FILTER (WHERE flag) OVER (PARTITION BY episode_key, z ORDER BY step_id) ELSE 0 END AS streak FROM f),
+e AS (SELECT episode_key, count(*) AS num_steps, avg(CAST(flag AS INTEGER)) AS fraction, max(streak) AS max_streak, min(step_id - 2) FILTER (WHERE streak = 3) AS onset_step FROM s GROUP BY 1)
+SELECT episode_key, num_steps, round(fraction, 6) AS fraction, max_streak, CAST(onset_step IS NOT NULL AS INTEGER) AS sustained, onset_step, round(onset_step / greatest(num_steps - 1, 1), 6) AS onset_frac, num_steps - 1 - onset_step AS lead_to_end FROM e""")
+def sustained_flag(spark, sf):
+    """Where a high value first lasts three steps, and how long before the end."""
+    out = S.sustained_flag(steps(spark, sf), F.col("value") > 60)
+    return out.withColumns({c: F.round(c, 6) for c in ("fraction", "onset_frac")})
