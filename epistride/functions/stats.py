@@ -19,6 +19,32 @@ def histogram(rows: DataFrame, score: str, positive: Column, by: list[str]) -> D
 RANGES, EDGES = 256, 4096
 
 
+def _range_of(rows: DataFrame, at: str) -> Column:
+    """The range of an order in which ``at`` lies: the number of edges, from a bounded sample of distinct values, that it reaches."""
+    key = F.xxhash64(at)
+    sample = sorted(r[0] for r in rows.select(at).where(F.col(at).isNotNull()).distinct().orderBy(key, at).limit(EDGES).collect())
+    ranges = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = sorted(set(sample[:: -(-len(sample) // ranges)] if sample else []))
+    return sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+
+
+def least_from(rows: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
+    """Adds the least ``value`` over the rows of the group with the same or a larger ``at``, which is distinct within a group.
+
+    Each range of the order is a window of its own, and gets the least value of the ranges after it.
+    """
+    rows = rows.withColumn("_part", _range_of(rows, at))
+    after = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # at most RANGES rows a group
+    later = rows.groupBy(*by, "_part").agg(F.min(value).alias("_m")).withColumn("_later", F.min("_m").over(after))
+    later = later.select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_part").alias("_t_part"), "_later")
+    same = F.col("_part") == F.col("_t_part")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    own = F.min(value).over(Window.partitionBy(*by, "_part").orderBy(at).rowsBetween(0, Window.unboundedFollowing))
+    out = rows.withColumn("_own", own).join(later, same)
+    return out.select(*[c for c in rows.columns if c != "_part"], F.least("_own", "_later").alias(name))
+
+
 def sums_before(rows: DataFrame, by: list[str], at: str, values: list[str], like: DataFrame | None = None) -> DataFrame:
     """Adds for each of ``values`` its sum over the rows of the group with a smaller ``at`` (before_*), and over the group (all_*).
 
@@ -26,11 +52,7 @@ def sums_before(rows: DataFrame, by: list[str], at: str, values: list[str], like
     of ``like`` where it has the same values and is cheaper to read, cut the order into ranges; each range is a window of its own and gets the total of the ranges before it, so that no task
     holds a group, however large.
     """
-    key = F.xxhash64(at)
-    sample = sorted(r[0] for r in (rows if like is None else like).select(at).where(F.col(at).isNotNull()).distinct().orderBy(key, at).limit(EDGES).collect())
-    ranges = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = sorted(set(sample[:: -(-len(sample) // ranges)] if sample else []))
-    part = sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    part = _range_of(rows if like is None else like, at)
     rows = rows.withColumn("_part", part)
     totals = rows.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     every = Window.partitionBy(*(by or [F.lit(1)]))  # at most RANGES rows a group

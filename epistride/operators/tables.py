@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epistride.functions import arrays as A
@@ -78,8 +78,8 @@ def bh_adjusted(rows: DataFrame, p: str, by: list[str]) -> DataFrame:
     """Adds q: p values adjusted for the false discovery rate in each group; null p stay null and don't count."""
     counts = rows.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     ranked = T.sums_before(counts, by, "_p", ["_c"]).withColumn("_r", F.col("_p") * F.col("all__c") / (F.col("before__c") + F.col("_c")))
-    later = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)  # tests of one group: few
-    found = ranked.select(*[F.col(c).alias(f"_b_{c}") for c in by], "_p", F.least(F.min("_r").over(later), F.lit(1.0)).alias("q"))
+    ranked = T.least_from(ranked, by, "_p", "_r", "_q")  # a larger p never gets a smaller q
+    found = ranked.select(*[F.col(c).alias(f"_b_{c}") for c in by], "_p", F.least("_q", F.lit(1.0)).alias("q"))
     same = F.col(p) == F.col("_p")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))

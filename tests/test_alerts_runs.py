@@ -1,9 +1,11 @@
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from epistride.functions import stats
 from epistride.functions import values as V
-from epistride.operators import labels, sequence
+from epistride.operators import labels, sequence, tables
 
 
 def test_sustained_flag(spark):
@@ -31,3 +33,18 @@ def test_truth_of_values(spark):
     rows = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)] + [(99, None), (100, "no json")], "i int, t string")
     got = {r.i: r.y for r in rows.select("i", V.truth_of(F.try_parse_json("t")).alias("y")).collect()}
     assert got == {i: y for i, (_, y) in enumerate(cases)} | {99: None, 100: None}
+
+
+def test_adjusted_p_go_range_by_range(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    p = np.round(rng.random((2, 300)) ** 3, 3)
+    rows = [("ab"[g], float(x)) for g in range(2) for x in p[g]] + [("a", None), (None, 0.2), ("c", 0.5)]
+    monkeypatch.setattr(stats, "EDGES", 50)
+    got = sorted(((r.g, r.p, r.q) for r in tables.bh_adjusted(spark.createDataFrame(rows, "g string, p double"), "p", ["g"]).collect()), key=str)
+    want = [("a", None, None), (None, 0.2, 0.2), ("c", 0.5, 0.5)]
+    for g in range(2):
+        x = np.sort(p[g])
+        q = np.minimum(np.minimum.accumulate((x * len(x) / np.arange(1, len(x) + 1))[::-1])[::-1], 1)
+        want += [("ab"[g], float(a), float(b)) for a, b in zip(x, q)]
+    want.sort(key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(b[2] == a[2] or abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want))
