@@ -6,6 +6,7 @@ Each stage takes (spark, docs, sf_dir); its result is written as Parquet and rea
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from epistride.llm import minhash, packing, substrings, toxicity
 from epistride.llm.common import Scratch, write_table
@@ -15,10 +16,14 @@ TOXIC = 0.3
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below TOXIC; the chain is fitted to the labels of the corpus."""
+    """Documents with a score below TOXIC; the chain is fitted to the labels of the corpus.
+
+    All columns of ``docs`` stay as they are, also those that bear the names of a model's results.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_documents(docs, labels, threshold=TOXIC)
-    return scored.where("predicted = 0").select(docs.columns)
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("score", "predicted", "spans", "scored")}
+    scored = toxicity.score_documents(docs.withColumnsRenamed(own), labels, threshold=TOXIC)
+    return scored.where("predicted = 0").select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
