@@ -153,3 +153,12 @@ def test_stages_against_plain_versions(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_stage_keeps_columns_named_like_its_results(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["Score", "predicted", "spans", "scored"]
+    own = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    got = corpus_pipeline.remove_toxic(spark, own, SF)
+    assert got.columns == own.columns and got.count() == corpus_pipeline.remove_toxic(spark, docs, SF).count() > 0
+    assert got.where(" OR ".join(f"NOT {n} <=> concat('{n} ', doc_id)" for n in names)).count() == 0
