@@ -22,8 +22,9 @@ def n_of():
 # Predicates and projections
 
 
-@register("numeric_coercion", "SELECT doc_id, try_cast(regexp_replace(text, '[^0-9.]', '', 'g') AS DOUBLE) IS NULL AS bad, CASE WHEN lower(lang) IN ('en', 'de') THEN true WHEN lang = 'fr' THEN false END AS flag FROM documents")
+@register("numeric_coercion", "SELECT doc_id, NOT coalesce(isfinite(try_cast(regexp_replace(text, '[^0-9.]', '', 'g') AS DOUBLE)), false) AS bad, CASE WHEN lower(lang) IN ('en', 'de') THEN true WHEN lang = 'fr' THEN false END AS flag FROM documents")
 def numeric_coercion(spark, sf):
+    """Whether the digits and points of a text are no finite number (infinities are nulls, as everywhere), and a truth value of its language."""
     lang = F.col("lang")
     spelled = F.when(F.lower(lang).isin("en", "de"), "yes").when(lang == "fr", "no").otherwise("maybe")
     return read(spark, sf, "documents").select("doc_id", V.number(F.regexp_replace("text", "[^0-9.]", "")).isNull().alias("bad"), V.truth(spelled).alias("flag"))

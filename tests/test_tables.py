@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,13 @@ def test_inventories(spark, tmp_path):
     sinks.write_report(spark, f"file://{tmp_path}/r", "t", {"x": rows})
     sinks.write_metadata(spark, f"file://{tmp_path}/m", [], seed=1)
     assert "## x" in spark.read.text(f"file://{tmp_path}/r", wholetext=True).first()[0] and "seed" in spark.read.text(f"file://{tmp_path}/m").first()[0]
+
+
+def test_digits_beyond_doubles_are_bad_in_query_and_sql(spark, tmp_path):
+    texts = ["12 of 3", "1" * 309, "1" * 310, "9" * 400 + " x", "0" * 400 + "1", "1.2.3", ".", "", None, "0." + "1" * 400]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.bad for r in catalog.QUERIES["numeric_coercion"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {i: bad for i, bad, _ in db.execute(catalog.ORACLES["numeric_coercion"]).fetchall()}
+    assert [got[i] for i in range(len(texts))] == [False, False, True, True, False, True, True, True, True, False]
