@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from epistride.functions.draws import SPAN, TILE, WIDE, multiplicities, packed, resampled_means, weighted
+
 
 def histogram(rows: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
     """Positives and negatives of each distinct score in each group; null scores are left out."""
@@ -19,13 +21,20 @@ def histogram(rows: DataFrame, score: str, positive: Column, by: list[str]) -> D
 RANGES, EDGES = 256, 4096
 
 
-def _range_of(rows: DataFrame, at: str) -> Column:
+def _range_of(rows: DataFrame, at: str, most: int = RANGES) -> Column:
     """The range of an order in which ``at`` lies: the number of edges, from a bounded sample of distinct values, that it reaches."""
     key = F.xxhash64(at)
     sample = sorted(r[0] for r in rows.select(at).where(F.col(at).isNotNull()).distinct().orderBy(key, at).limit(EDGES).collect())
-    ranges = min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(most, RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = sorted(set(sample[:: -(-len(sample) // ranges)] if sample else []))
-    return sum((F.when(F.col(at) >= e, 1).otherwise(0) for e in edges), F.lit(0))
+
+    def reached(low: int, high: int) -> Column:  # between so many edges: halved, so that a row meets few of them
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(at) >= edges[middle], reached(middle + 1, high)).otherwise(reached(low, middle))
+
+    return reached(0, len(edges))
 
 
 def least_from(rows: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
@@ -173,36 +182,37 @@ def bootstrap_difference(rows: DataFrame, x: str, group: str, draws: int, seed:
 
     ``rows`` has one row per unit: group, i (0 to n - 1 in its group) and n (units of the group).
     """
-    slots = rows.select(group, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    picked = slots.select(group, "draw", draw(F.col("n"), F.lit(seed), F.col("draw"), F.col("i")).alias("i"))
-    got = picked.join(rows.select(group, "i", x), [group, "i"])
-    mean = lambda where: F.avg(F.when(where, F.col(x)))
+    got = resampled_means(rows, x, [group], F.lit(str(seed)), draws)
+    mean = lambda where: F.max(F.when(where, F.col("mean")))  # noqa: E731  one row each
     return got.groupBy("draw").agg((mean(F.col(group)) - mean(~F.col(group))).alias("diff"))
 
 
 def bootstrap_mean(rows: DataFrame, x: str, by: list[str], draws: int, seed: int = 43) -> DataFrame:
     """draw and mean of x over resampled rows of each group, for each draw; ``rows`` as in ``bootstrap_difference``, groups without nulls."""
-    slots = rows.select(*by, "i", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    picked = slots.select(*by, "draw", draw(F.col("n"), seed, *[F.col(c) for c in by], F.col("draw"), F.col("i")).alias("i"))
-    return picked.join(rows.select(*by, "i", x), [*by, "i"]).groupBy(*by, "draw").agg(F.avg(x).alias("mean"))
+    return resampled_means(rows, x, by, F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in by]), draws)
 
 
 def cluster_bootstrap(rows: DataFrame, units: DataFrame, key: str, score: str, label: str, draws: int, seed: int = 7, by: list[str] | None = None) -> DataFrame:
     """Group, draw, auroc and ap over resampled units (one row per ``key``), for each draw that holds both classes.
 
     Draws give each unit a multiplicity, the same in all groups, and histograms of scores are weighted by it. Tied scores count
-    half in auroc and are one threshold in ap; null scores are left out.
+    half in auroc and are one threshold in ap; null scores are left out. Ranges of scores and blocks of draws are tiles that go side
+    by side, first for the sums of each range, then for the metrics; a tile holds a byte for each unit and draw of it. Multiplicities stay cached.
     """
     by = by or []
-    placed = numbered(units, [], key)
-    picked = placed.select("i", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("draw", draw(F.col("n"), seed, F.col("draw"), F.col("i")).alias("i"))
-    times = picked.groupBy("draw", "i").agg(F.count(F.lit(1)).alias("c")).join(placed, "i").select("draw", key, "c")
-    each = histogram(rows, score, F.col(label) == 1, [*by, key])
-    h = each.join(times, key).groupBy(*by, "draw", "s").agg(F.sum(F.col("pos") * F.col("c")).alias("pos"), F.sum(F.col("neg") * F.col("c")).alias("neg"))
-    h = sums_before(h, [*by, "draw"], "s", ["pos", "neg"], each)
-    pos, neg = F.col("pos"), F.col("neg")
-    tp, k = F.col("all_pos") - F.col("before_pos"), F.col("all_pos") + F.col("all_neg") - F.col("before_pos") - F.col("before_neg")
-    out = h.where(pos + neg > 0).groupBy(*by, "draw").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(pos * (F.col("before_neg") + neg / 2)).alias("u"), F.sum(pos * tp / k).alias("a"))
+    spark = rows.sparkSession
+    n = units.count()
+    each = histogram(rows, score, F.col(label) == 1, [*by, key]).join(numbered(units, [], key).select(key, "i"), key).select(*by, "s", "i", "pos", "neg").persist()
+    ranges = max(1, -(-each.count() // SPAN))
+    spans = packed(each.withColumn("_t", F.struct(*by, (_range_of(each, "s", ranges) if ranges > 1 else F.lit(0)).alias("_part"))), "_t").persist()
+    times = multiplicities(spark, n, seed, draws, max(1, min(WIDE, TILE // max(n, 1)))).persist()
+    keys = F.broadcast(spans.select("_t"))  # a row for each group and range
+    none = weighted(spans, times.crossJoin(keys), "_t", False)
+    group = Window.partitionBy(*[F.col(f"_t.{c}") for c in by], "draw")
+    under = group.orderBy("_t._part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = none.select("_t", "draw", *[F.coalesce(F.sum(c).over(under), F.lit(0.0)).alias(f"below_{c}") for c in "pn"], *[F.sum(c).over(group).alias(f"all_{c}") for c in "pn"])
+    out = weighted(spans, times.join(sums, "draw"), "_t", True)
+    out = out.groupBy(*[F.col(f"_t.{c}").alias(c) for c in by], "draw").agg(*[F.sum(c).alias(c) for c in "pnua"])
     return out.where("p > 0 AND n > 0").select(*by, "draw", (F.col("u") / (F.col("p") * F.col("n"))).alias("auroc"), (F.col("a") / F.col("p")).alias("ap"))
 
 

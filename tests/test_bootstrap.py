@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from epistride.functions import stats
+from epistride.functions import draws, stats
 from epistride.plans import evaluation
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,23 @@ def test_cluster_draws_skip_a_single_class(spark):
     got = {r.draw: (r.auroc, r.ap) for r in stats.cluster_bootstrap(rows, rows.select("key").distinct(), "key", "score", "label", 30).collect()}
     assert 0 < len(want) < 30 and got.keys() == want.keys()
     assert all(got[b] == pytest.approx(want[b]) for b in want)
+
+
+def test_heads_are_those_of_md5():
+    prefixes = [b"43-t0-true-%d-" % b for b in (3, 12, 777)] + [b"", b"x" * 51, b"x" * 60]
+    for first, last in ((0, 120), (9995, 10004)):
+        found = {(prefixes[k], i + j): int(v) for some, i, h in draws.heads(prefixes, first, last) for k, row in zip(some, h, strict=True) for j, v in enumerate(row)}
+        assert found == {(p, i): int(hashlib.md5(p + str(i).encode()).hexdigest()[:8], 16) for p in prefixes for i in range(first, last)}
+
+
+@pytest.mark.parametrize(("cell", "held"), [(1 << 23, 1 << 22), (500, 1 << 22), (500, 7)])
+def test_means_from_cells_of_draws(spark, monkeypatch, cell, held):
+    """Cells cut the draws, and ranges the values, of any group; nulls in values are left out."""
+    for name, value in (("CELL", cell), ("HELD", held), ("PIECE", 5)):
+        monkeypatch.setattr(draws, name, value)
+    x = {"a": [1.0, 5.0, None, 2.5] * 5, "b": [4.0], "c": [None]}
+    rows = spark.createDataFrame([(g, i, len(v), m) for g, v in x.items() for i, m in enumerate(v)] + [(None, 0, 1, 1.0)], "g string, i long, n long, x double")
+    got = {(r.g, r.draw): r.mean for r in stats.bootstrap_mean(rows, "x", ["g"], 200).collect()}
+    picked = {(g, b): [m for i in range(len(v)) if (m := v[drawn(len(v), 43, g, b, i)]) is not None] for g, v in x.items() for b in range(1, 201)}
+    assert got.keys() == picked.keys()
+    assert all(got[k] == (pytest.approx(np.mean(v)) if v else None) for k, v in picked.items())
