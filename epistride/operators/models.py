@@ -128,6 +128,8 @@ def contrast(centre) -> float:
 
 #: Rows, by the smallest hashes, that starting centres are drawn from; rounds at most.
 STARTS, ROUNDS = 4096, 100
+#: Points at most that each task holds, so that fits go side by side, each to its end in one task; more points are passed over round by round.
+WHOLE = 1 << 17
 
 
 def clusters(rows: DataFrame, features: list[str], k: int, tries: int = 10, seed: int = 0) -> DataFrame:
@@ -151,6 +153,8 @@ def cluster_stability(rows: DataFrame, features: list[str], part: str, k: int =
     """
     x = _point(features)
     ready = rows.where(F.col(part).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v))).persist()
+    if ready.limit(WHOLE + 1).count() <= WHOLE:
+        return _stability(ready.select(part, x.alias("x")), len(features), part, k, tries, seed)
     parts = sorted(r[0] for r in ready.select(part).distinct().collect())  # the parts named by the caller
     whole = _best(ready.select(x.alias("x"), F.lit(-1).alias("part")), len(features), k, [-1], tries, seed)[0]
     numbers = rows.sparkSession.createDataFrame(list(enumerate(parts)), f"_n int, `{part}` {dict(rows.dtypes)[part]}")
@@ -165,6 +169,89 @@ def cluster_stability(rows: DataFrame, features: list[str], part: str, k: int =
     return adjusted_rand(each.join(several, "_n"), "a", "b", ["_n"]).join(numbers, "_n").select(part, "ari")
 
 
+def _stability(points: DataFrame, width: int, part: str, k: int, tries: int, seed: int) -> DataFrame:
+    """``cluster_stability`` of at most WHOLE points, which each task holds: parts go side by side, each with all its fits and its index."""
+    spark, kind = points.sparkSession, dict(points.dtypes)[part]
+    drawn = points.orderBy(F.xxhash64("x"), "x").collect()  # at most WHOLE
+    parts = sorted({r[part] for r in drawn})
+    number = {p: i for i, p in enumerate(parts)}
+    x, own = np.array([r.x for r in drawn]).reshape(-1, width), np.array([number[r[part]] for r in drawn], int)
+    whole = _fit(x, k, tries, np.random.default_rng(seed))[0] if len(x) else np.zeros((1, width))
+    first = _near(x, whole)
+
+    def run(batches):
+        for batch in batches:
+            n, out = batch.column(0).to_pylist(), []
+            for o in n:
+                kept = own != o
+                a = first[kept]
+                if not len(a) or a.min() == a.max():
+                    out.append(None)
+                    continue
+                centres, counts, _ = _fit(x[kept], k, tries, np.random.default_rng([seed, o]))
+                cells = np.zeros((len(whole), k))
+                np.add.at(cells, (a, _near(x[kept], centres)), 1)
+                pairs = lambda v: (v * (v - 1) / 2).sum()
+                left, right, m = pairs(cells.sum(axis=1)), pairs(cells.sum(axis=0)), len(a)
+                expected, best = left * right / (m * (m - 1) / 2) if m > 1 else 0.0, (left + right) / 2
+                out.append(1.0 if best == expected else float((pairs(cells) - expected) / (best - expected)))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(out, pa.float64())], ["_n", "ari"])
+
+    numbers = spark.createDataFrame(list(enumerate(parts)), f"_n int, `{part}` {kind}")
+    tasks = max(1, min(len(parts), 4 * spark.sparkContext.defaultParallelism))
+    found = spark.range(0, len(parts), 1, tasks).select(F.col("id").cast("int").alias("_n")).mapInArrow(run, "_n int, ari double")
+    return found.where("ari IS NOT NULL").join(numbers, "_n").select(part, "ari")
+
+
+def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([((some[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1) for some in np.split(x, range(1 << 14, len(x), 1 << 14))])
+
+
+def _fit(x: np.ndarray, k: int, tries: int, rng) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centres, rows of each and cost of the best of several fits; the first STARTS rows are those that starts are drawn from."""
+    middle = x.mean(axis=0)
+    z = x - middle
+    sample, at = z[:STARTS], np.arange(tries)
+    c = sample[rng.integers(len(sample), size=tries)][:, None]
+    d = np.full((tries, len(sample)), np.inf)
+    while c.shape[1] < k:  # each further one is drawn by its squared distance from those before
+        d = np.minimum(d, sum((sample[None, :, f] - c[:, -1, None, f]) ** 2 for f in range(z.shape[1])))
+        upto = d.cumsum(axis=1)
+        pick = np.minimum((upto <= rng.random((tries, 1)) * upto[:, -1:]).sum(axis=1), len(sample) - 1)
+        c = np.concatenate([c, sample[pick][:, None]], axis=1)
+    counts, costs = np.zeros((tries, k)), np.zeros(tries)
+    for _ in range(ROUNDS):
+        counts[at], sums, costs[at] = _assigned(z, c[at])
+        moved = np.where(counts[at][:, :, None] > 0, sums / np.maximum(counts[at], 1)[:, :, None], c[at])
+        still = np.abs(moved - c[at]).max(axis=(1, 2)) > 1e-9 * (1 + np.abs(c).max())
+        at = at[still]
+        c[at] = moved[still]
+        if not len(at):
+            break
+    best = int(costs.argmin())
+    return c[best] + middle, counts[best], float(costs[best])
+
+
+def _assigned(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and sums of each cluster of every fit, and its cost, block by block."""
+    fits, k, d = centres.shape
+    counts, sums, costs = np.zeros((fits, k)), np.zeros((fits, k, d)), np.zeros(fits)
+    half = (centres**2).sum(axis=2) / 2
+    for start in range(0, len(x), 2048):
+        some = x[start : start + 2048]
+        top, near = some @ centres[:, 0].T - half[:, 0], np.zeros((len(some), fits), np.int8)
+        for j in range(1, k):
+            s = some @ centres[:, j].T - half[:, j]
+            near[s > top] = j
+            np.maximum(top, s, out=top)
+        for j in range(k):
+            own = (near == j).astype(float)
+            counts[:, j] += own.sum(axis=0)
+            sums[:, j] += own.T @ some
+        costs += (some**2).sum() - 2 * top.sum(axis=0)
+    return counts, sums, costs
+
+
 def _point(features: list[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
@@ -180,6 +267,10 @@ def _nearest(x: list[Column], centres: list[list[float]]) -> Column:
 def _best(points: DataFrame, width: int, k: int, omit: list[int], tries: int, seed: int) -> list[list[list[float]]]:
     """For each part in ``omit``, the centres of the best fit to the points of all other parts, in order; none without points."""
     points = points.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v))).persist()
+    if omit == [-1] and points.limit(WHOLE + 1).count() <= WHOLE:
+        out = [_whole(points, width, k, tries, seed)]
+        points.unpersist()
+        return out
     drawn = points.orderBy(F.xxhash64("x"), "x").limit(STARTS).collect()
     x, part = np.array([r.x for r in drawn]).reshape(-1, width), np.array([r.part for r in drawn])
     rng = np.random.default_rng(seed)
@@ -202,6 +293,24 @@ def _best(points: DataFrame, width: int, k: int, omit: list[int], tries: int, se
     return out
 
 
+def _whole(points: DataFrame, width: int, k: int, tries: int, seed: int) -> list[list[float]]:
+    """The centres of the best fit to at most WHOLE points, which each task holds: a few fits a task, each to its end."""
+    drawn = points.select("x").orderBy(F.xxhash64("x"), "x").collect()  # at most WHOLE
+    if not drawn:
+        return []
+    x, each = np.array([r.x for r in drawn]).reshape(-1, width), 4
+    blocks = -(-tries // each)
+
+    def run(batches):
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                centres, counts, cost = _fit(x, k, min(each, tries - b * each), np.random.default_rng([seed, b]))
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([cost]), pa.array([counts.tolist()]), pa.array([centres.ravel().tolist()])], ["b", "cost", "n", "c"])
+
+    best = min(points.sparkSession.range(0, blocks, 1, blocks).mapInArrow(run, "b long, cost double, n array<double>, c array<double>").collect(), key=lambda r: (r.cost, r.b))
+    return sorted((c for c, m in zip(np.reshape(best.c, (k, width)).tolist(), best.n, strict=True) if m), key=contrast, reverse=True)
+
+
 def _spread(sample: np.ndarray, k: int, rng) -> np.ndarray:
     """Starting centres: each further one is drawn by its squared distance from those before."""
     out = sample[rng.integers(len(sample), size=1)]
@@ -214,19 +323,19 @@ def _spread(sample: np.ndarray, k: int, rng) -> np.ndarray:
 def _round(points: DataFrame, centres: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows and sums of each cluster of every fit, and its cost, over the rows that aren't of the part it leaves out; a task returns one row for each fit."""
     fits, k, d = centres.shape
+    middle = centres.mean(axis=(0, 1))
 
     def run(batches):
         counts, sums, costs = np.zeros((fits, k)), np.zeros((fits, k, d)), np.zeros(fits)
         for batch in batches:
             every = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             part = batch.column("part").to_numpy(zero_copy_only=False)
-            for t in range(fits):
-                x = every[part != left[t]] if left[t] >= 0 else every
-                away = ((x[:, None] - centres[t][None]) ** 2).sum(axis=2)
-                near = away.argmin(axis=1)
-                counts[t] += np.bincount(near, minlength=k)
-                np.add.at(sums[t], near, x)
-                costs[t] += away.min(axis=1).sum()
+            for o in np.unique(left):
+                at, x = np.flatnonzero(left == o), every[part != o] if o >= 0 else every
+                n, s, c = _assigned(x - middle, centres[at] - middle)
+                counts[at] += n
+                sums[at] += s + n[:, :, None] * middle
+                costs[at] += c
         flat = np.concatenate([counts, sums.reshape(fits, -1), costs[:, None]], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(fits, dtype=np.int32)), pa.array(list(flat), pa.list_(pa.float64()))], ["t", "v"])
 

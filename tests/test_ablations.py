@@ -83,6 +83,19 @@ def rand(a, b):
     return (both - expected) / ((left + right) / 2 - expected)
 
 
+@pytest.mark.parametrize("whole", [models.WHOLE, 0])
+def test_stability_and_clusters_with_points_held_or_passed_over(spark, monkeypatch, whole):
+    """Few points are held by each task, more are passed over; both find the clusters with the least cost, far from the origin too."""
+    monkeypatch.setattr(models, "WHOLE", whole)
+    x = np.random.default_rng(8).normal(size=(9, 2)) + np.array([[1e5, 0]] * 5 + [[1e5 + 1.5, 1]] * 4)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "e long, a double, b double")
+    want = best_split(x)
+    got = {r.e: r.cluster for r in models.clusters(rows, ["a", "b"], 2, tries=20).collect()}
+    assert rand(want, np.array([got[i] for i in range(9)])) == 1
+    aris = {r.e: r.ari for r in models.cluster_stability(rows, ["a", "b"], "e", tries=20).collect()}
+    assert aris == pytest.approx({i: rand(want[np.arange(9) != i], best_split(x[np.arange(9) != i])) for i in range(9) if len(set(want[np.arange(9) != i])) == 2})
+
+
 def test_stability(spark):
     x = np.random.default_rng(8).normal(size=(9, 2)) + np.array([[0, 0]] * 5 + [[1.5, 1]] * 4)
     rows = spark.createDataFrame([(10 + i, *map(float, v)) for i, v in enumerate(x)] + [(99, None, 1.0)], "e long, a double, b double")
