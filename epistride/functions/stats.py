@@ -37,12 +37,12 @@ def _range_of(rows: DataFrame, at: str, most: int = RANGES) -> Column:
     return reached(0, len(edges))
 
 
-def least_from(rows: DataFrame, by: list[str], at: str, value: str, name: str) -> DataFrame:
+def least_from(rows: DataFrame, by: list[str], at: str, value: str, name: str, like: DataFrame | None = None) -> DataFrame:
     """Adds the least ``value`` over the rows of the group with the same or a larger ``at``, which is distinct within a group.
 
-    Each range of the order is a window of its own, and gets the least value of the ranges after it.
+    Each range of the order is a window of its own, and gets the least value of the ranges after it. ``like`` as in ``sums_before``.
     """
-    rows = rows.withColumn("_part", _range_of(rows, at))
+    rows = rows.withColumn("_part", _range_of(rows if like is None else like, at))
     after = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # at most RANGES rows a group
     later = rows.groupBy(*by, "_part").agg(F.min(value).alias("_m")).withColumn("_later", F.min("_m").over(after))
     later = later.select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_part").alias("_t_part"), "_later")

@@ -75,10 +75,13 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
 
 
 def bh_adjusted(rows: DataFrame, p: str, by: list[str]) -> DataFrame:
-    """Adds q: p values adjusted for the false discovery rate in each group; null p stay null and don't count."""
-    counts = rows.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = T.sums_before(counts, by, "_p", ["_c"]).withColumn("_r", F.col("_p") * F.col("all__c") / (F.col("before__c") + F.col("_c")))
-    ranked = T.least_from(ranked, by, "_p", "_r", "_q")  # a larger p never gets a smaller q
+    """Adds q: p values adjusted for the false discovery rate in each group; null p stay null and don't count.
+
+    Distinct values are counted once and stay cached with their ranks, since edges, totals and windows read them in turn.
+    """
+    counts = rows.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).persist()
+    ranked = T.sums_before(counts, by, "_p", ["_c"]).withColumn("_r", F.col("_p") * F.col("all__c") / (F.col("before__c") + F.col("_c"))).persist()
+    ranked = T.least_from(ranked, by, "_p", "_r", "_q", counts)  # a larger p never gets a smaller q
     found = ranked.select(*[F.col(c).alias(f"_b_{c}") for c in by], "_p", F.least("_q", F.lit(1.0)).alias("q"))
     same = F.col(p) == F.col("_p")
     for c in by:
