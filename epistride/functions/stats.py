@@ -49,7 +49,7 @@ def least_from(rows: DataFrame, by: list[str], at: str, value: str, name: str, l
     same = F.col("_part") == F.col("_t_part")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_t_{c}"))
-    own = F.min(value).over(Window.partitionBy(*by, "_part").orderBy(at).rowsBetween(0, Window.unboundedFollowing))
+    own = F.min(value).over(Window.partitionBy(*by, "_part").orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, 0))  # a frame that ends with the partition is made anew for each row
     out = rows.withColumn("_own", own).join(later, same)
     return out.select(*[c for c in rows.columns if c != "_part"], F.least("_own", "_later").alias(name))
 
