@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epistride.functions import stats as T
-from epistride.operators.models import nested_folds, nested_scores
+from epistride.operators.models import nested_folds, nested_scores, settled
 
 BY = ["horizon", "spec"]
 #: Scores of an episode; "max" is the retrospective one: whether any alert would have come.
@@ -17,13 +17,14 @@ def scored_sets(steps: DataFrame, specs: dict[str, list[str]], horizons: tuple[i
     """Valid steps once for each horizon and set of features, with horizon, spec, label, fold, score and fold_threshold.
 
     ``steps`` has episode_key, step_id, onset (null for successes) and the features. A step is valid before the onset, whatever
-    the horizon, so folds are dealt once, and these rows stay cached, since scores are made from them when they are read.
+    the horizon, so folds are dealt once, and these rows are kept, since scores are made from them when they are read.
     Without valid steps there are no rows.
     """
     step, onset = F.col("step_id"), F.col("onset")
-    valid = steps.where(onset.isNull() | (step < onset)).withColumn("success", onset.isNull())
+    valid = steps.where(onset.isNull() | (step < onset)).withColumn("success", onset.isNull()).persist()
     within = lambda h: (onset.isNotNull() & (step + h >= onset)).cast("int")
-    dealt = nested_folds(valid, folds, inner).withColumns({f"_label{h}": within(h) for h in horizons}).persist()
+    dealt = settled(nested_folds(valid, folds, inner).withColumns({f"_label{h}": within(h) for h in horizons}))
+    valid.unpersist()
     out = nested_scores(dealt, specs, {h: f"_label{h}" for h in horizons}, folds, inner, most)
     return out.drop(*[f"_label{h}" for h in horizons]).withColumn("label", within(F.col("horizon")))
 
@@ -46,7 +47,7 @@ def ablations(scored: DataFrame) -> DataFrame:
     Mean scores that differ only by the rounding of their sums may count as tied or not. ``scored`` and the scores of
     episodes are read several times, so they stay cached with the session.
     """
-    scored = scored.persist()
+    scored = scored.select(*BY, "episode_key", "step_id", "onset", "success", "label", "score", "fold_threshold").persist()
     each = episode_scores(scored).persist()
     step = T.rank_metrics(scored, "score", F.col("label") == 1, BY)
     step = step.select(*BY, (F.col("n_pos") + F.col("n_neg")).alias("n_steps"), F.col("n_pos").alias("positive_steps"), F.col("auroc").alias("step_auroc"), F.col("average_precision").alias("step_auprc"))

@@ -131,7 +131,8 @@ def logistic(rows: DataFrame, sets: dict[str, list[str]], labels: list[str], mas
     features = sorted({f for s in sets.values() for f in features_only(s)})
     at_of = {f: i for i, f in enumerate(features)}
     index = {name: [at_of[f] for f in s] for name, s in sets.items()}
-    points = rows.select(F.array(*[F.col(c).cast("double") for c in labels]).alias("y"), vector(features).alias("x"), F.array(*masks).alias("m")).persist()
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism  # few bytes a row, but much work: parts by size would leave most cores idle
+    points = rows.select(F.array(*[F.col(c).cast("double") for c in labels]).alias("y"), vector(features).alias("x"), F.array(*masks).alias("m")).repartition(tasks).persist()
     width, masks, labels = len(features), len(masks), len(labels)  # columns stay on the driver
 
     def first(y, x, m):

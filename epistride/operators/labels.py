@@ -84,10 +84,17 @@ def with_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
 
     Only the histogram of group sizes comes to the driver; a group finds its fold from its rank among those of its size.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    counts = [(r.n, r.c) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
-    runs = rows.sparkSession.createDataFrame(fold_runs(counts, folds), "size long, first long, last long, turn array<int>")
-    ranked = numbered(sizes.withColumnRenamed("n", "size"), ["size"], group).select(group, "size", "i")
-    found = ranked.join(runs, "size").where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last")))
-    fold = F.get("turn", ((F.col("i") - F.col("first")) % F.size("turn")).cast("int"))
-    return rows.join(found.select(group, fold.alias("fold")), group)
+    return rows.join(deal(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group, folds), group)
+
+
+def deal(sizes: DataFrame, group: str, folds: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, group and fold of groups whose numbers of rows (n) are known; as ``with_folds``, for each value of ``by`` (few) by itself."""
+    counts: dict[tuple, list[tuple[int, int]]] = {}
+    for r in sizes.groupBy(*by, "n").agg(F.count(F.lit(1)).alias("c")).collect():
+        counts.setdefault(tuple(r[b] for b in by), []).append((r.n, r.c))
+    kinds = dict(sizes.dtypes)
+    schema = ", ".join([*[f"`{b}` {kinds[b]}" for b in by], "size long, first long, last long, turn array<int>"])
+    runs = sizes.sparkSession.createDataFrame([(*b, *run) for b, c in counts.items() for run in fold_runs(c, folds)], schema)
+    ranked = numbered(sizes.withColumnRenamed("n", "size"), [*by, "size"], group).select(*by, group, "size", "i")
+    found = ranked.join(runs, [*by, "size"]).where((F.col("i") >= F.col("first")) & (F.col("i") < F.col("last")))
+    return found.select(*by, group, F.get("turn", ((F.col("i") - F.col("first")) % F.size("turn")).cast("int")).alias("fold"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from epistride.functions.stats import adjusted_rand
 from epistride.operators.fits import logistic, vector
-from epistride.operators.labels import far_threshold, with_folds
+from epistride.operators.labels import deal, far_threshold, with_folds
 
 
 def _constant(values: list, kind: str) -> Column:
@@ -37,23 +37,31 @@ def grouped_oof(rows: DataFrame, features: list[str], label: str, group: str = "
     return dealt.withColumn("score", score(vector(fits.features), F.col("fold")))
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, worked out once, with nothing left of the plan that they come from: in spark.checkpoint.dir where that is set, else on the executors."""
+    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.localCheckpoint()
+
+
 def nested_folds(rows: DataFrame, folds: int = 5, inner: int = 3) -> DataFrame:
-    """Rows with the fold of their episode, and for each fold f the inner fold of the episodes outside it (_in{f}, null inside)."""
-    dealt = with_folds(rows, "episode_key", folds)
-    keys = dealt.select("episode_key", "fold").persist()
-    for f in range(folds):
-        again = with_folds(keys.where(F.col("fold") != f).select("episode_key"), "episode_key", inner)
-        dealt = dealt.join(again.groupBy("episode_key").agg(F.first("fold").alias(f"_in{f}")), "episode_key", "left")
-    keys.unpersist()
-    return dealt
+    """Rows with the fold of their episode, and for each fold f the inner fold of the episodes outside it (_in{f}, null inside).
+
+    Folds are dealt from the sizes of episodes, the inner ones of all folds at once, and meet the rows in one join. Rows are
+    read twice.
+    """
+    key = "episode_key"
+    sizes = settled(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    outer = settled(sizes.join(deal(sizes, key, folds), key))
+    left = outer.withColumn("_out", F.explode(F.array(*map(F.lit, range(folds))))).where("_out <> fold").select("_out", key, "n")
+    again = deal(left, key, inner, ("_out",)).groupBy(key).agg(*[F.max(F.when(F.col("_out") == f, F.col("fold"))).alias(f"_in{f}") for f in range(folds)])
+    return rows.join(outer.drop("n").join(again, key, "left"), key)
 
 
 def nested_scores(dealt: DataFrame, sets: dict[str, list[str]], labels: dict[int, str], folds: int = 5, inner: int = 3, most: float = 0.1) -> DataFrame:
     """Rows of ``nested_folds`` once for each set of features and label: spec, horizon, score and fold_threshold.
 
     ``sets`` has features by spec, ``labels`` columns by horizon. The fits of all sets, labels, folds and inner folds go on side
-    by side; a pass over the rows gives the scores, and another the largest score of each successful episode by the inner fits, of
-    which thresholds are made.
+    by side; a pass over the rows gives the largest score of each successful episode by the inner fits, of which thresholds are
+    made, and another the scores, when they are read.
     """
     fold, within = F.col("fold"), F.array(*[f"_in{f}" for f in range(folds)])
     masks = [fold != f for f in range(folds)] + [(fold != f) & (within[f] != j) for f in range(folds) for j in range(inner)]
@@ -84,8 +92,10 @@ def nested_scores(dealt: DataFrame, sets: dict[str, list[str]], labels: dict[int
 
     told = F.create_map(*[x for n, (spec, _, h) in enumerate(each) for x in (F.lit(n), F.struct(F.lit(spec).alias("spec"), F.lit(h).alias("horizon")))])
     train = dealt.where("success").select(vector(fits.features).alias("x"), "fold", within.cast("array<double>").alias("within"), "episode_key")
-    top = train.mapInArrow(tops, f"number int, outer int, episode_key {key}, score double").groupBy("number", "outer", "episode_key").agg(F.max("score").alias("score"))
-    found = far_threshold(top.withColumn("success", F.lit(True)), "score", ["number", "outer"], most).select("number", F.col("outer").alias("fold"), F.col("threshold").alias("_th"))
+    top = train.mapInArrow(tops, f"number int, outer int, episode_key {key}, score double").groupBy("number", "outer", "episode_key").agg(F.max("score").alias("score")).persist()
+    found = far_threshold(top.withColumn("success", F.lit(True)), "score", ["number", "outer"], most).select("number", "outer", "threshold").collect()  # a row for each set, label and fold
+    top.unpersist()
+    found = dealt.sparkSession.createDataFrame([tuple(r) for r in found], "number int, fold int, _th double")
 
     @F.pandas_udf("array<double>")
     def scores(x: pd.Series, fold: pd.Series) -> pd.Series:
@@ -94,7 +104,7 @@ def nested_scores(dealt: DataFrame, sets: dict[str, list[str]], labels: dict[int
 
     kept = [c for c in dealt.columns if not c.startswith("_in")]
     out = dealt.select(*kept, F.posexplode(scores(vector(fits.features), fold)).alias("number", "score"))  # a row for each set and label
-    out = out.join(F.broadcast(found), ["number", "fold"], "left").withColumn("_f", told[F.col("number")])  # a row for each set, label and fold
+    out = out.join(F.broadcast(found), ["number", "fold"], "left").withColumn("_f", told[F.col("number")])
     return out.select(*kept, "_f.spec", "_f.horizon", "score", F.coalesce("_th", F.lit(float("inf"))).alias("fold_threshold"))
 
 

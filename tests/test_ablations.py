@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from epistride.operators import ablations, models
+from epistride.operators import ablations, labels, models
 
 SCORED = "horizon int, spec string, episode_key long, step_id long, onset long, success boolean, label int, score double, fold_threshold double"
 
@@ -68,6 +68,25 @@ def test_sets_side_by_side(spark):
     assert np.allclose(both.score_x, both.score_y) and np.allclose(both.fold_threshold_x, both.fold_threshold_y)
 
 
+def test_inner_folds_of_all_folds_at_once(spark):
+    """The same inner folds as if the episodes outside each fold were dealt by themselves, and no plan that grows with the folds."""
+    sizes = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8]
+    rows = spark.createDataFrame([(e, s) for e, n in enumerate(sizes) for s in range(n)], "episode_key long, step_id long")
+    got = models.nested_folds(rows, 3, 2).drop("step_id").toPandas()
+    assert len(got) == sum(sizes) and len(got.drop_duplicates()) == len(sizes)
+    for f in range(3):
+        rest = got[got.fold != f]
+        alone = {r.episode_key: r.fold for r in labels.with_folds(spark.createDataFrame(rest[["episode_key"]]), "episode_key", 2).collect()}
+        assert dict(zip(rest.episode_key, rest[f"_in{f}"], strict=True)) == alone and got[got.fold == f][f"_in{f}"].isna().all()
+
+
+def test_scores_are_read_from_rows_that_are_worked_out(spark):
+    """Each round and metric plans anew what lies below it: the windows and joins of folds and thresholds aren't among that."""
+    steps = spark.createDataFrame([(e, s, 5 if e % 3 == 0 else None, float((e * s) % 7)) for e in range(9) for s in range(8)], "episode_key long, step_id long, onset long, feat_a double")
+    plan = ablations.scored_sets(steps, {"A": ["feat_a"]}, (2,), folds=2, inner=2)._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
+
+
 def best_split(x):
     """The two clusters with the least cost, by trying all."""
     splits = [np.array([0, *bits]) for bits in itertools.product((0, 1), repeat=len(x) - 1) if any(bits)]
