@@ -156,9 +156,10 @@ def clusters(rows: DataFrame, features: list[str], k: int, tries: int = 10, seed
 def cluster_stability(rows: DataFrame, features: list[str], part: str, k: int = 2, tries: int = 100, seed: int = 0) -> DataFrame:
     """For each value of ``part``, the adjusted Rand index of the clusters of all rows and of a fit without that part, over the other rows.
 
-    With the key of an episode as ``part`` one episode is left out at a time. The fits without each part and their starts go
-    on side by side, a pass over the rows a round, so large tables are better left out by folds than by rows: the result has
-    a row for each part. Parts without which the others lie in one cluster give none, rows with a null feature or part take
+    With the key of an episode as ``part`` one episode is left out at a time. Up to WHOLE points, the fits without each part
+    share their starts and the sums of the points that lie alike in all of them, so that work grows with points and parts, not
+    with their product, as long as a part sways the centres little. Beyond, the fits go on side by side, a pass over the rows
+    a round, so such tables are better left out by folds than by rows: the result has a row for each part. Parts without which the others lie in one cluster give none, rows with a null feature or part take
     no part.
     """
     x = _point(features)
@@ -180,37 +181,109 @@ def cluster_stability(rows: DataFrame, features: list[str], part: str, k: int =
 
 
 def _stability(points: DataFrame, width: int, part: str, k: int, tries: int, seed: int) -> DataFrame:
-    """``cluster_stability`` of at most WHOLE points, which each task holds: parts go side by side, each with all its fits and its index."""
+    """``cluster_stability`` of at most WHOLE points, which each task holds: a few tries a task, each with the fits without every part; the cheapest fit of a part gives its index."""
     spark, kind = points.sparkSession, dict(points.dtypes)[part]
     drawn = points.orderBy(F.xxhash64("x"), "x").collect()  # at most WHOLE
     parts = sorted({r[part] for r in drawn})
     number = {p: i for i, p in enumerate(parts)}
     x, own = np.array([r.x for r in drawn]).reshape(-1, width), np.array([number[r[part]] for r in drawn], int)
-    whole = _fit(x, k, tries, np.random.default_rng(seed))[0] if len(x) else np.zeros((1, width))
-    first = _near(x, whole)
+    first = _near(x, np.array(_whole(points, width, k, tries, seed))) if len(x) else own
+    x, each = x - (x.mean(axis=0) if len(x) else 0.0), 2
 
     def run(batches):
         for batch in batches:
-            n, out = batch.column(0).to_pylist(), []
-            for o in n:
-                kept = own != o
-                a = first[kept]
-                if not len(a) or a.min() == a.max():
-                    out.append(None)
-                    continue
-                centres, counts, _ = _fit(x[kept], k, tries, np.random.default_rng([seed, o]))
-                cells = np.zeros((len(whole), k))
-                np.add.at(cells, (a, _near(x[kept], centres)), 1)
-                pairs = lambda v: (v * (v - 1) / 2).sum()
-                left, right, m = pairs(cells.sum(axis=1)), pairs(cells.sum(axis=0)), len(a)
-                expected, best = left * right / (m * (m - 1) / 2) if m > 1 else 0.0, (left + right) / 2
-                out.append(1.0 if best == expected else float((pairs(cells) - expected) / (best - expected)))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(out, pa.float64())], ["_n", "ari"])
+            for b in batch.column(0).to_pylist():
+                best, index = np.full(len(parts), np.inf), np.full(len(parts), np.nan)
+                for t in range(b * each, min(tries, (b + 1) * each)):
+                    cost, cells = _without_each(x, own, first, k, np.random.default_rng([seed, t]))
+                    less = cost < best
+                    best[less], index[less] = cost[less], _rand(cells[less])
+                n = np.flatnonzero(~np.isnan(index))
+                yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), pa.array(best[n]), pa.array(np.full(len(n), b)), pa.array(index[n])], ["_n", "cost", "b", "ari"])
 
     numbers = spark.createDataFrame(list(enumerate(parts)), f"_n int, `{part}` {kind}")
-    tasks = max(1, min(len(parts), 4 * spark.sparkContext.defaultParallelism))
-    found = spark.range(0, len(parts), 1, tasks).select(F.col("id").cast("int").alias("_n")).mapInArrow(run, "_n int, ari double")
-    return found.where("ari IS NOT NULL").join(numbers, "_n").select(part, "ari")
+    blocks = -(-tries // each) if parts else 0
+    found = spark.range(0, blocks, 1, max(1, blocks)).mapInArrow(run, "_n int, cost double, b long, ari double")
+    return found.groupBy("_n").agg(F.min_by("ari", F.struct("cost", "b")).alias("ari")).join(numbers, "_n").select(part, "ari")
+
+
+#: Pairs of a part and a point that are looked at at once.
+PAIRS = 1 << 20
+
+
+def _without_each(z: np.ndarray, own: np.ndarray, first: np.ndarray, k: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """For each part, a fit to the points of all others from one start: its cost, and how many points are in each of the ``first`` clusters and its own.
+
+    A part that holds a starting point starts anew from the others'. A point's cluster is the same in all fits whose centres
+    lie so near the middle ones that its nearest of these stays nearest: twice their distance is less than it is nearer than
+    the next. Sums over such points are made once and the part's own taken off; only the rest is looked at part by part.
+    """
+    parts, firsts, (n, d) = own.max() + 1, first.max() + 1, z.shape
+    picked = _picked(z[:STARTS], k, rng)
+    centres = np.repeat(z[None, picked], parts, axis=0)
+    for o in np.unique(own[picked]):
+        rest = z[own != o][:STARTS]
+        if len(rest):
+            centres[o] = rest[_picked(rest, k, rng)]
+    squares, far = (z**2).sum(axis=1), 1e-9 * (1 + np.abs(z).max())
+    every = squares.sum() - np.bincount(own, squares, parts)
+    cost, cells = np.zeros(parts), np.zeros((parts, firsts, k))
+    live = np.arange(parts)
+    for _ in range(ROUNDS):
+        at = np.full(parts, -1)
+        at[live] = np.arange(len(live))
+        c, middle = centres[live], np.median(centres[live], axis=0)
+        away = np.sqrt(((z[:, None] - middle[None]) ** 2).sum(axis=2))
+        near = away.argmin(axis=1)
+        two = np.partition(away, 1, axis=1) if k > 1 else np.stack([away[:, 0], np.full(n, np.inf)], axis=1)
+        margin = two[:, 1] - two[:, 0]
+        order = np.argsort(margin)
+        reach = np.searchsorted(margin[order], 2 * np.sqrt(((c - middle) ** 2).sum(axis=2)).max(axis=1) + far, side="right")
+        box, mine = first * k + near, at[own] >= 0
+        slot, boxes = at[own[mine]] * (firsts * k) + box[mine], firsts * k
+        put = np.bincount(box, minlength=boxes) - np.bincount(slot, minlength=len(live) * boxes).reshape(-1, boxes).astype(float)
+        slot = at[own[mine]] * k + near[mine]
+        sums = np.stack([np.bincount(near, z[:, f], k) - np.bincount(slot, z[mine, f], len(live) * k).reshape(-1, k) for f in range(d)], axis=2)
+        upto = np.cumsum(reach)
+        low = 0
+        while low < len(live):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS, side="right")))
+            fit = np.repeat(np.arange(low, high), reach[low:high])
+            point = order[np.arange(len(fit)) - np.repeat(upto[low:high] - reach[low:high] - (upto[low - 1] if low else 0), reach[low:high])]
+            now = _nearest_by_fit(z, c, fit, point)
+            other = (now != near[point]) & (own[point] != live[fit])
+            fit, point, now = fit[other], point[other], now[other]
+            fit, span = fit - low, high - low
+            put[low:high] += (np.bincount(fit * boxes + first[point] * k + now, minlength=span * boxes) - np.bincount(fit * boxes + box[point], minlength=span * boxes)).reshape(span, boxes)
+            for f in range(d):
+                sums[low:high, :, f] += (np.bincount(fit * k + now, z[point, f], span * k) - np.bincount(fit * k + near[point], z[point, f], span * k)).reshape(span, k)
+            low = high
+        cells[live] = put.reshape(-1, firsts, k)
+        counts = cells[live].sum(axis=1)
+        cost[live] = every[live] - 2 * (c * sums).sum(axis=(1, 2)) + (counts * (c**2).sum(axis=2)).sum(axis=1)
+        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], c)
+        still = np.abs(moved - c).max(axis=(1, 2)) > 1e-9 * (1 + np.abs(c).max())
+        centres[live] = moved
+        live = live[still]
+        if not len(live):
+            break
+    return cost, cells
+
+
+def _nearest_by_fit(z: np.ndarray, centres: np.ndarray, fit: np.ndarray, point: np.ndarray) -> np.ndarray:
+    away = np.stack([sum((z[point, f] - centres[fit, j, f]) ** 2 for f in range(z.shape[1])) for j in range(centres.shape[1])])
+    return away.argmin(axis=0)
+
+
+def _rand(cells: np.ndarray) -> np.ndarray:
+    """The adjusted Rand index of each table of counts; NaN where the rows are one."""
+    pairs = lambda v: v * (v - 1) / 2
+    rows, columns, m = cells.sum(axis=2), cells.sum(axis=1), cells.sum(axis=(1, 2))
+    left, right = pairs(rows).sum(axis=1), pairs(columns).sum(axis=1)
+    expected, best = left * right / np.maximum(pairs(m), 1), (left + right) / 2
+    same = best == expected
+    out = np.where(same, 1.0, (pairs(cells).sum(axis=(1, 2)) - expected) / np.where(same, 1.0, best - expected))
+    return np.where((rows > 0).sum(axis=1) > 1, out, np.nan)
 
 
 def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -322,11 +395,16 @@ def _whole(points: DataFrame, width: int, k: int, tries: int, seed: int) -> list
 
 
 def _spread(sample: np.ndarray, k: int, rng) -> np.ndarray:
-    """Starting centres: each further one is drawn by its squared distance from those before."""
-    out = sample[rng.integers(len(sample), size=1)]
+    """Starting centres, as ``_picked``."""
+    return sample[_picked(sample, k, rng)]
+
+
+def _picked(sample: np.ndarray, k: int, rng) -> np.ndarray:
+    """Numbers of the rows that fits start from: each further one is drawn by its squared distance from those before."""
+    out = rng.integers(len(sample), size=1)
     while len(out) < k:
-        d = ((sample[:, None] - out[None]) ** 2).sum(axis=2).min(axis=1)
-        out = np.concatenate([out, sample[rng.choice(len(sample), size=1, p=d / d.sum() if d.sum() else None)]])
+        d = ((sample[:, None] - sample[None, out]) ** 2).sum(axis=2).min(axis=1)
+        out = np.concatenate([out, rng.choice(len(sample), size=1, p=d / d.sum() if d.sum() else None)])
     return out
 
 

@@ -123,3 +123,42 @@ def test_stability(spark):
     want = {10 + i: rand(whole[np.arange(9) != i], best_split(x[np.arange(9) != i])) for i in range(9) if len(set(whole[np.arange(9) != i])) == 2}
     assert got == pytest.approx(want)
     assert models.cluster_stability(rows.limit(0), ["a", "b"], "e").count() == 0
+
+
+@pytest.mark.parametrize("case", range(6))
+def test_fits_without_each_part_are_plain_fits(monkeypatch, case):
+    """Sums that all fits share change no fit: the same costs and clusters as a fit of its own to the points outside each part."""
+    rng = np.random.default_rng(case)
+    n, k, seed = 40 + 20 * case, 1 + case % 3, np.random.default_rng(case)
+    z = np.round(rng.normal(size=(n, 2)) * 9) if case % 2 else rng.normal(size=(n, 2))
+    own = np.arange(n) if case < 3 else np.unique(rng.integers(0, 7, n), return_inverse=True)[1]
+    first = rng.integers(0, 2, n)
+    monkeypatch.setattr(models, "PAIRS", 64)
+    cost, cells = models._without_each(z, own, first, k, np.random.default_rng(case))
+    picked = models._picked(z, k, seed)
+    starts = {o: (z[own != o])[models._picked(z[own != o], k, seed)] for o in np.unique(own[picked])}
+    for o in range(own.max() + 1):
+        x, c = z[own != o], starts.get(o, z[picked])
+        for _ in range(100):
+            d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+            near = d.argmin(axis=1)
+            moved = np.array([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
+            if np.abs(moved - c).max() < 1e-9:
+                break
+            c = moved
+        want = np.zeros((2, k))
+        np.add.at(want, (first[own != o], near), 1)
+        assert cost[o] == pytest.approx(d.min(axis=1).sum()) and (cells[o] == want).all()
+
+
+def test_leaving_out_each_point_takes_no_product_of_points_and_parts(monkeypatch):
+    """Four times the points: far fewer than 16 times the pairs of a part and a point are looked at."""
+    plain, looked = models._nearest_by_fit, []
+    monkeypatch.setattr(models, "_nearest_by_fit", lambda z, c, fit, point: looked.append(len(fit)) or plain(z, c, fit, point))
+    share = []
+    for n in (1000, 4000):
+        z = np.random.default_rng(1).normal(size=(n, 2)) * [5, 1]
+        looked.clear()
+        models._without_each(z, np.arange(n), (z[:, 0] > 0).astype(int), 2, np.random.default_rng(2))
+        share.append(sum(looked) / n)
+    assert share[1] < 2 * share[0] and share[1] < 400
