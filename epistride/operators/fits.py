@@ -174,20 +174,21 @@ def logistic(rows: DataFrame, sets: dict[str, list[str]], labels: list[str], mas
 
         def slopes(y, x, m, live=live, at=at):
             out = {}
-            for s, ix in index.items():
-                for t in {k[2] for k in live if k[0] == s}:
-                    own = m[:, t]
-                    z = x[own][:, ix]
-                    gap = np.isnan(z)
-                    z = (np.where(gap, fill[t, ix], z) - mean[t, ix]) / scale[t, ix]
-                    z = np.concatenate([z, (gap - share[t, ix]) / gap_scale[t, ix]], axis=1) if indicators else z
-                    z = np.concatenate([np.ones((len(z), 1)), z], axis=1)
+            for t in {k[2] for k in live}:  # a mask's rows are scaled once, for all sets and labels; a column lies in one piece
+                own = m[:, t]
+                v, z = y[own].T, np.ascontiguousarray(x[own].T)
+                gap = np.isnan(z)
+                z = [np.ones((1, z.shape[1])), (np.where(gap, fill[t, :, None], z) - mean[t, :, None]) / scale[t, :, None]]
+                every = np.concatenate([*z, (gap - share[t, :, None]) / gap_scale[t, :, None]] if indicators else z)
+                for s, ix in index.items():
+                    z = every[[0, *(1 + w for w in ix), *(1 + width + w for w in ix if indicators)]]
                     for i in range(labels):
                         if (s, i, t) in live:
-                            v, w, eta = y[own, i], weights(i, t), z @ at[s, i, t]
-                            p, c = 1 / (1 + np.exp(-np.clip(eta, -700, 700))), np.where(v == 1, w[1], w[0])
-                            bend = (z * (c * p * (1 - p))[:, None]).T @ z
-                            out[live[s, i, t]] = np.concatenate([[(c * (np.logaddexp(0, eta) - v * eta)).sum()], z.T @ (c * (p - v)), bend.ravel()])
+                            w, eta = weights(i, t), at[s, i, t] @ z
+                            c, e = np.where(v[i] == 1, w[1], w[0]), np.exp(-np.abs(eta))
+                            p = np.where(eta >= 0, 1.0, e) / (1 + e)
+                            bend = (z * (c * p * (1 - p))) @ z.T
+                            out[live[s, i, t]] = np.concatenate([[(c * (np.maximum(eta, 0) + np.log1p(e) - v[i] * eta)).sum()], z @ (c * (p - v[i])), bend.ravel()])
             return out
 
         sums, going = _sums(points, slopes), {}
